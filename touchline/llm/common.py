@@ -94,3 +94,72 @@ def registered() -> tuple[dict, dict]:
     from . import queries
 
     return queries.QUERIES, queries.ORACLES
+
+
+#: Base of the rolling polynomial hash, modulo 2^64; odd, so that it has an inverse.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+#: Spans hashed at a time, and bytes of text gathered before they are.
+SPANS, SLICE = 1 << 16, 1 << 20
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    if n:
+        out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads a polynomial hash over all its bits."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of the bytes, equal for equal contents; spans ascend. Extra memory follows SPANS, not the text."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for at in range(0, len(starts), SPANS):
+        a, b = starts[at : at + SPANS], ends[at : at + SPANS]
+        lo, hi = int(a[0]), int(b.max())
+        total = np.zeros(hi - lo + 1, dtype=np.uint64)
+        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * _powers(BASE, hi - lo), dtype=np.uint64, out=total[1:])
+        back = _powers(INVERSE, hi - lo + 1)
+        out[at : at + SPANS] = mixed((total[b - lo] - total[a - lo]) * back[a - lo] + (b - a).astype(np.uint64))
+    return out
+
+
+def slices(docs: list[bytes]):
+    """(first index, docs) in runs of about SLICE bytes."""
+    at, size = 0, 0
+    for i, d in enumerate(docs):
+        size += len(d)
+        if size >= SLICE:
+            yield at, docs[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(docs):
+        yield at, docs[at:]
+
+
+def shingle_spans(docs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, document) of all k-word shingles of texts, lower-cased A-Z, words joined by a space.
+
+    A text of fewer words is one shingle, one of none has no shingle.
+    """
+    joined = [b" ".join(d.lower().split()) for d in docs]
+    data = np.frombuffer(b"\n".join([*joined, b""]), dtype=np.uint8)
+    of = np.repeat(np.arange(len(docs)), [x.count(b" ") + 1 if x else 0 for x in joined])
+    space, line = data == 32, data == 10
+    first = np.flatnonzero(~(space | line) & np.concatenate(([True], (space | line)[:-1])))
+    last = np.flatnonzero(~(space | line) & np.concatenate(((space | line)[1:], [True]))) + 1
+    n = np.bincount(of, minlength=len(docs))
+    whole = np.arange(len(first) - k + 1) if len(first) >= k else np.zeros(0, dtype=np.int64)
+    whole = whole[of[whole] == of[whole + k - 1]]
+    short = np.flatnonzero((n > 0) & (n < k))
+    at = np.concatenate(([0], np.cumsum(n)[:-1])) if len(docs) else n
+    starts = np.concatenate((first[whole], first[at[short]]))
+    ends = np.concatenate((last[whole + k - 1], last[at[short] + n[short] - 1]))
+    doc = np.concatenate((of[whole], short))
+    order = np.argsort(starts, kind="stable")
+    return data, starts[order], ends[order], doc[order]

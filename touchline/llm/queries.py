@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import contained
 from .exact_dedup import exact_dedup
+from .simhash import near_duplicates
+from .warc import warc_round_trip
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +34,42 @@ ORACLES["op5_exact_dedup"] = f"""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, h AS text_sha256
 FROM (SELECT doc_id, sha256({FOLDED}) AS h FROM documents) WINDOW w AS (PARTITION BY h)
 """
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+ORACLES["op10_warc"] = """
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM (
+  SELECT page_id, n AS payload_bytes, h AS payload_digest,
+         CASE WHEN n >= 1000 AND page_id <> max(page_id) OVER (PARTITION BY n, h) THEN max(page_id) OVER (PARTITION BY n, h) END AS refers_to
+  FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS h FROM pages)
+)
+"""
+
+
+@query
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_shared", "containment")
+
+
+_SHINGLES = """
+  SELECT DISTINCT id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
+        FROM (SELECT {id} AS id, list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table}) WHERE len(w) > 0)
+"""
+ORACLES["op7_decontamination"] = f"""
+WITH d AS ({_SHINGLES.format(id='doc_id', text=FOLDED, table='documents')}), b AS ({_SHINGLES.format(id='item_id', text=FOLDED, table='benchmark')}),
+n AS (SELECT id, count(*) AS n FROM b GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, n.n AS n_shingles, count(*) AS n_shared, count(*) / n.n AS containment
+FROM d JOIN b USING (s) JOIN n ON n.id = b.id GROUP BY d.id, b.id, n.n HAVING count(*) >= 0.8 * n.n
+"""

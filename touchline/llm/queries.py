@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .decontamination import contained
 from .exact_dedup import exact_dedup
+from .hmm import score
 from .line_dedup import line_dedup
 from .simhash import near_duplicates
 from .toxicity import toxicity
@@ -97,3 +98,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
     return encode_decode(table(spark, sf_dir, "documents"), str(path("byte_bpe_50k.json")), id_lists=False)
+
+
+@query
+def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))

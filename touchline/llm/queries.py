@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .hmm import score
 from .line_dedup import line_dedup
 from .pii import pseudonymise
+from .repeats import remove_repeats
 from .simhash import near_duplicates
 from .toxicity import toxicity
 from .warc import warc_round_trip
@@ -112,3 +113,8 @@ def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
+@query
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))

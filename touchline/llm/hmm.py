@@ -23,6 +23,8 @@ from .common import filled, texts, written
 
 #: Size of the model: words with symbols of their own, classes of the rest, hidden states.
 HEAD, CLASSES, STATES = 32_768, 1024, 8
+#: Steps of word frequency to a doubling, by which the head is cut off.
+STEPS = 64
 #: Words whose co-occurrence in texts starts the states off; rounds of Baum-Welch.
 SEEDS, ROUNDS = 256, 3
 #: Tokens of a training sequence; tokens that the forward recursion takes as one stretch; rows it works on at once.
@@ -301,15 +303,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     total, distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
     scale = total + 0.1 * (distinct + 1)
 
-    top = [(bytes(r[0]), int(r[1])) for r in counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(head).select("word", "c").collect()]
+    # the head: words from a frequency step on, the lowest step with no more than `head` words above it; the driver sees the steps' sizes alone
+    frequency = F.floor(F.log2("c") * STEPS)
+    words = counts.where(F.col("word") != F.lit(END))
+    sizes = sorted(((int(r[0]), int(r[1])) for r in words.groupBy(frequency).count().collect()), reverse=True)
+    above = np.cumsum([n for _, n in sizes])
+    cut = min((f for (f, _), n in zip(sizes, above, strict=True) if n <= head), default=math.inf)
+    cut = F.lit(float(cut))
+    top = sorted(((bytes(r[0]), int(r[1])) for r in words.where(frequency >= cut).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
     ends = counts.where(F.col("word") == F.lit(END)).select("c").first()
     top.append((END, int(ends[0]) if ends else 0))
     symbols = {w: i for i, (w, _) in enumerate(top)}
     n_symbols = len(top) + CLASSES
     # the classes' masses, in counts: those of the words outside the head, and a share of the unseen event
-    least = top[-2] if len(top) == head + 1 else None
-    tail = counts.where((F.col("c") < least[1]) | ((F.col("c") == least[1]) & (F.col("word") > F.lit(least[0])))) if least else counts.where("false")
-    tail = tail.where(F.col("word") != F.lit(END))
+    tail = words.where(frequency < cut)
     mass = np.zeros(CLASSES)
     for j, m in tail.groupBy("class").agg(F.sum(F.col("c") + F.lit(0.1))).collect():
         mass[j] = m

@@ -10,7 +10,10 @@ the rounds go by content instead, and blocks are told apart by hashes, not by th
 2. cores: each run of starts whose strings have the same first and last minimiser is one cell; cells agree when
    what lies between the two is equal;
 3. hulls: cells of a block whose whole extent, all strings that start in them, is equal elsewhere are repeated intervals;
-4. starts: where a block holds a cell that is no such interval, the strings of its cells are compared one by one.
+4. pieces: where a block holds a cell that is no such interval, its cells are cut at fixed distances from the core, and
+   pieces judged like cells, ever shorter ones to single strings; what all strings of a piece share tells who goes on.
+
+Of the cells or pieces that are repeated already, one of each content goes on, so that others can be found equal to it.
 
 Every round counts with map-side aggregation and sends on only what is unresolved; no text is sorted, and no suffix
 leaves its shard but as a hash. Equal strings always fall into cells with equal cores, so nothing is missed.
@@ -33,6 +36,9 @@ LENGTH, GRAM = 200, 16
 PLACES = (LENGTH - GRAM + 1) // 2
 #: Starts of a long text that are looked at together.
 STARTS = 1 << 20
+#: Starts of a piece, round by round.
+PIECES = (16, 1)
+CELL = ["first", "n", "lead", "core", "hull"]
 
 
 class Block:
@@ -62,8 +68,8 @@ class Block:
         at = np.unique(self.places)
         return at, self.hashes(at[:-1], at[1:] + GRAM)
 
-    def cells(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first start, starts, core, hull) of the cells all of whose phrases are marked."""
+    def cells(self, bits: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first start, starts, bytes from there to the core, core, hull) of the cells all of whose phrases are marked."""
         first, last = self.places[: self.starts], self.places[LENGTH - GRAM + 1 - PLACES :][: self.starts]
         cut = np.flatnonzero((first[1:] != first[:-1]) | (last[1:] != last[:-1])) + 1
         at = np.concatenate((np.zeros(1, dtype=np.int64), cut))
@@ -73,7 +79,17 @@ class Block:
         a, b = np.searchsorted(minimisers, first[at]), np.searchsorted(minimisers, last[at])
         keep = marked[b] - marked[a] == b - a
         at, n = at[keep], n[keep]
-        return at, n, self.hashes(first[at], last[at] + GRAM), self.hashes(at, at + n - 1 + LENGTH)
+        return at, n, first[at] - at, self.hashes(first[at], last[at] + GRAM), self.hashes(at, at + n - 1 + LENGTH)
+
+    def pieces(self, at: np.ndarray, n: np.ndarray, lead: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        """cells() of runs of starts, cut where their distance from the core is a multiple of size; core: what strings at these distances share."""
+        core, low, high = at + lead, (lead - n + 1) // size, lead // size
+        many = high - low + 1
+        of = np.repeat(np.arange(len(at)), many)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + low[of]
+        near, far = np.maximum((lead - n + 1)[of], k * size), np.minimum(lead[of], k * size + size - 1)
+        start, shared = core[of] - far, core[of] - k * size
+        return start, far - near + 1, far, self.hashes(shared, shared - size + 1 + LENGTH), self.hashes(start, core[of] - near + LENGTH)
 
 
 def blocks(text: bytes) -> Iterator[tuple[int, Block]]:
@@ -83,6 +99,24 @@ def blocks(text: bytes) -> Iterator[tuple[int, Block]]:
         yield at, Block(data[at : at + STARTS + LENGTH - 1])
 
 
+def _judged(cells: DataFrame, tag: str) -> DataFrame:
+    """cells with a column open: whether their hull stands nowhere else. Written to the shared folder.
+
+    Counts by a hash are joined on a value made of it: both sides are dealt out for the join, and Spark can split a hash that is everywhere.
+    """
+    hulls = cells.groupBy("hull").agg(F.count("*").alias("same")).where("same > 1").select((F.col("hull") + 0).alias("_hull"))
+    return written(cells.join(hulls, F.col("hull") == F.col("_hull"), "left").select("row", *CELL, F.col("_hull").isNull().alias("open")), tag)
+
+
+def _undecided(judged: DataFrame) -> DataFrame:
+    """The cells whose core another content has too, if one of them is open: all open ones, and one of each closed content."""
+    columns = ["row", *CELL, "open"]
+    closed = judged.where("not open").groupBy("hull").agg(F.min(F.struct(*[c for c in columns if c != "hull"])).alias("x")).select("x.*", "hull")
+    some = judged.where("open").select(*columns).unionByName(closed.select(*columns))
+    cores = some.groupBy("core").agg(F.count("*").alias("same"), F.max("open").alias("any_open")).where("same > 1 and any_open").select((F.col("core") + 0).alias("_core"))
+    return some.join(cores, F.col("core") == F.col("_core"), "left_semi")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with kept_text the kept bytes) of every row.
 
@@ -119,40 +153,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 part = batch.slice(at, 512)
                 out = []
                 for text in texts(part.column(1)):
-                    found = [(o + p, n, core.view(np.int64), hull.view(np.int64)) for o, b in blocks(text) for p, n, core, hull in [b.cells(bits.value)] if len(p)]
+                    found = [(o + p, n, lead, core.view(np.int64), hull.view(np.int64)) for o, b in blocks(text) for p, n, lead, core, hull in [b.cells(bits.value)] if len(p)]
                     if found:
                         out.append((len(text), None, z.compress(text), *(np.concatenate(x) for x in zip(*found, strict=True))))
                     else:
-                        out.append((len(text), hashlib.sha256(text).hexdigest(), text if kept_text else None, None, None, None, None))
+                        out.append((len(text), hashlib.sha256(text).hexdigest(), text if kept_text else None, *[None] * 5))
                 cols = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.string(), pa.binary(), ints, ints, longs, longs]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "sha256", "text", "first", "n", "core", "hull"])
-
-    work = written(rows.mapInArrow(with_cells, "doc_id long, n_bytes long, sha256 string, text binary, first array<int>, n array<int>, core array<long>, hull array<long>").withColumn("row", F.monotonically_increasing_id()), "cells")
-    cells = work.where("first is not null").select("row", F.explode(F.arrays_zip("first", "n", "core", "hull")).alias("c")).select("row", "c.*")
-
-    # counts by a hash are joined on a value made of it: both sides are dealt out for the join, and Spark can split a hash that is everywhere
-    hulls = cells.groupBy("hull").agg(F.count("*").alias("same")).where("same > 1").select((F.col("hull") + 0).alias("_hull"))
-    judged = written(cells.join(hulls, F.col("hull") == F.col("_hull"), "left").select("row", "first", "n", "core", F.col("_hull").isNull().alias("open")), "judged-cells")
-    cores = judged.groupBy("core").agg(F.count("*").alias("same"), F.max("open").alias("any_open")).where("same > 1 and any_open").select((F.col("core") + 0).alias("_core"))
-    probed = judged.join(cores, F.col("core") == F.col("_core"), "left_semi").groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("probe")).select((F.col("row") + 0).alias("_row"), "probe")
-
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                text = z.decompress(batch.column(1)[i].as_py())
-                want = np.zeros(max(0, len(text) - LENGTH + 1), dtype=bool)
-                for c in batch.column(2)[i].as_py():
-                    want[c["first"] : c["first"] + c["n"]] = True
-                for at, b in blocks(text):
-                    p = np.flatnonzero(want[at : at + b.starts])
-                    if len(p):
-                        yield pa.RecordBatch.from_arrays([pa.array(b.hashes(p, p + LENGTH).view(np.int64)), pa.array(np.full(len(p), batch.column(0)[i].as_py())), pa.array((at + p).astype(np.int32))], names=["hash", "row", "first"])
-
-    starts = written(work.join(probed, F.col("row") == F.col("_row")).select("row", "text", "probe").mapInArrow(probes, "hash long, row long, first int"), "starts")
-    shared = starts.groupBy("hash").agg(F.count("*").alias("same")).where("same > 1").select((F.col("hash") + 0).alias("_hash"))
-    found = judged.where("not open").select("row", "first", "n").unionByName(starts.join(shared, F.col("hash") == F.col("_hash"), "left_semi").select("row", "first", F.lit(1).alias("n")))
+                kinds = [pa.int64(), pa.string(), pa.binary(), ints, ints, ints, longs, longs]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "sha256", "text", *CELL])
+
+    work = written(rows.mapInArrow(with_cells, "doc_id long, n_bytes long, sha256 string, text binary, first array<int>, n array<int>, lead array<int>, core array<long>, hull array<long>").withColumn("row", F.monotonically_increasing_id()), "cells")
+    cells = work.where("first is not null").select("row", F.explode(F.arrays_zip(*CELL)).alias("c")).select("row", "c.*")
+
+    def pieces(size: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            z = zstandard.ZstdDecompressor()
+            for batch in batches:
+                for row, text, probe in zip(*(batch.column(k) for k in range(3)), strict=True):
+                    first, n, lead = (np.asarray(probe.values.field(k)).astype(np.int64) for k in range(3))
+                    for at, b in blocks(z.decompress(text.as_py())):
+                        own = (first >= at) & (first < at + b.starts)
+                        start, *x, core, hull = b.pieces(first[own] - at, n[own], lead[own], size)
+                        columns = [*(v.astype(np.int32) for v in (at + start, *x)), core.view(np.int64), hull.view(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), row.as_py())), *map(pa.array, columns)], names=["row", *CELL])
+
+        return run
+
+    judged = _judged(cells, "judged-cells")
+    found = judged.where("not open").select("row", "first", "n")
+    for size in PIECES:
+        probed = _undecided(judged).groupBy("row").agg(F.collect_list(F.struct("first", "n", "lead")).alias("probe")).select((F.col("row") + 0).alias("_row"), "probe")
+        cut = work.join(probed, F.col("row") == F.col("_row")).select("row", "text", "probe").mapInArrow(pieces(size), "row long, first int, n int, lead int, core long, hull long")
+        judged = _judged(written(cut, "pieces"), "judged-pieces")
+        found = found.unionByName(judged.where("not open").select("row", "first", "n"))
     found = found.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("gone")).select((F.col("row") + 0).alias("_row"), "gone")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,14 +60,15 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): a row per document, fp as a signed long."""
+    """(doc_id, text_key, fp): a row per document, fp as a signed long, text_key a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x) for x in texts(batch.column(1))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(x) for x in texts(batch.column(2))], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(F.col(text_col)).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = filled(F.col(text_col))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -199,7 +200,7 @@ def fingerprint_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row.
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) and text_key (a hash of the text) of every row.
 
     Fingerprints at three differing bits or fewer are linked. Null, empty and blank texts have fingerprint zero,
     linked like any other. Rows that repeat a text share a fingerprint and so a component. A null id takes no
@@ -213,4 +214,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = written(of, "fingerprint-roots")
     least = of.groupBy("root").agg(F.min("least").alias("component_id")).select((F.col("root") + 0).alias("_root"), "component_id")
     named = of.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
-    return own.join(named, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(named, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each near-duplicate component, that of the smallest doc_id; all columns stay as they are.
+
+    Of rows that share id and text one stays. Rows of one id with different texts are judged each by its text. Rows
+    without an id stay only where their component has no id at all, one of each text. An empty table gives no rows.
+    """
+    stay = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = written(stay.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.count("*").alias("n")), "staying")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(filled(F.col(text_col))).alias("_text"))
+    of = lambda side: rows.join(side.drop("n"), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_key")), "left_semi")
+    out, again = of(stay.where("n = 1")).select("_row"), stay.where("n > 1")
+    if not again.isEmpty():
+        out = out.union(of(again).groupBy("_id", "_text").agg(F.first("_row").alias("_row")).select("_row"))
+    return out.select("_row.*")

@@ -2,7 +2,7 @@
 
 A logistic model over the presence of words and word beginnings. Fitting minimises the log loss of labelled texts
 plus, for labelled sentences that name a group of people, the squared change of their score when the group's term
-is swapped for another: so the model can't lean on who is mentioned, and neutral mentions stay below the threshold.
+is swapped for another or left out: so the model can lean neither on who is mentioned nor on a mention as such.
 
 Fitting uses at most SAMPLE labelled rows (a documented bound, taken by a hash of the id); feature counts over them
 are aggregated by Spark and at most FEATURES features are kept, so what the driver holds is bounded. Every whole text
@@ -61,22 +61,24 @@ def features(text: bytes) -> set[bytes]:
 
 
 def swapped(text: bytes) -> list[tuple[bytes, bytes]]:
-    """(sentence, its counterfactual) for the sentences that name a group."""
+    """(sentence, counterfactual) for the sentences that name a group: with other groups' terms, and without any."""
     out = []
     for s in SENTENCE.split(text.lower()):
         words = WORD.findall(s)
         if any(w in SWAPS for w in words):
-            out.append((b" ".join(words), b" ".join(SWAPS.get(w, w) for w in words)))
+            whole = b" ".join(words)
+            out.append((whole, b" ".join(SWAPS.get(w, w) for w in words)))
+            out.append((whole, b" ".join(w for w in words if w not in SWAPS)))
     return out
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of at most about `sample` labelled training rows: ids whose crc32 modulo 3 isn't 1, taken by a hash of the id."""
+    """(text, toxic) of at most about `sample` labelled training rows: ids whose crc32 modulo 3 isn't 1, taken by a hash of the id. Of rows that share an id, one counts."""
     train = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     train = train.where(F.crc32(F.col("_id").cast("string")) % 3 != 1).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     rate = min(1.0, sample / max(1, train.count()))
     picked = train.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(rate * 1_000_000)).limit(2 * sample)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(F.col("text")).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(F.col("text")).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: int = FEATURES) -> tuple[dict[bytes, float], float]:

@@ -16,29 +16,30 @@ from touchline.llm.bpe import encode_decode
 from touchline.llm.common import shared_dir
 from touchline.llm.decontamination import decontaminate
 from touchline.llm.line_dedup import line_dedup
-from touchline.llm.simhash import near_duplicates
+from touchline.llm.simhash import one_of_each
 from touchline.llm.toxicity import THRESHOLD, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold."""
+    """Documents that score below the threshold; null and empty texts among them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity(docs, labels).where(F.col("toxicity") < THRESHOLD).select(*docs.columns)
+    own = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    return toxicity(own, labels).where(F.col("toxicity") < THRESHOLD).select("_row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their chunks of lines that stand elsewhere first; n_chars follows the text."""
-    done = line_dedup(docs)
-    changed = F.when(F.col("n_lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.withColumn("n_chars", changed).select(*docs.columns)
+    done = line_dedup(docs.select(F.struct("*").alias("_row"), "doc_id", "text"))
+    length = F.when(F.col("n_lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("_row.n_chars"))
+    new = {"text": F.col("text"), "n_chars": length}
+    return done.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    """One document of each near-duplicate component, that of the smallest id."""
+    return one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

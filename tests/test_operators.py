@@ -178,3 +178,50 @@ def test_streams(spark, tmp_path):
     w = state.tumbling(state.files(spark, f"{tmp_path}/in", src.schema), "at", "1 day", "1 day", "v").writeStream.outputMode("complete").format("memory").queryName("tumbling").trigger(availableNow=True).start()
     w.awaitTermination()
     assert sorted(r.n for r in spark.table("tumbling").collect()) == [1, 2]
+
+
+def test_head_to_head_decides_only_between_teams_that_have_all_met(spark):
+    from touchline.operators import tournament
+
+    # a, b and c are level; a beat b, b beat c, c beat a by more
+    rows_ = [("A", "a", "b", 1, 0), ("A", "b", "c", 1, 0), ("A", "c", "a", 1, 0), ("B", "x", "z", 1, 0), ("B", "y", "z", 1, 0), ("C", "p", "q", 2, 1), ("C", "q", "r", 1, 0), ("C", "r", "p", 1, 1)]
+    m = spark.createDataFrame([(i, d(i + 1), g, 2026, *rest) for i, (g, *rest) in enumerate(rows_)], "match_id int, match_date timestamp, league string, season int, home string, away string, home_goals int, away_goals int")
+    got = {(r.league, r.team): (r.place, r.head_to_head) for r in tournament.group_tables(joins.team_rows(m), ["league"]).collect()}
+    assert [got["A", t] for t in "abc"] == [(1, True), (2, True), (3, True)]
+    assert got["B", "x"] == (1, False) and got["B", "y"] == (2, False) and got["B", "z"] == (3, False)
+    assert got["C", "p"] == (1, False)
+
+
+def test_group_places_sum_to_one(spark):
+    from touchline.operators import tournament
+
+    df = spark.createDataFrame([("g", t, s) for t, s in zip("abcd", (0.9, 0.5, 0.5, 0.1), strict=True)] + [("h", "only", 1.0), ("z", "none", 0.0)], "g string, t string, s double")
+    got = {r.t: r for r in tournament.group_places(df, "g", "t", "s").collect()}
+    for p in ("p1", "p2", "p3", "p4"):
+        assert math.isclose(sum(got[t][p] for t in "abcd"), 1.0, rel_tol=1e-9)
+    assert got["a"].p_advance > got["b"].p_advance == got["c"].p_advance > got["d"].p_advance
+    assert got["only"].p1 == 1.0 and got["none"].p1 == 0.0
+
+
+def test_simulated_bracket_against_a_plain_loop(spark):
+    import hashlib
+    from collections import Counter
+
+    from touchline.operators import tournament
+
+    strength = {"a": 0.9, "b": 0.4, "c": 0.6, "d": 0.0}
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(strength.items())], "slot int, team string, strength double")
+    won = Counter()
+    for sim in range(50):
+        alive = list(strength)
+        for r in (1, 2):
+            nxt = []
+            for i in range(len(alive) // 2):
+                a, b = alive[2 * i], alive[2 * i + 1]
+                x, y = (max(strength[t], 1e-6) ** 2.8 for t in (a, b))
+                u = int(hashlib.md5(f"5|{sim}|{r}|{i}".encode()).hexdigest()[:12], 16) / (1 << 48)
+                nxt.append(a if u < x / (x + y) else b)
+            alive = nxt
+            won.update((t, r) for t in alive)
+    got = {(r.team, r["round"]): r.share for r in tournament.simulated_bracket(df, 2, 50, 5).collect()}
+    assert got == {k: n / 50 for k, n in won.items()}

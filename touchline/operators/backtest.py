@@ -105,3 +105,39 @@ def expanding_folds(df: DataFrame, order: Sequence[str], k: int, gap: int) -> Da
     size = df.agg(F.count("*").alias("n")).withColumn("size", F.floor(F.col("n") / (k + 1)))
     folds = size.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
     return folds.select("fold", (F.col("size") * F.col("fold")).alias("train_end"), (F.col("size") * F.col("fold") + gap).alias("test_start"), F.least(F.col("size") * (F.col("fold") + 1) + gap, F.col("n")).alias("test_end"))
+
+
+def outcome_shares(df: DataFrame) -> DataFrame:
+    """Per outcome: the share of forecasts that favour it, the share in which it came, and the difference."""
+    both = df.select(F.explode(F.array(F.struct(predicted().alias("class"), F.lit(1).alias("p"), F.lit(0).alias("y")), F.struct(F.col("outcome").alias("class"), F.lit(0).alias("p"), F.lit(1).alias("y")))).alias("x")).select("x.*")
+    counts = both.groupBy("class").agg(F.sum("p").alias("_p"), F.sum("y").alias("_y"))
+    total = F.sum("_y").over(Window.partitionBy(F.lit(0)))  # at most three rows
+    return counts.select("class", (F.col("_p") / total).alias("predicted"), (F.col("_y") / total).alias("actual"), ((F.col("_p") - F.col("_y")) / total).alias("bias"))
+
+
+def error_bins(df: DataFrame, n_bins: int) -> DataFrame:
+    """Accuracy, confidence and Brier score of scored() rows by equal bins of the top probability, from 1/3 to 1."""
+    return summary(df.withColumn("bin", equal_bin(F.col("confidence"), 1 / 3, 1.0, n_bins)), ["bin"]).withColumn("gap", F.col("confidence") - F.col("accuracy"))
+
+
+def compared(models: dict[str, DataFrame], key: str) -> DataFrame:
+    """summary() by model over the forecasts that every model has; a key counts once per model."""
+    rows = None
+    for name, df in models.items():
+        own = scored(df).select(F.lit(name).alias("model"), key, "brier", "rps", "log_loss", "correct", "confidence")
+        rows = own if rows is None else rows.unionByName(own)
+    shared = rows.groupBy(key).agg(F.count_distinct("model").alias("_n")).where(F.col("_n") == len(models)).select(key)
+    return summary(rows.dropDuplicates(["model", key]).join(shared, key, "left_semi"), ["model"])
+
+
+def anomalies(df: DataFrame, entropy: float, over: float, under: float) -> DataFrame:
+    """scored() rows with the reasons that make them stand out: no preference, sure and wrong, unsure and right."""
+    flags = [F.when(F.col("entropy") >= entropy, F.lit("high_entropy")), F.when((F.col("confidence") >= over) & (F.col("correct") == 0), F.lit("overconfident")), F.when((F.col("confidence") <= under) & (F.col("correct") == 1), F.lit("underconfident"))]
+    return df.withColumn("reasons", F.concat_ws("|", *flags)).where("reasons <> ''")
+
+
+def trajectory(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequence[str], n: int) -> DataFrame:
+    """Running means of values in order, and means over the last n rows."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    up, last = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1 - n, 0)
+    return df.withColumns({f"cum_{v}": F.avg(v).over(up) for v in values} | {f"last_{n}_{v}": F.avg(v).over(last) for v in values})

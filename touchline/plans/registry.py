@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions import scalar
 from touchline.operators import actions as act
 from touchline.operators import backtest as bt
-from touchline.operators import identity, joins, league, quality, stats, windows
+from touchline.operators import identity, joins, league, quality, stats, tournament, windows
 
 from .stand_ins import ACTIONS, CELL, FORECASTS, MATCHES, RATINGS, SCORED, TEAMS, actions, forecasts, matches, ratings, table, teams
 
@@ -564,3 +564,88 @@ def html_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
     return j.groupBy("lang").agg(F.avg((F.col("quality") == 1).cast("int")).alias("good"), F.avg((F.col("toxic") == 1).cast("int")).alias("toxic"), F.count("*").alias("n"))
+
+
+# Tournaments: leagues as groups, months as editions
+
+
+GROUP_TABLES = TEAMS + """, t AS (SELECT league, (year(match_date) * 12 + month(match_date))::BIGINT AS edition, team, opponent, points, goals_for, goals_for - goals_against AS d FROM teams),
+tab AS (SELECT *, count(*) OVER (PARTITION BY league, edition, pts, gd, gf) AS n FROM (SELECT league, edition, team, count(*) AS played, sum(points)::BIGINT AS pts, sum(d)::BIGINT AS gd, sum(goals_for)::BIGINT AS gf FROM t GROUP BY ALL)),
+mini AS (SELECT t.league, t.edition, t.team, sum(t.points) AS hp, sum(t.d) AS hd, sum(t.goals_for) AS hf, count(DISTINCT t.opponent) AS met FROM t JOIN tab a ON a.league = t.league AND a.edition = t.edition AND a.team = t.team JOIN tab b ON b.league = t.league AND b.edition = t.edition AND b.team = t.opponent
+ WHERE a.n > 1 AND a.pts = b.pts AND a.gd = b.gd AND a.gf = b.gf GROUP BY ALL),
+j AS (SELECT tab.*, hp, hd, hf, n > 1 AND min(coalesce(met, 0)) OVER (PARTITION BY league, edition, pts, gd, gf) = n - 1 AS head_to_head FROM tab LEFT JOIN mini USING (league, edition, team)),
+group_tables AS (SELECT league, edition, team, played, pts, gd, gf, head_to_head, row_number() OVER (PARTITION BY league, edition ORDER BY pts DESC, gd DESC, gf DESC, CASE WHEN head_to_head THEN hp ELSE 0 END DESC, CASE WHEN head_to_head THEN hd ELSE 0 END DESC, CASE WHEN head_to_head THEN hf ELSE 0 END DESC, team) AS place FROM j),
+thirds AS (SELECT *, row_number() OVER (PARTITION BY edition ORDER BY pts DESC, gd DESC, gf DESC, league, team) AS rank FROM group_tables WHERE place = 3)"""
+
+
+def monthly_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = teams(spark, sf_dir).withColumn("edition", (F.year("match_date") * 12 + F.month("match_date")).cast("long"))
+    return tournament.group_tables(t, ["league", "edition"])
+
+
+@query(f"WITH {GROUP_TABLES} SELECT * FROM group_tables")
+def group_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monthly_tables(spark, sf_dir)
+
+
+@query(f"WITH {GROUP_TABLES} SELECT edition, league, team, pts, gd, gf, rank FROM thirds WHERE rank <= 2")
+def best_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tournament.best_of_place(monthly_tables(spark, sf_dir), "league", ["edition"], 3, 2).select("edition", "league", "team", "pts", "gd", "gf", "rank")
+
+
+@query(f"WITH {GROUP_TABLES} SELECT edition, league, team, CASE place WHEN 1 THEN 'winner' ELSE 'runner-up' END AS through FROM group_tables WHERE place <= 2 UNION ALL SELECT edition, league, team, 'third' FROM thirds WHERE rank <= 2")
+def advancing_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tournament.advancing(monthly_tables(spark, sf_dir), "league", ["edition"], 2)
+
+
+def national_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations in the groups of their regions; strength from how many customers each has."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    counts = c.groupBy(F.col("c_nationkey").alias("nation")).agg((F.count("*") / 10.0 + 1).alias("strength"))
+    return counts.join(n.select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region")), "nation")
+
+
+@query("""WITH s AS (SELECT n_regionkey AS region, n_nationkey AS nation, pow(n / 10.0::DOUBLE + 1, 2.5) AS s FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) JOIN nation ON c_nationkey = n_nationkey), t AS (SELECT *, sum(s) OVER (PARTITION BY region) AS t FROM s),
+b AS (SELECT i.region, i.nation, sum(j.s / i.t * i.s / (i.t - j.s)) AS p2 FROM t i JOIN t j ON i.region = j.region AND i.nation <> j.nation GROUP BY ALL),
+c AS (SELECT i.region, i.nation, sum(j.s / i.t * k.s / (i.t - j.s) * i.s / (i.t - j.s - k.s)) AS p3 FROM t i JOIN t j ON i.region = j.region AND i.nation <> j.nation JOIN t k ON k.region = i.region AND k.nation NOT IN (i.nation, j.nation) GROUP BY ALL)
+SELECT region, nation, s / t AS p1, coalesce(p2, 0) AS p2, coalesce(p3, 0) AS p3, greatest(1 - s / t - coalesce(p2, 0) - coalesce(p3, 0), 0) AS p4, least(s / t + coalesce(p2, 0) + coalesce(p3, 0) * 8 / 12.0::DOUBLE, 1) AS p_advance FROM t LEFT JOIN b USING (region, nation) LEFT JOIN c USING (region, nation)""")
+def group_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tournament.group_places(national_strengths(spark, sf_dir), "region", "nation", "strength")
+
+
+@query()
+def knockout_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sixteen strongest nations in a bracket, as the feature needs a power of two."""
+    s = national_strengths(spark, sf_dir).orderBy(F.desc("strength"), "nation").limit(16)
+    from pyspark.sql import Window
+
+    slot = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("nation")) - 1  # sixteen rows
+    return tournament.simulated_bracket(s.select(slot.alias("slot"), F.col("nation").alias("team"), "strength"), 4, 2000, 11)
+
+
+@query(f"WITH {SCORED}, x AS (SELECT outcome, CASE WHEN p_home = confidence THEN 'home' WHEN p_draw = confidence THEN 'draw' ELSE 'away' END AS favoured FROM scored), c AS (SELECT unnest(['home', 'draw', 'away']) AS class) SELECT class, count(*) FILTER (favoured = class) / count(*)::DOUBLE AS predicted, count(*) FILTER (outcome = class) / count(*)::DOUBLE AS actual, (count(*) FILTER (favoured = class) - count(*) FILTER (outcome = class)) / count(*)::DOUBLE AS bias FROM x, c GROUP BY class")
+def outcome_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bt.outcome_shares(forecasts(spark, sf_dir))
+
+
+@query(f"WITH {SCORED} SELECT least(greatest(floor((confidence - 1.0::DOUBLE / 3) / ((1.0::DOUBLE - 1.0::DOUBLE / 3) / 7)), 0), 6)::INT AS bin, count(*) AS n, avg(brier) AS brier, avg(rps) AS rps, avg(log_loss) AS log_loss, avg(correct) AS accuracy, avg(confidence) AS confidence, avg(confidence) - avg(correct) AS gap FROM scored GROUP BY 1")
+def error_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bt.error_bins(bt.scored(forecasts(spark, sf_dir)), 7)
+
+
+@query(f"WITH {SCORED} SELECT m.model, count(*) AS n, avg(CASE m.model WHEN 'own' THEN brier ELSE 2 / 3.0::DOUBLE END) AS brier, avg(CASE m.model WHEN 'own' THEN rps WHEN 'even' THEN CASE outcome WHEN 'draw' THEN 1 / 9.0::DOUBLE ELSE 5 / 18.0::DOUBLE END END) AS rps, avg(CASE m.model WHEN 'own' THEN log_loss ELSE ln(3.0::DOUBLE) END) AS log_loss, avg(CASE m.model WHEN 'own' THEN correct ELSE (outcome = 'home')::INT END) AS accuracy, avg(CASE m.model WHEN 'own' THEN confidence ELSE 1 / 3.0::DOUBLE END) AS confidence FROM scored, (SELECT unnest(['own', 'even']) AS model) m WHERE match_id % 3 > 0 GROUP BY m.model")
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = forecasts(spark, sf_dir)
+    even = f.where("match_id % 3 > 0").withColumns({f"p_{o}": F.lit(1 / 3) for o in bt.OUTCOMES})
+    return bt.compared({"own": f, "even": even}, "match_id")
+
+
+@query(f"WITH {SCORED}, a AS (SELECT match_id, concat_ws('|', CASE WHEN entropy >= 0.95 THEN 'high_entropy' END, CASE WHEN confidence >= 0.6 AND correct = 0 THEN 'overconfident' END, CASE WHEN confidence <= 0.45 AND correct = 1 THEN 'underconfident' END) AS reasons FROM scored) SELECT * FROM a WHERE reasons <> ''")
+def forecast_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bt.anomalies(bt.scored(forecasts(spark, sf_dir)), 0.95, 0.6, 0.45).select("match_id", "reasons")
+
+
+@query(f"WITH {SCORED}, w AS (SELECT match_id, avg(correct) OVER (PARTITION BY league ORDER BY match_date, match_id ROWS UNBOUNDED PRECEDING) AS cum_correct, avg(brier) OVER (PARTITION BY league ORDER BY match_date, match_id ROWS UNBOUNDED PRECEDING) AS cum_brier, avg(correct) OVER (PARTITION BY league ORDER BY match_date, match_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS last_10_correct, avg(brier) OVER (PARTITION BY league ORDER BY match_date, match_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS last_10_brier FROM scored) SELECT * FROM w")
+def cumulative_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = bt.trajectory(bt.scored(forecasts(spark, sf_dir)), ["league"], ["match_date", "match_id"], ["correct", "brier"], 10)
+    return t.select("match_id", "cum_correct", "cum_brier", "last_10_correct", "last_10_brier")

@@ -212,6 +212,35 @@ def test_line_dedup(spark):
     assert line_dedup(empty(spark)).count() == 0
 
 
+def plain_passages(rows):
+    """Lines that go: those in any run of two or more that begins at an earlier place; runs are sought at every place."""
+    texts = [t.split("\n") for _, t in sorted(rows)]
+    out = []
+    for d, own in enumerate(texts):
+        gone = set()
+        for k in range(len(own)):
+            for e, other in enumerate(texts[: d + 1]):
+                for j in range(len(other) if e < d else k):
+                    n = 0
+                    while k + n < len(own) and j + n < len(other) and own[k + n] == other[j + n]:
+                        n += 1
+                    if n >= 2:
+                        gone |= set(range(k, k + n))
+        out.append("\n".join(x for k, x in enumerate(own) if k not in gone))
+    return out
+
+
+def test_line_dedup_finds_every_repeated_passage(spark):
+    """Passages of 1 to 8 lines inside otherwise different documents, parts of passages, and a text that repeats itself."""
+    rng = random.Random(12)
+    new = lambda n: [f"line {rng.random()}" for _ in range(n)]
+    pool = [new(n) for n in (1, 2, 2, 3, 3, 4, 5, 8)]
+    rows = [(k, "\n".join(new(rng.randint(1, 4)) + rng.choice(pool) + new(rng.randint(0, 3)) + rng.choice(pool)[rng.randint(0, 1) :] + new(1))) for k in range(40)]
+    rows += [(40, "\n".join(["la"] * 5)), (41, "\n".join(pool[7] + ["x"] + pool[7][2:6]))]
+    got = [r.text for r in line_dedup(table(spark, rows)).orderBy("doc_id").collect()]
+    assert got == plain_passages(rows)
+
+
 # Contamination
 
 

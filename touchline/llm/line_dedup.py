@@ -1,9 +1,10 @@
-"""Line de-duplication by content-defined chunks of lines.
+"""Line de-duplication by the passages of two lines or more that stand elsewhere first.
 
-A rolling hash over the hashes of WINDOW successive lines sets the boundaries, so a run of lines that several texts
-share is cut the same way wherever it stands. Chunks of two lines or more are counted by hash; only those that occur
-again are read as text, where grouping by hash and content compares their bytes. Each such chunk stays at its first
-occurrence, by doc_id and then place, and goes from all others.
+Every window of WINDOW successive lines is hashed, and the hashes are counted; only windows that occur again are read
+as text, where grouping by hash and content compares their bytes. A window's first occurrence, by doc_id and then
+place, is its owner; the lines of all others go. Successive and overlapping windows make up the whole repeated passage,
+wherever it begins and ends, so all its lines go and no line beside it. The first occurrence of a line in such a
+passage always stays; where a text repeats itself line for line, one line of the run does.
 """
 
 from __future__ import annotations
@@ -17,62 +18,54 @@ from pyspark.sql import functions as F
 
 from .common import BASE, collect_bitmap, filled, hits, mixed, slices, span_hashes, texts, written
 
-#: Lines in the rolling window; one boundary in so many places; fewest and most lines of a chunk.
-WINDOW, SPACING, LEAST, MOST = 2, 3, 2, 64
+#: Lines in the rolling window, which is also the shortest passage.
+WINDOW = 2
 
 
-def line_chunks(docs: list[bytes]) -> Iterator[tuple[int, int, int, int, bytes | memoryview]]:
-    """(document, first line, lines, hash, content) of the chunks of two lines or more."""
+def line_windows(docs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(bytes, document, first line, hash, start, end) of every window of WINDOW successive lines."""
     data = np.frombuffer(b"\n".join([*docs, b""]), dtype=np.uint8)
     ends = np.flatnonzero(data == 10)
     starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
     n = np.array([d.count(b"\n") + 1 for d in docs], dtype=np.int64)
     h = span_hashes(data, starts, ends)
-    rolled = h.copy()
-    for _ in range(WINDOW - 1):
-        rolled[1:] = rolled[:-1] * np.uint64(BASE) + h[1:]
-    cut = mixed(rolled) % np.uint64(SPACING) == 0
-    at = 0
-    for d, lines in enumerate(n.tolist()):
-        if lines >= LEAST:
-            places = np.flatnonzero(cut[at : at + lines]) + 1
-            first = 0
-            for place in [*places[places >= WINDOW].tolist(), lines]:
-                while place - first > MOST:
-                    yield from _chunk(data, starts, ends, h, d, at, first, first + MOST)
-                    first += MOST
-                if place - first >= LEAST:
-                    yield from _chunk(data, starts, ends, h, d, at, first, place)
-                    first = place
-        at += lines
-
-
-def _chunk(data, starts, ends, h, d, at, first, end):
-    powers = np.cumprod(np.full(end - first, BASE, dtype=np.uint64), dtype=np.uint64)
-    whole = int(mixed((h[at + first : at + end] * powers).sum(dtype=np.uint64, keepdims=True))[0])
-    yield d, first, end - first, whole - (1 << 64) if whole >> 63 else whole, data[starts[at + first] : ends[at + end - 1]]
+    of = np.repeat(np.arange(len(docs)), n)
+    first = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    at = np.flatnonzero(of[: len(of) - WINDOW + 1] == of[WINDOW - 1 :])
+    rolled = np.zeros(len(at), dtype=np.uint64)
+    for k in range(WINDOW):
+        rolled = rolled * np.uint64(BASE) + h[at + k]
+    return data, of[at], first[at], mixed(rolled).view(np.int64), starts[at], ends[at + WINDOW - 1]
+
+
+def line_chunks(docs: list[bytes]) -> Iterator[tuple[int, int, int, int, bytes | memoryview]]:
+    """(document, first line, lines, hash, content) of the windows."""
+    data, of, first, h, starts, ends = line_windows(docs)
+    for d, f, x, a, b in zip(of.tolist(), first.tolist(), h.tolist(), starts.tolist(), ends.tolist(), strict=True):
+        yield d, f, WINDOW, x, data[a:b]
 
 
 def chunk_rows(rows: DataFrame, bits=None) -> DataFrame:
-    """(hash) of every chunk of (id, key, text), or with a broadcast bitmap (id, key, first, lines, hash, content) of those it marks."""
+    """(hash) of every window of (id, key, text), or with a broadcast bitmap (id, key, first, lines, hash, content) of those it marks."""
     if bits is None:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for _, docs in slices(texts(batch.column(2))):
-                    yield pa.RecordBatch.from_arrays([pa.array([x[3] for x in line_chunks(docs)], type=pa.int64())], names=["hash"])
+                    yield pa.RecordBatch.from_arrays([pa.array(line_windows(docs)[3])], names=["hash"])
 
         return rows.mapInArrow(run, "hash long")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, docs in slices(texts(batch.column(2))):
-                found = list(line_chunks(docs))
-                keep = hits(bits.value, np.array([x[3] for x in found], dtype=np.int64))
-                found = [x for x, k in zip(found, keep, strict=True) if k]
-                of = pa.array([at + x[0] for x in found], type=pa.int64())
+                data, doc, first, h, starts, ends = line_windows(docs)
+                keep = np.flatnonzero(hits(bits.value, h))
+                of = pa.array(at + doc[keep])
+                content = [data[a:b].tobytes() for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)]
+                lines = pa.array(np.full(len(keep), WINDOW, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(of), batch.column(1).take(of), *(pa.array([x[k] for x in found], type=t) for k, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.int64()))), pa.array([x[4].tobytes() for x in found], type=pa.binary())],
+                    [batch.column(0).take(of), batch.column(1).take(of), pa.array(first[keep].astype(np.int32)), lines, pa.array(h[keep]), pa.array(content, type=pa.binary())],
                     names=["id", "key", "first", "lines", "hash", "content"],
                 )
 
@@ -80,7 +73,7 @@ def chunk_rows(rows: DataFrame, bits=None) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with repeated chunks of lines taken out of the text, and two more columns: n_lines before and n_lines_removed.
+    """docs with repeated passages of lines taken out of the text, and two more columns: n_lines before and n_lines_removed.
 
     Lines end at line feeds only. Rows that repeat an id and its text are one document and stay alike; a null id
     comes before all others. Null text stays null, with n_lines 0; an empty text is one empty line. A text of which
@@ -92,7 +85,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     again = chunk_rows(rows).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     bits = spark.sparkContext.broadcast(collect_bitmap(again, "hash"))
     found = written(chunk_rows(rows, bits), "line-chunks")
-    # grouped by the hash, joined by a value made of it: both sides are dealt out for the join, and Spark can split a chunk that is everywhere
+    # grouped by the hash, joined by a value made of it: both sides are dealt out for the join, and Spark can split a window that is everywhere
     place = F.struct("id", "key", "first")
     owners = found.groupBy("hash", "content").agg(F.min(place).alias("owner"), F.count("*").alias("n")).where("n > 1").select((F.col("hash") + 0).alias("_hash"), F.col("content").alias("_content"), "owner")
     gone = found.join(owners, (F.col("hash") == F.col("_hash")) & (F.col("content") == F.col("_content"))).where(~place.eqNullSafe(F.col("owner")))
@@ -101,7 +94,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_doc"), key.alias("_text_key"), F.col(text_col).alias("_text"))
     joined = own.join(gone, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
     lines = F.split("_text", "\n")
-    dropped = F.flatten(F.transform("_gone", lambda g: F.sequence(g["first"], g["first"] + g["lines"] - 1)))
+    dropped = F.array_distinct(F.flatten(F.transform("_gone", lambda g: F.sequence(g["first"], g["first"] + g["lines"] - 1))))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
     text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
     out = joined.withColumn("_lines", lines).select("_row", text.alias("_text"), F.coalesce(F.when(F.col("_text").isNotNull(), F.size("_lines")), F.lit(0)).alias("_n"), F.coalesce(F.when(F.col("_gone").isNotNull(), F.size(dropped)), F.lit(0)).alias("_dropped"))

@@ -20,6 +20,8 @@ from touchline.llm.simhash import one_of_each
 from touchline.llm.toxicity import THRESHOLD, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Words of a shingle, and the Jaccard similarity from which two documents are near copies.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +40,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, that of the smallest id."""
-    return one_of_each(docs)
+    """One document of each near-duplicate component, that of the smallest id: 5-word shingles at a similarity of 0.8 or more."""
+    return one_of_each(docs, shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,30 @@ def test_one_of_each(spark):
     assert Counter((r.doc_id, r.text or "") for r in out.collect()) == Counter(want) and out.columns == df.columns
 
 
+def test_near_copies_go_by_jaccard(spark):
+    """The stage against brute force: copies of 0 to 60 changed words, chains, short and blank texts."""
+    rng = random.Random(11)
+    rows = [r for r in EDGE if r[0] is not None] + near()
+    for g in range(12):
+        own = [f"v{rng.randint(0, 900)}" for _ in range(rng.choice([8, 40, 200]))]
+        for k in range(8):
+            rows.append((5000 + 10 * g + k, " ".join(own)))
+            for _ in range(rng.randint(0, max(1, len(own) // 30))):
+                own[rng.randrange(len(own))] = f"x{rng.randint(0, 900)}"
+    grams = {r: {tuple(w[i : i + 5]) for w in [(r[1] or "").encode().lower().split()] for i in range(max(1, len(w) - 4))} for r in rows}
+    names = {r: k for k, r in enumerate(dict.fromkeys(rows))}
+    pairs = [(names[a], names[b]) for a in names for b in names if names[a] < names[b] and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8]
+    root = plain_components(pairs, range(len(names)))
+    least = {}
+    for r, k in names.items():
+        least[root[k]] = min(r[0], least.get(root[k], r[0]))
+    want = Counter({(i, t or "") for (i, t), k in names.items() if i == least[root[k]]})
+    df = clashing(spark, rows)
+    out = corpus_pipeline.drop_near_copies(spark, df, SF)
+    assert Counter((r.doc_id, r.text or "") for r in out.collect()) == want and out.columns == df.columns
+    assert sum(i < 1100 for i, _ in want if i >= 1000) == 6  # one of each group of near()
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     """A folder of documents, labels and benchmark, with planted cases and odd rows."""

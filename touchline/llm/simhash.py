@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, texts, written
+from .common import bitmap, filled, marked, mixed, shingle_spans, slices, span_hashes, texts, written
 from .components import components
 
 #: Fingerprints at this many differing bits or fewer are linked.
@@ -38,6 +38,9 @@ CUTS = 64
 #: The bits of the five runs, from the lowest: three differing bits leave two runs untouched.
 RUNS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 MASKS = [sum(((1 << n) - 1) << at for at, n in pair) for pair in combinations(RUNS, 2)]
+#: Minima of a band and bands of a sketch: texts of similarity 0.8 share no band once in 300,000 pairs.
+ROWS, BANDS = 4, 24
+FACTORS = mixed(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def fingerprint(text: bytes) -> int:
@@ -217,13 +220,105 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_sets(docs: list[bytes], shingle: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; a text without words has none."""
+    data, starts, ends, of = shingle_spans(docs, shingle)
+    hashes = span_hashes(data, starts, ends)
+    order = np.lexsort((hashes, of))
+    hashes, of = hashes[order], of[order]
+    new = np.ones(len(of), dtype=bool)
+    new[1:] = (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1])
+    return np.split(hashes[new], np.cumsum(np.bincount(of[new], minlength=len(docs)))[:-1])
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """BANDS hashes, each of ROWS minima over the shingle hashes of a text."""
+    if not len(own):
+        return np.zeros(0, dtype=np.uint64)
+    least = np.full(len(FACTORS), ~np.uint64(0))
+    for at in range(0, len(own), 1024):
+        np.minimum(least, (own[at : at + 1024, None] * FACTORS).min(axis=0), out=least)
+    band = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        band = mixed(band + least[k::ROWS])
+    return band
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, text_key, fp, bands): fp a hash of the lower-cased words, so that equal shingles collapse."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in slices(texts(batch.column(2))):
+                fps = np.array([xxhash.xxh64_intdigest(b" ".join(x.lower().split()), SEED) for x in part], dtype=np.uint64).view(np.int64)
+                bands = pa.array([sketch(x).view(np.int64) for x in shingle_sets(part, shingle)], type=pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array(fps), bands], names=["doc_id", "text_key", "fp", "bands"])
+
+    text = filled(F.col(text_col))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, fp long, bands array<long>")
+
+
+def _sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(fp, own) of (fp, text): the distinct shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in slices(texts(batch.column(1))):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([x.view(np.int64) for x in shingle_sets(part, shingle)], type=pa.list_(pa.int64()))], names=["fp", "own"])
+
+    return rows.mapInArrow(run, "fp long, own array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity, computed exactly."""
+    side = lambda k: sets.select((F.col("fp") + 0).alias(f"_{k}"), F.col("own").alias(f"_own_{k}"))
+    both = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
+    shared = F.size(F.array_intersect("_own_a", "_own_b"))
+    return both.withColumn("_shared", shared).where(F.col("_shared") / (F.size("_own_a") + F.size("_own_b") - F.col("_shared")) >= similarity).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id and text_key like near_duplicates(), with links between texts of a Jaccard similarity of their shingles.
+
+    Texts that share a band of minima are candidates, and every candidate is verified on the whole shingle sets. The
+    members of a band are first compared with its least; then all pairs of a band that are not yet in one component.
+    Texts of equal words are one; those without words likewise.
+    """
+    own = written(sketches(docs, id_col, text_col, shingle), "sketches")
+    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.min("bands").alias("bands"))
+    distinct = written(distinct, "sketches-distinct")
+    rows = distinct.select("fp", F.explode("bands").alias("band"))
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("fp").alias("center")).where("n > 1").select((F.col("band") + 0).alias("_band"), "center")
+    members = written(rows.join(sizes, F.col("band") == F.col("_band")).select("band", "fp", "center"), "bands")
+    wanted = distinct.join(members.select("fp").distinct(), "fp", "left_semi").select(F.col("fp"), F.col("text_key").alias("_key"))
+    text = docs.select(F.xxhash64(filled(F.col(text_col))).alias("key"), filled(F.col(text_col)).alias("text"))
+    text = marked(text, F.col("key"), bitmap(wanted, "_key"), "_maybe").where("_maybe").groupBy("key").agg(F.min("text").alias("text"))
+    sets = written(_sets(text.join(wanted, F.col("key") == F.col("_key")).select("fp", "text"), shingle), "shingle-sets")
+    tried = members.where("fp <> center").select(F.col("center").alias("a"), F.col("fp").alias("b")).distinct()
+    links = written(_similar(tried, sets, similarity), "links-star")
+    roots = components(links)
+    placed = written(members.join(roots, F.col("fp") == F.col("node"), "left").select("band", "fp", F.coalesce("root", "fp").alias("root")), "bands-placed")
+    mixed_bands = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select((F.col("band") + 0).alias("_band"))
+    left = placed.join(mixed_bands, F.col("band") == F.col("_band")).select("band", "fp", "root")
+    other = left.select((F.col("band") + 0).alias("_band"), F.col("fp").alias("_fp"), F.col("root").alias("_root"))
+    pairs = left.join(other, (F.col("band") == F.col("_band")) & (F.col("root") < F.col("_root"))).select(F.least("fp", "_fp").alias("a"), F.greatest("fp", "_fp").alias("b")).distinct()
+    roots = components(links.union(_similar(pairs.join(tried, ["a", "b"], "left_anti"), sets, similarity)))
+    of = written(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "sketch-roots")
+    least = of.groupBy("root").agg(F.min("least").alias("component_id")).select((F.col("root") + 0).alias("_root"), "component_id")
+    named = of.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
+    return own.select("doc_id", "text_key", "fp").join(named, F.col("fp") == F.col("_fp")).select("doc_id", "component_id", "text_key")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """docs with one document of each near-duplicate component, that of the smallest doc_id; all columns stay as they are.
 
+    With a similarity, components are those of similar_documents() at it; without one, those of near_duplicates().
+
     Of rows that share id and text one stays. Rows of one id with different texts are judged each by its text. Rows
     without an id stay only where their component has no id at all, one of each text. An empty table gives no rows.
     """
-    stay = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = near_duplicates(docs, id_col, text_col) if similarity is None else similar_documents(docs, id_col, text_col, shingle, similarity)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = written(stay.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.count("*").alias("n")), "staying")
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(filled(F.col(text_col))).alias("_text"))
     of = lambda side: rows.join(side.drop("n"), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_key")), "left_semi")

@@ -86,6 +86,17 @@ def test_pseudonyms_stay_in_their_format(spark):
         assert other[i] != r["text"]
 
 
+def test_cards_and_accounts_beside_other_groups(spark):
+    card, iban = "4111 1111 1111 1111", "ES9121000418450200051332"
+    rows = [f"{card} 12/27", "4111111111111111 123", "7 4111111111111111", f"123456 {card}", f"{card} 5500-0055-5555-5559", f"{card} 415-555-2671", f"{card} 2024-02-29", f"{iban} BIC", f"{iban} BANK NR"]
+    out = [r for r in pii.pseudonymise(table(spark, list(enumerate(rows))), "k").orderBy("doc_id").collect()]
+    for old, r in zip(rows, out, strict=True):
+        assert card not in r.text and card.replace(" ", "") not in r.text and iban not in r.text, (old, r.text)
+        assert shape(r.text) == shape(old), (old, r.text)
+    assert [r.n_card for r in out] == [1, 1, 1, 1, 2, 1, 1, 0, 0] and [r.n_iban for r in out] == [0] * 7 + [1, 1]
+    assert out[0].text.endswith(" 12/27") and out[3].text.startswith("123456 ") and out[5].n_phone == 1 and out[6].n_date == 1 and out[7].text.endswith(" BIC")
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(27 * 31).select(pii.feistel("k", "t", F.floor(F.col("id") / 31), F.col("id") % 31, 27, 31).alias("p")).collect()
     assert {(r.p.l, r.p.r) for r in pairs} == set(itertools.product(range(27), range(31)))

@@ -28,7 +28,9 @@ IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 SSN = r"\d{3}-\d{2}-\d{4}"
 PHONE = r"(?:\+?1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:\+?1[ .-]?)?\d{3}[ .-]\d{3}[ .-]\d{4}"
-CARD = r"\d(?:[ -]?\d){12,18}"
+#: A whole run of digit groups, up to where another kind of value begins; which of its groups are a card is judged after.
+OTHER = rf"(?:{ISO_DATE}|\d{{1,2}}[./]\d{{1,2}}[./]\d{{4}}|{IPV4}|{SSN}|{PHONE}){_E}"
+CARD = rf"(?=\d(?:[ -]?\d){{12}})\d++(?![A-Za-z_])(?:[ -](?!{OTHER})\d++(?![A-Za-z_]))*+"
 FINDER = rf"{_B}(?:{EMAIL}|{ISO_DATE}(?!-)|{DMY_DATE}|(?<!\d\.){IPV4}(?!\.\d)|{IBAN}|{SSN}(?!-)){_E}|(?<![A-Za-z0-9_+])(?:{PHONE}){_E}|{_B}{CARD}{_E}"
 
 #: 400 years have 146,097 days, 27 times 5,411.
@@ -101,6 +103,46 @@ def card(key: str, m: Column) -> Column:
     return let(digits_of(m), lambda d: F.when(F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0), poured(m, "[0-9]", new(d))))
 
 
+def cards(key: str, m: Column) -> Column:
+    """struct(new, n): the run with its cards replaced, and how many; new is null without any.
+
+    The run as a whole first; else its stretches of groups with 13 to 19 digits, the longest first, then from the left,
+    none overlapping another.
+    """
+    signs = F.regexp_extract_all(m, F.lit("[ -]"), F.lit(0))
+
+    def parts(g: Column) -> Column:
+        n = F.size(g)
+        text = lambda i, k: F.aggregate(F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))), F.get(g, i), lambda a, j: F.concat(a, F.coalesce(F.get(signs, i + j - 1), F.lit("")), F.coalesce(F.get(g, i + j), F.lit(""))))
+        one = lambda i, k: F.struct(i.alias("i"), k.alias("k"), F.when(k == 1, F.get(g, i)).otherwise(text(i, k)).alias("m"))
+        spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(19), n - i)), lambda k: one(i, k))))
+        sized = F.filter(spans, lambda x: F.length(digits_of(x["m"])).between(13, 19))
+        good = F.filter(sized, lambda x: luhn_sum(digits_of(x["m"])) % 10 == 0)
+        order = F.transform(good, lambda x: F.struct((-F.length(digits_of(x["m"]))).alias("d"), x["i"].alias("i"), x["k"].alias("k"), x["m"].alias("m")))
+        none = F.filter(order, lambda x: F.lit(False))
+        taken = F.aggregate(F.array_sort(order), none, lambda a, x: F.when(F.exists(a, lambda y: (x["i"] < y["i"] + y["k"]) & (y["i"] < x["i"] + x["k"])), a).otherwise(F.concat(a, F.array(x))))
+
+        def rebuilt(t: Column) -> Column:
+            def group(i: Column) -> Column:
+                before = F.when(i > 0, F.get(signs, i - 1)).otherwise("")
+                inside = F.filter(t, lambda x: (x["i"] <= i) & (i < x["i"] + x["k"]))
+                return F.when(F.size(inside) == 0, F.concat(before, F.get(g, i))).when(F.get(inside, F.lit(0))["i"] == i, F.concat(before, card(key, F.get(inside, F.lit(0))["m"]))).otherwise("")
+
+            return F.struct(F.when(F.size(t) > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), group), "")).alias("new"), F.size(t).alias("n"))
+
+        return let(taken, rebuilt)
+
+    return let(F.split(m, "[ -]"), parts)
+
+
+def ibans(key: str, m: Column) -> Column:
+    """The longest run of groups from the left that is a valid account number replaced, the rest as it is."""
+    groups = F.split(m, " ")
+    cut = lambda k: F.array_join(F.slice(groups, F.lit(1), k), " ")
+    tried = F.transform(F.reverse(F.sequence(F.lit(1), F.size(groups))), lambda k: let(cut(k), lambda c: F.concat(iban(key, c), F.substring(m, F.length(c) + 1, F.length(m)))))
+    return F.get(F.filter(tried, lambda x: x.isNotNull()), F.lit(0))
+
+
 def remainder97(iban: Column) -> Column:
     """The remainder of an account number without spaces, its first four characters moved to the end."""
     moved = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
@@ -191,16 +233,17 @@ def email(key: str, m: Column) -> Column:
 
 
 def replacement(key: str, m: Column) -> Column:
-    """struct(kind, new) of a candidate; kind is null and new the candidate itself where no format validates it."""
+    """struct(kind, new, n) of a candidate, n the values replaced in it; kind is null and new the candidate itself where no format validates it."""
     full = lambda p: m.rlike(rf"^(?:{p})$")
     kind = F.when(F.instr(m, "@") > 0, "email").when(full(ISO_DATE) | full(r"\d{1,2}[./]\d{1,2}[./]\d{4}"), "date").when(full(IPV4), "ip").when(m.rlike("^[A-Z]"), "iban").when(full(SSN), "ssn").when(full(PHONE), "phone").otherwise("card")
-    makers = {"email": email, "date": date, "ip": ip, "iban": iban, "ssn": ssn, "phone": phone, "card": card}
+    makers = {"email": email, "date": date, "ip": ip, "iban": ibans, "ssn": ssn, "phone": phone}
 
     def chosen(k: Column) -> Column:
         new = F.when(F.lit(False), F.lit(""))
         for name, f in makers.items():
             new = new.when(k == name, f(key, m))
-        return let(new, lambda n: F.struct(F.when(n.isNotNull(), k).alias("kind"), F.coalesce(n, m).alias("new")))
+        both = F.when(k == "card", cards(key, m)).otherwise(F.struct(new.alias("new"), F.lit(1).alias("n")))
+        return let(both, lambda b: F.struct(F.when(b["new"].isNotNull(), k).alias("kind"), F.coalesce(b["new"], m).alias("new"), b["n"].alias("n")))
 
     return let(kind, chosen)
 
@@ -217,6 +260,6 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     gaps = F.split(F.col("_text"), FINDER)
     new = F.array_join(F.zip_with(gaps, F.concat(F.col("_found.new"), F.array(F.lit(""))), lambda g, m: F.concat(g, m)), "")
     text = F.when(F.size("_found") > 0, new).otherwise(F.col("_text"))
-    count = lambda k: F.coalesce(F.size(F.filter("_found", lambda x: x["kind"] == k)), F.lit(0)).cast("long")
+    count = lambda k: F.coalesce(F.aggregate(F.filter("_found", lambda x: x["kind"] == k), F.lit(0), lambda a, x: a + x["n"]), F.lit(0)).cast("long")
     same = [text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
     return rows.select(*same, *[F.when(F.col("_found").isNull(), F.lit(0)).otherwise(count(k)).cast("long").alias(f"n_{k}") for k in KINDS])

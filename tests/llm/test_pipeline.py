@@ -14,7 +14,7 @@ from test_models import labelled_texts
 
 import corpus_pipeline
 from touchline.llm.queries import ORACLES, QUERIES
-from touchline.llm.simhash import one_of_each
+from touchline.llm.simhash import one_of_each, similar_documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,6 +38,19 @@ def test_one_of_each(spark):
     assert Counter((r.doc_id, r.text or "") for r in out.collect()) == Counter(want) and out.columns == df.columns
 
 
+def plain_near_copies(rows):
+    """The rows (id, text) that stay when one of each group of near copies does: 5-word shingles, Jaccard similarity of 0.8 or more, all pairs compared."""
+    grams = {r: {tuple(w[i : i + 5]) for w in [(r[1] or "").encode().lower().split()] for i in range(max(1, len(w) - 4))} for r in rows}
+    names = {r: k for k, r in enumerate(dict.fromkeys(rows))}
+    pairs = [(names[a], names[b]) for a in names for b in names if names[a] < names[b] and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8]
+    root = plain_components(pairs, range(len(names)))
+    least = {}
+    for (i, _), k in names.items():
+        if i is not None:
+            least[root[k]] = min(i, least.get(root[k], i))
+    return Counter({(i, t or "") for (i, t), k in names.items() if i == least.get(root[k])})
+
+
 def test_near_copies_go_by_jaccard(spark):
     """The stage against brute force: copies of 0 to 60 changed words, chains, short and blank texts."""
     rng = random.Random(11)
@@ -48,20 +61,28 @@ def test_near_copies_go_by_jaccard(spark):
             rows.append((5000 + 10 * g + k, " ".join(own)))
             for _ in range(rng.randint(0, max(1, len(own) // 30))):
                 own[rng.randrange(len(own))] = f"x{rng.randint(0, 900)}"
-    grams = {r: {tuple(w[i : i + 5]) for w in [(r[1] or "").encode().lower().split()] for i in range(max(1, len(w) - 4))} for r in rows}
-    names = {r: k for k, r in enumerate(dict.fromkeys(rows))}
-    pairs = [(names[a], names[b]) for a in names for b in names if names[a] < names[b] and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8]
-    root = plain_components(pairs, range(len(names)))
-    least = {}
-    for r, k in names.items():
-        least[root[k]] = min(r[0], least.get(root[k], r[0]))
-    want = Counter({(i, t or "") for (i, t), k in names.items() if i == least[root[k]]})
+    want = plain_near_copies(rows)
     df = clashing(spark, rows)
     out = corpus_pipeline.drop_near_copies(spark, df, SF)
     assert Counter((r.doc_id, r.text or "") for r in out.collect()) == want and out.columns == df.columns
     assert sum(i < 1100 for i, _ in want if i >= 1000) == 6  # one of each group of near()
 
 
+def test_large_groups_of_near_copies(spark):
+    """Nodes and groups of several blocks: copies of copies, of which many are alike only over others."""
+    rng = random.Random(5)
+    own, rows = [f"v{rng.randint(0, 900)}" for _ in range(60)], []
+    for k in range(150):
+        rows.append((k, " ".join(own)))
+        own[rng.randrange(len(own))] = f"x{k}"
+    grams = [{tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for _, t in rows]
+    pairs = [(a, b) for a in range(150) for b in range(a + 1, 150) if len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8]
+    root = plain_components(pairs, range(150))
+    for block in (1024, 40):
+        found = {r.doc_id: r.component_id for r in similar_documents(table(spark, rows), block=block).collect()}
+        assert found == {i: root[i] for i in range(150)}
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     """A folder of documents, labels and benchmark, with planted cases and odd rows."""
@@ -93,7 +114,7 @@ def test_stages_and_result(spark, corpus):
     bad = lambda t: t is not None and any(w in t.split() for w in ("vermin", "scum", "filth"))
     assert sum(bad(t) for _, t in gone) > 280 and not Counter(kept) - Counter(rows)
     cut = [(i, t) for (i, t, _, _), n in plain_lines(kept).items() for _ in range(n)]
-    near_kept = plain_one_of_each([(i, t or "") for i, t in cut])
+    near_kept = list(plain_near_copies([(i, t or "") for i, t in cut]))
     leaks = {i for i, *_ in plain_contained(near_kept, [(1, item), (2, None)])}
     assert leaks == {3000}
     t = Tokenizer.from_file(str(P.path("byte_bpe_50k.json")))

@@ -13,6 +13,7 @@ bounded size. A task returns a forest of the links it found rather than all pair
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,13 +39,15 @@ CUTS = 64
 #: The bits of the five runs, from the lowest: three differing bits leave two runs untouched.
 RUNS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 MASKS = [sum(((1 << n) - 1) << at for at, n in pair) for pair in combinations(RUNS, 2)]
-#: Minima of a band and bands of a sketch: texts of similarity 0.8 share no band once in 300,000 pairs.
-ROWS, BANDS = 4, 24
-FACTORS = mixed(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
+#: Minima of a sketch, and the chance at which a pair just similar enough may be missed by each bound derived from it.
+MINIMA, MISS = 96, 1e-5
+FACTORS = mixed(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
+#: Shingle hashes that one exact comparison holds, and columns of it that are multiplied at once.
+HELD, COLUMNS = 1 << 20, 4096
 
 
 def fingerprint(text: bytes) -> int:
-    """The 64-bit SimHash of a text: bits set in over half of the shingles' hashes; zero without words."""
+    """The 64-bit SimHash of a text: bits set in over half of the hashes of its shingles, repeats included; zero without words."""
     joined = b" ".join(text.lower().split())
     if not joined:
         return 0
@@ -55,6 +58,11 @@ def fingerprint(text: bytes) -> int:
     ends = [*gaps[SHINGLE - 1 :].tolist(), len(joined)]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), dtype=np.uint64, count=len(ends))
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The word whose bits are set in over half of the 64-bit hashes."""
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 4096):
         part = hashes[at : at + 4096]
@@ -231,79 +239,189 @@ def shingle_sets(docs: list[bytes], shingle: int) -> list[np.ndarray]:
     return np.split(hashes[new], np.cumsum(np.bincount(of[new], minlength=len(docs)))[:-1])
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
-    """BANDS hashes, each of ROWS minima over the shingle hashes of a text."""
-    if not len(own):
-        return np.zeros(0, dtype=np.uint64)
-    least = np.full(len(FACTORS), ~np.uint64(0))
+def bounds(similarity: float) -> tuple[int, int, int]:
+    """(minima to a band, differing SimHash bits, equal minima) that a pair of just this Jaccard similarity meets but for a chance of MISS each."""
+    rows = max((r for r in (1, 2, 3, 4, 6, 8) if (1 - similarity**r) ** (MINIMA // r) <= MISS), default=1)
+    turned = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi  # equal sizes have the widest angle
+    chance = lambda n, p, k: math.comb(n, k) * p**k * (1 - p) ** (n - k)
+    bits = next(k for k in range(65) if sum(chance(64, turned, i) for i in range(k + 1, 65)) <= MISS)
+    equal = next(k for k in range(MINIMA, -1, -1) if sum(chance(MINIMA, similarity, i) for i in range(k)) <= MISS)
+    return rows, bits, equal
+
+
+def minima(own: np.ndarray) -> np.ndarray:
+    """MINIMA minima over the shingle hashes of a text."""
+    least = np.full(MINIMA, ~np.uint64(0))
     for at in range(0, len(own), 1024):
         np.minimum(least, (own[at : at + 1024, None] * FACTORS).min(axis=0), out=least)
-    band = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        band = mixed(band + least[k::ROWS])
-    return band
+    return least
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, text_key, fp, bands): fp a hash of the lower-cased words, so that equal shingles collapse."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, rows: int) -> DataFrame:
+    """(doc_id, text_key, fp, bits, least, bands): fp a hash of the lower-cased words, bits the SimHash of the distinct shingles, least 16 bits of each minimum."""
+    n = MINIMA // rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in slices(texts(batch.column(2))):
                 fps = np.array([xxhash.xxh64_intdigest(b" ".join(x.lower().split()), SEED) for x in part], dtype=np.uint64).view(np.int64)
-                bands = pa.array([sketch(x).view(np.int64) for x in shingle_sets(part, shingle)], type=pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array(fps), bands], names=["doc_id", "text_key", "fp", "bands"])
+                bits, least, bands = [], [], []
+                for own in shingle_sets(part, shingle):
+                    low = minima(own)
+                    band = np.arange(n, dtype=np.uint64)
+                    for k in range(rows):
+                        band = mixed(band + low[k : n * rows : rows])
+                    bits.append(majority(own) if len(own) else 0)
+                    least.append((mixed(low) & np.uint64(0xFFFF)).astype("<u2").tobytes())
+                    bands.append(band.view(np.int64) if len(own) else [])
+                columns = [pa.array(fps), pa.array(np.array(bits, dtype=np.uint64).view(np.int64)), pa.array(least, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), *columns], names=["doc_id", "text_key", "fp", "bits", "least", "bands"])
 
     text = filled(F.col(text_col))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, fp long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, fp long, bits long, least binary, bands array<long>")
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(fp, own) of (fp, text): the distinct shingle hashes of each text."""
+    """(root, fp, own) of (root, fp, text): the distinct shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in slices(texts(batch.column(1))):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([x.view(np.int64) for x in shingle_sets(part, shingle)], type=pa.list_(pa.int64()))], names=["fp", "own"])
+            for at, part in slices(texts(batch.column(2))):
+                own = pa.array([x.view(np.int64) for x in shingle_sets(part, shingle)], type=pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), own], names=["root", "fp", "own"])
+
+    return rows.mapInArrow(run, "root long, fp long, own array<long>")
 
-    return rows.mapInArrow(run, "fp long, own array<long>")
 
+def _met(rows: DataFrame, node: str, blocks: Column, values: list[str]) -> DataFrame:
+    """The rows of (node, fp, ...) dealt out so that any two of a node meet in one group (node, i, j), sorted by it; a node of several blocks has a group for each pair of them."""
+    placed = rows.withColumn("_blocks", blocks.cast("int")).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("_blocks")).cast("int"))
+    pairs = placed.withColumn("o", F.explode(F.sequence(F.when(F.col("_blocks") == 2, 1).otherwise(0), F.col("_blocks") - 1)))
+    # of two blocks one group holds all; of more, the group of a block with itself is the part that its other groups hold already
+    pairs = pairs.where("_blocks <= 2 or i <> o").withColumns({"_i": F.when(F.col("_blocks") == 2, 0).otherwise(F.least("i", "o")), "_j": F.when(F.col("_blocks") == 2, 1).otherwise(F.greatest("i", "o"))})
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(n, node, "_i", "_j").sortWithinPartitions(node, "_i", "_j").select(F.col(node).alias("node"), F.col("_i").alias("i"), F.col("_j").alias("j"), "fp", *values)
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity, computed exactly."""
-    side = lambda k: sets.select((F.col("fp") + 0).alias(f"_{k}"), F.col("own").alias(f"_own_{k}"))
-    both = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
-    shared = F.size(F.array_intersect("_own_a", "_own_b"))
-    return both.withColumn("_shared", shared).where(F.col("_shared") / (F.size("_own_a") + F.size("_own_b") - F.col("_shared")) >= similarity).select("a", "b")
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (node, i, j, ...) of one group after another, as one batch each; a partition's rows come sorted by group."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column(k)) for k in range(3)], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            now = tuple(keys[a])
+            if now != key and held:
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held = []
+            key = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+
+
+def _forests(pairs_of):
+    """A function for mapInArrow: per group a forest (a, b) of the pairs that pairs_of(group) gives as two index arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, size = [], [], 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        for group in _groups(batches):
+            if group.num_rows < 2:
+                continue
+            fps = np.asarray(group.column(3))
+            at, root = forest(len(fps), *pairs_of(group))
+            a.append(fps[at])
+            b.append(fps[root])
+            size += len(at)
+            if size > 10_000 or len(a) > 2000:
+                yield out()
+                a, b, size = [], [], 0
+        if a:
+            yield out()
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    return run
+
+
+def _alike(max_bits: int, equal: int):
+    """Pairs of a group (node, i, j, fp, bits, least): a Gray tree over the SimHashes drops those of more than max_bits bits, equal minima the rest."""
+
+    def pairs_of(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        bits = np.asarray(group.column(4)).view(np.uint64)
+        least = np.frombuffer(b"".join(group.column(5).to_pylist()), dtype="<u2").reshape(-1, MINIMA)
+        order = np.argsort(gray_rank(bits), kind="stable")
+        i, j = close_pairs(bits[order], max_bits)
+        i, j = order[i], order[j]
+        keep = np.zeros(len(i), dtype=bool)
+        for at in range(0, len(i), 1 << 16):
+            keep[at : at + (1 << 16)] = (least[i[at : at + (1 << 16)]] == least[j[at : at + (1 << 16)]]).sum(axis=1) >= equal
+        return i[keep], j[keep]
+
+    return pairs_of
+
+
+def _jaccard(similarity: float):
+    """Pairs of a group (node, i, j, fp, own) whose sets of shingle hashes have at least this Jaccard similarity, exactly."""
+
+    def pairs_of(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        own = group.column(4)
+        sizes = np.asarray(own.value_lengths()).astype(np.int64)
+        values = np.asarray(own.flatten())
+        n = len(sizes)
+        if n == 2:
+            shared = len(np.intersect1d(values[: sizes[0]], values[sizes[0] :], assume_unique=True))
+            hit = shared >= similarity * (sizes.sum() - shared) - 1e-9
+            return np.zeros(int(hit), dtype=np.int64), np.ones(int(hit), dtype=np.int64)
+        _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(n), sizes)
+        keep = times[column] > 1  # hashes of one member alone are shared with none
+        row, column = row[keep], column[keep]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1]))) if len(column) else column
+        shared = np.zeros((n, n), dtype=np.float32)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, [at, at + COLUMNS])
+            part = np.zeros((n, COLUMNS), dtype=np.float32)
+            part[row[a:b], column[a:b] - at] = 1
+            shared += part @ part.T
+        i, j = np.nonzero(np.triu(shared >= similarity * (sizes[:, None] + sizes[None, :] - shared) - 1e-4, 1))
+        return i, j
+
+    return pairs_of
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """doc_id, component_id and text_key like near_duplicates(), with links between texts of a Jaccard similarity of their shingles.
 
-    Texts that share a band of minima are candidates, and every candidate is verified on the whole shingle sets. The
-    members of a band are first compared with its least; then all pairs of a band that are not yet in one component.
-    Texts of equal words are one; those without words likewise.
+    A SimHash of 64 bits can tell such texts only by a bound of some twenty bits, at which no pair of masked runs is
+    sure to agree. So the upper nodes of this index are bands of minima over the shingles; within a node the
+    SimHashes are searched by the same Gray-ordered tree, and the minima are compared. What is left joins texts into
+    groups, and within a group every pair is judged on the whole shingle sets. Nodes and groups of more than a block
+    are met block by block, and tasks return forests, so neither all pairs of a node nor a whole node go anywhere.
+    The bounds come from the similarity, see bounds(). Texts of equal words are one; those without words likewise.
     """
-    own = written(sketches(docs, id_col, text_col, shingle), "sketches")
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.min("bands").alias("bands"))
+    rows, max_bits, equal = bounds(similarity)
+    own = written(sketches(docs, id_col, text_col, shingle, rows), "sketches")
+    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("bits", "least", "bands")])
     distinct = written(distinct, "sketches-distinct")
-    rows = distinct.select("fp", F.explode("bands").alias("band"))
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("fp").alias("center")).where("n > 1").select((F.col("band") + 0).alias("_band"), "center")
-    members = written(rows.join(sizes, F.col("band") == F.col("_band")).select("band", "fp", "center"), "bands")
-    wanted = distinct.join(members.select("fp").distinct(), "fp", "left_semi").select(F.col("fp"), F.col("text_key").alias("_key"))
+    bands = distinct.select("fp", F.explode("bands").alias("band"))
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select((F.col("band") + 0).alias("_band"), "n")
+    members = bands.join(sizes, F.col("band") == F.col("_band")).select("band", "n", (F.col("fp") + 0).alias("_fp"))
+    members = members.join(distinct.select("fp", "bits", "least"), F.col("fp") == F.col("_fp"))
+    links = _met(members, "band", F.ceil(F.col("n") / block), ["bits", "least"]).mapInArrow(_forests(_alike(max_bits, equal)), "a long, b long")
+    groups = components(links)
+    wanted = written(distinct.select("fp", F.col("text_key").alias("_key")).join(groups, F.col("fp") == F.col("node")).select("root", "fp", "_key"), "groups")
     text = docs.select(F.xxhash64(filled(F.col(text_col))).alias("key"), filled(F.col(text_col)).alias("text"))
     text = marked(text, F.col("key"), bitmap(wanted, "_key"), "_maybe").where("_maybe").groupBy("key").agg(F.min("text").alias("text"))
-    sets = written(_sets(text.join(wanted, F.col("key") == F.col("_key")).select("fp", "text"), shingle), "shingle-sets")
-    tried = members.where("fp <> center").select(F.col("center").alias("a"), F.col("fp").alias("b")).distinct()
-    links = written(_similar(tried, sets, similarity), "links-star")
-    roots = components(links)
-    placed = written(members.join(roots, F.col("fp") == F.col("node"), "left").select("band", "fp", F.coalesce("root", "fp").alias("root")), "bands-placed")
-    mixed_bands = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select((F.col("band") + 0).alias("_band"))
-    left = placed.join(mixed_bands, F.col("band") == F.col("_band")).select("band", "fp", "root")
-    other = left.select((F.col("band") + 0).alias("_band"), F.col("fp").alias("_fp"), F.col("root").alias("_root"))
-    pairs = left.join(other, (F.col("band") == F.col("_band")) & (F.col("root") < F.col("_root"))).select(F.least("fp", "_fp").alias("a"), F.greatest("fp", "_fp").alias("b")).distinct()
-    roots = components(links.union(_similar(pairs.join(tried, ["a", "b"], "left_anti"), sets, similarity)))
-    of = written(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "sketch-roots")
+    sets = written(_sets(text.join(wanted, F.col("key") == F.col("_key")).select("root", "fp", "text"), shingle), "shingle-sets")
+    total = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("own")).alias("held")).select((F.col("root") + 0).alias("_root"), "n", "held")
+    sized = sets.join(total, F.col("root") == F.col("_root")).select("root", "fp", "own", "n", "held")
+    exact = _met(sized, "root", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("held") / HELD)), ["own"]).mapInArrow(_forests(_jaccard(similarity)), "a long, b long")
+    roots = components(exact)
+    of = written(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.col("least_id").alias("least"), F.coalesce("root", "fp").alias("root")), "sketch-roots")
     least = of.groupBy("root").agg(F.min("least").alias("component_id")).select((F.col("root") + 0).alias("_root"), "component_id")
     named = of.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
     return own.select("doc_id", "text_key", "fp").join(named, F.col("fp") == F.col("_fp")).select("doc_id", "component_id", "text_key")

@@ -7,11 +7,12 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 from cases import EDGE, clashing, empty, near, table
+from pyspark.sql import functions as F
 
 from touchline.llm.components import components
-from touchline.llm.decontamination import contained, decontaminate
+from touchline.llm.decontamination import candidates, contained, decontaminate, shingles_of, sketched
 from touchline.llm.exact_dedup import exact_dedup
-from touchline.llm.line_dedup import line_chunks, line_dedup
+from touchline.llm.line_dedup import line_dedup
 from touchline.llm.repeats import LENGTH, remove_repeats
 from touchline.llm.simhash import close_pairs, fingerprint, fingerprint_links, gray_rank, near_duplicates
 
@@ -179,7 +180,8 @@ def plain_lines(rows):
     chunks = []
     for i, t in rows:
         if t and "\n" in t:
-            chunks += [((i is not None, i or 0), hash(t), first, n, bytes(c), i, t) for _, first, n, _, c in line_chunks([t.encode()])]
+            own = t.encode().split(b"\n")
+            chunks += [((i is not None, i or 0), hash(t), k, 2, b"\n".join(own[k : k + 2]), i, t) for k in range(len(own) - 1)]
     where = defaultdict(set)
     for key, h, first, n, c, i, t in chunks:
         where[c].add((key, t, first))
@@ -276,3 +278,21 @@ def test_contained(spark):
     assert left.columns == clashing(spark, docs).columns
     assert decontaminate(table(spark, docs), empty(spark).withColumnRenamed("doc_id", "item_id")).count() == len(docs)
     assert contained(empty(spark), table(spark, items, "item_id")).count() == 0
+
+
+def test_sketches_choose_the_pairs(spark):
+    """Shingles that all items and documents share make no pairs: only documents that hold an item are verified, and none of them is missed."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randint(0, 4000)}" for _ in range(n))
+    common = text(12)
+    items = [(k, f"{common} {text(5 + 2 * k)}") for k in range(1, 30)]
+    docs = [(k, f"{text(20)} {common} {text(20)}") for k in range(100)] + [(200 + k, f"{text(9)} {t} {text(30)}") for k, t in items]
+    own = shingles_of(table(spark, items, "item_id").selectExpr("item_id as id", "0L as key", "text"), 5).drop("key")
+    sized = sketched(own, 0.8)
+    found = shingles_of(table(spark, docs).selectExpr("doc_id as id", "0L as key", "text"), 5)
+    pairs = {(r.id, r.item) for r in candidates(found, sized).collect()}
+    want = {(i, k) for i, k, *_ in plain_contained(docs, items)}
+    assert {(200 + k, k) for k, _ in items} <= want <= pairs
+    plain = found.join(own.selectExpr("id as item", "shingle as s"), F.col("shingle") == F.col("s")).select("id", "item").distinct().count()
+    assert plain == len(docs) * len(items) and len(pairs) <= 2 * len(items)
+    assert {(r.doc_id, r.item_id) for r in contained(table(spark, docs), table(spark, items, "item_id")).collect()} == want

@@ -12,23 +12,36 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Bits of a membership bitmap: 1 MiB whatever the input, so it may be broadcast.
-BITMAP_BITS = 1 << 23
+#: Least and most bits of a membership bitmap, which has 16 or more to a member between: at most 32 MiB, so it may be broadcast.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests on one machine)."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where it is unset: a temporary one if all run on this machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="touchline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's folder of intermediate tables in the shared folder."""
+    return f"{shared_dir(spark)}/touchline-{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> bool:
+    """Deletes all intermediate tables of this application. Results that read them must have been written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a compressed Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
+    """df as a compressed Parquet table in the shared folder, read again: cuts the lineage and survives lost executors. Stays until clean_up()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -40,15 +53,20 @@ def fold(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def bitmap(hashes: DataFrame, column: str) -> DataFrame:
-    """At most 256 rows (bucket, bits) that mark the values of a hash column modulo BITMAP_BITS."""
-    slot = F.pmod(F.col(column), F.lit(BITMAP_BITS)) + 1
+def bits_for(members: int) -> int:
+    """Bits of a bitmap for this many hashes. Beyond MOST_BITS / 16 hashes more others pass by chance, which costs time and changes no result."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * members).bit_length()))
+
+
+def bitmap(hashes: DataFrame, column: str, size: int = LEAST_BITS * 8) -> DataFrame:
+    """At most size / 32768 rows (bucket, bits) that mark the values of a hash column modulo size, a power of two."""
+    slot = F.pmod(F.col(column), F.lit(size)) + 1
     return hashes.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
 
 
-def marked(df: DataFrame, value: Column, bits: DataFrame, flag: str) -> DataFrame:
-    """df with a boolean: whether value's slot is set in a bitmap(). True for every member; for others, true by chance."""
-    slot = F.pmod(value, F.lit(BITMAP_BITS)) + 1
+def marked(df: DataFrame, value: Column, bits: DataFrame, flag: str, size: int = LEAST_BITS * 8) -> DataFrame:
+    """df with a boolean: whether value's slot is set in a bitmap() of this size. True for every member; for others, true by chance."""
+    slot = F.pmod(value, F.lit(size)) + 1
     at = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     bit = byte.bitwiseAND(F.pow(F.lit(2.0), at % 8).cast("int")) > 0
@@ -57,16 +75,18 @@ def marked(df: DataFrame, value: Column, bits: DataFrame, flag: str) -> DataFram
 
 
 def collect_bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """bitmap() as one array of BITMAP_BITS / 8 bytes on the driver, for a broadcast to Python tasks."""
-    out = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for bucket, bits in bitmap(hashes, column).collect():
+    """bitmap() as one array on the driver, for a broadcast to Python tasks, of a size that follows the number of hashes. The hashes are written first."""
+    hashes = written(hashes.select(column), "hashes")
+    size = bits_for(hashes.count())
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for bucket, bits in bitmap(hashes, column, size).toLocalIterator():
         out[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(bits)] = np.frombuffer(bits, dtype=np.uint8)
     return out
 
 
 def hits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the 64-bit hashes have their slot set in collect_bitmap()'s array."""
-    slot = (hashes.astype(np.int64, copy=False) & (BITMAP_BITS - 1)).astype(np.int64)
+    slot = hashes.astype(np.int64, copy=False) & (8 * len(bits) - 1)
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 != 0
 
 

@@ -1,10 +1,12 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-An item of n distinct shingles is contained in a document when at least ceil(t * n) of them occur there. So of any
-n - ceil(t * n) + 1 of its shingles one must occur. Those with the least hashes are the item's MinHash sketch; how
-many they are depends on its size, which is what partitions the search: every size has the sketch that can miss
-nothing. Documents are read once; a bitmap of fixed size lets pass those of their shingles that any item has. Sketch
-hits give candidate pairs, and their shingles are then compared as text and counted.
+An item of n distinct shingles is contained in a document when at least need = ceil(t * n) of them occur there. So of
+any n - need + h of its shingles at least h must occur. The item's MinHash sketch is its n - need + h shingles of least
+hash, where shingles that several items share come last; h and so the sketch's length depend on the size n alone,
+which is what partitions the search: each size has the sketch and the number of sketch hits that can miss nothing, and
+longer items ask for more hits. Documents are read once; a bitmap lets pass those of their shingles that any item has.
+Only pairs with enough sketch hits are verified, by comparing the item's shingles as text with those of the document,
+so a shingle that many items and documents share makes no pairs by itself.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import collect_bitmap, filled, hits, shingle_spans, slices, span_hashes, texts, written
 
 WORDS, SIMILARITY = 5, 0.8
+#: One sketch hit in so many needed shingles is asked for.
+HIT = 4
 
 
 def shingles_of(rows: DataFrame, words: int, bits=None) -> DataFrame:
@@ -51,20 +55,36 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     own = items.where(F.col(item_id_col).isNotNull()).select(F.col(item_id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("key"), filled(F.col(item_text_col)).alias("text"))
     own = written(shingles_of(own, words).groupBy("id", "hash", "shingle").agg(F.lit(1).alias("_1")).select("id", "hash", "shingle"), "items")
-    by_item = Window.partitionBy("id")
-    sized = own.withColumns({"n": F.count("*").over(by_item), "rank": F.row_number().over(by_item.orderBy("hash", "shingle"))})
-    sized = written(sized.withColumn("need", F.ceil(F.col("n") * F.lit(similarity) - 1e-9).cast("long")), "sketches")
-    sketch = sized.where("rank <= n - need + 1")
-    bits = spark.sparkContext.broadcast(collect_bitmap(sized, "hash"))
+    sized = sketched(own, similarity)
+    bits = spark.sparkContext.broadcast(collect_bitmap(own, "hash"))
 
     text = filled(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     found = written(shingles_of(rows, words, bits), "item-shingles")
-    pair = lambda side: found.join(side.select(F.col("id").alias("item_id"), F.col("hash").alias("_hash"), F.col("shingle").alias("_shingle"), "n", "need"), (F.col("hash") == F.col("_hash")) & (F.col("shingle") == F.col("_shingle")))
-    candidates = pair(sketch).groupBy("id", "key", "item_id").agg(F.lit(1).alias("_1")).select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("item_id").alias("_item"))
-    counted = pair(sized).groupBy("id", "key", "item_id", "n", "need").agg(F.count_distinct("shingle").alias("n_shared")).where("n_shared >= need")
-    kept = counted.join(candidates, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("item_id") == F.col("_item")), "left_semi")
-    return kept.select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), "item_id", F.col("n").alias("n_shingles"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))
+    pairs = candidates(found, sized)
+    # every shingle of a candidate's item is looked up among those of its document; both sides are dealt out on values made of the keys
+    asked = pairs.join(sized.select((F.col("item") + 0).alias("_item"), "n", "need", "hash", "shingle"), F.col("item") == F.col("_item")).drop("_item")
+    there = found.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("hash").alias("_hash"), F.col("shingle").alias("_shingle"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("hash") == F.col("_hash")) & (F.col("shingle") == F.col("_shingle"))
+    counted = asked.join(there, same, "left_semi").groupBy("id", "key", "item", "n", "need").agg(F.count("*").alias("n_shared")).where("n_shared >= need")
+    return counted.select(F.col("id").alias("doc_id"), F.col("key").alias("text_key"), F.col("item").alias("item_id"), F.col("n").alias("n_shingles"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))
+
+
+def sketched(own: DataFrame, similarity: float) -> DataFrame:
+    """(item, hash, shingle, n, need, hits, sketch) of (id, hash, shingle): an item's size, shingles needed, sketch hits needed, and whether the shingle is in the sketch."""
+    shared = own.groupBy("hash", "shingle").agg(F.count("*").alias("items"))
+    own = own.join(shared.select(F.col("hash").alias("_hash"), F.col("shingle").alias("_shingle"), "items"), (F.col("hash") == F.col("_hash")) & (F.col("shingle") == F.col("_shingle")))
+    by_item = Window.partitionBy("id")  # a group is one item, the shingles of a short text
+    sized = own.withColumns({"n": F.count("*").over(by_item), "rank": F.row_number().over(by_item.orderBy("items", "hash", "shingle"))})
+    sized = sized.withColumn("need", F.ceil(F.col("n") * F.lit(similarity) - 1e-9).cast("long")).withColumn("hits", F.ceil(F.col("need") / HIT))
+    return written(sized.select(F.col("id").alias("item"), "hash", "shingle", "n", "need", "hits", (F.col("rank") <= F.col("n") - F.col("need") + F.col("hits")).alias("sketch")), "sketches")
+
+
+def candidates(found: DataFrame, sized: DataFrame) -> DataFrame:
+    """(id, key, item): the pairs with enough sketch hits, of the documents' shingles (id, key, hash, shingle)."""
+    sketch = sized.where("sketch").select("item", F.col("hash").alias("_hash"), F.col("shingle").alias("_shingle"), "hits")
+    hit = found.join(sketch, (F.col("hash") == F.col("_hash")) & (F.col("shingle") == F.col("_shingle")))
+    return written(hit.groupBy("id", "key", "item", "hits").agg(F.count("*").alias("n_hits")).where("n_hits >= hits").select("id", "key", "item"), "candidates")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, filled, marked, mixed, shingle_spans, slices, span_hashes, texts, written
+from .common import bitmap, bits_for, filled, marked, mixed, shingle_spans, slices, span_hashes, texts, written
 from .components import components
 
 #: Fingerprints at this many differing bits or fewer are linked.
@@ -415,7 +415,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     groups = components(links)
     wanted = written(distinct.select("fp", F.col("text_key").alias("_key")).join(groups, F.col("fp") == F.col("node")).select("root", "fp", "_key"), "groups")
     text = docs.select(F.xxhash64(filled(F.col(text_col))).alias("key"), filled(F.col(text_col)).alias("text"))
-    text = marked(text, F.col("key"), bitmap(wanted, "_key"), "_maybe").where("_maybe").groupBy("key").agg(F.min("text").alias("text"))
+    size = bits_for(wanted.count())
+    text = marked(text, F.col("key"), bitmap(wanted, "_key", size), "_maybe", size).where("_maybe").groupBy("key").agg(F.min("text").alias("text"))
     sets = written(_sets(text.join(wanted, F.col("key") == F.col("_key")).select("root", "fp", "text"), shingle), "shingle-sets")
     total = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("own")).alias("held")).select((F.col("root") + 0).alias("_root"), "n", "held")
     sized = sets.join(total, F.col("root") == F.col("_root")).select("root", "fp", "own", "n", "held")

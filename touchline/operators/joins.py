@@ -70,9 +70,10 @@ def not_superseded(ledger: DataFrame, record_id: str, supersedes: str) -> DataFr
 
 
 def unplayed(teams: DataFrame, played: DataFrame) -> DataFrame:
-    """Ordered pairs of a league's teams that haven't met: (league, home, away). Pairs are made within a league only, and its teams are few."""
-    a, b = teams.select("league", F.col("team").alias("home")), teams.select(F.col("league"), F.col("team").alias("away"))
-    return a.join(b, "league").where("home <> away").join(played.select("league", "home", "away").distinct(), ["league", "home", "away"], "left_anti")
+    """Ordered pairs of a league's teams in a season that haven't met: (league, season, home, away). Pairs are made within a league and season only, whose teams are few."""
+    key = ["league", "season"]
+    a, b = teams.select(*key, F.col("team").alias("home")), teams.select(*key, F.col("team").alias("away"))
+    return a.join(b, key).where("home <> away").join(played.select(*key, "home", "away").distinct(), [*key, "home", "away"], "left_anti")
 
 
 def fallback(df: DataFrame, levels: Sequence[Sequence[str]], value: str, name: str) -> DataFrame:
@@ -93,3 +94,10 @@ def resolved(df: DataFrame, mapping: DataFrame, source: str, source_id: str, can
     m = mapping.select(F.col(source).alias("_s"), F.col(source_id).alias("_i"), F.col(canonical).alias("_c"))
     out = df.join(m, (F.col(source) == F.col("_s")) & (F.col(source_id) == F.col("_i")), "left")
     return out.withColumn(canonical, F.coalesce("_c", F.concat_ws(":", F.lit("unresolved"), source, source_id))).drop("_s", "_i", "_c")
+
+
+def in_interval(df: DataFrame, intervals: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
+    """df with every interval that holds its value, from low to below high: both sides meet in cells of a width, so the join is an equi-join; an interval goes to each cell that it touches."""
+    cells = intervals.where(F.col(low) < F.col(high)).withColumn("_cell", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    rows = df.withColumn("_at", F.floor(F.col(value) / width))
+    return rows.join(cells, (F.col("_at") == F.col("_cell")) & (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_at", "_cell")

@@ -41,8 +41,9 @@ def head_to_head(teams: DataFrame) -> DataFrame:
 
 
 def bradley_terry(home: Column, away: Column, advantage: float = 0.3) -> dict[str, Column]:
-    """Win, draw and loss probabilities and expected points from strengths."""
-    d = F.log1p(home) - F.log1p(away) + advantage
+    """Win, draw and loss probabilities and expected points from strengths, of which none counts less than 1e-6, null neither."""
+    strength = lambda x: F.log1p(F.greatest(x.cast("double"), F.lit(1e-6)))
+    d = strength(home) - strength(away) + advantage
     draw = DRAW * F.exp(-F.abs(d))
     win = (1 - draw) / (1 + F.exp(-d))
     return {"p_home": win, "p_draw": draw, "p_away": 1 - draw - win, "expected_points": 3 * win + draw}
@@ -98,17 +99,18 @@ def uniform(*parts: Column | int) -> Column:
 def simulated_seasons(table: DataFrame, fixtures: DataFrame, sims: int, seed: int) -> DataFrame:
     """Mean points and rank, and shares of first places, over simulated remainders of seasons.
 
-    table: league, team, pts. fixtures: match_id, league, home, away, p_home, p_draw. Each simulation draws every fixture once.
+    table: league, season, team, pts. fixtures: match_id, league, season, home, away, p_home, p_draw. Each simulation draws every fixture once.
     """
+    key = ["league", "season"]
     runs = table.sparkSession.range(sims).select(F.col("id").alias("sim"))
     drawn = fixtures.crossJoin(F.broadcast(runs)).withColumn("_u", uniform(F.lit(seed), F.col("sim"), F.col("match_id")))
     home = F.when(F.col("_u") < F.col("p_home"), 3).when(F.col("_u") < F.col("p_home") + F.col("p_draw"), 1).otherwise(0)
     away = F.when(home == 3, 0).when(home == 1, 1).otherwise(3)
-    won = drawn.select("sim", F.explode(F.array(F.struct(F.col("home").alias("team"), home.alias("pts")), F.struct(F.col("away").alias("team"), away.alias("pts")))).alias("x")).groupBy("sim", "x.team").agg(F.sum("x.pts").alias("won"))
-    final = table.crossJoin(F.broadcast(runs)).join(won, ["sim", "team"], "left").withColumn("total", F.col("pts") + F.coalesce("won", F.lit(0)))
-    w = Window.partitionBy("sim", "league").orderBy(F.desc("total"), "team")
+    won = drawn.select("sim", *key, F.explode(F.array(F.struct(F.col("home").alias("team"), home.alias("pts")), F.struct(F.col("away").alias("team"), away.alias("pts")))).alias("x")).groupBy("sim", *key, "x.team").agg(F.sum("x.pts").alias("won"))
+    final = table.crossJoin(F.broadcast(runs)).join(won, ["sim", *key, "team"], "left").withColumn("total", F.col("pts") + F.coalesce("won", F.lit(0)))
+    w = Window.partitionBy("sim", *key).orderBy(F.desc("total"), "team")
     ranked = final.withColumn("place", F.row_number().over(w))
-    return ranked.groupBy("league", "team").agg(F.avg("total").alias("mean_points"), F.avg("place").alias("mean_place"), F.avg((F.col("place") == 1).cast("double")).alias("p_first"))
+    return ranked.groupBy(*key, "team").agg(F.avg("total").alias("mean_points"), F.avg("place").alias("mean_place"), F.avg((F.col("place") == 1).cast("double")).alias("p_first"))
 
 
 def knockout_probability(home: Column, away: Column, k: float = KNOCKOUT_POWER) -> Column:

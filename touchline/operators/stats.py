@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import joined, value_ranks
+
 
 def percentiles(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Three percentiles within groups, over rows with a value: strict (share below), mid (below and half of ties) and average rank."""
-    own = df.where(F.col(value).isNotNull())
-    n, rank = F.count("*").over(Window.partitionBy(*by)), F.rank().over(Window.partitionBy(*by).orderBy(value))
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return own.withColumns({"pct_strict": 100.0 * (rank - 1) / n, "pct_mid": 100.0 * (rank - 1 + ties / 2) / n, "pct_average": 100.0 * (rank + (ties - 1) / 2) / n, "rank_desc": F.rank().over(Window.partitionBy(*by).orderBy(F.desc(value))).cast("long")})
+    out = joined(df, value_ranks(df, by, value), [*by, value])
+    below, ties, n = F.col("below"), F.col("ties"), F.col("n")
+    return out.withColumns({"pct_strict": 100.0 * below / n, "pct_mid": 100.0 * (below + ties / 2) / n, "pct_average": 100.0 * (below + (ties + 1) / 2) / n, "rank_desc": n - below - ties + 1}).drop("below", "ties", "n")
 
 
 def wavg(value: str | Column, weight: str | Column) -> Column:
@@ -24,8 +25,9 @@ def wavg(value: str | Column, weight: str | Column) -> Column:
 
 def zscored(df: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Population z-scores within groups; a spread of zero counts as one."""
-    w = Window.partitionBy(*by)
-    return df.withColumns({f"z_{v}": (F.col(v) - F.avg(v).over(w)) / F.coalesce(F.nullif(F.stddev_pop(v).over(w), F.lit(0.0)), F.lit(1.0)) for v in values})
+    spread = df.groupBy(*by).agg(*[F.avg(v).alias(f"_m_{v}") for v in values], *[F.stddev_pop(v).alias(f"_s_{v}") for v in values])
+    out = joined(df, spread, by)
+    return out.withColumns({f"z_{v}": (F.col(v) - F.col(f"_m_{v}")) / F.coalesce(F.nullif(F.col(f"_s_{v}"), F.lit(0.0)), F.lit(1.0)) for v in values}).drop(*[f"_{x}_{v}" for x in "ms" for v in values])
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -85,16 +87,25 @@ def ks_distance(df: DataFrame, value: str, second: Column, by: Sequence[str] = (
 
 
 def spearman(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
-    """Correlation of average ranks within groups."""
-    w = lambda c: Window.partitionBy(*by).orderBy(c)
-    rank = lambda c: F.rank().over(w(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
-    return df.withColumns({"_ra": rank(a), "_rb": rank(b)}).groupBy(*by).agg(F.corr("_ra", "_rb").alias("spearman"), F.count("*").alias("n"))
+    """Correlation of average ranks within groups, over rows that have both values."""
+    out = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    for v, name in ((a, "_ra"), (b, "_rb")):
+        ranks = value_ranks(out, by, v)
+        out = joined(out, ranks.select(*by, v, (F.col("below") + (F.col("ties") + 1) / 2).alias(name)), [*by, v])
+    return out.groupBy(*by).agg(F.corr("_ra", "_rb").alias("spearman"), F.count("*").alias("n"))
+
+
+def ranked(df: DataFrame, by: Sequence[str], value: str, name: str = "rank") -> DataFrame:
+    """Rows with a value and their rank within the group, the highest first, equal values sharing the least rank."""
+    ranks = value_ranks(df, by, value)
+    return joined(df, ranks.select(*by, value, (F.col("n") - F.col("below") - F.col("ties") + 1).alias(name)), [*by, value])
 
 
 def shrunk(score: Column, weight: Column, prior: Column, reference: float) -> Column:
-    """The score drawn to a prior by reference / (reference + weight)."""
-    w = reference / (reference + weight)
-    return w * prior + (1 - w) * score
+    """The score drawn to a prior by reference / (reference + weight); a weight that is null, no number, infinite or not positive means the prior alone."""
+    good = weight.isNotNull() & ~F.isnan(weight.cast("double")) & (weight > 0) & (weight.cast("double") < float("inf"))
+    w = F.when(good, reference / (reference + weight)).otherwise(1.0)
+    return F.when(w == 1.0, prior).otherwise(w * prior + (1 - w) * score)
 
 
 def median_imputed(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import changes, in_blocks, running
+
 
 def ordered(by: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*by).orderBy(*order)
@@ -71,13 +73,15 @@ def islands(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str,
 
 
 def possession_labels(df: DataFrame, by: Sequence[str], order: Sequence[str], side: str, goal: Column) -> DataFrame:
-    """scores: whether the row's run of one side holds a goal; concedes: whether the next run, of another side, does."""
+    """scores: whether the row's run of one side holds a goal; concedes: whether the next run, of another side, does.
+
+    The runs come from one shuffle and sort by entity, and the windows after it reuse both; null keys and sides stay.
+    """
     runs = islands(df, by, order, side, "possession").withColumn("_goal", goal.cast("int"))
-    per = runs.groupBy(*by, "possession").agg(F.max("_goal").alias("scores"), F.min(side).alias("_side"))
     w = Window.partitionBy(*by).orderBy("possession")
-    after = F.coalesce(F.when(F.lead("_side").over(w) != F.col("_side"), F.lead("scores").over(w)), F.lit(0))
-    per = per.withColumn("concedes", after).drop("_side")
-    return runs.drop("_goal").join(per, [*by, "possession"])
+    own, after = w.rangeBetween(0, 0), w.rangeBetween(1, 1)
+    conceded = F.when(F.first(side).over(after) != F.col(side), F.max("_goal").over(after))
+    return runs.withColumns({"scores": F.max("_goal").over(own), "concedes": F.coalesce(conceded, F.lit(0))}).drop("_goal")
 
 
 def halves_trend(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, threshold: float) -> DataFrame:
@@ -92,5 +96,11 @@ def halves_trend(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
 
 def streaks(df: DataFrame, by: Sequence[str], order: Sequence[str], hit: str) -> DataFrame:
     """One row per run of equal outcomes: its number, outcome and length. Rows without an outcome neither count nor break a run."""
-    runs = islands(df.where(F.col(hit).isNotNull()), by, order, hit, "run")
+    runs = running(changes(df.where(F.col(hit).isNotNull()), by, order, hit), by, order, {"run": F.col("_change").cast("long")})
     return runs.groupBy(*by, "run").agg(F.min(hit).alias(hit), F.count("*").alias("length"))
+
+
+def rolling_prior_of_few(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequence[str], n: int) -> DataFrame:
+    """rolling_prior() for few or very large entities, which are cut into blocks of rows."""
+    rows = in_blocks(running(df, by, order, {}), n)
+    return rolling_prior(rows, [*by, "_block"], ["_i"], values, n).where("_own").drop("_block", "_own", "_range", "_i")

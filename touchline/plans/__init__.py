@@ -1 +1 @@
-"""Part of touchline: plans."""
+"""Registered queries."""

@@ -10,7 +10,7 @@ from touchline.operators import actions as act
 from touchline.operators import backtest as bt
 from touchline.operators import identity, joins, league, quality, stats, tournament, windows
 
-from .stand_ins import ACTIONS, CELL, FORECASTS, MATCHES, RATINGS, SCORED, TEAMS, actions, forecasts, matches, ratings, table, teams
+from .stand_ins import ACTIONS, CELL, FORECASTS, MATCHES, RATINGS, SCORED, SEASONS, TEAMS, actions, forecasts, matches, ratings, seasons, table, teams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -119,7 +119,7 @@ def fixtures_from_team_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TEAMS} SELECT match_id, side, sum(points) OVER w AS prior_points, avg(goal_diff) OVER w AS prior_gd FROM teams WINDOW w AS (PARTITION BY league, team ORDER BY match_date, match_id, side ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
 def team_rolling_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = windows.rolling_prior(teams(spark, sf_dir), ["league", "team"], ["match_date", "match_id", "side"], ["points", "goal_diff"], 5)
+    t = windows.rolling_prior_of_few(teams(spark, sf_dir), ["league", "team"], ["match_date", "match_id", "side"], ["points", "goal_diff"], 5)
     return t.select("match_id", "side", F.col("prior_5_points_sum").alias("prior_points"), F.col("prior_5_goal_diff_mean").alias("prior_gd"))
 
 
@@ -139,10 +139,14 @@ def ledger_not_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.not_superseded(e, "event_id", "supersedes").select("event_id")
 
 
-@query(f"WITH {MATCHES}, t AS (SELECT DISTINCT league, home AS team FROM matches) SELECT a.league, a.team AS home, b.team AS away FROM t a JOIN t b ON a.league = b.league AND a.team <> b.team WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.season = 1995 AND m.league = a.league AND m.home = a.team AND m.away = b.team)")
+@query(f"WITH {SEASONS} SELECT * FROM unplayed")
 def remaining_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = matches(spark, sf_dir)
-    return joins.unplayed(m.select("league", F.col("home").alias("team")).distinct(), m.where("season = 1995"))
+    m = seasons(spark, sf_dir)
+    return joins.unplayed(season_teams(m), m.where("played"))
+
+
+def season_teams(m: DataFrame) -> DataFrame:
+    return m.select("league", "season", F.explode(F.array("home", "away")).alias("team")).distinct()
 
 
 @query("""WITH a AS (SELECT p_brand, p_type, quantile_cont(p_retailprice, 0.5) AS m FROM part WHERE p_partkey % 3 > 0 GROUP BY ALL), b AS (SELECT p_brand, quantile_cont(p_retailprice, 0.5) AS m FROM part WHERE p_partkey % 3 > 0 GROUP BY ALL), c AS (SELECT quantile_cont(p_retailprice, 0.5) AS m FROM part WHERE p_partkey % 3 > 0)
@@ -213,11 +217,13 @@ def quantile_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.quantile_bins(table(spark, sf_dir, "lineitem").select("l_quantity"), "l_quantity", 5).groupBy("bin").agg(F.count("*").alias("n"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
 
 
-@query("""WITH v AS (SELECT event_type, value, count(*) FILTER (event_id < 5000) AS a, count(*) FILTER (event_id >= 5000) AS b FROM events GROUP BY ALL),
+@query("""WITH v AS (SELECT event_type, value, count(*) FILTER (event_id < half) AS a, count(*) FILTER (event_id >= half) AS b FROM events, (SELECT max(event_id) / 2.0 AS half FROM events) GROUP BY ALL),
 g AS (SELECT event_type, a, b, abs(sum(a) OVER u / sum(a) OVER t::DOUBLE - sum(b) OVER u / sum(b) OVER t::DOUBLE) AS gap FROM v WINDOW u AS (PARTITION BY event_type ORDER BY value ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY event_type))
 SELECT event_type, max(gap) AS ks, sum(a)::BIGINT AS n_a, sum(b)::BIGINT AS n_b FROM g GROUP BY event_type""")
 def data_drift_ks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.ks_distance(events(spark, sf_dir), "value", F.col("event_id") >= 5000, ["event_type"])
+    e = events(spark, sf_dir)
+    half = e.agg((F.max("event_id") / 2.0).alias("half"))
+    return stats.ks_distance(e.crossJoin(F.broadcast(half)), "value", F.col("event_id") >= F.col("half"), ["event_type"])
 
 
 @query(f"""WITH {RATINGS}, k AS (SELECT position, rank() OVER (PARTITION BY position ORDER BY score) + (count(*) OVER (PARTITION BY position, score) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY position ORDER BY minutes) + (count(*) OVER (PARTITION BY position, minutes) - 1) / 2.0::DOUBLE AS b FROM ratings)
@@ -233,9 +239,7 @@ def shrunk_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     core = F.col("minutes") >= 900
     prior = r.groupBy("position").agg(stats.wavg(F.when(core, F.col("score")), F.col("minutes")).alias("prior"))
     out = r.join(prior, "position").withColumn("shrunk", stats.shrunk(F.col("score"), F.col("minutes"), F.col("prior"), 900.0))
-    from pyspark.sql import Window
-
-    return out.select("player", "shrunk", F.rank().over(Window.partitionBy("position").orderBy(F.desc("shrunk"))).cast("long").alias("rank"))
+    return stats.ranked(out.select("player", "position", "shrunk"), ["position"], "shrunk").select("player", "shrunk", "rank")
 
 
 # Actions
@@ -253,15 +257,21 @@ def xt_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return act.transitions(e, "start", "stop")
 
 
-@query()
+@query(f"""WITH RECURSIVE {ACTIONS}, a AS (SELECT event_id, user_id, event_type, {CELL.format(x="start_x", y="start_y")} AS cell, {CELL.format(x="end_x", y="end_y")} AS "to" FROM actions),
+rates AS (SELECT cell, count(*) FILTER (event_type IN ('click', 'purchase')) / count(*)::DOUBLE AS shot, coalesce(count(*) FILTER (event_type = 'purchase') / nullif(count(*) FILTER (event_type IN ('click', 'purchase')), 0)::DOUBLE, 0) AS goal FROM a GROUP BY cell),
+pairs AS (SELECT cell, "to", count(*) AS n FROM a GROUP BY cell, "to"), moves AS (SELECT cell, "to", n / sum(n) OVER (PARTITION BY cell)::DOUBLE AS share FROM pairs), grid AS (SELECT cell, "to", share FROM moves UNION ALL SELECT cell, cell, 0 FROM rates),
+it AS (SELECT 0 AS step, cell, 0.0::DOUBLE AS val FROM rates UNION ALL
+ SELECT * FROM (SELECT it.step + 1 AS step, r.cell AS cell, least(greatest(max(r.shot * r.goal) + (1 - max(r.shot)) * sum(g.share * it.val), 0), 1)::DOUBLE AS val FROM it JOIN grid g ON g."to" = it.cell JOIN rates r ON r.cell = g.cell WHERE it.step < 25 GROUP BY it.step + 1, r.cell)),
+f AS (SELECT cell, val AS v FROM it WHERE step = 25)
+SELECT event_id, user_id, coalesce(y.v, 0) - coalesce(x.v, 0) AS xt FROM a LEFT JOIN f x ON x.cell = a.cell LEFT JOIN f y ON y.cell = a."to\"""")
 def xt_action_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = actions(spark, sf_dir).withColumns({"cell": act.cell(F.col("start_x"), F.col("start_y")), "to": act.cell(F.col("end_x"), F.col("end_y"))})
     rates = act.shot_rates(a, "cell", F.col("event_type").isin("click", "purchase"), F.col("event_type") == "purchase")
-    values = act.threat(rates, act.transitions(a, "cell", "to"), "cell", "cell", "to")
+    values = act.threat(rates, act.transitions(a, "cell", "to"), "cell", "cell", "to", steps=25, tolerance=0.0)
     return act.valued(a, values, "cell", "to").select("event_id", "user_id", "xt")
 
 
-@query(f"WITH {ACTIONS} SELECT event_id, sqrt((100 - start_x) * (100 - start_x) + (50 - start_y) * (50 - start_y)) AS goal_distance, atan2(abs(50 - start_y), 100 - start_x) AS goal_angle, CASE WHEN end_x >= 83.3 THEN 'box' WHEN end_x >= 66.7 THEN 'final third' WHEN end_x >= 33.3 THEN 'middle third' ELSE 'defensive third' END AS zone, CASE WHEN minute <= 15 THEN '0-15' WHEN minute <= 30 THEN '16-30' WHEN minute <= 45 THEN '31-45+' WHEN minute <= 60 THEN '46-60' WHEN minute <= 75 THEN '61-75' ELSE '76-90+' END AS bucket FROM actions")
+@query(f"WITH {ACTIONS} SELECT event_id, sqrt((100 - start_x) * (100 - start_x) + (50 - start_y) * (50 - start_y)) AS goal_distance, atan2(abs(50 - start_y), 100 - start_x) AS goal_angle, CASE WHEN end_x >= 83.3 THEN 'penalty_area' WHEN end_x >= 66.7 THEN 'final_third' WHEN end_x >= 33.3 THEN 'middle_third' ELSE 'defensive_third' END AS zone, CASE WHEN minute <= 15 THEN '0-15' WHEN minute <= 30 THEN '16-30' WHEN minute <= 45 THEN '31-45+' WHEN minute <= 60 THEN '46-60' WHEN minute <= 75 THEN '61-75' ELSE '76-90+' END AS bucket FROM actions")
 def action_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = actions(spark, sf_dir)
     return a.withColumns(act.goal_geometry(F.col("start_x"), F.col("start_y"))).select("event_id", "goal_distance", "goal_angle", act.zone(F.col("end_x")).alias("zone"), act.time_bucket(F.col("minute")).alias("bucket"))
@@ -307,7 +317,7 @@ def tiebreak_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return league.tied_clusters(league.standings(t), t)
 
 
-@query(f"WITH {MATCHES}, x AS (SELECT match_id, ln(1 + home * 10.0) - ln(1 + away * 10.0) + 0.3 AS d FROM matches), y AS (SELECT match_id, 0.28 * exp(-abs(d)) AS p_draw, (1 - 0.28 * exp(-abs(d))) / (1 + exp(-d)) AS p_home FROM x) SELECT match_id, p_home, p_draw, 1 - p_draw - p_home AS p_away, 3 * p_home + p_draw AS expected_points FROM y")
+@query(f"WITH {MATCHES}, x AS (SELECT match_id, ln(1 + greatest(home * 10.0, 1e-6)) - ln(1 + greatest(away * 10.0, 1e-6)) + 0.3 AS d FROM matches), y AS (SELECT match_id, 0.28 * exp(-abs(d)) AS p_draw, (1 - 0.28 * exp(-abs(d))) / (1 + exp(-d)) AS p_home FROM x) SELECT match_id, p_home, p_draw, 1 - p_draw - p_home AS p_away, 3 * p_home + p_draw AS expected_points FROM y")
 def fixture_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(spark, sf_dir).withColumns(league.bradley_terry(F.col("home") * 10.0, F.col("away") * 10.0)).select("match_id", "p_home", "p_draw", "p_away", "expected_points")
 
@@ -341,18 +351,37 @@ def dixon_coles_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return league.outcome_probabilities(league.score_matrix(pairings(spark, sf_dir), rho=-0.1))
 
 
-@query()
+IN_PLAY = GRID.format(tau="").split(",\ng AS")[0] + """, lt AS (SELECT home, away, minute, lh * (1 - minute / 90.0::DOUBLE) AS lh, la * (1 - minute / 90.0::DOUBLE) AS la FROM l, range(0, 91, 5) t(minute)),
+g AS (SELECT home, away, minute, i, j, exp(-lh) * pow(lh, i) / factorial(i::INT) * exp(-la) * pow(la, j) / factorial(j::INT) AS q FROM lt, range(0, 11) x(i), range(0, 11) y(j))
+SELECT home * 100 + away AS match_id, minute::INT AS minute, sum(q) FILTER (i > j) / sum(q) AS p_home, sum(q) FILTER (i = j) / sum(q) AS p_draw, sum(q) FILTER (i < j) / sum(q) AS p_away FROM g GROUP BY home, away, minute"""
+
+
+@query("WITH " + IN_PLAY)
 def in_play_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return league.in_play(pairings(spark, sf_dir))
 
 
-@query()
+#: A uniform number from a text, as league.uniform() makes it.
+UNIFORM = "('0x' || substr(md5({x}), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
+BRADLEY_TERRY = "d0 AS (SELECT *, ln(1 + greatest({h}, 1e-6)) - ln(1 + greatest({a}, 1e-6)) + 0.3 AS d FROM {t}), odds AS (SELECT *, 0.28 * exp(-abs(d)) AS p_draw, (1 - 0.28 * exp(-abs(d))) / (1 + exp(-d)) AS p_home FROM d0)"
+
+
+@query(f"""WITH {SEASONS}, {BRADLEY_TERRY.format(h="(home % 10)::DOUBLE", a="(away % 10)::DOUBLE", t="unplayed")},
+pts AS (SELECT league, season, team, sum(p) AS pts FROM (SELECT league, season, home AS team, CASE WHEN home_goals > away_goals THEN 3 WHEN home_goals = away_goals THEN 1 ELSE 0 END AS p FROM seasons WHERE played
+ UNION ALL SELECT league, season, away, CASE WHEN home_goals < away_goals THEN 3 WHEN home_goals = away_goals THEN 1 ELSE 0 END FROM seasons WHERE played) GROUP BY ALL),
+drawn AS (SELECT sim, league, season, home, away, p_home, p_draw, {UNIFORM.format(x="'7|' || sim || '|' || season || '-' || home || '-' || away")} AS u FROM odds, range(0, 10) s(sim)),
+won AS (SELECT sim, league, season, team, sum(p) AS won FROM (SELECT sim, league, season, home AS team, CASE WHEN u < p_home THEN 3 WHEN u < p_home + p_draw THEN 1 ELSE 0 END AS p FROM drawn
+ UNION ALL SELECT sim, league, season, away, CASE WHEN u < p_home THEN 0 WHEN u < p_home + p_draw THEN 1 ELSE 3 END FROM drawn) GROUP BY ALL),
+total AS (SELECT sim, league, season, team, coalesce(pts, 0) + coalesce(won, 0) AS total FROM sides CROSS JOIN range(0, 10) s(sim) LEFT JOIN pts USING (league, season, team) LEFT JOIN won USING (sim, league, season, team)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY sim, league, season ORDER BY total DESC, team) AS place FROM total)
+SELECT league, season, team, avg(total)::DOUBLE AS mean_points, avg(place) AS mean_place, avg((place = 1)::INT) AS p_first FROM placed GROUP BY ALL""")
 def season_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = matches(spark, sf_dir).where("season = 1995")
-    t = joins.team_rows(m)
-    left = joins.unplayed(m.select("league", F.col("home").alias("team")).distinct(), m.where("match_id % 2 = 0"))
-    left = left.withColumn("match_id", F.col("league") * 10000 + F.col("home") * 100 + F.col("away")).withColumns(league.bradley_terry(F.col("home").cast("double"), F.col("away").cast("double")))
-    return league.simulated_seasons(league.standings(t).select("league", "team", "pts"), left, 200, 7)
+    m = seasons(spark, sf_dir)
+    sides = season_teams(m)
+    pts = joins.team_rows(m.where("played")).groupBy("league", "season", "team").agg(F.sum("points").alias("pts"))
+    table_ = sides.join(pts, ["league", "season", "team"], "left").na.fill(0, ["pts"])
+    left = joins.unplayed(sides, m.where("played")).withColumn("match_id", F.concat_ws("-", "season", "home", "away"))
+    return league.simulated_seasons(table_, left.withColumns(league.bradley_terry(F.col("home") % 10, F.col("away") % 10)), 10, 7)
 
 
 # Forecast evaluation
@@ -374,8 +403,9 @@ def reliability_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bt.reliability(forecasts(spark, sf_dir), 10)
 
 
-@query(f"""WITH {SCORED}, b AS (SELECT least(greatest(floor((p_home - 0.0) / (1.0::DOUBLE / 10)), 0), 9) AS bin, count(*) AS n, avg(p_home) AS p, avg(yh) AS y FROM scored GROUP BY 1), t AS (SELECT sum(n) AS total, sum(n * y) / sum(n) AS base FROM b)
-SELECT sum(n / total::DOUBLE * (p - y) * (p - y)) AS reliability, sum(n / total::DOUBLE * (y - base) * (y - base)) AS resolution, max(base * (1 - base)) AS uncertainty FROM b, t""")
+@query(f"""WITH {SCORED}, l AS (SELECT least(greatest(floor((p_home - 0.0) / (1.0::DOUBLE / 10)), 0), 9) AS bin, unnest([{{'c': 'h', 'p': p_home, 'y': yh}}, {{'c': 'd', 'p': p_draw, 'y': yd}}, {{'c': 'a', 'p': p_away, 'y': ya}}], recursive := true) FROM scored),
+b AS (SELECT bin, c, count(*) AS n, avg(p) AS p, avg(y) AS y FROM l GROUP BY ALL), t AS (SELECT c, sum(n) AS total, sum(n * y) / sum(n) AS base FROM b GROUP BY c)
+SELECT sum(n / total::DOUBLE * (p - y) * (p - y)) AS reliability, sum(n / total::DOUBLE * (y - base) * (y - base)) AS resolution, (SELECT sum(base * (1 - base)) FROM t) AS uncertainty FROM b JOIN t USING (c)""")
 def brier_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bt.brier_parts(forecasts(spark, sf_dir))
 
@@ -504,12 +534,12 @@ def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", scalar.name_key(F.col("c_name")).alias("key"))
 
 
-@query("SELECT s_suppkey, c_custkey, CASE WHEN c_custkey IS NULL THEN 'unmatched' ELSE 'exact' END AS method FROM supplier LEFT JOIN customer ON replace(lower(s_name), 'supplier', 'customer') = lower(c_name) AND s_nationkey = c_nationkey")
+@query()
 def entity_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers under customers' names against the customers of their nation; held against brute force in the tests."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.regexp_replace("s_name", "(?i)supplier", "Customer").alias("s_name"), F.col("s_nationkey").alias("nation"))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("nation"))
-    m = identity.matched(s, c, "s_suppkey", "s_name", "c_custkey", "c_name", ["nation"], auto=1.0, review=1.0)
-    return m.select("s_suppkey", "c_custkey", "method")
+    return identity.matched(s, c, "s_suppkey", "s_name", "c_custkey", "c_name", ["nation"])
 
 
 @query("SELECT o_custkey, year(o_orderdate)::BIGINT AS season, count(DISTINCT o_orderpriority) AS teams, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS names FROM orders GROUP BY 1, 2 HAVING count(DISTINCT o_orderpriority) > 1")
@@ -613,7 +643,18 @@ def group_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tournament.group_places(national_strengths(spark, sf_dir), "region", "nation", "strength")
 
 
-@query()
+def _knockout_sql(rounds: int, sims: int, seed: int) -> str:
+    """Each round's winners from the round before, as common table expressions."""
+    s = f"a0 AS (SELECT sim, slot, team, s FROM bracket, range(0, {sims}) x(sim))"
+    for r in range(1, rounds + 1):
+        chance = "CASE WHEN a.s <= 0 AND b.s <= 0 THEN 0.5 ELSE pow(greatest(a.s, 1e-6), 2.8) / (pow(greatest(a.s, 1e-6), 2.8) + pow(greatest(b.s, 1e-6), 2.8)) END"
+        wins = UNIFORM.format(x=f"'{seed}|' || a.sim || '|{r}|' || (a.slot // 2)") + " < " + chance
+        s += f", a{r} AS (SELECT a.sim, a.slot // 2 AS slot, CASE WHEN {wins} THEN a.team ELSE b.team END AS team, CASE WHEN {wins} THEN a.s ELSE b.s END AS s FROM a{r - 1} a JOIN a{r - 1} b ON a.sim = b.sim AND b.slot = a.slot + 1 WHERE a.slot % 2 = 0)"
+    return s + " " + " UNION ALL ".join(f"SELECT team, {r} AS round, count(*) / {sims}.0::DOUBLE AS share FROM a{r} GROUP BY team" for r in range(1, rounds + 1))
+
+
+@query(f"""WITH t AS (SELECT c_nationkey AS team, count(*) / 10.0::DOUBLE + 1 AS s FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 16),
+bracket AS (SELECT row_number() OVER (ORDER BY team) - 1 AS slot, team, s FROM t), {_knockout_sql(4, 2000, 11)}""")
 def knockout_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sixteen strongest nations in a bracket, as the feature needs a power of two."""
     s = national_strengths(spark, sf_dir).orderBy(F.desc("strength"), "nation").limit(16)

@@ -32,6 +32,22 @@ def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return team_rows(matches(spark, sf_dir))
 
 
+def seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as matches of many leagues: twenty customers each are the teams of one, so leagues grow with the data and pairs stay unplayed. played: before July."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    league, season = F.floor(c / 20), F.year("o_orderdate").cast("long")
+    away = league * 20 + (c + 1 + k % 19) % 20
+    return o.select(k.alias("match_id"), F.col("o_orderdate").alias("match_date"), league.alias("league"), season.alias("season"), c.alias("home"), away.alias("away"), ((k + c) % 5 % 4).alias("home_goals"), ((F.floor(k / 4) + c) % 4 % 3).alias("away_goals"), (F.month("o_orderdate") < 7).alias("played"))
+
+
+SEASONS = """seasons AS (SELECT o_orderkey AS match_id, o_custkey // 20 AS league, year(o_orderdate)::BIGINT AS season, o_custkey AS home, o_custkey // 20 * 20 + (o_custkey + 1 + o_orderkey % 19) % 20 AS away,
+ (o_orderkey + o_custkey) % 5 % 4 AS home_goals, (o_orderkey // 4 + o_custkey) % 4 % 3 AS away_goals, month(o_orderdate) < 7 AS played FROM orders),
+sides AS (SELECT DISTINCT league, season, unnest([home, away]) AS team FROM seasons),
+unplayed AS (SELECT a.league, a.season, a.team AS home, b.team AS away FROM sides a JOIN sides b ON a.league = b.league AND a.season = b.season AND a.team <> b.team
+ WHERE NOT EXISTS (SELECT 1 FROM seasons m WHERE m.played AND m.league = a.league AND m.season = a.season AND m.home = a.team AND m.away = b.team))"""
+
+
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forecast of each match, from its keys."""
     m = matches(spark, sf_dir)
@@ -71,3 +87,29 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ACTIONS = "actions AS (SELECT event_id, ts, user_id, event_type, value, event_id % 2 AS side, (event_id * 17 % 101)::DOUBLE AS start_x, (event_id * 31 % 101)::DOUBLE AS start_y, (event_id * 53 % 101)::DOUBLE AS end_x, (event_id * 71 % 101)::DOUBLE AS end_y, (event_id % 95)::INT AS minute FROM events)"
 CELL = "least(greatest(trunc({y} / 100 * 12)::INT, 0), 11) * 16 + least(greatest(trunc({x} / 100 * 16)::INT, 0), 15)"
+
+
+def careers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' years as the seasons of players: score from what they spent, minutes from how often, the position of their least priority."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    return o.groupBy(F.col("o_custkey").alias("player"), F.year("o_orderdate").cast("long").alias("season")).agg((F.max("o_totalprice") / 5000).alias("score"), (F.count("*") * 700).alias("minutes"), F.min("o_orderpriority").alias("position"))
+
+
+CAREERS = "careers AS (SELECT o_custkey AS player, year(o_orderdate)::BIGINT AS season, max(o_totalprice) / 5000 AS score, count(*) * 700 AS minutes, min(o_orderpriority) AS position FROM orders GROUP BY ALL)"
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as an append-only ledger of judgements: every third one takes back or repeats one before it of the same order."""
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_shipdate", "l_returnflag", "l_linestatus").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_shipdate", "l_returnflag", "l_linestatus")])
+    n, k = F.col("l_linenumber"), F.col("l_orderkey")
+    return x.select((k * 10 + n).alias("decision_id"), F.when((k + n) % 7 == 0, "revoked").otherwise("confirmed").alias("action"), F.when(n % 3 == 2, k * 10 + n - 1).alias("supersedes"),
+                    F.when(k % 5 == 0, "model_derived").when(k % 2 == 0, "human_tier").otherwise("human_pairwise_preference").alias("label_type"), (F.col("l_quantity") / 10).cast("int").alias("tier"),
+                    F.when(F.col("l_discount") < 0.03, "low").otherwise("high").alias("confidence"), F.concat("l_returnflag", F.when(F.col("l_linestatus") == "O", "open case").otherwise("")).alias("evidence"),
+                    F.to_date("l_shipdate").alias("recorded_at"), (F.col("l_suppkey") % 7).alias("decided_by"), F.col("l_partkey").alias("a"), (F.col("l_suppkey") % 50).alias("b"), F.year("l_shipdate").cast("long").alias("season"))
+
+
+LEDGER = """items AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey, max(l_quantity) AS l_quantity, max(l_discount) AS l_discount, max(l_shipdate) AS l_shipdate, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus FROM lineitem GROUP BY ALL),
+ledger AS (SELECT l_orderkey * 10 + l_linenumber AS decision_id, CASE WHEN (l_orderkey + l_linenumber) % 7 = 0 THEN 'revoked' ELSE 'confirmed' END AS action, CASE WHEN l_linenumber % 3 = 2 THEN l_orderkey * 10 + l_linenumber - 1 END AS supersedes,
+ CASE WHEN l_orderkey % 5 = 0 THEN 'model_derived' WHEN l_orderkey % 2 = 0 THEN 'human_tier' ELSE 'human_pairwise_preference' END AS label_type, trunc(l_quantity / 10)::INT AS tier,
+ CASE WHEN l_discount < 0.03 THEN 'low' ELSE 'high' END AS confidence, l_returnflag || CASE WHEN l_linestatus = 'O' THEN 'open case' ELSE '' END AS evidence, l_shipdate::DATE AS recorded_at, l_suppkey % 7 AS decided_by, l_partkey AS a, l_suppkey % 50 AS b, year(l_shipdate)::BIGINT AS season FROM items),
+active AS (SELECT * FROM ledger l WHERE action = 'confirmed' AND NOT EXISTS (SELECT 1 FROM ledger s WHERE s.supersedes = l.decision_id))"""

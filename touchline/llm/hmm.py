@@ -32,7 +32,7 @@ STEPS = 64
 #: Words whose co-occurrence in texts starts the states off; rounds of Baum-Welch.
 SEEDS, ROUNDS = 256, 3
 #: Training tokens that a task gathers before it works on them; cells (texts times the longest) that it works on at once; steps whose messages it keeps.
-GATHERED, CELLS, SEGMENT = 1 << 22, 1 << 19, 4096
+GATHERED, CELLS, SEGMENT = 1 << 22, 1 << 20, 2048
 #: Tokens that scoring's forward recursion takes as one stretch; rows it works on at once.
 STRETCH, ROWS = 512, 4096
 #: Weight of the corpus distribution in each state's emissions, and of each transition, in tokens.
@@ -182,26 +182,27 @@ def expected(seqs: list[np.ndarray], start: np.ndarray, step: np.ndarray, emit:
     """Adds the expected counts of whole sequences, by scaled forward and backward recursions, to totals.
 
     Messages are kept for one segment of steps at a time: the forward pass notes those between segments, from which
-    the backward pass makes each segment's again.
+    the backward pass makes each segment's again. They are of the model's precision, and scaled at each step.
     """
     order = np.argsort([-len(s) for s in seqs], kind="stable")
     lengths = np.array([len(seqs[i]) for i in order])
     longest, n, k = int(lengths[0]), len(seqs), len(start)
-    obs = np.zeros((longest, n), dtype=np.int32)
+    obs = np.zeros((longest, n), dtype=np.uint16)
     for j, i in enumerate(order):
         obs[: lengths[j], j] = seqs[i]
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")
     emission, steps, starts = totals
+    one = np.ones(k, dtype=emit.dtype)
 
     def forward(low: int, high: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(emissions, messages, scales) of the steps low to high, after the messages before them."""
         width = active[low]
         b = emit[obs[low:high, :width]]
-        alpha, scale = np.zeros((high - low, width, k)), np.ones((high - low, width))
+        alpha, scale = np.zeros((high - low, width, k), dtype=emit.dtype), np.ones((high - low, width), dtype=emit.dtype)
         for t in range(low, high):
             a = active[t]
             now = (start if before is None else before[:a] @ step) * b[t - low, :a]
-            z = scale[t - low, :a] = now.sum(axis=1)
+            z = scale[t - low, :a] = now @ one
             before = alpha[t - low, :a] = now / z[:, None]
         return b, alpha, scale
 
@@ -209,7 +210,7 @@ def expected(seqs: list[np.ndarray], start: np.ndarray, step: np.ndarray, emit:
     marks: list[np.ndarray | None] = [None]
     for low, high in zip(edges[:-2], edges[1:-1], strict=True):
         marks.append(forward(low, high, marks[-1])[1][-1])
-    beta = np.ones((n, k))
+    beta = np.ones((n, k), dtype=emit.dtype)
     for low, high, before in zip(edges[-2::-1], edges[:0:-1], marks[::-1], strict=True):
         b, alpha, scale = forward(low, high, before)
         gamma = alpha.copy()
@@ -221,12 +222,12 @@ def expected(seqs: list[np.ndarray], start: np.ndarray, step: np.ndarray, emit:
                 steps += step * ((alpha[i - 1, :a] if i else before[:a]).T @ back)
                 beta[:a] = back @ step.T
         if not low:
-            starts += gamma[0].sum(axis=0)
+            starts += gamma[0].sum(axis=0, dtype=np.float64)
         live = np.arange(gamma.shape[1])[None, :] < active[low:high, None]
         where, weight = obs[low:high, : gamma.shape[1]][live], gamma[live]
         by = np.argsort(where, kind="stable")
         used, first = np.unique(where[by], return_index=True)
-        emission[used] += np.add.reduceat(weight[by], first)
+        emission[used] += np.add.reduceat(weight[by], first, dtype=np.float64)
 
 
 def batched(seqs: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
@@ -245,7 +246,7 @@ def baum_welch(train: DataFrame, start: np.ndarray, step: np.ndarray, emit: np.n
     shared = train.sparkSession.sparkContext.broadcast((start, step, emit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, step, emit = shared.value
+        start, step, emit = (x.astype(np.float32) for x in shared.value)
         totals = np.zeros((symbols, states)), np.zeros((states, states)), np.zeros(states)
         held, size = [], 0
         for batch in batches:
@@ -291,6 +292,7 @@ def log_likelihoods(seqs: list[np.ndarray], start: np.ndarray, step: np.ndarray,
     the results are chained, which is the same sum.
     """
     k = len(start)
+    one = np.ones(k)
     rows: list[tuple[np.ndarray, int]] = []  # symbols, and the state before them, or -1 at a text's start
     place = []
     for s in seqs:
@@ -312,7 +314,7 @@ def log_likelihoods(seqs: list[np.ndarray], start: np.ndarray, step: np.ndarray,
         for t in range(len(obs)):
             a = active[t]
             v = (now[:a] @ step if t else now[:a]) * emit[obs[t, :a]]
-            z = v.sum(axis=1)
+            z = v @ one
             now[:a] = v / z[:, None]
             logs[:a] += np.log(z)
         final[own], scale[own] = now, logs

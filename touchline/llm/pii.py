@@ -5,8 +5,10 @@ account numbers (IBAN) by their remainder modulo 97, North American telephone an
 the ranges of their parts, IPv4 addresses by their octets, dates by the calendar. What fails stays as it is. Each
 format is a pair of residues (left, right) that cover its valid values exactly, and each round adds to one a keyed hash of
 the other; so a pseudonym is again a valid value of the format, different values keep different pseudonyms, and
-equal values have equal ones in all documents. E-mail addresses have the letters and digits before the @ permuted
-likewise. The key is a parameter; whoever holds it can undo the permutation.
+equal values have equal ones in all documents. Dates are equal as days, whether written year, day or month first; a
+pseudonym is written so that the same reading gives its day. E-mail addresses have the letters and digits before the @
+permuted likewise, alike in either case. Telephone numbers of other countries keep their country code and the digit
+after it. The key is a parameter; whoever holds it can undo the permutation.
 """
 
 from __future__ import annotations
@@ -22,20 +24,25 @@ ROUNDS = 8
 KINDS = ["email", "date", "ip", "iban", "ssn", "phone", "card"]
 
 _B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}._%+-]{0,62}[\p{L}\p{M}\p{N}])?@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
 ISO_DATE, DMY_DATE = r"\d{4}-\d{2}-\d{2}", r"\d{1,2}([./])\d{1,2}\1\d{4}"
 IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 SSN = r"\d{3}-\d{2}-\d{4}"
+#: A number that a word for a version stands before is no address.
+VERSION = r"(?<!(?i:\bversion|\bver|\bver\.|\brelease|\bbuild)[ :])"
+ABROAD = r"\+(?!1[ .(-])[1-9]\d{0,2}(?:[ .-]?\(?\d{1,5}\)?){2,6}"
 PHONE = r"(?:\+?1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:\+?1[ .-]?)?\d{3}[ .-]\d{3}[ .-]\d{4}"
 #: A whole run of digit groups, up to where another kind of value begins; which of its groups are a card is judged after.
 OTHER = rf"(?:{ISO_DATE}|\d{{1,2}}[./]\d{{1,2}}[./]\d{{4}}|{IPV4}|{SSN}|{PHONE}){_E}"
 CARD = rf"(?=\d(?:[ -]?\d){{12}})\d++(?![A-Za-z_])(?:[ -](?!{OTHER})\d++(?![A-Za-z_]))*+"
-FINDER = rf"{_B}(?:{EMAIL}|{ISO_DATE}(?!-)|{DMY_DATE}|(?<!\d\.){IPV4}(?!\.\d)|{IBAN}|{SSN}(?!-)){_E}|(?<![A-Za-z0-9_+])(?:{PHONE}){_E}|{_B}{CARD}{_E}"
+FINDER = rf"{_B}(?:{EMAIL}|{ISO_DATE}(?!-)|{DMY_DATE}|{VERSION}(?<!\d\.){IPV4}(?!\.\d)|{IBAN}|{SSN}(?!-)){_E}|(?<![A-Za-z0-9_+])(?:{PHONE}|{ABROAD}){_E}|{_B}{CARD}{_E}"
 
 #: 400 years have 146,097 days, 27 times 5,411.
 FIRST_DAY, DAYS, DAY_L, DAY_R = "1800-01-01", 146_097, 27, 5_411
-ALNUM = r"[A-Za-z0-9]"
+#: Latin letters with marks that have both cases, in the same order.
+SMALL = "".join(c for c in map(chr, range(0xDF, 0x180)) if c.islower() and len(c.upper()) == 1 and c.upper().lower() == c and 0xC0 <= ord(c.upper()) < 0x180)
+LARGE = SMALL.upper()
 
 
 def _long(x) -> Column:
@@ -170,7 +177,13 @@ def phone(key: str, m: Column) -> Column:
         area, rest = F.substring(own, 1, 3).cast("long") - 200, F.substring(own, 4, 7).cast("long") - 2_000_000
         return let(feistel(key, "phone", area, rest, 800, 8_000_000), lambda s: F.concat(F.substring(d, F.lit(1), F.length(d) - 10), (s["l"] + 200).cast("string"), (s["r"] + 2_000_000).cast("string")))
 
-    return let(digits_of(m), lambda d: F.when(d.rlike("^1?[2-9][0-9]{2}[2-9][0-9]{6}$"), poured(m, "[0-9]", new(d))))
+    def abroad(d: Column) -> Column:
+        code = F.regexp_extract(m, r"^\+(\d{1,3})(?=[ .(-])", 1)
+        keep = F.when(F.length(code) > 0, F.length(code)).otherwise(2) + 1
+        return F.concat(F.substring(d, F.lit(1), keep), permuted_digits(key, "abroad", F.substring(d, keep + 1, F.length(d))))
+
+    other = m.startswith("+") & ~m.rlike("^\\+1[ .(-]")
+    return let(digits_of(m), lambda d: F.when(other, F.when(F.length(d).between(9, 15), poured(m, "[0-9]", abroad(d)))).when(d.rlike("^1?[2-9][0-9]{2}[2-9][0-9]{6}$"), poured(m, "[0-9]", new(d))))
 
 
 def ssn(key: str, m: Column) -> Column:
@@ -189,19 +202,18 @@ def ip(key: str, m: Column) -> Column:
     return F.when(m.rlike(rf"^{octet}(?:\.{octet}){{3}}$"), new)
 
 
-def moved_day(key: str, day: Column, where: Callable[[Column], Column] | None = None) -> Column:
-    """A date of 1800 to 2199 permuted among them; with a condition that holds for day, among those where it holds."""
+def moved_day(key: str, day: Column) -> Column:
+    """A date of 1800 to 2199 permuted among them."""
     index = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    date = lambda i: F.date_add(F.lit(FIRST_DAY).cast("date"), i)
-    once = lambda i, tag: let(feistel(key, tag, F.floor(i / DAY_R), i % DAY_R, DAY_L, DAY_R), lambda s: (s["l"] * DAY_R + s["r"]).cast("int"))
-    if where is None:
-        return date(once(index, "date"))
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(index.alias("i"), F.lit(False).alias("done")), lambda s, _: F.when(s["done"], s).otherwise(let(once(s["i"], "month-first"), lambda j: F.struct(j.alias("i"), where(date(j)).alias("done")))))
-    return date(walked["i"])
+    return let(feistel(key, "date", F.floor(index / DAY_R), index % DAY_R, DAY_L, DAY_R), lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["l"] * DAY_R + s["r"]).cast("int")))
 
 
 def date(key: str, m: Column) -> Column:
-    """ISO dates, and dates with the day first, or else with the month first. Parts keep their leading zeros."""
+    """ISO dates, and dates with the day first, or else with the month first; parts keep their leading zeros.
+
+    A date with the month first stays so where its new day is above 12; else it is written with the day first, as it
+    would be read.
+    """
     part = lambda k: F.regexp_extract(m, r"^(\d{1,2})([./])(\d{1,2})[./](\d{4})$", k)
     a, b, year, sign = part(1), part(3), part(4), part(2)
     real = lambda y, mo, d: F.when((y.try_cast("int").between(1800, 2199)), F.try_to_date(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd"))
@@ -210,19 +222,25 @@ def date(key: str, m: Column) -> Column:
     day_first, month_first = real(year, b, a), real(year, a, b)
     iso = let(whole, lambda d: F.when(d.isNotNull(), F.date_format(moved_day(key, d), "yyyy-MM-dd")))
     first = let(day_first, lambda d: F.when(d.isNotNull(), let(moved_day(key, d), lambda n: F.concat(like(a, F.day(n)), sign, like(b, F.month(n)), sign, F.year(n).cast("string")))))
-    second = let(month_first, lambda d: F.when(d.isNotNull(), let(moved_day(key, d, lambda x: F.day(x) > 12), lambda n: F.concat(like(a, F.month(n)), sign, like(b, F.day(n)), sign, F.year(n).cast("string")))))
+    written = lambda x, y, n: F.concat(like(a, x), sign, like(b, y), sign, F.year(n).cast("string"))
+    second = let(month_first, lambda d: F.when(d.isNotNull(), let(moved_day(key, d), lambda n: F.when(F.day(n) > 12, written(F.month(n), F.day(n), n)).otherwise(written(F.day(n), F.month(n), n)))))
     return F.when(m.rlike(r"^\d{4}-"), iso).otherwise(F.coalesce(first, second))
 
 
 def email(key: str, m: Column) -> Column:
-    """Letters and digits before the @ are shifted within their class, halves in turn; signs, case and the domain stay."""
+    """Letters and digits before the @ are shifted within their class, halves in turn; signs, case and the domain stay.
+
+    Latin letters with marks are shifted among such; letters of other scripts become plain ones, by which alone two
+    addresses might meet.
+    """
     local = F.substring_index(m, "@", 1)
 
     def shifted(half: Column, other: Column, i: Column) -> Column:
         def one(c: Column, at: Column) -> Column:
-            add = prf(key, "email", F.concat_ws(",", i.cast("string"), at.cast("string")), other)
+            add = prf(key, "email", F.concat_ws(",", i.cast("string"), at.cast("string")), F.lower(other))
+            among = lambda letters: F.substring(F.lit(letters), F.pmod(F.instr(F.lit(letters), c) - 1 + F.pmod(add, F.lit(len(letters))), F.lit(len(letters))).cast("int") + 1, F.lit(1))
             move = lambda base, n: F.char(F.pmod(F.ascii(c) - base + F.pmod(add, F.lit(n)), F.lit(n)) + base)
-            return F.when(c.rlike("[0-9]"), move(48, 10)).when(c.rlike("[a-z]"), move(97, 26)).when(c.rlike("[A-Z]"), move(65, 26)).otherwise(c)
+            return F.when(c.rlike("[0-9]"), move(48, 10)).when(c.rlike("[a-z]"), move(97, 26)).when(c.rlike("[A-Z]"), move(65, 26)).when(F.instr(F.lit(SMALL), c) > 0, among(SMALL)).when(F.instr(F.lit(LARGE), c) > 0, among(LARGE)).when(c.rlike(r"[\p{L}\p{M}\p{N}]"), F.char(F.pmod(add + F.ascii(c), F.lit(26)) + 97)).otherwise(c)
 
         return F.when(F.length(half) == 0, half).otherwise(F.array_join(F.transform(F.split(half, ""), one), ""))
 
@@ -235,7 +253,7 @@ def email(key: str, m: Column) -> Column:
 def replacement(key: str, m: Column) -> Column:
     """struct(kind, new, n) of a candidate, n the values replaced in it; kind is null and new the candidate itself where no format validates it."""
     full = lambda p: m.rlike(rf"^(?:{p})$")
-    kind = F.when(F.instr(m, "@") > 0, "email").when(full(ISO_DATE) | full(r"\d{1,2}[./]\d{1,2}[./]\d{4}"), "date").when(full(IPV4), "ip").when(m.rlike("^[A-Z]"), "iban").when(full(SSN), "ssn").when(full(PHONE), "phone").otherwise("card")
+    kind = F.when(F.instr(m, "@") > 0, "email").when(full(ISO_DATE) | full(r"\d{1,2}[./]\d{1,2}[./]\d{4}"), "date").when(full(IPV4), "ip").when(m.rlike("^[A-Z]"), "iban").when(full(SSN), "ssn").when(full(f"{PHONE}|{ABROAD}"), "phone").otherwise("card")
     makers = {"email": email, "date": date, "ip": ip, "iban": ibans, "ssn": ssn, "phone": phone}
 
     def chosen(k: Column) -> Column:

@@ -4,14 +4,15 @@ A logistic model over the presence of words and word beginnings. Fitting minimis
 plus, for labelled sentences that name a group of people, the squared change of their score when the group's term
 is swapped for another or left out: so the model can lean neither on who is mentioned nor on a mention as such.
 
-Fitting uses at most SAMPLE labelled rows (a documented bound, taken by a hash of the id); feature counts over them
-are aggregated by Spark and at most FEATURES features are kept, so what the driver holds is bounded. Every whole text
-is scored.
+Fitting uses at most SAMPLE labelled rows (a documented bound: those whose ids have the least hashes); feature counts
+over them are aggregated by Spark and at most FEATURES features are kept, and counterfactual pairs are counted by what
+they change, which is identity terms alone, so what the driver holds is bounded. Every whole text is scored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ GAIN = 12.0
 COUNTERFACTUAL, RIDGE, STEPS = 1.0, 2e-5, 800
 THRESHOLD = 0.7
 
-#: Terms for groups of people, swapped within their line.
+#: A choice of terms for groups of people, swapped within their line.
 IDENTITY = [
     "women men girls boys mothers fathers wives husbands",
     "woman man girl boy mother father wife husband",
@@ -54,16 +55,21 @@ WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 SENTENCE = re.compile(rb"[.!?\n]+")
 
 
+def lowered(text: bytes) -> bytes:
+    """Lower case in all scripts."""
+    return text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+
+
 def features(text: bytes) -> set[bytes]:
     """The words of a text and the beginnings of its longer words, marked by a final *."""
-    words = set(WORD.findall(text.lower()))
+    words = set(WORD.findall(lowered(text)))
     return words | {w[:5] + b"*" for w in words if len(w) > 5} | {w[:4] + b"*" for w in words if len(w) > 4}
 
 
 def swapped(text: bytes) -> list[tuple[bytes, bytes]]:
     """(sentence, counterfactual) for the sentences that name a group: with other groups' terms, and without any."""
     out = []
-    for s in SENTENCE.split(text.lower()):
+    for s in SENTENCE.split(lowered(text)):
         words = WORD.findall(s)
         if any(w in SWAPS for w in words):
             whole = b" ".join(words)
@@ -73,11 +79,15 @@ def swapped(text: bytes) -> list[tuple[bytes, bytes]]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of at most about `sample` labelled training rows: ids whose crc32 modulo 3 isn't 1, taken by a hash of the id. Of rows that share an id, one counts."""
+    """(text, toxic) of at most `sample` labelled training rows: ids whose crc32 modulo 3 isn't 1, those of the least hashes. Of rows that share an id, one counts."""
     train = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     train = train.where(F.crc32(F.col("_id").cast("string")) % 3 != 1).groupBy("_id").agg(F.max("toxic").alias("toxic"))
-    rate = min(1.0, sample / max(1, train.count()))
-    picked = train.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(rate * 1_000_000)).limit(2 * sample)
+    # about twice the sample by the hash's value, then exactly those of the least hashes
+    share = min(1.0, 2 * sample / max(1, train.count()))
+    least = F.pmod(F.xxhash64("_id"), F.lit(1 << 62))
+    few = train.where(least <= int(share * (1 << 62)))
+    few = train if few.limit(sample).count() < sample else few
+    picked = few.orderBy(least, "_id").limit(sample)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(F.col("text")).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
@@ -109,29 +119,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: in
         index = shared.value
         at = lambda text: {index[w] for w in features(text) if w in index}
         for batch in batches:
-            out = {"y": [], "x": [], "plus": [], "minus": []}
+            out = {"y": [], "x": [], "swaps": []}
             for text, y in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 out["y"].append(y)
                 out["x"].append(sorted(at(text)))
-                plus, minus = [], []
+                swaps: Counter = Counter()
                 for a, b in swapped(text):
                     a, b = at(a), at(b)
-                    plus.append(sorted(b - a))
-                    minus.append(sorted(a - b))
-                out["plus"].append(plus)
-                out["minus"].append(minus)
-            yield pa.RecordBatch.from_arrays([pa.array(out["y"], pa.int32()), pa.array(out["x"], pa.list_(pa.int32())), pa.array(out["plus"], pa.list_(pa.list_(pa.int32()))), pa.array(out["minus"], pa.list_(pa.list_(pa.int32())))], names=list(out))
-
-    data = rows.mapInArrow(rowed, "y int, x array<int>, plus array<array<int>>, minus array<array<int>>").collect()
-    w, b = solve([r.x for r in data], np.array([r.y for r in data]), [(p, m) for r in data for p, m in zip(r.plus, r.minus, strict=True)], len(index))
+                    swaps[tuple(sorted(b - a)), tuple(sorted(a - b))] += 1
+                out["swaps"].append([{"plus": list(p), "minus": list(m), "n": k} for (p, m), k in swaps.items()])
+            kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.struct([("plus", pa.list_(pa.int32())), ("minus", pa.list_(pa.int32())), ("n", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(out, kinds, strict=True)], names=list(out))
+
+    made = written(rows.mapInArrow(rowed, "y int, x array<int>, swaps array<struct<plus: array<int>, minus: array<int>, n: bigint>>"), "toxicity-rows")
+    data = made.select("y", "x").collect()
+    swaps = made.select(F.explode("swaps").alias("s")).groupBy("s.plus", "s.minus").agg(F.sum("s.n").alias("n")).orderBy("plus", "minus").collect()
+    w, b = solve([r.x for r in data], np.array([r.y for r in data]), [(r.plus, r.minus) for r in swaps], len(index), times=np.array([float(r.n) for r in swaps]))
     return {f: float(w[i]) for f, i in index.items() if w[i]}, b
 
 
-def solve(x: list[list[int]], y: np.ndarray, swaps: list[tuple[list[int], list[int]]], n: int, steps: int = STEPS, counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
+def solve(x: list[list[int]], y: np.ndarray, swaps: list[tuple[list[int], list[int]]], n: int, steps: int = STEPS, counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated gradient steps on mean log loss + counterfactual penalty + ridge.
 
-    Both classes have the same weight in the loss, whatever their shares.
+    Both classes have the same weight in the loss, whatever their shares. times: how often each swap occurs, once by default.
     """
+    times = np.ones(len(swaps)) if times is None else times
     y = y.astype(float)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     row, col = np.repeat(np.arange(len(x)), [len(r) for r in x]), np.fromiter((i for r in x for i in r), dtype=np.int64)
@@ -144,7 +156,7 @@ def solve(x: list[list[int]], y: np.ndarray, swaps: list[tuple[list[int], list[i
     freq = np.bincount(col, (width * weight)[row], minlength=n) / 4
     if len(swaps):
         changed = np.bincount(srow, minlength=len(swaps))
-        freq += counterfactual * 2 * np.bincount(scol, changed[srow], minlength=n) / len(swaps)
+        freq += counterfactual * 2 * np.bincount(scol, (changed * times)[srow], minlength=n) / times.sum()
     rate, brate = 1 / (freq + 2 * ridge + 1e-6), 4 / float(weight @ width)
     vw, vb, t = w.copy(), b, 1.0
     for _ in range(steps):
@@ -153,7 +165,7 @@ def solve(x: list[list[int]], y: np.ndarray, swaps: list[tuple[list[int], list[i
         g = np.bincount(col, err[row], minlength=n) + 2 * ridge * vw
         if len(swaps):
             d = np.bincount(srow, sign * vw[scol], minlength=len(swaps))
-            g += counterfactual * 2 / len(swaps) * np.bincount(scol, sign * d[srow], minlength=n)
+            g += counterfactual * 2 / times.sum() * np.bincount(scol, sign * (d * times)[srow], minlength=n)
         w2, b2 = vw - rate * g, vb - brate * err.sum()
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         vw, vb = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)

@@ -86,3 +86,35 @@ def most_common(df: DataFrame, key: str, value: str) -> DataFrame:
     """The most frequent value of each key, ties to the least."""
     n = df.groupBy(key, value).agg(F.count("*").alias("n"))
     return n.groupBy(key).agg(F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias(value), F.max("n").alias("n"))
+
+
+def id_format(value: Column) -> Column:
+    """The family of an id by its form alone: a provider's prefix, a name with year and country, other parts, a number, or unknown."""
+    first = F.substring_index(value, "|", 1)
+    number = F.regexp_replace(F.regexp_replace(value, "0+$", ""), r"\.+$", "")
+    piped = F.when(first == "understat", "understat_pipe_id").when(first.rlike(r"^\p{L}+$") | first.contains(" "), "fbref_name_composite").otherwise("other_pipe_delimited")
+    return F.when(value.isNull() | (value == ""), "unknown").when(value.contains("|"), piped).when(number.rlike("^[0-9]+$"), "statsbomb_numeric").otherwise("unknown")
+
+
+def format_distribution(df: DataFrame, player: str) -> DataFrame:
+    return df.groupBy(id_format(F.col(player).cast("string")).alias("format")).agg(F.count("*").alias("rows"), F.count_distinct(player).alias("players"))
+
+
+def several_sources(df: DataFrame, name: str, source: str, player: str) -> DataFrame:
+    """Names that more than one source has: the sources in order, ids and rows."""
+    return df.groupBy(name_key(F.col(name)).alias("name")).agg(F.count_distinct(source).alias("sources"), F.array_join(F.sort_array(F.collect_set(F.col(source).cast("string"))), "|").alias("which"), F.count_distinct(player).alias("ids"), F.count("*").alias("rows")).where("sources > 1")
+
+
+def resolution_summary(df: DataFrame, source: str, canonical: str) -> DataFrame:
+    """Per source: rows, those with a canonical id, and their share."""
+    done = F.col(canonical).isNotNull() & ~F.coalesce(F.col(canonical).startswith("unresolved:"), F.lit(False))
+    return df.groupBy(source).agg(F.count("*").alias("rows"), F.count_if(done).alias("resolved"), F.avg(done.cast("double")).alias("share"))
+
+
+def suggested(unmatched: DataFrame, known: DataFrame, key: Sequence[str], name: str, team: str, source_id: str, canonical_id: str) -> DataFrame:
+    """(source_id, canonical_id, level): known players of the same name and keys; high where the team agrees too, else medium. Sources without any have a row of nulls."""
+    k = known.select(*[F.col(c).alias(f"_k_{c}") for c in key], name_key(F.col(name)).alias("_n"), F.col(team).alias("_t"), canonical_id)
+    s = unmatched.withColumn("_m", name_key(F.col(name)))
+    on = [F.col(c) == F.col(f"_k_{c}") for c in key] + [F.col("_m") == F.col("_n")]
+    out = s.join(k, on, "left")
+    return out.select(source_id, canonical_id, F.when(F.col(canonical_id).isNull(), "none").when(F.col(team) == F.col("_t"), "high").otherwise("medium").alias("level"))

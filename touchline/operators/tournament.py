@@ -96,3 +96,43 @@ def simulated_bracket(bracket: DataFrame, rounds: int, sims: int, seed: int) ->
     alive = [F.col(f"alive_{r}") for r in range(1, rounds + 1)]
     by_round = runs.select(F.posexplode(F.array(*alive)).alias("_r", "_alive")).select((F.col("_r") + 1).alias("round"), F.explode("_alive.team").alias("team"))
     return by_round.groupBy("team", "round").agg((F.count("*") / sims).alias("share"))
+
+
+def simulated_groups(played: DataFrame, left: DataFrame, sims: int, seed: int, through: int = 2) -> DataFrame:
+    """(group, team, p_first, p_through): shares of simulations in which a team wins its group, and ends among the first `through`.
+
+    played: group, team, pts, gd, gf so far of every team. left: match_id, group, home, away, p_home, the home side's
+    chance without draws. A match left is drawn in DRAW of all cases, and ends 1-0, 0-0 or 0-1; level teams go by name.
+    """
+    from .league import DRAW
+
+    runs = played.sparkSession.range(sims).select(F.col("id").alias("sim"))
+    u = uniform(F.lit(seed), F.col("sim"), F.col("match_id"))
+    drawn = left.crossJoin(F.broadcast(runs)).withColumn("_u", u)
+    win = F.col("p_home") * (1 - DRAW)
+    sign = F.when(F.col("_u") < win, 1).when(F.col("_u") < win + DRAW, 0).otherwise(-1)
+    side = lambda team, s: F.struct(F.col(team).alias("team"), F.when(s > 0, 3).when(s == 0, 1).otherwise(0).alias("p"), s.alias("d"), F.greatest(s, F.lit(0)).alias("f"))
+    won = drawn.withColumn("_s", sign).select("sim", "group", F.explode(F.array(side("home", F.col("_s")), side("away", -F.col("_s")))).alias("x")).groupBy("sim", "group", "x.team").agg(F.sum("x.p").alias("_p"), F.sum("x.d").alias("_d"), F.sum("x.f").alias("_f"))
+    final = played.crossJoin(F.broadcast(runs)).join(won, ["sim", "group", "team"], "left")
+    plus = lambda a, b: F.desc(F.col(a) + F.coalesce(F.col(b), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("sim", "group").orderBy(plus("pts", "_p"), plus("gd", "_d"), plus("gf", "_f"), "team"))
+    return final.withColumn("_place", place).groupBy("group", "team").agg(F.avg((F.col("_place") == 1).cast("double")).alias("p_first"), F.avg((F.col("_place") <= through).cast("double")).alias("p_through"))
+
+
+def scenarios(played: DataFrame, left: DataFrame, through: int = 2, most: int = 6) -> DataFrame:
+    """(group, team, scenarios, through, best, worst): over all 3 ** n outcomes of a group's n matches left, how often a team ends among the first `through`, and its best and worst place. Groups with more than `most` matches left are left out, as their outcomes are too many."""
+    own = left.withColumn("_k", F.row_number().over(Window.partitionBy("group").orderBy("match_id")) - 1)
+    few = own.groupBy("group").agg(F.count("*").alias("_n")).where(F.col("_n") <= most)
+    runs = few.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.pow(F.lit(3.0), F.col("_n")).cast("int") - 1)))
+    out = own.join(runs, "group").withColumn("_s", 1 - F.floor(F.col("scenario") / F.pow(F.lit(3.0), F.col("_k"))).cast("int") % 3)
+    side = lambda team, s: F.struct(F.col(team).alias("team"), F.when(s > 0, 3).when(s == 0, 1).otherwise(0).alias("p"), s.alias("d"), F.greatest(s, F.lit(0)).alias("f"))
+    won = out.select("scenario", "group", F.explode(F.array(side("home", F.col("_s")), side("away", -F.col("_s")))).alias("x")).groupBy("scenario", "group", "x.team").agg(F.sum("x.p").alias("_p"), F.sum("x.d").alias("_d"), F.sum("x.f").alias("_f"))
+    final = played.join(runs.select("group", "scenario"), "group").join(won, ["scenario", "group", "team"], "left")
+    plus = lambda a, b: F.desc(F.col(a) + F.coalesce(F.col(b), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("scenario", "group").orderBy(plus("pts", "_p"), plus("gd", "_d"), plus("gf", "_f"), "team"))
+    return final.withColumn("_place", place).groupBy("group", "team").agg(F.count("*").alias("scenarios"), F.count_if(F.col("_place") <= through).alias("through"), F.min("_place").cast("long").alias("best"), F.max("_place").cast("long").alias("worst"))
+
+
+def qualification(cases: DataFrame) -> DataFrame:
+    """scenarios() with a status: through, out or open."""
+    return cases.withColumn("status", F.when(F.col("through") == F.col("scenarios"), "through").when(F.col("through") == 0, "out").otherwise("open"))

@@ -259,9 +259,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                 yield batch_of([batch.column(0).slice(at, len(some)), batch.column(1).slice(at, len(some)), pa.array(ids, binary)], names=["_a", "_b", "ids"])
 
     encoded = found.where("chunk is not null").groupBy("a", "b").agg(F.min("chunk").alias("chunk")).mapInArrow(once, "_a long, _b long, ids binary")
-    # a text's known chunks; grouped by its key, joined by a value made of it: both sides are dealt out for the join, and Spark can split a text with very many copies
+    # a text's known chunks, which stay where they are grouped for the join: copies of one text meet in one task, whose rows go by one at a time
     known = found.groupBy("t", "u", "a", "b").agg(F.lit(1).alias("_1")).join(encoded, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
-    known = known.groupBy("t", "u").agg(F.collect_list(F.struct("a", "b", "ids")).alias("known")).select((F.col("t") + 0).alias("_t"), F.col("u").alias("_u"), "known")
+    known = known.groupBy("t", "u").agg(F.collect_list(F.struct("a", "b", "ids")).alias("known")).select(F.col("t").alias("_t"), F.col("u").alias("_u"), "known")
 
     finals = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if id_lists else "")
     types = [long, pa.string(), pa.string()] + ([pa.list_(pa.int32()), pa.string()] if id_lists else [])

@@ -34,8 +34,12 @@ def work_dir(spark: SparkSession) -> str:
 
 def clean_up(spark: SparkSession) -> bool:
     """Deletes all intermediate tables of this application. Results that read them must have been written before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return deleted(spark, work_dir(spark))
+
+
+def deleted(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -46,6 +50,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(key: Column) -> Column:
+    """A long made of a key, one to one. A table of counts by a key, joined on this on both sides, is dealt out anew for
+    the join: only then can Spark split the rows of a key that is everywhere, as it splits what comes straight from a shuffle."""
+    return key.bitwiseXOR(F.lit(1).cast("long"))
+
+
 def fold(text: Column) -> Column:
     """Lower-cases A-Z only; null counts as empty. lower() is the fast way for pure ASCII, where it does the same."""
     text = F.coalesce(text.cast("string"), F.lit(""))
@@ -76,11 +86,15 @@ def marked(df: DataFrame, value: Column, bits: DataFrame, flag: str, size: int =
 
 def collect_bitmap(hashes: DataFrame, column: str) -> np.ndarray:
     """bitmap() as one array on the driver, for a broadcast to Python tasks, of a size that follows the number of hashes. The hashes are written first."""
-    hashes = written(hashes.select(column), "hashes")
+    spark = hashes.sparkSession
+    path = f"{work_dir(spark)}/hashes-{uuid.uuid4().hex}"
+    hashes.select(F.col(column).alias("hash")).write.parquet(path)
+    hashes = spark.read.schema("hash long").parquet(path)
     size = bits_for(hashes.count())
     out = np.zeros(size // 8, dtype=np.uint8)
-    for bucket, bits in bitmap(hashes, column, size).toLocalIterator():
+    for bucket, bits in bitmap(hashes, "hash", size).toLocalIterator():
         out[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(bits)] = np.frombuffer(bits, dtype=np.uint8)
+    deleted(spark, path)
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import apart, written
 
 MAX_ROUNDS = 60
 
@@ -20,8 +20,8 @@ def _star(links: DataFrame, low: str, high: str, small: bool) -> DataFrame:
         around = links.select(F.col(high).alias("u"), F.col(low).alias("v"))
     else:
         around = links.select(F.explode(F.array(F.struct(F.col(low).alias("u"), F.col(high).alias("v")), F.struct(F.col(high).alias("u"), F.col(low).alias("v")))).alias("x")).select("x.*")
-    least = around.groupBy("u").agg(F.min("v").alias("m")).select((F.col("u") + 0).alias("_u"), F.least("m", "u").alias("m"))
-    moved = around.join(least, F.col("u") == F.col("_u"))
+    least = around.groupBy("u").agg(F.min("v").alias("m")).select(apart(F.col("u")).alias("_u"), F.least("m", "u").alias("m"))
+    moved = around.join(least, apart(F.col("u")) == F.col("_u"))
     if small:
         out = moved.select(F.explode(F.array(F.struct(F.col("v").alias("b"), F.col("m").alias("a")), F.struct(F.col("u").alias("b"), F.col("m").alias("a")))).alias("x")).select("x.*")
     else:

@@ -62,8 +62,8 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     found = written(shingles_of(rows, words, bits), "item-shingles")
     pairs = candidates(found, sized)
-    # every shingle of a candidate's item is looked up among those of its document; both sides are dealt out on values made of the keys
-    asked = pairs.join(sized.select((F.col("item") + 0).alias("_item"), "n", "need", "hash", "shingle"), F.col("item") == F.col("_item")).drop("_item")
+    # every shingle of a candidate's item is looked up among those of its document
+    asked = pairs.join(sized.select(F.col("item").alias("_item"), "n", "need", "hash", "shingle"), F.col("item") == F.col("_item")).drop("_item")
     there = found.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("hash").alias("_hash"), F.col("shingle").alias("_shingle"))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("hash") == F.col("_hash")) & (F.col("shingle") == F.col("_shingle"))
     counted = asked.join(there, same, "left_semi").groupBy("id", "key", "item", "n", "need").agg(F.count("*").alias("n_shared")).where("n_shared >= need")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, collect_bitmap, filled, hits, mixed, slices, span_hashes, texts, written
+from .common import BASE, apart, collect_bitmap, filled, hits, mixed, slices, span_hashes, texts, written
 
 #: Lines in the rolling window, which is also the shortest passage.
 WINDOW = 2
@@ -87,8 +87,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = written(chunk_rows(rows, bits), "line-chunks")
     # grouped by the hash, joined by a value made of it: both sides are dealt out for the join, and Spark can split a window that is everywhere
     place = F.struct("id", "key", "first")
-    owners = found.groupBy("hash", "content").agg(F.min(place).alias("owner"), F.count("*").alias("n")).where("n > 1").select((F.col("hash") + 0).alias("_hash"), F.col("content").alias("_content"), "owner")
-    gone = found.join(owners, (F.col("hash") == F.col("_hash")) & (F.col("content") == F.col("_content"))).where(~place.eqNullSafe(F.col("owner")))
+    owners = found.groupBy("hash", "content").agg(F.min(place).alias("owner"), F.count("*").alias("n")).where("n > 1").select(apart(F.col("hash")).alias("_hash"), F.col("content").alias("_content"), "owner")
+    gone = found.join(owners, (apart(F.col("hash")) == F.col("_hash")) & (F.col("content") == F.col("_content"))).where(~place.eqNullSafe(F.col("owner")))
     gone = gone.groupBy("id", "key").agg(F.collect_set(F.struct("first", "lines")).alias("_gone")).select(F.col("id").alias("_id"), F.col("key").alias("_key"), "_gone")
 
     own = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_doc"), key.alias("_text_key"), F.col(text_col).alias("_text"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, INVERSE, _powers, collect_bitmap, filled, hits, mixed, texts, written
+from .common import BASE, INVERSE, _powers, apart, collect_bitmap, filled, hits, mixed, texts, written
 
 #: Bytes of a string that counts; of a minimiser; and places that compete for one. Two windows of places fit into a string.
 LENGTH, GRAM = 200, 16
@@ -104,8 +104,8 @@ def _judged(cells: DataFrame, tag: str) -> DataFrame:
 
     Counts by a hash are joined on a value made of it: both sides are dealt out for the join, and Spark can split a hash that is everywhere.
     """
-    hulls = cells.groupBy("hull").agg(F.count("*").alias("same")).where("same > 1").select((F.col("hull") + 0).alias("_hull"))
-    return written(cells.join(hulls, F.col("hull") == F.col("_hull"), "left").select("row", *CELL, F.col("_hull").isNull().alias("open")), tag)
+    hulls = cells.groupBy("hull").agg(F.count("*").alias("same")).where("same > 1").select(apart(F.col("hull")).alias("_hull"))
+    return written(cells.join(hulls, apart(F.col("hull")) == F.col("_hull"), "left").select("row", *CELL, F.col("_hull").isNull().alias("open")), tag)
 
 
 def _undecided(judged: DataFrame) -> DataFrame:
@@ -113,8 +113,8 @@ def _undecided(judged: DataFrame) -> DataFrame:
     columns = ["row", *CELL, "open"]
     closed = judged.where("not open").groupBy("hull").agg(F.min(F.struct(*[c for c in columns if c != "hull"])).alias("x")).select("x.*", "hull")
     some = judged.where("open").select(*columns).unionByName(closed.select(*columns))
-    cores = some.groupBy("core").agg(F.count("*").alias("same"), F.max("open").alias("any_open")).where("same > 1 and any_open").select((F.col("core") + 0).alias("_core"))
-    return some.join(cores, F.col("core") == F.col("_core"), "left_semi")
+    cores = some.groupBy("core").agg(F.count("*").alias("same"), F.max("open").alias("any_open")).where("same > 1 and any_open").select(apart(F.col("core")).alias("_core"))
+    return some.join(cores, apart(F.col("core")) == F.col("_core"), "left_semi")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept_text: bool = False) -> DataFrame:
@@ -182,11 +182,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = _judged(cells, "judged-cells")
     found = judged.where("not open").select("row", "first", "n")
     for size in PIECES:
-        probed = _undecided(judged).groupBy("row").agg(F.collect_list(F.struct("first", "n", "lead")).alias("probe")).select((F.col("row") + 0).alias("_row"), "probe")
+        probed = _undecided(judged).groupBy("row").agg(F.collect_list(F.struct("first", "n", "lead")).alias("probe")).select(F.col("row").alias("_row"), "probe")
         cut = work.join(probed, F.col("row") == F.col("_row")).select("row", "text", "probe").mapInArrow(pieces(size), "row long, first int, n int, lead int, core long, hull long")
         judged = _judged(written(cut, "pieces"), "judged-pieces")
         found = found.unionByName(judged.where("not open").select("row", "first", "n"))
-    found = found.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("gone")).select((F.col("row") + 0).alias("_row"), "gone")
+    found = found.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("gone")).select(F.col("row").alias("_row"), "gone")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()

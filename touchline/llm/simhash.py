@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, bits_for, filled, marked, mixed, shingle_spans, slices, span_hashes, texts, written
+from .common import apart, bitmap, bits_for, filled, marked, mixed, shingle_spans, slices, span_hashes, texts, written
 from .components import components
 
 #: Fingerprints at this many differing bits or fewer are linked.
@@ -199,9 +199,9 @@ def fingerprint_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     small = rows.where(F.col("n") <= block).select(F.col("node"), F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
     # a large node's rank range is cut by percentiles, whose state is of bounded size; ranges still too large are dealt out by hash
     big = rows.where(F.col("n") > block).withColumn("gray", gray)
-    cuts = big.groupBy("node").agg(F.percentile_approx("gray", [k / CUTS for k in range(1, CUTS)], 2000).alias("cuts")).select((F.col("node") + 0).alias("_node"), "cuts")
+    cuts = big.groupBy("node").agg(F.percentile_approx("gray", [k / CUTS for k in range(1, CUTS)], 2000).alias("cuts")).select(apart(F.col("node")).alias("_node"), "cuts")
     ranges, deals = F.least(F.ceil(F.col("n") / block), F.lit(CUTS)), F.ceil(F.col("n") / (block * CUTS))
-    placed = big.join(cuts, F.col("node") == F.col("_node")).withColumn("range", F.floor(F.size(F.filter("cuts", lambda c: c < F.col("gray"))) * ranges / CUTS))
+    placed = big.join(cuts, apart(F.col("node")) == F.col("_node")).withColumn("range", F.floor(F.size(F.filter("cuts", lambda c: c < F.col("gray"))) * ranges / CUTS))
     placed = placed.withColumns({"i": (F.col("range") * deals + F.pmod(F.xxhash64("fp"), deals)).cast("int"), "blocks": (ranges * deals).cast("int")})
     pairs = placed.select("node", "fp", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     pairs = pairs.select("node", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), "fp")
@@ -223,8 +223,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(fingerprint_links(distinct.select("fp")))
     of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of = written(of, "fingerprint-roots")
-    least = of.groupBy("root").agg(F.min("least").alias("component_id")).select((F.col("root") + 0).alias("_root"), "component_id")
-    named = of.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
+    least = of.groupBy("root").agg(F.min("least").alias("component_id")).select(apart(F.col("root")).alias("_root"), "component_id")
+    named = of.join(least, apart(F.col("root")) == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
     return own.join(named, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key")
 
 
@@ -408,8 +408,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("bits", "least", "bands")])
     distinct = written(distinct, "sketches-distinct")
     bands = distinct.select("fp", F.explode("bands").alias("band"))
-    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select((F.col("band") + 0).alias("_band"), "n")
-    members = bands.join(sizes, F.col("band") == F.col("_band")).select("band", "n", (F.col("fp") + 0).alias("_fp"))
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(apart(F.col("band")).alias("_band"), "n")
+    members = bands.join(sizes, apart(F.col("band")) == F.col("_band")).select("band", "n", F.col("fp").alias("_fp"))
     members = members.join(distinct.select("fp", "bits", "least"), F.col("fp") == F.col("_fp"))
     links = _met(members, "band", F.ceil(F.col("n") / block), ["bits", "least"]).mapInArrow(_forests(_alike(max_bits, equal)), "a long, b long")
     groups = components(links)
@@ -418,13 +418,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     size = bits_for(wanted.count())
     text = marked(text, F.col("key"), bitmap(wanted, "_key", size), "_maybe", size).where("_maybe").groupBy("key").agg(F.min("text").alias("text"))
     sets = written(_sets(text.join(wanted, F.col("key") == F.col("_key")).select("root", "fp", "text"), shingle), "shingle-sets")
-    total = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("own")).alias("held")).select((F.col("root") + 0).alias("_root"), "n", "held")
-    sized = sets.join(total, F.col("root") == F.col("_root")).select("root", "fp", "own", "n", "held")
+    total = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("own")).alias("held")).select(apart(F.col("root")).alias("_root"), "n", "held")
+    sized = sets.join(total, apart(F.col("root")) == F.col("_root")).select("root", "fp", "own", "n", "held")
     exact = _met(sized, "root", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("held") / HELD)), ["own"]).mapInArrow(_forests(_jaccard(similarity)), "a long, b long")
     roots = components(exact)
     of = written(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.col("least_id").alias("least"), F.coalesce("root", "fp").alias("root")), "sketch-roots")
-    least = of.groupBy("root").agg(F.min("least").alias("component_id")).select((F.col("root") + 0).alias("_root"), "component_id")
-    named = of.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
+    least = of.groupBy("root").agg(F.min("least").alias("component_id")).select(apart(F.col("root")).alias("_root"), "component_id")
+    named = of.join(least, apart(F.col("root")) == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
     return own.select("doc_id", "text_key", "fp").join(named, F.col("fp") == F.col("_fp")).select("doc_id", "component_id", "text_key")
 
 

@@ -62,7 +62,21 @@ def test_words_equal_the_library(some):
     plain = tokenizers.Tokenizer.from_file(TOKENIZER)
     w = tf.words(TOKENIZER)
     assert w.apart
-    assert [x.tolist() for x in w.encode(some)] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+    assert [np.frombuffer(x, w.kind).tolist() for x in w.encode(some)] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_simple_words_equal_the_library():
+    """Every token of the vocabulary as a word and with another letter, and random words of the letters that go through tiktoken."""
+    plain, w, rng = tokenizers.Tokenizer.from_file(TOKENIZER), tf.Words(TOKENIZER), random.Random(6)
+    back = {c: b for b, c in zip([*range(33, 127), *range(161, 173), *range(174, 256)], [chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]], strict=True)}
+    own = [bytes(back[c] for c in t.removesuffix("</w>") if c in back).decode("utf-8", "ignore") for t in plain.get_vocab()]
+    letters = "etaoinshrdlucéèàßøſÉÄabcxyz0123456789.,'!-÷×"
+    own += [rng.choice(letters) + t for t in own] + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 25))) for _ in range(20_000)]
+    own = [t for t in dict.fromkeys(own) if t.isprintable() and " " not in t]
+    assert sum(bool(tf.SIMPLE.fullmatch(t)) for t in own) > 90_000
+    want = [e.ids for e in plain.encode_batch(own, add_special_tokens=False)]
+    wrong = [(t, a, b) for t, a, b in zip(own, want, (np.frombuffer(x, w.kind).tolist() for x in w.encode(own)), strict=True) if a != b]
+    assert not wrong, (len(wrong), wrong[:5])
 
 
 def brute(rows):

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -204,6 +205,7 @@ class _Writer(DataSourceArrowWriter):
 
     def __init__(self, options: dict):
         self.path = options["path"]
+        self.kind = options.get("idkind", "<u4")
         self.block, self.limit = int(options.get("blockids", BLOCK)), int(options.get("maxfilebytes", FILE))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
@@ -216,7 +218,7 @@ class _Writer(DataSourceArrowWriter):
             out.close()
 
         held, size, blocks, at = [], 0, [], 0
-        for doc, ids in _documents(iterator):
+        for doc, ids in _documents(iterator, self.kind):
             if ids is not None:
                 held.append((doc, ids))
                 size += len(ids)
@@ -253,11 +255,11 @@ class _Writer(DataSourceArrowWriter):
                 store.delete_file(f"{root}/{x['name']}")
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _documents(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple]:
     """(id, ids) of every row, and (None, None) at the end."""
     for batch in batches:
         for doc, ids in zip(batch.column(0), batch.column(1), strict=True):
-            yield doc.as_py(), np.frombuffer(ids.as_buffer() if ids.is_valid else b"", dtype="<u4")
+            yield doc.as_py(), np.frombuffer(ids.as_buffer() if ids.is_valid else b"", dtype=kind).astype(np.uint32)
     yield None, None
 
 
@@ -327,7 +329,7 @@ class _Reader(DataSourceReader):
 
 
 class TokenFiles(DataSource):
-    """spark.read / df.write .format("tokens"): options path, blockIds and maxFileBytes (writing), checkpoints a task and ids=true (reading)."""
+    """spark.read / df.write .format("tokens"): options path, idKind (numpy type of the ids of a row), blockIds and maxFileBytes (writing), checkpoints a task and ids=true (reading)."""
 
     @classmethod
     def name(cls) -> str:
@@ -349,7 +351,10 @@ class TokenFiles(DataSource):
 class Words:
     """The library's encoding of texts, put together from that of their words between blanks, which are remembered.
 
-    Only for tokenizers whose words never reach over a blank: blanks() says whether a file's parts are such.
+    Only for tokenizers whose words never reach over a blank: blanks() says whether a file's parts are such. New words
+    of ASCII and simple Latin letters, most of them, go through tiktoken, many in one call; the rest through the
+    library. For tiktoken the end of a word is a byte that no such word has, and joins the last letter first, as the
+    library's merges begin with letters of which the last is marked; tests hold both to be equal.
     """
 
     def __init__(self, tokenizer: str):
@@ -359,27 +364,76 @@ class Words:
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.apart = blanks(json.loads(self.tokenizer.to_str()))
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode(self, some: list[str]) -> list[np.ndarray]:
+        file = json.loads(self.tokenizer.to_str())
+        self.apart = blanks(file)
+        #: Bytes of an id.
+        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
+        self.known: dict[str, bytes] = {}
+        if self.apart:
+            self._simple(file["model"])
+
+    def _simple(self, model: dict) -> None:
+        import tiktoken
+
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = [""] * 256
+        for k, b in enumerate([*printable, *(x for x in range(256) if x not in printable)]):
+            letters[b] = chr(b) if k < len(printable) else chr(256 + k - len(printable))
+        byte, end, vocabulary = {c: bytes([b]) for b, c in enumerate(letters)}, model["end_of_word_suffix"], model["vocab"]
+        ranks, ids = {bytes([b]): b for b in range(256)}, [vocabulary[c] for c in letters]
+        for b, c in enumerate(letters):
+            if b != END[0]:
+                ranks[bytes([b]) + END] = len(ids)
+                ids.append(vocabulary[c + end])
+        for pair in model["merges"]:
+            token = "".join(pair if isinstance(pair, list) else pair.split(" "))
+            plain = token.removesuffix(end)
+            content = b"".join(map(byte.__getitem__, plain)) + (END if plain != token else b"")
+            if content not in ranks:
+                ranks[content] = len(ids)
+                ids.append(vocabulary[token])
+        self.ids = np.array(ids, dtype=np.int64)
+        self.ids[10] = -1  # a line end parts words
+        self.fast = tiktoken.Encoding("words", pat_str=r"\n|[^\x01\n]*\x01", mergeable_ranks=ranks, special_tokens={})
+
+    def _learn(self, new: list[str]) -> None:
+        simple = [w for w in new if SIMPLE.fullmatch(w) and "<|" not in w]
+        for at in range(0, len(simple), 4096):
+            some = simple[at : at + 4096]
+            found = self.ids[self.fast.encode_ordinary(_PIECE.sub("\\g<0>\x01", "\n".join([*some, ""]).lower()))]
+            ends = np.flatnonzero(found < 0)
+            data, edges = found.astype(self.kind).tobytes(), ends.tolist()
+            self.known.update((w, data[self.width * x : self.width * y]) for w, x, y in zip(some, [0, *(e + 1 for e in edges[:-1])], edges, strict=True))
+        rest = [w for w in new if w not in self.known]
+        for at in range(0, len(rest), 4096):
+            found = self.tokenizer.encode_batch_fast(rest[at : at + 4096], add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, dtype=self.kind).tobytes()) for w, e in zip(rest[at : at + 4096], found, strict=True))
+
+    def encode(self, some: list[str]) -> list[bytes]:
+        """The ids of each text as numbers of width bytes."""
         if not self.apart:
-            return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in some]
         new = list({w for own in split for w in own}.difference(self.known))
         if len(self.known) + len(new) > WORDS:
             self.known = {}
             new = list({w for own in split for w in own})
-        for at in range(0, len(new), 4096):
-            found = self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(new[at : at + 4096], found, strict=True))
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, own)), dtype="<u4") for own in split]
+        self._learn(new)
+        out = [b"".join(map(self.known.__getitem__, own)) for own in split]
         for w in new:
             if len(w) > 100:
                 del self.known[w]
         return out
 
 
+#: Marks the end of a word for tiktoken; no simple word has it.
+END = b"\x01"
+#: Words whose normal form is their lower case, letter by letter, and the splitter's pattern for them.
+SIMPLE = re.compile("[!-~À-įı-ſ]+")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ſ]+|[0-9]|[^\\sa-zÀ-ÖØ-öø-ſ0-9]+")
+
+
 def blanks(file: dict) -> bool:
     """Whether texts can be cut at blanks: the normalizer keeps them apart, the splitter removes them, and no added token holds one.
 
@@ -410,20 +464,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     spark = docs.sparkSession
     spark.dataSource.register(TokenFiles)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(F.col(text_col)).alias("text"))
+    kind = words(tokenizer).kind
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, end = words(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        w = words(tokenizer)
+        end = np.array([end_id], dtype=w.kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 found = w.encode([t.decode() for t in texts(some.column(1))])
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x.tobytes() + end for x in found], pa.binary())], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x + end for x in found], pa.binary())], names=["doc_id", "ids"])
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                n = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(at, 512).to_pylist()), dtype="<u4"), minlength=len(total))
+                n = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(at, 512).to_pylist()), dtype=kind), minlength=len(total))
                 n[: len(total)] += total
                 total = n
         used = np.flatnonzero(total)
@@ -437,7 +493,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     write_table(path, scaled(dense))
     # rows of one id are told apart by their place, so a repeated id is no group that must stay together
     ordered = table.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "ids")
-    ordered.write.format("tokens").mode("append").options(**options).option("path", path).save()
+    ordered.write.format("tokens").mode("append").options(**options).option("idKind", kind).option("path", path).save()
 
 
 def read_tokens(spark: SparkSession, path: str, ids: bool = False, **options) -> DataFrame:

@@ -296,3 +296,39 @@ def test_sketches_choose_the_pairs(spark):
     plain = found.join(own.selectExpr("id as item", "shingle as s"), F.col("shingle") == F.col("s")).select("id", "item").distinct().count()
     assert plain == len(docs) * len(items) and len(pairs) <= 2 * len(items)
     assert {(r.doc_id, r.item_id) for r in contained(table(spark, docs), table(spark, items, "item_id")).collect()} == want
+
+
+def colliding():
+    """Two different texts of LENGTH bytes that a polynomial hash modulo 2^64 cannot tell apart: a Thue-Morse pattern times a combination that vanishes too."""
+    from touchline.llm.common import BASE
+
+    pattern = [1 if bin(i).count("1") % 2 == 0 else -1 for i in range(128)]
+    value = sum(c * pow(BASE, i, 1 << 64) for i, c in enumerate(pattern)) % (1 << 64)
+    left = 1 << (64 - (value & -value).bit_length() + 1)
+    powers, rng, seen = [pow(BASE, j, 1 << 64) for j in range(LENGTH - 128 + 1)], random.Random(9), {}
+    while True:
+        own = [rng.randrange(2) for _ in powers]
+        h = sum(p for p, x in zip(powers, own, strict=True) if x) % left
+        if h in seen and seen[h] != own:
+            break
+        seen[h] = own
+    difference = [0] * LENGTH
+    for j, (x, y) in enumerate(zip(own, seen[h], strict=True)):
+        for i, c in enumerate(pattern):
+            difference[i + j] += (x - y) * c
+    base = [rng.randrange(60, 90) for _ in range(LENGTH)]
+    return "".join(map(chr, base)), "".join(chr(b + d) for b, d in zip(base, difference, strict=True))
+
+
+def test_colliding_texts_stay_whole(spark):
+    import numpy as np
+
+    from touchline.llm.common import span_hashes
+
+    a, b = colliding()
+    assert a != b and len(a) == len(b) == LENGTH and (a + b).isascii()
+    for t in (a, b):
+        assert span_hashes(np.frombuffer((a + b).encode(), np.uint8), np.array([0, LENGTH]), np.array([LENGTH, 2 * LENGTH]))[0] == span_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([LENGTH]))[0]
+    rows = [(1, a), (2, b), (3, "#" + a[1:]), (4, "#" + b[1:])]
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(table(spark, rows)).collect()}
+    assert got == {i: (0, 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows}

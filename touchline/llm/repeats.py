@@ -15,6 +15,9 @@ the rounds go by content instead, and blocks are told apart by hashes, not by th
 
 Of the cells or pieces that are repeated already, one of each content goes on, so that others can be found equal to it.
 
+Hulls and pieces are held equal only where a keyed 128-bit digest of their very bytes agrees, with a key drawn for each
+run; the cheaper polynomial hashes, for which collisions can be made, only choose what is looked at further.
+
 Every round counts with map-side aggregation and sends on only what is unresolved; no text is sorted, and no suffix
 leaves its shard but as a hash. Equal strings always fall into cells with equal cores, so nothing is missed.
 """
@@ -22,6 +25,7 @@ leaves its shard but as a hash. Equal strings always fall into cells with equal
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +42,7 @@ PLACES = (LENGTH - GRAM + 1) // 2
 STARTS = 1 << 20
 #: Starts of a piece, round by round.
 PIECES = (16, 1)
-CELL = ["first", "n", "lead", "core", "hull"]
+CELL = ["first", "n", "lead", "core", "hull", "check"]
 
 
 class Block:
@@ -46,6 +50,7 @@ class Block:
 
     def __init__(self, data: np.ndarray):
         n = len(data)
+        self.data = data.tobytes()
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(BASE, n), dtype=np.uint64, out=self.sums[1:])
         self.back = _powers(INVERSE, n + 1)
@@ -63,13 +68,20 @@ class Block:
     def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mixed((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(np.uint64))
 
+    def digests(self, a: np.ndarray, b: np.ndarray, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """A keyed digest of each string's bytes as two longs."""
+        data, make = self.data, hashlib.blake2b
+        found = b"".join([make(data[x:y], digest_size=16, key=key).digest() for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+        both = np.frombuffer(found, dtype="<i8").reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
     def phrases(self) -> tuple[np.ndarray, np.ndarray]:
         """(minimisers, hashes of the phrases from each to the end of the next)."""
         at = np.unique(self.places)
         return at, self.hashes(at[:-1], at[1:] + GRAM)
 
-    def cells(self, bits: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(first start, starts, bytes from there to the core, core, hull) of the cells all of whose phrases are marked."""
+    def cells(self, bits: np.ndarray, key: bytes) -> tuple[np.ndarray, ...]:
+        """(first start, starts, bytes from there to the core, core, hull, its check) of the cells all of whose phrases are marked."""
         first, last = self.places[: self.starts], self.places[LENGTH - GRAM + 1 - PLACES :][: self.starts]
         cut = np.flatnonzero((first[1:] != first[:-1]) | (last[1:] != last[:-1])) + 1
         at = np.concatenate((np.zeros(1, dtype=np.int64), cut))
@@ -79,9 +91,9 @@ class Block:
         a, b = np.searchsorted(minimisers, first[at]), np.searchsorted(minimisers, last[at])
         keep = marked[b] - marked[a] == b - a
         at, n = at[keep], n[keep]
-        return at, n, first[at] - at, self.hashes(first[at], last[at] + GRAM), self.hashes(at, at + n - 1 + LENGTH)
+        return at, n, first[at] - at, self.hashes(first[at], last[at] + GRAM), *self.digests(at, at + n - 1 + LENGTH, key)
 
-    def pieces(self, at: np.ndarray, n: np.ndarray, lead: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    def pieces(self, at: np.ndarray, n: np.ndarray, lead: np.ndarray, size: int, key: bytes) -> tuple[np.ndarray, ...]:
         """cells() of runs of starts, cut where their distance from the core is a multiple of size; core: what strings at these distances share."""
         core, low, high = at + lead, (lead - n + 1) // size, lead // size
         many = high - low + 1
@@ -89,7 +101,7 @@ class Block:
         k = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + low[of]
         near, far = np.maximum((lead - n + 1)[of], k * size), np.minimum(lead[of], k * size + size - 1)
         start, shared = core[of] - far, core[of] - k * size
-        return start, far - near + 1, far, self.hashes(shared, shared - size + 1 + LENGTH), self.hashes(start, core[of] - near + LENGTH)
+        return start, far - near + 1, far, self.hashes(shared, shared - size + 1 + LENGTH), *self.digests(start, core[of] - near + LENGTH, key)
 
 
 def blocks(text: bytes) -> Iterator[tuple[int, Block]]:
@@ -104,14 +116,14 @@ def _judged(cells: DataFrame, tag: str) -> DataFrame:
 
     Counts by a hash are joined on a value made of it: both sides are dealt out for the join, and Spark can split a hash that is everywhere.
     """
-    hulls = cells.groupBy("hull").agg(F.count("*").alias("same")).where("same > 1").select(apart(F.col("hull")).alias("_hull"))
-    return written(cells.join(hulls, apart(F.col("hull")) == F.col("_hull"), "left").select("row", *CELL, F.col("_hull").isNull().alias("open")), tag)
+    hulls = cells.groupBy("hull", "check").agg(F.count("*").alias("same")).where("same > 1").select(apart(F.col("hull")).alias("_hull"), apart(F.col("check")).alias("_check"))
+    return written(cells.join(hulls, (apart(F.col("hull")) == F.col("_hull")) & (apart(F.col("check")) == F.col("_check")), "left").select("row", *CELL, F.col("_hull").isNull().alias("open")), tag)
 
 
 def _undecided(judged: DataFrame) -> DataFrame:
     """The cells whose core another content has too, if one of them is open: all open ones, and one of each closed content."""
     columns = ["row", *CELL, "open"]
-    closed = judged.where("not open").groupBy("hull").agg(F.min(F.struct(*[c for c in columns if c != "hull"])).alias("x")).select("x.*", "hull")
+    closed = judged.where("not open").groupBy("hull", "check").agg(F.min(F.struct(*[c for c in columns if c not in ("hull", "check")])).alias("x")).select("x.*", "hull", "check")
     some = judged.where("open").select(*columns).unionByName(closed.select(*columns))
     cores = some.groupBy("core").agg(F.count("*").alias("same"), F.max("open").alias("any_open")).where("same > 1 and any_open").select(apart(F.col("core")).alias("_core"))
     return some.join(cores, apart(F.col("core")) == F.col("_core"), "left_semi")
@@ -128,6 +140,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     import zstandard
 
     spark = docs.sparkSession
+    key = os.urandom(16)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(F.col(text_col)).alias("text"))
 
     def phrase_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,16 +166,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 part = batch.slice(at, 512)
                 out = []
                 for text in texts(part.column(1)):
-                    found = [(o + p, n, lead, core.view(np.int64), hull.view(np.int64)) for o, b in blocks(text) for p, n, lead, core, hull in [b.cells(bits.value)] if len(p)]
+                    found = [(o + p, n, lead, core.view(np.int64), *hull) for o, b in blocks(text) for p, n, lead, core, *hull in [b.cells(bits.value, key)] if len(p)]
                     if found:
                         out.append((len(text), None, z.compress(text), *(np.concatenate(x) for x in zip(*found, strict=True))))
                     else:
-                        out.append((len(text), hashlib.sha256(text).hexdigest(), text if kept_text else None, *[None] * 5))
+                        out.append((len(text), hashlib.sha256(text).hexdigest(), text if kept_text else None, *[None] * 6))
                 cols = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.string(), pa.binary(), ints, ints, ints, longs, longs]
+                kinds = [pa.int64(), pa.string(), pa.binary(), ints, ints, ints, longs, longs, longs]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "sha256", "text", *CELL])
 
-    work = written(rows.mapInArrow(with_cells, "doc_id long, n_bytes long, sha256 string, text binary, first array<int>, n array<int>, lead array<int>, core array<long>, hull array<long>").withColumn("row", F.monotonically_increasing_id()), "cells")
+    work = written(rows.mapInArrow(with_cells, "doc_id long, n_bytes long, sha256 string, text binary, first array<int>, n array<int>, lead array<int>, core array<long>, hull array<long>, check array<long>").withColumn("row", F.monotonically_increasing_id()), "cells")
     cells = work.where("first is not null").select("row", F.explode(F.arrays_zip(*CELL)).alias("c")).select("row", "c.*")
 
     def pieces(size: int):
@@ -173,8 +186,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     first, n, lead = (np.asarray(probe.values.field(k)).astype(np.int64) for k in range(3))
                     for at, b in blocks(z.decompress(text.as_py())):
                         own = (first >= at) & (first < at + b.starts)
-                        start, *x, core, hull = b.pieces(first[own] - at, n[own], lead[own], size)
-                        columns = [*(v.astype(np.int32) for v in (at + start, *x)), core.view(np.int64), hull.view(np.int64)]
+                        start, near, far, core, *hull = b.pieces(first[own] - at, n[own], lead[own], size, key)
+                        columns = [*(v.astype(np.int32) for v in (at + start, near, far)), core.view(np.int64), *hull]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), row.as_py())), *map(pa.array, columns)], names=["row", *CELL])
 
         return run
@@ -183,7 +196,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = judged.where("not open").select("row", "first", "n")
     for size in PIECES:
         probed = _undecided(judged).groupBy("row").agg(F.collect_list(F.struct("first", "n", "lead")).alias("probe")).select(F.col("row").alias("_row"), "probe")
-        cut = work.join(probed, F.col("row") == F.col("_row")).select("row", "text", "probe").mapInArrow(pieces(size), "row long, first int, n int, lead int, core long, hull long")
+        cut = work.join(probed, F.col("row") == F.col("_row")).select("row", "text", "probe").mapInArrow(pieces(size), "row long, first int, n int, lead int, core long, hull long, check long")
         judged = _judged(written(cut, "pieces"), "judged-pieces")
         found = found.unionByName(judged.where("not open").select("row", "first", "n"))
     found = found.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("gone")).select(F.col("row").alias("_row"), "gone")

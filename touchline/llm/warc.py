@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import filled, shared_dir
+from .common import filled, work_dir
 
 #: Payloads under this many bytes are always stored.
 REVISIT_BYTES = 1000
@@ -285,6 +285,6 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
 def warc_round_trip(pages: DataFrame, **columns) -> DataFrame:
     """Writes pages into new archives in the shared folder and reads them back."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path, **columns)
     return read_warc(spark, path)

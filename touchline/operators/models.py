@@ -25,6 +25,8 @@ from .stats import zscored
 
 #: Bounds of a log rate, the goals of a league without any, and where the fit of the low scores may lie.
 LOG_RATE, NO_GOALS, RHO = (-10.0, 3.0), 1.3, (-1.0, 0.0)
+#: What the likelihood needs of each pairing.
+SUMS = ["w", "wh", "wa", "w00", "w01", "w10", "w11", "goals", "n"]
 
 
 @dataclass
@@ -49,11 +51,17 @@ class DixonColes:
         return out.withColumns({"lambda_home": rate(F.col("_ahome") + F.col("_daway") + self.advantage), "lambda_away": rate(F.col("_aaway") + F.col("_dhome"))}).drop("_ahome", "_dhome", "_aaway", "_daway")
 
 
-def pairing_sums(matches: DataFrame, weight: Column) -> DataFrame:
-    """Per ordered pairing all that the likelihood needs: weights, weighted goals of both sides, and weights of the four low scores. Matches without goals don't count."""
+def pairing_sums(matches: DataFrame, weight: Column, by: Sequence[str] = (), times: Column | None = None) -> DataFrame:
+    """Per group and ordered pairing all that the likelihood needs: weights, weighted goals of both sides, and weights of the four low scores. Matches without goals don't count; one that counts several `times` does so in everything."""
+    h, a, times = F.col("home_goals"), F.col("away_goals"), F.lit(1) if times is None else times
+    rows = matches.where(h.isNotNull() & a.isNotNull()).withColumns({"_w": weight * times, "_times": times})
+    return rows.groupBy(*by, "home", "away").agg(*_sums(F.col("_w")), F.sum((h + a) * F.col("_times")).alias("goals"), F.sum("_times").alias("n"))
+
+
+def _sums(weight: Column, suffix: str = "") -> list[Column]:
     h, a = F.col("home_goals"), F.col("away_goals")
     low = {f"w{i}{j}": F.sum(F.when((h == i) & (a == j), weight).otherwise(0.0)) for i, j in product((0, 1), repeat=2)}
-    return matches.where(h.isNotNull() & a.isNotNull()).groupBy("home", "away").agg(F.sum(weight).alias("w"), F.sum(weight * h).alias("wh"), F.sum(weight * a).alias("wa"), F.sum(h + a).alias("goals"), F.count("*").alias("n"), *[c.alias(k) for k, c in low.items()])
+    return [c.alias(k + suffix) for k, c in ({"w": F.sum(weight), "wh": F.sum(weight * h), "wa": F.sum(weight * a)} | low).items()]
 
 
 def decayed(at: str, decay: float | None = None, half_life: float | None = None) -> Column:
@@ -63,30 +71,36 @@ def decayed(at: str, decay: float | None = None, half_life: float | None = None)
 
 
 def fit_dixon_coles(matches: DataFrame, decay: float | None = None, half_life: float | None = None, weight: Column | None = None, at: str = "match_date", rounds: int = 200) -> DixonColes:
-    """The weighted likelihood's maximum: attack and defence of every team (the first team's attack is 0), home advantage and rho.
-
-    Fisher scoring on the rates and a search on rho in turn. The driver sees one row per pairing.
-    """
+    """The weighted likelihood's maximum: attack and defence of every team (the first team's attack is 0), home advantage and rho. The driver sees one row per pairing."""
     newest = matches.agg(F.max(F.to_date(at)).alias("_newest"))
     rows = pairing_sums(matches.crossJoin(F.broadcast(newest)), decayed(at, decay, half_life) * (F.lit(1.0) if weight is None else weight)).collect()
     if not rows:
         raise ValueError("no matches with goals")
-    teams = sorted({r[k] for r in rows for k in ("home", "away")})
+    return maximum([r.home for r in rows], [r.away for r in rows], {k: np.array([float(r[k]) for r in rows]) for k in SUMS}, rounds)
+
+
+def maximum(home: Sequence, away: Sequence, sums: dict[str, np.ndarray], rounds: int = 200) -> DixonColes:
+    """The fit to the sums of each pairing: Fisher scoring on the rates and a search on rho in turn.
+
+    The normal equations are summed by team, so memory follows the square of the teams and not teams times pairings.
+    """
+    teams = sorted({*home, *away})
     place = {t: i for i, t in enumerate(teams)}
-    h, a = (np.array([place[r[k]] for r in rows]) for k in ("home", "away"))
-    w, wh, wa, w00, w01, w10, w11 = (np.array([float(r[k]) for r in rows]) for k in ("w", "wh", "wa", "w00", "w01", "w10", "w11"))
-    n, mean = len(teams), sum(r.goals for r in rows) / (2 * sum(r.n for r in rows)) or NO_GOALS
-    # columns: attack, defence, advantage; one row per pairing and side
-    design = np.zeros((2 * len(rows), 2 * n + 1))
-    at_row = np.arange(len(rows))
-    design[at_row, h] = design[at_row, n + a] = design[at_row, 2 * n] = 1
-    design[len(rows) + at_row, a] = design[len(rows) + at_row, n + h] = 1
-    design = design[:, 1:]
-    x, rho = np.zeros(2 * n), 0.0
+    h, a = (np.array([place[t] for t in side]) for side in (home, away))
+    most = sums["w"].max()  # only the ratios of weights count
+    w, wh, wa, w00, w01, w10, w11 = (sums[k] / most for k in SUMS[:7])
+    n, mean = len(teams), float(sums["goals"].sum() / (2 * sums["n"].sum())) or NO_GOALS
+    size = 2 * n + 1  # attacks, defences, advantage
+    spots = [(x, y) for side in ((h, n + a, np.full(len(h), 2 * n)), (a, n + h)) for x in side for y in side]
+    flat = np.concatenate([x * size + y for x, y in spots])
+    x, rho = np.zeros(size), 0.0
+    weights = np.concatenate((w00, w01, w10, w11))
+    counted = weights > 0
+    weights = weights[counted]
 
     def rates(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lam = np.exp(np.clip(np.log(mean) + design @ x, *LOG_RATE))
-        return lam[: len(rows)], lam[len(rows) :]
+        base = np.log(mean)
+        return np.exp(np.clip(base + x[h] + x[n + a] + x[2 * n], *LOG_RATE)), np.exp(np.clip(base + x[a] + x[n + h], *LOG_RATE))
 
     def taus(lh, la, rho):
         return [np.maximum(t, 1e-12) for t in (1 - lh * la * rho, 1 + lh * rho, 1 + la * rho, np.full(len(lh), 1 - rho))]
@@ -100,25 +114,29 @@ def fit_dixon_coles(matches: DataFrame, decay: float | None = None, half_life: f
         lh, la = rates(x)
         t00, t01, t10, _t = taus(lh, la, rho)
         both = -w00 * lh * la * rho / t00
-        grad = design.T @ np.concatenate((wh - w * lh + both + w01 * lh * rho / t01, wa - w * la + both + w10 * la * rho / t10))
-        fisher = (design.T * np.concatenate((w * lh, w * la))) @ design + 1e-9 * np.eye(2 * n)
-        move, size = np.linalg.solve(fisher, grad), 1.0
-        while size > 1e-8 and value(x + size * move, rho) < best:
-            size /= 2
-        x = x + size * move if size > 1e-8 else x
+        gh, ga = wh - w * lh + both + w01 * lh * rho / t01, wa - w * la + both + w10 * la * rho / t10
+        grad = np.bincount(np.concatenate((h, n + a, a, n + h)), weights=np.concatenate((gh, gh, ga, ga)), minlength=size)
+        grad[2 * n] = gh.sum()
+        fisher = np.bincount(flat, weights=np.concatenate([w * lh] * 9 + [w * la] * 4), minlength=size * size).reshape(size, size)
+        move = np.concatenate(([0.0], np.linalg.solve(fisher[1:, 1:] + 1e-9 * np.eye(size - 1), grad[1:])))
+        step = 1.0
+        while step > 1e-8 and value(x + step * move, rho) < best:
+            step /= 2
+        x = x + step * move if step > 1e-8 else x
         lh, la = rates(x)
-        low, high = RHO  # the likelihood is concave in rho: halve the side where it falls
-        for _step in range(60):
+        low, high = RHO  # the likelihood is concave in rho, and every tau is 1 + c * rho: halve the side where it falls
+        c = np.concatenate((-lh * la, lh, la, np.full(len(lh), -1.0)))[counted]
+        gain = weights * c
+        for _step in range(40):
             mid = (low + high) / 2
-            t = taus(lh, la, mid)
-            slope = (-w00 * lh * la / t[0] + w01 * lh / t[1] + w10 * la / t[2] - w11 / t[3]).sum()
+            slope = (gain / np.maximum(1 + c * mid, 1e-12)).sum()
             low, high = (mid, high) if slope > 0 else (low, mid)
         rho = max((low + high) / 2, rho, key=lambda r: value(x, r))
         now = value(x, rho)
         if now - best < 1e-10 * (1 + abs(best)):
             break
         best = now
-    return DixonColes(teams, np.concatenate(([0.0], x[: n - 1])), x[n - 1 : 2 * n - 1], float(mean), float(x[2 * n - 1]), float(rho))
+    return DixonColes(teams, x[:n], x[n : 2 * n], mean, float(x[2 * n]), float(rho))
 
 
 def walk_forward(matches: DataFrame, order: Sequence[str], folds: int, gap: int) -> tuple[DataFrame, DataFrame]:

@@ -301,3 +301,76 @@ def test_shrinkage_without_minutes_is_the_prior(spark):
 
     df = spark.createDataFrame([(None,), (-5.0,), (float("nan"),), (900.0,)], "m double")
     assert [r[0] for r in df.select(stats.shrunk(F.lit(10.0), F.col("m"), F.lit(2.0), 900.0)).collect()] == [2.0, 2.0, 2.0, 6.0]
+
+
+# Rules of labels and reports on small cases
+
+
+def test_label_rules(spark):
+    from touchline.operators import labels
+
+    truth = spark.createDataFrame([("award", "2324", "2024-05-31"), (" Award ", "2324", "2024-06-01"), ("expert_tier", "2324", "2024-01-01"), ("scouting_review", "2023-24", "2024-01-01"), ("manual_calibration", "2324", "soon"), ("transfermarkt_value", None, None)], "label_source string, season string, as_of string")
+    r = labels.temporal(truth, "label_source", "season", "as_of").first()
+    assert tuple(r) == (1, 2, 2, 1)
+    assert labels.temporal(truth.limit(0), "label_source", "season", "as_of").first().post_season_rows == 0
+    ledger = spark.createDataFrame([(1, "confirmed", None, "human_tier", "x", "2024-01-01/2024-02-01", 1, 2), (2, "confirmed", None, "future_outcome", " ", "2024", 1, 2), (3, "confirmed", None, "human_pairwise_preference", "x", None, 5, 5), (4, "revoked", None, "model_derived", "", None, 1, 1)], "decision_id int, action string, supersedes int, label_type string, evidence string, observation_window string, a int, b int")
+    assert sorted(map(tuple, labels.independence(ledger).collect())) == [(2, "evidence_empty"), (2, "observation_window_invalid"), (3, "observation_window_invalid"), (3, "pairwise_self_comparison")]
+    assert {x.decision_id for x in labels.eligible(ledger, "label_type", labels.ELIGIBLE).collect()} == {1, 2, 3}
+
+
+def scored_rows(spark, rows):
+    from touchline.operators import backtest
+
+    return backtest.scored(spark.createDataFrame(rows, "match_id int, match_date date, home string, away string, home_goals int, away_goals int, p_home double, p_draw double, p_away double, outcome string"))
+
+
+def test_drift_of_a_team_runs_from_its_own_first_match(spark):
+    import datetime as dt
+
+    from touchline.operators import reports
+
+    good, bad = (0.8, 0.1, 0.1, "home"), (0.1, 0.1, 0.8, "home")
+    days = [(0, good), (5, good), (20, good), (25, good), (41, bad), (45, bad)]
+    rows = [(k, dt.date(2024, 3, 1) + dt.timedelta(days=d), "a", "b", 1, 0, *f) for k, (d, f) in enumerate(days)] + [(50, dt.date(2024, 1, 1), "c", "a", 1, 0, *good), (51, None, "a", "b", 1, 0, *good)]
+    got = {r.team: r for r in reports.team_drift(scored_rows(spark, rows), 20, 2).collect()}
+    low, high = 0.06, 0.9**2 + 0.1**2 + 0.8**2
+    assert got["a"].windows == 3 and got["a"].n == 6 and got["a"].trend == "degrading" and got["a"].drifted
+    assert got["a"].relative_change == pytest.approx((high - low) / low)
+    assert (got["c"].windows, got["c"].trend, got["c"].drifted, got["c"].latest_brier) == (0, "insufficient_data", False, 0.0)
+
+
+def test_profiles_take_the_best_from_correct_forecasts(spark):
+    import datetime as dt
+
+    from touchline.operators import reports
+
+    day = dt.date(2024, 3, 1)
+    rows = [(1, day, "a", "b", 2, 0, 0.5, 0.3, 0.2, "home"), (2, day, "a", "b", 0, 0, 0.4, 0.35, 0.25, "draw"), (3, day, "b", "a", 0, 2, 0.2, 0.2, 0.6, "away"), (4, day, "a", "c", 1, 1, 0.36, 0.33, 0.31, "draw")]
+    got = {r.team: r for r in reports.team_profiles(scored_rows(spark, rows), 2, 1).collect()}
+    a = got["a"]
+    assert (a.best, a.worst) == ("3|1", "4|2")
+    assert a.common_scores == "2-0:2|0-0:1|1-1:1" and (a.clean_sheets, a.both_scored, a.goals_for) == (0.75, 0.25, 1.25)
+    assert a.overperformance == pytest.approx(0.5 - (0.5 + 0.4 + 0.6 + 0.36) / 4) and got["c"].best == ""
+
+
+def test_folds_and_age(spark):
+    import datetime as dt
+
+    from touchline.operators import reports
+
+    rows = [(k, dt.date(2024, 1, 1 + k), "a", "b", 1, 0, *((0.6, 0.2, 0.2) if k % 4 else (0.2, 0.2, 0.6)), "home") for k in range(8)]
+    df = scored_rows(spark, rows).withColumn("fold", F.when(F.col("match_id") < 4, 1).otherwise(2))
+    got = reports.fold_report(df, "fold", 2).collect()
+    assert len(got) == 2 and {r.stability for r in got} == {"stable"} and got[0].accuracy == 0.75 and got[0].accuracy_std == 0
+    age = reports.staleness(df, ["home"], "match_date", F.to_date(F.lit("2023-12-01")), 30, 90).first()
+    assert (age.age_days, age.status) == (0, "fresh")
+    assert reports.staleness(df, ["home"], "match_date", F.to_date(F.lit("2024-03-01")), 30, 90).first().status == "aging"
+
+
+def test_no_match_left_is_dropped(spark):
+    from touchline.operators import tournament
+
+    played = spark.createDataFrame([("g", t, 0, 0, 0) for t in "abcd"], "group string, team string, pts int, gd int, gf int")
+    left = spark.createDataFrame([(k, "g", *p) for k, p in enumerate(("ab", "ac", "ad", "bc", "bd", "cd"))], "match_id int, group string, home string, away string")
+    got = tournament.qualification(tournament.scenarios(played, left)).collect()
+    assert {r.scenarios for r in got} == {729} and {r.status for r in got} == {"open"} and sum(r.through for r in got) == 2 * 729

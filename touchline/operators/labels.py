@@ -1,6 +1,6 @@
 """Governance of a ledger of judgements: what is active, what to review or test again, independence, agreement of repeats, truth labels, freshness and differences of records.
 
-A ledger has decision_id, action, supersedes, label_type, tier, confidence, evidence, recorded_at and decided_by.
+A ledger has decision_id, action, supersedes, label_type, tier, confidence, evidence, observation_window, recorded_at and decided_by.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from .joins import not_superseded
 
-#: Label types that no model may learn from, and those that it may.
+#: Label types that no model may learn from, and those that it may; sources of truth labels that it may learn from; the form of an observation window.
 SELF_REFERENTIAL = ["model_derived"]
-ELIGIBLE = ["human_tier", "human_pairwise_preference"]
+ELIGIBLE = ["human_pairwise_preference", "human_tier", "external_reference", "future_outcome"]
+ELIGIBLE_SOURCES = ["transfermarkt_value", "award", "manual_calibration", "scouting_review"]
+WINDOW = r"^\d{4}-\d{2}-\d{2}/\d{4}-\d{2}-\d{2}$"
 
 
 def active(ledger: DataFrame) -> DataFrame:
@@ -55,8 +57,8 @@ def retest_pairs(ledger: DataFrame, tolerance: int) -> DataFrame:
 
 
 def independence(ledger: DataFrame) -> DataFrame:
-    """(decision_id, violation) of active records: learned from a model, a pair of one player, or no evidence."""
-    found = {"model_derived_in_active_set": F.col("label_type").isin(SELF_REFERENTIAL), "pairwise_self_comparison": (F.col("label_type") == "human_pairwise_preference") & F.col("a").eqNullSafe(F.col("b")), "evidence_empty": F.trim(F.coalesce("evidence", F.lit(""))) == ""}
+    """(decision_id, violation) of active records: learned from a model, a pair of one player, an observation window that is no pair of dates, or no evidence."""
+    found = {"model_derived_in_active_set": F.col("label_type").isin(SELF_REFERENTIAL), "pairwise_self_comparison": (F.col("label_type") == "human_pairwise_preference") & F.col("a").eqNullSafe(F.col("b")), "observation_window_invalid": ~F.coalesce("observation_window", F.lit("")).rlike(WINDOW), "evidence_empty": F.trim(F.coalesce("evidence", F.lit(""))) == ""}
     flags = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in found.items()]), lambda x: x.isNotNull())
     return active(ledger).select("decision_id", F.explode(flags).alias("violation"))
 
@@ -81,11 +83,17 @@ def truth_checks(df: DataFrame, key: Sequence[str], source: str, sources: Sequen
     return one.crossJoin(twice).select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).cast("long").alias("failures")) for n in names])).alias("x")).select("x.*")
 
 
-def temporal(df: DataFrame, season: str, as_of: str) -> DataFrame:
-    """Per season, which ends in June: labels dated before, within a year after, and later than its end, and without a date."""
-    end = F.make_date(F.col(season).cast("int"), F.lit(6), F.lit(30))
-    days = F.datediff(as_of, end)
-    return df.groupBy(season).agg(F.count("*").alias("n"), F.count_if(days < 0).alias("before_end"), F.count_if((days >= 0) & (days <= 365)).alias("in_time"), F.count_if(days > 365).alias("late"), F.count_if(F.col(as_of).isNull()).alias("undated"))
+def season_end(code: Column) -> Column:
+    """May 31 of the second year of a code of two years, as 2324; null for any other text."""
+    code = F.trim(code.cast("string"))
+    return F.when(code.rlike("^[0-9]{4}$"), F.make_date(F.lit(2000) + F.try_to_number(F.substring(code, 3, 2), F.lit("99")).cast("int"), F.lit(5), F.lit(31)))
+
+
+def temporal(df: DataFrame, source: str, season: str, as_of: str, by: Sequence[str] = ()) -> DataFrame:
+    """Of the labels from sources that may teach, by group: those known by the season's end, those without a date, those of no valid season, and those dated later. The second and third may overlap."""
+    end, at = season_end(F.col(season)), F.col(as_of).try_cast("timestamp")
+    counts = {"temporally_eligible_rows": at <= end, "missing_or_invalid_as_of_rows": at.isNull(), "invalid_season_rows": end.isNull(), "post_season_rows": at > end}
+    return eligible(df, source, ELIGIBLE_SOURCES).groupBy(*by).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
 
 
 def tiers(df: DataFrame, season: str, score: str, cuts: Sequence[tuple[float, int]], rest: int) -> DataFrame:

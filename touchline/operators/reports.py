@@ -77,28 +77,29 @@ def interval_report(df: DataFrame, low: Column, high: Column, hit: Column, bins:
 
 
 def staleness(df: DataFrame, by: Sequence[str], at: str, reference: Column, fresh: int, stale: int) -> DataFrame:
-    """Per group: the last date, its age in days at the reference, and whether that is fresh, ageing or stale."""
-    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.to_date(at)).alias("last"))
-    age = F.datediff(reference, "last")
-    return out.withColumns({"age_days": age, "status": F.when(age <= fresh, "fresh").when(age <= stale, "ageing").otherwise("stale")})
+    """Per group of rows with a date: their number, first and last date, the last one's age in days at the reference (0 if it lies after that), and whether it is fresh, aging or stale."""
+    out = df.where(F.to_date(at).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.min(F.to_date(at)).alias("first"), F.max(F.to_date(at)).alias("last"))
+    age = F.greatest(F.datediff(reference, "last"), F.lit(0))
+    return out.withColumns({"age_days": age, "status": F.when(age <= fresh, "fresh").when(age <= stale, "aging").otherwise("stale")})
 
 
 def fold_report(df: DataFrame, fold: str, least: int) -> DataFrame:
-    """Per fold of `least` rows or more: mean scores, and the coefficient of variation of the folds' Brier scores."""
-    per = df.groupBy(fold).agg(F.count("*").alias("n"), F.avg("brier").alias("brier"), F.avg("rps").alias("rps"), F.avg("correct").alias("accuracy")).where(F.col("n") >= least)
-    spread = per.agg(F.try_divide(F.stddev_pop("brier"), F.avg("brier")).alias("brier_cv"))
-    return per.crossJoin(spread)  # one row
+    """Per fold of `least` rows or more: mean scores, beside the population deviations of the folds' accuracy, Brier and ranked probability scores and how stable that of accuracy says they are."""
+    per = df.groupBy(fold).agg(F.count("*").alias("n"), F.avg("brier").alias("brier"), F.avg("rps").alias("rps"), F.avg("correct").alias("accuracy"), F.avg("confidence").alias("confidence")).where(F.col("n") >= least)
+    spread = per.agg(*[F.stddev_pop(c).alias(f"{c}_std") for c in ("accuracy", "brier", "rps")])
+    stable = F.when(F.col("accuracy_std") < 0.03, "stable").when(F.col("accuracy_std") < 0.08, "moderate").otherwise("unstable")
+    return per.crossJoin(spread).withColumn("stability", stable)  # one row
 
 
 def feature_importance(df: DataFrame, features: Sequence[str], bins: int, least: int) -> DataFrame:
-    """Per numeric feature: the deviation of mean Brier scores between its quantile bins, weighted by their rows; bins of fewer than `least` rows are left out."""
+    """Per numeric feature: the deviation of mean Brier scores between its quantile bins, weighted by their rows; bins of fewer than `least` rows are left out, and so are features with fewer than two bins then."""
     out = None
     for f in features:  # a list of columns
         b = quantile_bins(df.where(F.col(f).isNotNull()).select(F.col(f).cast("double").alias("x"), "brier"), "x", bins).groupBy("bin").agg(F.count("*").alias("n"), F.avg("brier").alias("b")).where(F.col("n") >= least)
         mean = F.sum(F.col("n") * F.col("b")) / F.sum("n")
         one = b.agg(F.lit(f).alias("feature"), F.count("*").alias("bins"), F.sqrt(F.greatest(F.sum(F.col("n") * F.col("b") * F.col("b")) / F.sum("n") - mean * mean, F.lit(0.0))).alias("importance"))
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.where("bins >= 2")
 
 
 def drift_heatmap(df: DataFrame, at: str, days: int, bins: int, least: int) -> DataFrame:
@@ -109,31 +110,52 @@ def drift_heatmap(df: DataFrame, at: str, days: int, bins: int, least: int) -> D
 
 
 def sides(df: DataFrame) -> DataFrame:
-    """Two rows per scored() forecast: team, side, its chance and whether it won."""
-    one = lambda us: F.struct(F.col(us).alias("team"), F.lit(us).alias("side"), F.col(f"p_{us}").alias("chance"), (F.col("outcome") == us).cast("int").alias("won"))
-    return df.select("match_id", "match_date", "brier", "correct", F.explode(F.array(one("home"), one("away"))).alias("x")).select("match_id", "match_date", "brier", "correct", "x.*")
+    """Two rows per scored() forecast: team, side, its chance, whether it won, its goals and the other side's."""
+    one = lambda us, them: F.struct(F.col(us).alias("team"), F.lit(us).alias("side"), F.col(f"p_{us}").alias("chance"), (F.col("outcome") == us).cast("int").alias("won"), F.col(f"{us}_goals").alias("goals_for"), F.col(f"{them}_goals").alias("goals_against"))
+    own = ["match_id", "match_date", "brier", "correct", "confidence"]
+    return df.select(*own, F.explode(F.array(one("home", "away"), one("away", "home"))).alias("x")).select(*own, "x.*")
 
 
 def team_profiles(df: DataFrame, n: int, least: int) -> DataFrame:
-    """Per team of `least` matches or more: accuracy, Brier score, mean chance less share of wins (bias), and the ids of its n best and worst forecasts."""
+    """Per team of `least` matches or more: accuracy, Brier score, goals, clean sheets and matches in which both scored, share of wins less mean chance and what that says, the five most common scores, and the ids of its n worst forecasts and of its n best among the correct ones."""
     rows = sides(df)
-    per = rows.groupBy("team").agg(F.count("*").alias("n"), F.avg("correct").alias("accuracy"), F.avg("brier").alias("brier"), (F.avg("chance") - F.avg("won")).alias("bias")).where(F.col("n") >= least)
-    for name, order in (("best", F.col("brier")), ("worst", -F.col("brier"))):
+    share = lambda c: F.avg(c.cast("double"))
+    per = rows.groupBy("team").agg(F.count("*").alias("n"), F.avg("correct").alias("accuracy"), F.avg("brier").alias("brier"), F.avg("goals_for").alias("goals_for"), F.avg("goals_against").alias("goals_against"),
+                                   share(F.col("goals_against") == 0).alias("clean_sheets"), share((F.col("goals_for") > 0) & (F.col("goals_against") > 0)).alias("both_scored"), (F.avg("won") - F.avg("chance")).alias("overperformance")).where(F.col("n") >= least)
+    over = F.col("overperformance")
+    per = per.withColumn("assessment", F.when(over > 0.05, "overperformer").when(over < -0.05, "underperformer").otherwise("aligned"))
+    # a team has few different scores
+    scores = rows.groupBy("team", F.concat_ws("-", "goals_for", "goals_against").alias("score")).agg(F.count("*").alias("k"))
+    common = scores.groupBy("team").agg(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "score"))).alias("x"))
+    per = joined(per, common.select("team", F.concat_ws("|", F.transform(F.slice("x", 1, 5), lambda x: F.concat(x["score"], F.lit(":"), (-x["k"]).cast("string")))).alias("common_scores")), ["team"])
+    for name, order, some in (("best", F.col("brier"), rows.where("correct = 1")), ("worst", -F.col("brier"), rows)):
         # n rows of each day's worth of matches are enough for n of the team: the second step sorts few
         key = F.struct(order.alias("b"), F.col("match_id").alias("id"))
-        few = rows.withColumn("_key", key).withColumn("_rn", F.row_number().over(Window.partitionBy("team", F.year("match_date"), F.dayofyear("match_date")).orderBy("_key"))).where(F.col("_rn") <= n)
+        few = some.withColumn("_key", key).withColumn("_rn", F.row_number().over(Window.partitionBy("team", F.year("match_date"), F.dayofyear("match_date")).orderBy("_key"))).where(F.col("_rn") <= n)
         top = few.groupBy("team").agg(F.concat_ws("|", F.transform(F.slice(F.array_sort(F.collect_list("_key")), 1, n), lambda x: x["id"].cast("string"))).alias(name))
-        per = joined(per, top, ["team"])
+        per = joined(per, top, ["team"], "left").withColumn(name, F.coalesce(name, F.lit("")))
     return per
 
 
-def team_drift(df: DataFrame, days: int, least: int) -> DataFrame:
-    """Per team and window of so many days, of `least` matches or more: mean Brier score, and its change relative to the team's first such window."""
-    start = df.agg(F.min(F.to_date("match_date")).alias("_start"))
-    rows = sides(df).crossJoin(F.broadcast(start)).withColumn("window", F.floor(F.datediff(F.to_date("match_date"), "_start") / days))
-    per = rows.groupBy("team", "window").agg(F.count("*").alias("n"), F.avg("brier").alias("brier")).where(F.col("n") >= least)
-    first = F.first("brier").over(Window.partitionBy("team").orderBy("window"))
-    return per.withColumn("change", F.try_divide(F.col("brier") - first, first))
+def team_windows(df: DataFrame, days: int, least: int, side: str = "home") -> DataFrame:
+    """Per team on one side and window of so many days from its own first match there, of `least` matches or more: matches, accuracy, Brier score and confidence. Rows without a date are left out."""
+    rows = sides(df).where((F.col("side") == side) & F.to_date("match_date").isNotNull())
+    first = rows.groupBy("team").agg(F.min(F.to_date("match_date")).alias("_first"))
+    rows = joined(rows, first, ["team"]).withColumn("window", F.floor(F.datediff(F.to_date("match_date"), "_first") / days))
+    return rows.groupBy("team", "window").agg(F.count("*").alias("n"), F.avg("correct").alias("accuracy"), F.avg("brier").alias("brier"), F.avg("confidence").alias("confidence")).where(F.col("n") >= least)
+
+
+def team_drift(df: DataFrame, days: int, least: int, side: str = "home") -> DataFrame:
+    """Per team on one side: its team_windows(), the latest one's Brier score against the mean of those before, the relative change, whether that is over 5 %, and the trend; teams without windows have insufficient data."""
+    w = team_windows(df, days, least, side).groupBy("team").agg(F.count("*").alias("windows"), F.max_by("brier", "window").alias("latest_brier"), F.sum("brier").alias("_sum"))
+    out = joined(sides(df).where((F.col("side") == side) & F.to_date("match_date").isNotNull()).groupBy("team").agg(F.count("*").alias("n")), w, ["team"], "left")
+    out = out.withColumns({"windows": F.coalesce("windows", F.lit(0)).cast("long"), "latest_brier": F.coalesce("latest_brier", F.lit(0.0))})
+    history = F.when(F.col("windows") >= 2, (F.col("_sum") - F.col("latest_brier")) / (F.col("windows") - 1)).otherwise(F.col("latest_brier"))
+    out = out.withColumn("historical_brier", history).drop("_sum")
+    out = out.withColumn("relative_change", F.when((F.col("historical_brier") > 0) & (F.col("windows") >= 2), (F.col("latest_brier") - F.col("historical_brier")) / F.col("historical_brier")).otherwise(0.0))
+    change = F.col("relative_change")
+    trend = F.when(F.col("windows") < 2, "insufficient_data").when(change < -0.005, "improving").when(change > 0.005, "degrading").otherwise("stable")
+    return out.withColumns({"drifted": (F.abs(change) > 0.05) & (F.col("windows") >= 2), "trend": trend})
 
 
 def h2h_corrected(df: DataFrame, meetings: DataFrame, most: float, least: int, blend: float) -> DataFrame:

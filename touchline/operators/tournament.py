@@ -119,10 +119,10 @@ def simulated_groups(played: DataFrame, left: DataFrame, sims: int, seed: int, t
     return final.withColumn("_place", place).groupBy("group", "team").agg(F.avg((F.col("_place") == 1).cast("double")).alias("p_first"), F.avg((F.col("_place") <= through).cast("double")).alias("p_through"))
 
 
-def scenarios(played: DataFrame, left: DataFrame, through: int = 2, most: int = 6) -> DataFrame:
-    """(group, team, scenarios, through, best, worst): over all 3 ** n outcomes of a group's n matches left, how often a team ends among the first `through`, and its best and worst place. Groups with more than `most` matches left are left out, as their outcomes are too many."""
+def scenarios(played: DataFrame, left: DataFrame, through: int = 2) -> DataFrame:
+    """(group, team, scenarios, through, best, worst): over all 3 ** n outcomes of a group's n matches left, how often a team ends among the first `through`, and its best and worst place. Groups without a match left have no rows; a round of four teams has six matches, 729 outcomes."""
     own = left.withColumn("_k", F.row_number().over(Window.partitionBy("group").orderBy("match_id")) - 1)
-    few = own.groupBy("group").agg(F.count("*").alias("_n")).where(F.col("_n") <= most)
+    few = own.groupBy("group").agg(F.count("*").alias("_n"))
     runs = few.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.pow(F.lit(3.0), F.col("_n")).cast("int") - 1)))
     out = own.join(runs, "group").withColumn("_s", 1 - F.floor(F.col("scenario") / F.pow(F.lit(3.0), F.col("_k"))).cast("int") % 3)
     side = lambda team, s: F.struct(F.col(team).alias("team"), F.when(s > 0, 3).when(s == 0, 1).otherwise(0).alias("p"), s.alias("d"), F.greatest(s, F.lit(0)).alias("f"))

@@ -12,7 +12,7 @@ from touchline.operators import careers as car
 from touchline.operators import identity, joins, labels, quality, reports, sensitivity, stats
 
 from .registry import UNIFORM, query
-from .stand_ins import CAREERS, FORECASTS, LEDGER, MATCHES, RATINGS, SCORED, careers, forecasts, ledger, matches, ratings, table
+from .stand_ins import CAREERS, FORECASTS, LEDGER, MATCHES, RATINGS, SCORED, TRUTH, careers, forecasts, ledger, matches, ratings, table, truth_labels
 
 # Forecast reports
 
@@ -66,19 +66,20 @@ def interval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.interval_report(bt.scored(forecasts(spark, sf_dir)), low, high, bt.hit("home"), 5)
 
 
-@query(f"""WITH {FORECASTS}, x AS (SELECT league, home, count(*) AS n, max(match_date::DATE) AS last FROM forecasts GROUP BY ALL) SELECT league, home, n, last, (DATE '2002-01-01' - last)::INT AS age_days, CASE WHEN DATE '2002-01-01' - last <= 200 THEN 'fresh' WHEN DATE '2002-01-01' - last <= 500 THEN 'ageing' ELSE 'stale' END AS status FROM x""")
+@query(f"""WITH {FORECASTS}, x AS (SELECT league, home, count(*) AS n, min(match_date::DATE) AS first, max(match_date::DATE) AS last FROM forecasts GROUP BY ALL), y AS (SELECT *, greatest(DATE '1998-08-20' - last, 0)::INT AS age_days FROM x) SELECT *, CASE WHEN age_days <= 30 THEN 'fresh' WHEN age_days <= 90 THEN 'aging' ELSE 'stale' END AS status FROM y""")
 def forecast_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.staleness(forecasts(spark, sf_dir), ["league", "home"], "match_date", F.to_date(F.lit("2002-01-01")), 200, 500)
+    return reports.staleness(forecasts(spark, sf_dir), ["league", "home"], "match_date", F.to_date(F.lit("1998-08-20")), 30, 90)
 
 
-@query(f"""WITH {SCORED}, p AS (SELECT season AS fold, count(*) AS n, avg(brier) AS brier, avg(rps) AS rps, avg(correct) AS accuracy FROM scored GROUP BY 1 HAVING count(*) >= 5) SELECT p.*, (SELECT stddev_pop(brier) / avg(brier) FROM p) AS brier_cv FROM p""")
+@query(f"""WITH {SCORED}, p AS (SELECT season AS fold, count(*) AS n, avg(brier) AS brier, avg(rps) AS rps, avg(correct) AS accuracy, avg(confidence) AS confidence FROM scored GROUP BY 1 HAVING count(*) >= 5), d AS (SELECT stddev_pop(accuracy) AS accuracy_std, stddev_pop(brier) AS brier_std, stddev_pop(rps) AS rps_std FROM p)
+SELECT p.*, d.*, CASE WHEN accuracy_std < 0.03 THEN 'stable' WHEN accuracy_std < 0.08 THEN 'moderate' ELSE 'unstable' END AS stability FROM p, d""")
 def fold_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.fold_report(bt.scored(forecasts(spark, sf_dir)).withColumnRenamed("season", "fold"), "fold", 5)
 
 
 def _importance_sql(f: str) -> str:
     return f"""SELECT '{f}' AS feature, count(*) AS bins, sqrt(greatest(sum(n * b * b) / sum(n) - pow(sum(n * b) / sum(n), 2), 0)) AS importance FROM (SELECT bin, count(*) AS n, avg(brier) AS b FROM
- (SELECT brier, greatest(len(list_filter(e, lambda y: y < {f}::DOUBLE)) - 1, 0) AS bin FROM scored, (SELECT list_distinct(quantile_cont({f}::DOUBLE, [0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS e FROM scored)) GROUP BY bin HAVING count(*) >= 3)"""
+ (SELECT brier, greatest(len(list_filter(e, lambda y: y < {f}::DOUBLE)) - 1, 0) AS bin FROM scored, (SELECT list_distinct(quantile_cont({f}::DOUBLE, [0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS e FROM scored)) GROUP BY bin HAVING count(*) >= 3) HAVING count(*) >= 2"""
 
 
 FEATURES = ["p_home", "p_draw", "p_away", "home", "away"]
@@ -94,20 +95,33 @@ def drift_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.drift_heatmap(bt.scored(forecasts(spark, sf_dir)), "match_date", 180, 5, 3)
 
 
-SIDES = """two AS (SELECT match_id, match_date, brier, correct, home AS team, p_home AS chance, yh AS won FROM scored UNION ALL SELECT match_id, match_date, brier, correct, away, p_away, ya FROM scored)"""
+SIDES = """two AS (SELECT match_id, match_date, brier, correct, confidence, home AS team, 'home' AS side, p_home AS chance, yh AS won, home_goals AS gf, away_goals AS ga FROM scored UNION ALL SELECT match_id, match_date, brier, correct, confidence, away, 'away', p_away, ya, away_goals, home_goals FROM scored)"""
 
 
-@query(f"""WITH {SCORED}, {SIDES}, b AS (SELECT team, string_agg(match_id::VARCHAR, '|' ORDER BY rn) AS best FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY brier, match_id) AS rn FROM two) WHERE rn <= 3 GROUP BY team),
+@query(f"""WITH {SCORED}, {SIDES}, b AS (SELECT team, string_agg(match_id::VARCHAR, '|' ORDER BY rn) AS best FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY brier, match_id) AS rn FROM two WHERE correct = 1) WHERE rn <= 3 GROUP BY team),
 w AS (SELECT team, string_agg(match_id::VARCHAR, '|' ORDER BY rn) AS worst FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY brier DESC, match_id) AS rn FROM two) WHERE rn <= 3 GROUP BY team),
-t AS (SELECT team, count(*) AS n, avg(correct) AS accuracy, avg(brier) AS brier, avg(chance) - avg(won) AS bias FROM two GROUP BY team HAVING count(*) >= 5) SELECT t.*, best, worst FROM t JOIN b USING (team) JOIN w USING (team)""")
+c AS (SELECT team, string_agg(score || ':' || k, '|' ORDER BY rn) AS common_scores FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY k DESC, score) AS rn FROM (SELECT team, gf || '-' || ga AS score, count(*) AS k FROM two GROUP BY ALL)) WHERE rn <= 5 GROUP BY team),
+t AS (SELECT team, count(*) AS n, avg(correct) AS accuracy, avg(brier) AS brier, avg(gf) AS goals_for, avg(ga) AS goals_against, avg((ga = 0)::INT) AS clean_sheets, avg((gf > 0 AND ga > 0)::INT) AS both_scored, avg(won) - avg(chance) AS overperformance FROM two GROUP BY team HAVING count(*) >= 5)
+SELECT t.*, CASE WHEN overperformance > 0.05 THEN 'overperformer' WHEN overperformance < -0.05 THEN 'underperformer' ELSE 'aligned' END AS assessment, common_scores, coalesce(best, '') AS best, worst FROM t JOIN c USING (team) JOIN w USING (team) LEFT JOIN b USING (team)""")
 def team_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.team_profiles(bt.scored(forecasts(spark, sf_dir)), 3, 5)
 
 
-@query(f"""WITH {SCORED}, {SIDES}, s AS (SELECT min(match_date::DATE) AS d0 FROM scored), p AS (SELECT team, ((match_date::DATE - d0) // 180)::BIGINT AS "window", count(*) AS n, avg(brier) AS brier FROM two, s GROUP BY ALL HAVING count(*) >= 3)
-SELECT *, (brier - first_value(brier) OVER w) / first_value(brier) OVER w AS change FROM p WINDOW w AS (PARTITION BY team ORDER BY "window")""")
+WINDOWS = """hs AS (SELECT *, min(match_date::DATE) OVER (PARTITION BY team) AS d0 FROM two WHERE side = 'home'),
+p AS (SELECT team, ((match_date::DATE - d0) // 180)::BIGINT AS "window", count(*) AS n, avg(correct) AS accuracy, avg(brier) AS brier, avg(confidence) AS confidence FROM hs GROUP BY ALL HAVING count(*) >= 5)"""
+
+
+@query(f"WITH {SCORED}, {SIDES}, {WINDOWS} SELECT * FROM p")
+def team_calibration_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.team_windows(bt.scored(forecasts(spark, sf_dir)), 180, 5)
+
+
+@query(f"""WITH {SCORED}, {SIDES}, {WINDOWS}, l AS (SELECT team, count(*) AS windows, arg_max(brier, "window") AS latest_brier, sum(brier) AS s FROM p GROUP BY team),
+j AS (SELECT team, n, coalesce(windows, 0) AS windows, coalesce(latest_brier, 0) AS latest_brier, CASE WHEN windows >= 2 THEN (s - latest_brier) / (windows - 1) ELSE coalesce(latest_brier, 0) END AS historical_brier FROM (SELECT team, count(*) AS n FROM hs GROUP BY team) LEFT JOIN l USING (team)),
+r AS (SELECT *, CASE WHEN windows >= 2 AND historical_brier > 0 THEN (latest_brier - historical_brier) / historical_brier ELSE 0 END AS relative_change FROM j)
+SELECT *, abs(relative_change) > 0.05 AND windows >= 2 AS drifted, CASE WHEN windows < 2 THEN 'insufficient_data' WHEN relative_change < -0.005 THEN 'improving' WHEN relative_change > 0.005 THEN 'degrading' ELSE 'stable' END AS trend FROM r""")
 def team_calibration_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.team_drift(bt.scored(forecasts(spark, sf_dir)), 180, 3)
+    return reports.team_drift(bt.scored(forecasts(spark, sf_dir)), 180, 5)
 
 
 @query(f"""WITH {FORECASTS}, m AS (SELECT home, away, count(*) AS n, avg((outcome = 'home')::INT) AS s_home, avg((outcome = 'draw')::INT) AS s_draw, avg((outcome = 'away')::INT) AS s_away FROM forecasts GROUP BY ALL),
@@ -255,7 +269,7 @@ def retest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.retest_pairs(ledger(spark, sf_dir), 1)
 
 
-@query(f"WITH {LEDGER} SELECT decision_id, 'model_derived_in_active_set' AS violation FROM active WHERE label_type = 'model_derived' UNION ALL SELECT decision_id, 'pairwise_self_comparison' FROM active WHERE label_type = 'human_pairwise_preference' AND a = b UNION ALL SELECT decision_id, 'evidence_empty' FROM active WHERE trim(evidence) = ''")
+@query(f"WITH {LEDGER} SELECT decision_id, 'model_derived_in_active_set' AS violation FROM active WHERE label_type = 'model_derived' UNION ALL SELECT decision_id, 'pairwise_self_comparison' FROM active WHERE label_type = 'human_pairwise_preference' AND a = b UNION ALL SELECT decision_id, 'observation_window_invalid' FROM active WHERE NOT regexp_full_match(coalesce(observation_window, ''), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}/[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') UNION ALL SELECT decision_id, 'evidence_empty' FROM active WHERE trim(evidence) = ''")
 def independence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.independence(ledger(spark, sf_dir))
 
@@ -265,19 +279,28 @@ def tier_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.tier_conflicts(labels.active(ledger(spark, sf_dir)), ["b", "season"], "tier", 4)
 
 
-@query(f"""WITH {LEDGER} SELECT 'unknown_source' AS "check", count(*) FILTER (label_type NOT IN ('human_tier', 'human_pairwise_preference')) AS failures FROM ledger UNION ALL SELECT 'unknown_confidence', count(*) FILTER (confidence <> 'high') FROM ledger UNION ALL SELECT 'repeated_key', coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM ledger GROUP BY b, season, label_type HAVING count(*) > 1)""")
+@query(f"""WITH {LEDGER} SELECT 'unknown_source' AS "check", count(*) FILTER (label_type NOT IN ('human_pairwise_preference', 'human_tier', 'external_reference', 'future_outcome')) AS failures FROM ledger UNION ALL SELECT 'unknown_confidence', count(*) FILTER (confidence <> 'high') FROM ledger UNION ALL SELECT 'repeated_key', coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM ledger GROUP BY b, season, label_type HAVING count(*) > 1)""")
 def truth_label_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.truth_checks(ledger(spark, sf_dir), ["b", "season", "label_type"], "label_type", labels.ELIGIBLE, "confidence", ["high"])
 
 
-@query(f"WITH {LEDGER}, d AS (SELECT season, recorded_at - make_date(season, 6, 30) AS d FROM ledger) SELECT season, count(*) AS n, count(*) FILTER (d < 0) AS before_end, count(*) FILTER (d BETWEEN 0 AND 365) AS in_time, count(*) FILTER (d > 365) AS late, count(*) FILTER (d IS NULL) AS undated FROM d GROUP BY season")
+ELIGIBLE_TRUTH = """lower(trim(coalesce(label_source, ''))) IN ('transfermarkt_value', 'award', 'manual_calibration', 'scouting_review')"""
+
+
+@query(f"""WITH {TRUTH}, e AS (SELECT decision_id % 10 AS line, as_of_date AS seen, CASE WHEN regexp_full_match(season, '[0-9]{{4}}') THEN make_date(2000 + season[3:4]::INT, 5, 31) END AS til FROM truth WHERE {ELIGIBLE_TRUTH})
+SELECT line, count(*) FILTER (seen <= til) AS temporally_eligible_rows, count(*) FILTER (seen IS NULL) AS missing_or_invalid_as_of_rows, count(*) FILTER (til IS NULL) AS invalid_season_rows, count(*) FILTER (seen > til) AS post_season_rows FROM e GROUP BY line""")
 def truth_label_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.temporal(ledger(spark, sf_dir), "season", "recorded_at")
+    return labels.temporal(truth_labels(spark, sf_dir).withColumn("line", F.col("decision_id") % 10), "label_source", "season", "as_of_date", ["line"])
 
 
-@query(f"WITH {LEDGER} SELECT decision_id, label_type FROM ledger WHERE label_type IN ('human_tier', 'human_pairwise_preference')")
+@query(f"WITH {TRUTH} SELECT decision_id, label_source FROM truth WHERE {ELIGIBLE_TRUTH}")
 def eligible_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.eligible(ledger(spark, sf_dir), "label_type", labels.ELIGIBLE).select("decision_id", "label_type")
+    return labels.eligible(truth_labels(spark, sf_dir), "label_source", labels.ELIGIBLE_SOURCES).select("decision_id", "label_source")
+
+
+@query(f"WITH {LEDGER} SELECT label_type, count(*) AS n FROM active WHERE label_type IN ('human_pairwise_preference', 'human_tier', 'external_reference', 'future_outcome') GROUP BY label_type")
+def supervised_label_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.eligible(labels.active(ledger(spark, sf_dir)), "label_type", labels.ELIGIBLE).groupBy("label_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_custkey, o_orderkey FROM orders o WHERE o_orderkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM orders i WHERE i.o_orderkey % 5 = 1 AND i.o_custkey = o.o_custkey) UNION ALL SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 5 = 1")

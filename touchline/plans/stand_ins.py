@@ -105,11 +105,40 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select((k * 10 + n).alias("decision_id"), F.when((k + n) % 7 == 0, "revoked").otherwise("confirmed").alias("action"), F.when(n % 3 == 2, k * 10 + n - 1).alias("supersedes"),
                     F.when(k % 5 == 0, "model_derived").when(k % 2 == 0, "human_tier").otherwise("human_pairwise_preference").alias("label_type"), (F.col("l_quantity") / 10).cast("int").alias("tier"),
                     F.when(F.col("l_discount") < 0.03, "low").otherwise("high").alias("confidence"), F.concat("l_returnflag", F.when(F.col("l_linestatus") == "O", "open case").otherwise("")).alias("evidence"),
-                    F.to_date("l_shipdate").alias("recorded_at"), (F.col("l_suppkey") % 7).alias("decided_by"), F.col("l_partkey").alias("a"), (F.col("l_suppkey") % 50).alias("b"), F.year("l_shipdate").cast("long").alias("season"))
+                    F.to_date("l_shipdate").alias("recorded_at"), (F.col("l_suppkey") % 7).alias("decided_by"), F.col("l_partkey").alias("a"), (F.col("l_suppkey") % 50).alias("b"), F.year("l_shipdate").cast("long").alias("season"),
+                    F.when(k % 11 == 0, "in spring").when(k % 13 != 0, F.concat_ws("/", F.date_format("l_shipdate", "yyyy-MM-dd"), F.date_format(F.date_add("l_shipdate", 30), "yyyy-MM-dd"))).alias("observation_window"))
 
 
 LEDGER = """items AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey, max(l_quantity) AS l_quantity, max(l_discount) AS l_discount, max(l_shipdate) AS l_shipdate, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus FROM lineitem GROUP BY ALL),
 ledger AS (SELECT l_orderkey * 10 + l_linenumber AS decision_id, CASE WHEN (l_orderkey + l_linenumber) % 7 = 0 THEN 'revoked' ELSE 'confirmed' END AS action, CASE WHEN l_linenumber % 3 = 2 THEN l_orderkey * 10 + l_linenumber - 1 END AS supersedes,
  CASE WHEN l_orderkey % 5 = 0 THEN 'model_derived' WHEN l_orderkey % 2 = 0 THEN 'human_tier' ELSE 'human_pairwise_preference' END AS label_type, trunc(l_quantity / 10)::INT AS tier,
- CASE WHEN l_discount < 0.03 THEN 'low' ELSE 'high' END AS confidence, l_returnflag || CASE WHEN l_linestatus = 'O' THEN 'open case' ELSE '' END AS evidence, l_shipdate::DATE AS recorded_at, l_suppkey % 7 AS decided_by, l_partkey AS a, l_suppkey % 50 AS b, year(l_shipdate)::BIGINT AS season FROM items),
+ CASE WHEN l_discount < 0.03 THEN 'low' ELSE 'high' END AS confidence, l_returnflag || CASE WHEN l_linestatus = 'O' THEN 'open case' ELSE '' END AS evidence, l_shipdate::DATE AS recorded_at, l_suppkey % 7 AS decided_by, l_partkey AS a, l_suppkey % 50 AS b, year(l_shipdate)::BIGINT AS season,
+ CASE WHEN l_orderkey % 11 = 0 THEN 'in spring' WHEN l_orderkey % 13 <> 0 THEN strftime(l_shipdate::DATE, '%Y-%m-%d') || '/' || strftime(l_shipdate::DATE + 30, '%Y-%m-%d') END AS observation_window FROM items),
 active AS (SELECT * FROM ledger l WHERE action = 'confirmed' AND NOT EXISTS (SELECT 1 FROM ledger s WHERE s.supersedes = l.decision_id))"""
+
+
+def truth_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's records as truth labels of a generation later: sources in several spellings, seasons as codes of two years, some codes that are none, some records without a date."""
+    d, x = F.col("decision_id"), ledger(spark, sf_dir)
+    names = ["transfermarkt_value", " Award", "expert_tier", "manual_calibration", "Scouting_Review ", "hearsay"]
+    source = F.when(d % 17 != 0, F.element_at(F.array(*[F.lit(n) for n in names]), (d % 6 + 1).cast("int")))
+    year = F.col("season") + 25
+    code = F.when(d % 19 == 0, F.concat(year.cast("string"), F.lit("-1"))).otherwise(F.concat(F.lpad(((year - 1) % 100).cast("string"), 2, "0"), F.lpad((year % 100).cast("string"), 2, "0")))
+    return x.select("decision_id", source.alias("label_source"), code.alias("season"), F.when(d % 23 != 0, F.add_months("recorded_at", 300)).alias("as_of_date"))
+
+
+TRUTH = LEDGER + """, truth AS (SELECT decision_id, CASE WHEN decision_id % 17 <> 0 THEN ['transfermarkt_value', ' Award', 'expert_tier', 'manual_calibration', 'Scouting_Review ', 'hearsay'][decision_id % 6 + 1] END AS label_source,
+ CASE WHEN decision_id % 19 = 0 THEN (season + 25)::VARCHAR || '-1' ELSE lpad(((season + 24) % 100)::VARCHAR, 2, '0') || lpad(((season + 25) % 100)::VARCHAR, 2, '0') END AS season, CASE WHEN decision_id % 23 <> 0 THEN (recorded_at + INTERVAL 300 MONTH)::DATE END AS as_of_date FROM ledger)"""
+
+
+def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as matches of groups of four: four customers each are a season's group, so at most six pairs can be left. played: before July."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    q = F.floor(c / 4)
+    return o.select(k.alias("match_id"), q.alias("q"), F.year("o_orderdate").cast("long").alias("season"), c.alias("home"), (q * 4 + (c + 1 + k % 3) % 4).alias("away"), ((k + c) % 5 % 4).alias("home_goals"), ((F.floor(k / 4) + c) % 4 % 3).alias("away_goals"), F.col("o_orderdate").alias("match_date"), (F.month("o_orderdate") < 7).alias("played"))
+
+
+QUADS = """quads AS (SELECT o_orderkey AS match_id, o_custkey // 4 AS q, year(o_orderdate)::BIGINT AS season, o_custkey AS home, o_custkey // 4 * 4 + (o_custkey + 1 + o_orderkey % 3) % 4 AS away,
+ (o_orderkey + o_custkey) % 5 % 4 AS home_goals, (o_orderkey // 4 + o_custkey) % 4 % 3 AS away_goals, month(o_orderdate) < 7 AS played FROM orders),
+qs AS (SELECT DISTINCT q, season, unnest([home, away]) AS team FROM quads)"""

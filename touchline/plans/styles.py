@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from touchline.operators import identity, joins, league, styles, tournament
 
 from .registry import UNIFORM, query
-from .stand_ins import ACTIONS, CAREERS, RATINGS, SEASONS, actions, careers, ratings, seasons, table
+from .stand_ins import ACTIONS, CAREERS, QUADS, RATINGS, actions, careers, quads, ratings, table
 
 NATIONAL = "np AS (SELECT c_nationkey AS team, n_regionkey AS league, avg(c_acctbal) AS score, avg(c_custkey * 37 % 3000) AS minutes, stddev_pop(c_acctbal) AS spread FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"
 
@@ -79,25 +79,26 @@ def target_style_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return styles.target_matches(r, wanted, ["score", "minutes"], 3)
 
 
-# Groups: the first twelve teams of a league's season, whose first matches are left
+# Groups of four teams and all their pairs that have not met
 
 
-SO_FAR = SEASONS + """, pts AS (SELECT league, season, team, sum(CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 ELSE 0 END) AS pts, sum(gf - ga) AS gd, sum(gf) AS gf FROM (SELECT league, season, home AS team, home_goals AS gf, away_goals AS ga FROM seasons WHERE played UNION ALL SELECT league, season, away, away_goals, home_goals FROM seasons WHERE played) GROUP BY ALL),
-pl AS (SELECT league || '-' || season AS g, team, coalesce(pts, 0) AS pts, coalesce(gd, 0) AS gd, coalesce(gf, 0) AS gf FROM sides LEFT JOIN pts USING (league, season, team)),
-lf AS (SELECT match_id, league || '-' || season AS g, home, away FROM (SELECT *, row_number() OVER (PARTITION BY league, season ORDER BY match_id) AS rn FROM seasons WHERE NOT played) WHERE rn <= 4)"""
+SO_FAR = QUADS + """, pts AS (SELECT q, season, team, sum(CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 ELSE 0 END) AS pts, sum(gf - ga) AS gd, sum(gf) AS gf FROM (SELECT q, season, home AS team, home_goals AS gf, away_goals AS ga FROM quads WHERE played UNION ALL SELECT q, season, away, away_goals, home_goals FROM quads WHERE played) GROUP BY ALL),
+pl AS (SELECT q || '-' || season AS g, team, coalesce(pts, 0) AS pts, coalesce(gd, 0) AS gd, coalesce(gf, 0) AS gf FROM qs LEFT JOIN pts USING (q, season, team)),
+lf AS (SELECT (a.season * 10000000 + a.team) * 4 + b.team % 4 AS match_id, a.q || '-' || a.season AS g, a.team AS home, b.team AS away FROM qs a JOIN qs b ON a.q = b.q AND a.season = b.season AND a.team < b.team
+ WHERE NOT EXISTS (SELECT 1 FROM quads m WHERE m.played AND m.season = a.season AND least(m.home, m.away) = a.team AND greatest(m.home, m.away) = b.team))"""
 
 
 def group_state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(tables so far, matches left: the first four of each league and season after June)."""
-    m = seasons(spark, sf_dir)
-    name = F.concat_ws("-", "league", "season")
-    sides = m.select("league", "season", F.explode(F.array("home", "away")).alias("team")).distinct()
-    t = joins.team_rows(m.where("played")).groupBy("league", "season", "team").agg(F.sum("points").alias("pts"), F.sum("goal_diff").alias("gd"), F.sum("goals_for").alias("gf"))
-    so_far = sides.join(t, ["league", "season", "team"], "left").na.fill(0, ["pts", "gd", "gf"]).select(name.alias("group"), "team", "pts", "gd", "gf")
-    from touchline.operators import windows
-
-    left = m.where("not played").withColumn("_rn", F.row_number().over(windows.ordered(["league", "season"], ["match_id"]))).where("_rn <= 4")
-    return so_far, left.select("match_id", name.alias("group"), "home", "away")
+    """(tables so far, matches left: every pair of a group that has not met before July)."""
+    m = quads(spark, sf_dir)
+    name = F.concat_ws("-", "q", "season")
+    sides = m.select("q", "season", F.explode(F.array("home", "away")).alias("team")).distinct()
+    points = joins.team_rows(m.where("played").withColumn("league", F.col("q"))).withColumnRenamed("league", "q")
+    t = points.groupBy("q", "season", "team").agg(F.sum("points").alias("pts"), F.sum("goal_diff").alias("gd"), F.sum("goals_for").alias("gf"))
+    so_far = sides.join(t, ["q", "season", "team"], "left").na.fill(0, ["pts", "gd", "gf"]).select(name.alias("group"), "team", "pts", "gd", "gf")
+    met = m.where("played").select("season", F.least("home", "away").alias("home"), F.greatest("home", "away").alias("away")).distinct()
+    pairs = sides.withColumnRenamed("team", "home").join(sides.withColumnRenamed("team", "away"), ["q", "season"]).where("home < away").join(met, ["season", "home", "away"], "left_anti")
+    return so_far, pairs.select(((F.col("season") * 10000000 + F.col("home")) * 4 + F.col("away") % 4).alias("match_id"), name.alias("group"), "home", "away")
 
 
 _SIDES_OF = """SELECT {k}, g, home AS team, CASE WHEN s > 0 THEN 3 WHEN s = 0 THEN 1 ELSE 0 END AS p, s AS d, greatest(s, 0) AS f FROM {t} UNION ALL SELECT {k}, g, away, CASE WHEN s < 0 THEN 3 WHEN s = 0 THEN 1 ELSE 0 END, -s, greatest(-s, 0) FROM {t}"""
@@ -113,7 +114,7 @@ def group_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tournament.simulated_groups(so_far, left.withColumn("p_home", chance), 20, 9)
 
 
-@query(f"""WITH {SO_FAR}, k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY match_id) - 1 AS k FROM lf), n AS (SELECT g, count(*) AS n FROM lf GROUP BY g HAVING count(*) <= 6), o AS (SELECT g, unnest(range(0, pow(3, n)::BIGINT)) AS scenario FROM n),
+@query(f"""WITH {SO_FAR}, k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY match_id) - 1 AS k FROM lf), n AS (SELECT g, count(*) AS n FROM lf GROUP BY g), o AS (SELECT g, unnest(range(0, pow(3, n)::BIGINT)) AS scenario FROM n),
 d AS (SELECT k.*, scenario, 1 - (scenario // pow(3, k)::BIGINT) % 3 AS s FROM k JOIN o USING (g)), w AS (SELECT scenario, g, team, sum(p) AS p, sum(d) AS d, sum(f) AS f FROM ({_SIDES_OF.format(k="scenario", t="d")}) GROUP BY ALL),
 r AS (SELECT scenario, g, team, row_number() OVER (PARTITION BY scenario, g ORDER BY pts + coalesce(p, 0) DESC, gd + coalesce(d, 0) DESC, gf + coalesce(f, 0) DESC, team) AS place FROM pl JOIN o USING (g) LEFT JOIN w USING (scenario, g, team)),
 q AS (SELECT g AS "group", team, count(*) AS scenarios, count(*) FILTER (place <= 2) AS through, min(place) AS best, max(place) AS worst FROM r GROUP BY ALL) SELECT *, CASE WHEN through = scenarios THEN 'through' WHEN through = 0 THEN 'out' ELSE 'open' END AS status FROM q""")

@@ -125,10 +125,10 @@ def tuned(forecasts: DataFrame, decays: Sequence[float], metric: str = "rps") ->
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     given = forecasts.sparkSession.createDataFrame([(k, float(d), math.log(2) / d if d > 0 else None) for k, d in enumerate(decays)], "_k int, decay double, half_life_days double")
-    rows = given.join(means(forecasts, ["decay"]), "decay", "left")
-    # one row per candidate
-    chosen = rows.agg(F.min(F.when(F.col(metric).isNotNull(), F.struct(metric, "_k"))).alias("_best"))
-    return rows.crossJoin(F.broadcast(chosen)).select("decay", "half_life_days", F.coalesce("n", F.lit(0)).cast("long").alias("n"), *METRICS, F.coalesce(F.col("_k") == F.col("_best._k"), F.lit(False)).alias("chosen"))
+    # one row per candidate, so one task holds them; the forecasts are made once
+    best = F.min(F.when(F.col(metric).isNotNull(), F.struct(metric, "_k"))).over(Window.partitionBy(F.lit(1)))
+    rows = F.broadcast(given).join(means(forecasts, ["decay"]), "decay", "full").withColumn("_best", best)
+    return rows.where(F.col("_k").isNotNull()).select("decay", "half_life_days", F.coalesce("n", F.lit(0)).cast("long").alias("n"), *METRICS, F.coalesce(F.col("_k") == F.col("_best._k"), F.lit(False)).alias("chosen"))
 
 
 def decay_comparison(forecasts: DataFrame, decay: float) -> DataFrame:

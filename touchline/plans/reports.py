@@ -391,6 +391,12 @@ def one_hot_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return act.one_hot(c, "segment", ["building", "machinery"])
 
 
-@query("SELECT label, count(*) AS n, avg(list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[])) AS own FROM embeddings GROUP BY label")
+@query("""WITH u AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(v) AS v FROM u GROUP BY ALL), c AS (SELECT label, list(v ORDER BY i) AS centre FROM m GROUP BY label)
+SELECT label, count(*) AS n, avg(list_cosine_similarity(embedding::DOUBLE[], centre)) AS closeness, min(list_cosine_similarity(embedding::DOUBLE[], centre)) AS farthest FROM embeddings JOIN c USING (label) GROUP BY label""")
 def vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.avg(stats.cosine(F.col("embedding"), F.col("embedding"))).alias("own"))
+    """Per label how near its vectors are to their mean."""
+    e = table(spark, sf_dir, "embeddings")
+    mean = e.select("label", F.posexplode("embedding").alias("_i", "_v")).groupBy("label", "_i").agg(F.avg(F.col("_v").cast("double")).alias("_v"))
+    centres = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("_centre"))  # one number per dimension
+    near = stats.cosine(F.transform("embedding", lambda x: x.cast("double")), F.col("_centre"))
+    return e.join(centres, "label").withColumn("_near", near).groupBy("label").agg(F.count("*").alias("n"), F.avg("_near").alias("closeness"), F.min("_near").alias("farthest"))

@@ -37,7 +37,7 @@ from .warc import _store
 #: Bits of the scale of frequencies; a state stays from 2^31 to below 2^63.
 SCALE, LOW = 20, np.uint64(1 << 31)
 #: Lanes of a block at most, ids of a lane at least where a block has fewer; ids of a block and from checkpoint to checkpoint, about; bytes of a file, about.
-LANES, STEPS, BLOCK, SEGMENT, FILE = 512, 64, 1 << 18, 1 << 16, 1 << 28
+LANES, STEPS, BLOCK, SEGMENT, FILE = 2048, 64, 1 << 20, 1 << 18, 1 << 28
 #: Checkpoints that a task reads, at most.
 PER_TASK = 256
 MAGIC = b"TOKRANS1"
@@ -398,40 +398,47 @@ class Words:
         self.fast = tiktoken.Encoding("words", pat_str=r"\n|[^\x01\n]*\x01", mergeable_ranks=ranks, special_tokens={})
 
     def _learn(self, new: list[str]) -> None:
-        simple = [w for w in new if SIMPLE.fullmatch(w) and "<|" not in w]
-        for at in range(0, len(simple), 4096):
-            some = simple[at : at + 4096]
-            found = self.ids[self.fast.encode_ordinary(_PIECE.sub("\\g<0>\x01", "\n".join([*some, ""]).lower()))]
-            ends = np.flatnonzero(found < 0)
-            data, edges = found.astype(self.kind).tobytes(), ends.tolist()
-            self.known.update((w, data[self.width * x : self.width * y]) for w, x, y in zip(some, [0, *(e + 1 for e in edges[:-1])], edges, strict=True))
-        rest = [w for w in new if w not in self.known]
-        for at in range(0, len(rest), 4096):
-            found = self.tokenizer.encode_batch_fast(rest[at : at + 4096], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype=self.kind).tobytes()) for w, e in zip(rest[at : at + 4096], found, strict=True))
+        for at in range(0, len(new), 8192):
+            some = new[at : at + 8192]
+            text = "\n".join([*some, ""])
+            if not SIMPLE_LINES.fullmatch(text) or "<|" in text:
+                own, some = some, [w for w in some if SIMPLE.fullmatch(w) and "<|" not in w]
+                self._ask(list(set(own).difference(some)))
+                text = "\n".join([*some, ""])
+            found = self.ids[self.fast.encode_to_numpy(_PIECE.sub("\\g<0>\x01", text.lower()), disallowed_special=())]
+            data, ends = found.astype(self.kind).tobytes(), np.flatnonzero(found < 0) * self.width
+            edges = ends.tolist()
+            self.known.update(zip(some, [data[x:y] for x, y in zip([0, *(ends[:-1] + self.width).tolist()], edges, strict=False)], strict=True))
+
+    def _ask(self, some: list[str]) -> None:
+        """Learns words from the library."""
+        for at in range(0, len(some), 4096):
+            found = self.tokenizer.encode_batch_fast(some[at : at + 4096], add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, dtype=self.kind).tobytes()) for w, e in zip(some[at : at + 4096], found, strict=True))
 
     def encode(self, some: list[str]) -> list[bytes]:
         """The ids of each text as numbers of width bytes."""
         if not self.apart:
             return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in some]
-        new = list({w for own in split for w in own}.difference(self.known))
+        new = list(set().union(*split).difference(self.known))
         if len(self.known) + len(new) > WORDS:
             self.known = {}
-            new = list({w for own in split for w in own})
+            new = list(set().union(*split))
         self._learn(new)
         out = [b"".join(map(self.known.__getitem__, own)) for own in split]
-        for w in new:
-            if len(w) > 100:
-                del self.known[w]
+        if max(map(len, new), default=0) > 100:
+            for w in new:
+                if len(w) > 100:
+                    del self.known[w]
         return out
 
 
 #: Marks the end of a word for tiktoken; no simple word has it.
 END = b"\x01"
 #: Words whose normal form is their lower case, letter by letter, and the splitter's pattern for them.
-SIMPLE = re.compile("[!-~À-įı-ſ]+")
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ſ]+|[0-9]|[^\\sa-zÀ-ÖØ-öø-ſ0-9]+")
+SIMPLE, SIMPLE_LINES = re.compile("[!-~À-įı-ſ]*"), re.compile("[\\n!-~À-įı-ſ]*")
+_PIECE = re.compile("[a-zÀ-ÖØ-öø-ſ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\sa-zÀ-ÖØ-öø-ſ0-9]+")
 
 
 def blanks(file: dict) -> bool:

@@ -186,6 +186,7 @@ def attributed(fixtures: DataFrame, max_goals: int = 10) -> DataFrame:
     of = Window.partitionBy("_row")
     base = lambda c: F.max(F.when(F.col("factor") == "", F.col(c))).over(of)
     p = p.withColumns({"home_win": base("p_home"), "draw": base("p_draw"), "away_win": base("p_away")}).where("factor <> ''").withColumnRenamed("p_home", "neutral_home_win")
-    p = p.withColumn("delta", F.col("home_win") - F.col("neutral_home_win"))
+    change = F.col("home_win") - F.col("neutral_home_win")
+    p = p.withColumn("delta", F.when(F.abs(change) < 1e-12, F.lit(0.0)).otherwise(change))  # rounding alone is no effect
     place = F.row_number().over(of.orderBy(F.desc(F.round(F.abs("delta"), 12)), "_k"))
     return p.select(*keys, "home_win", "draw", "away_win", "factor", "neutral_home_win", "delta", place.alias("place"))

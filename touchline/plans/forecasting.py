@@ -68,7 +68,7 @@ def fixture_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 l AS (SELECT league, home, away, k, rho, exp(ln(mean) + home_attack + away_defence + advantage) AS lh, exp(ln(mean) + away_attack + home_defence) AS la FROM c),
 g AS (SELECT league, home, away, k, i, j, exp(-lh) * pow(lh, i) / factorial(i::INT) * exp(-la) * pow(la, j) / factorial(j::INT) * CASE WHEN i = 0 AND j = 0 THEN 1 - lh * la * rho WHEN i = 0 AND j = 1 THEN 1 + lh * rho WHEN i = 1 AND j = 0 THEN 1 + la * rho WHEN i = 1 AND j = 1 THEN 1 - rho ELSE 1 END AS q FROM l, range(0, 11) x(i), range(0, 11) y(j)),
 p AS (SELECT league, home, away, k, sum(q) FILTER (i > j) / sum(q) AS w, sum(q) FILTER (i = j) / sum(q) AS d, sum(q) FILTER (i < j) / sum(q) AS a FROM g GROUP BY ALL)
-SELECT p.league, p.home, p.away, b.w AS home_win, b.d AS draw, b.a AS away_win, {_NAME} AS factor, p.w AS neutral_home_win, b.w - p.w AS delta, (row_number() OVER (PARTITION BY p.league, p.home, p.away ORDER BY round(abs(b.w - p.w), 12) DESC, p.k))::INTEGER AS place
+SELECT p.league, p.home, p.away, b.w AS home_win, b.d AS draw, b.a AS away_win, {_NAME} AS factor, p.w AS neutral_home_win, CASE WHEN abs(b.w - p.w) < 1e-12 THEN 0 ELSE b.w - p.w END AS delta, (row_number() OVER (PARTITION BY p.league, p.home, p.away ORDER BY round(abs(b.w - p.w), 12) DESC, p.k))::INTEGER AS place
 FROM p JOIN p b ON b.league = p.league AND b.home = p.home AND b.away = p.away AND b.k = -1 WHERE p.k >= 0""")
 def forecast_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairings that meet: what each factor adds to the chance of a home win."""

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import joined
+from .stats import quantiles
+
 
 def asof(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, values: Sequence[str], allow_exact: bool = True) -> DataFrame:
     """left with the values of right's latest row at or before its time, by entity; null where there is none.
@@ -80,11 +83,7 @@ def fallback(df: DataFrame, levels: Sequence[Sequence[str]], value: str, name: s
     """The median of value by the first of several key sets that has one; [] is the whole table. Null keys match null keys."""
     out, found = df, []
     for i, keys in enumerate(levels):
-        table = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile(value, 0.5).alias(f"_m{i}"))
-        renamed = table.select(*[F.col(k).alias(f"_k{i}_{k}") for k in keys], f"_m{i}")
-        on = [F.col(k).eqNullSafe(F.col(f"_k{i}_{k}")) for k in keys]
-        out = out.join(renamed, on, "left") if keys else out.crossJoin(F.broadcast(renamed))
-        out = out.drop(*[f"_k{i}_{k}" for k in keys])
+        out = joined(out, quantiles(df, keys, value, {f"_m{i}": 0.5}), keys, "left")
         found.append(f"_m{i}")
     return out.withColumn(name, F.coalesce(*found)).drop(*found)
 

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of a group.
-RANGES = 64
+#: Most ranges of a group, the square of a whole number, and the fewest rows for which a range of its own is made.
+RANGES, ROWS = 1024, 256
 
 
 def joined(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -23,11 +23,21 @@ def joined(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inn
     return out.drop(*[f"_k_{i}" for i in range(len(keys))])
 
 
-def ranged(df: DataFrame, by: Sequence[str], order: str, ranges: int = RANGES) -> DataFrame:
-    """df with _range, from 0: equal values of order share one, and null comes before all. order: a number, date or time."""
-    edges = df.groupBy(*by).agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 2000).alias("_edges"))
-    at = F.when(F.col(order).isNull(), 0).otherwise(F.size(F.filter(F.coalesce("_edges", F.array()), lambda e: e < F.col(order))))
-    return joined(df, edges, by).withColumn("_range", at).drop("_edges")
+def ranged(df: DataFrame, by: Sequence[str], order: str, rows: int = ROWS) -> DataFrame:
+    """df with _range, from 0: equal values of order share one, and null comes before all. order: a number, date or time.
+
+    A group has about one range for every `rows` rows, RANGES at most. A row finds its own by the edge of every so many
+    and then among those between.
+    """
+    step = int(RANGES**0.5)
+    edges = df.groupBy(*by).agg(F.percentile_approx(order, [k / RANGES for k in range(1, RANGES)], 10 * RANGES).alias("_edges"), F.count(order).alias("_n"))
+    stride = F.ceil(F.lit(float(RANGES)) / F.least(F.greatest(F.ceil(F.col("_n") / rows), F.lit(1)), F.lit(RANGES))).cast("int")
+    edges = edges.withColumn("_edges", F.coalesce(F.filter("_edges", lambda e, i: (i + 1) % stride == 0), F.slice("_edges", F.lit(1), F.lit(0)))).drop("_n")
+    edges = edges.withColumn("_steps", F.filter("_edges", lambda e, i: (i + 1) % step == 0))
+    under = lambda edges: F.size(F.filter(edges, lambda e: e < F.col(order)))
+    first = under(F.col("_steps")) * step
+    at = F.when(F.col(order).isNull(), 0).otherwise(F.coalesce(first + under(F.slice("_edges", first + 1, F.lit(step))), F.lit(0)))
+    return joined(df, edges, by).withColumn("_range", at).drop("_edges", "_steps")
 
 
 def before(per: DataFrame, by: Sequence[str], sums: dict[str, str]) -> DataFrame:

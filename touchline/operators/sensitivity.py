@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .league import uniform
-from .ranges import joined, value_ranks
+from .ranges import joined, running, value_ranks
 
 
 def ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
@@ -61,8 +61,8 @@ def cohort_sensitivity(df: DataFrame, by: Sequence[str], player: str, score: str
     """Per group, fraction and repeat: stability of the shrunk ranking of those who stay when floor(n * fraction) players are left out and the prior is taken from the rest.
 
     The prior is the mean score by minutes of players of `floor` minutes or more, or of all without such; `floor` is
-    also the reference of the shrinkage. Who is left out follows from seed, fraction, repeat and player alone. A
-    group here is one pool of players and is sorted as a whole, once for each fraction and repeat.
+    also the reference of the shrinkage. Who is left out follows from seed, fraction, repeat and player alone. The
+    players' places in a pool and their ranks go by ranges; without a score there is no rank.
     """
     from .stats import shrunk, wavg
 
@@ -71,11 +71,13 @@ def cohort_sensitivity(df: DataFrame, by: Sequence[str], player: str, score: str
     key = [*by, "fraction", "repeat"]
     pool = Window.partitionBy(*key)
     rows = rows.withColumn("_u", uniform(F.lit(seed), (F.col("fraction") * 1000).cast("long"), F.col("repeat"), F.col(player)))
-    stay = rows.withColumns({"_i": F.row_number().over(pool.orderBy("_u", player)) - 1, "_n": F.count("*").over(pool)}).where(F.col("_i") >= F.floor(F.col("_n") * F.col("fraction")))
+    left_out = joined(running(rows, key, ["_u", player], {}), rows.groupBy(*key).agg(F.count("*").alias("_n")), key)
+    stay = left_out.where(F.col("_i") >= F.floor(F.col("_n") * F.col("fraction"))).drop("_i", "_range")
     prior = lambda t, keys, name: t.groupBy(*keys).agg(F.coalesce(wavg(F.when(F.col(minutes) >= floor, F.col(score)), F.col(minutes)), F.avg(score)).alias(name))
     stay = joined(joined(stay, prior(df, by, "_all"), by), prior(stay, key, "_rest"), key)
-    rank = lambda p: F.rank().over(pool.orderBy(F.desc(shrunk(F.col(score), F.col(minutes), F.col(p), floor))))
-    return stability(stay.withColumns({"_before": rank("_all"), "_after": rank("_rest")}), key, "_before", "_after", top)
+    for p, name in (("_all", "_before"), ("_rest", "_after")):
+        stay = ranks(stay.withColumn("_score", shrunk(F.col(score), F.col(minutes), F.col(p), floor)), key, "_score", name)
+    return stability(stay, key, "_before", "_after", top)
 
 
 def bootstrap_ranks(df: DataFrame, by: Sequence[str], player: str, score: str, repeats: int, seed: int) -> DataFrame:
@@ -89,9 +91,9 @@ def bootstrap_ranks(df: DataFrame, by: Sequence[str], player: str, score: str, r
     draws = rows.select(*by, "_at", "n").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     drawn = draws.withColumn("_to", F.floor(uniform(F.lit(seed), F.col("repeat"), F.col("_at")) * F.col("n"))).groupBy(*by, "repeat", "_to").agg(F.count("*").alias("_times"))
     pool = drawn.join(rows.select(*by, F.col("_at").alias("_to"), score), [*by, "_to"]).groupBy(*by, "repeat", score).agg(F.sum("_times").alias("_times"))
-    # the pool's members above each player's score, by running sums over pool and players together
-    both = pool.select(*by, "repeat", score, "_times", F.lit(None).cast(df.schema[player].dataType).alias(player)).unionByName(rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).select(*by, "repeat", score, F.lit(0).cast("long").alias("_times"), player))
-    up = Window.partitionBy(*by, "repeat").orderBy(F.desc(score)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy(*by, "repeat").orderBy(F.desc(score)).rangeBetween(Window.currentRow, Window.currentRow)
-    ranked = both.withColumn("_rank", F.sum("_times").over(up) - F.sum("_times").over(same) + 1).where(F.col(player).isNotNull())
+    # the pool's members above each player's score, by running sums over the scores of pool and players together
+    all_repeats = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).select(*by, "repeat", score, "n", player)
+    per = pool.unionByName(all_repeats.select(*by, "repeat", score, F.lit(0).cast("long").alias("_times"))).groupBy(*by, "repeat", score).agg(F.sum("_times").alias("_times"))
+    per = running(per, [*by, "repeat"], [score], {"_below": F.col("_times")}).select(*by, "repeat", score, "_below")
+    ranked = joined(all_repeats, per, [*by, "repeat", score]).withColumn("_rank", F.col("n") - F.col("_below") + 1)
     return ranked.groupBy(*by, player).agg(*[F.percentile("_rank", p).alias(f"rank_p{int(100 * p)}") for p in (0.05, 0.5, 0.95)])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import joined, value_ranks
+from .ranges import joined, running, value_ranks
 
 
 def percentiles(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -17,6 +17,32 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return out.withColumns({"pct_strict": 100.0 * below / n, "pct_mid": 100.0 * (below + ties / 2) / n, "pct_average": 100.0 * (below + (ties + 1) / 2) / n, "rank_desc": n - below - ties + 1}).drop("below", "ties", "n")
 
 
+def quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """(by, names): exact quantiles (name -> share) of a group's values, straight between neighbours; groups without values have no row.
+
+    The rows at both sides of each place are picked from counts by value, whose running sums go by ranges: no task
+    holds all distinct values of a group.
+    """
+    ranks = value_ranks(df, by, value)
+    place = {n: (F.col("n") - 1) * p for n, p in wanted.items()}
+    v = F.col(value).cast("double")
+    pick = lambda at: F.max(F.when((F.col("below") <= at) & (at < F.col("below") + F.col("ties")), v))
+    out = ranks.groupBy(*by).agg(F.max("n").alias("n"), *[c for n, at in place.items() for c in (pick(F.floor(at)).alias(f"_l_{n}"), pick(F.ceil(at)).alias(f"_h_{n}"))])
+    between = {n: F.col(f"_l_{n}") + (F.col(f"_h_{n}") - F.col(f"_l_{n}")) * (at - F.floor(at)) for n, at in place.items()}
+    return out.select(*by, *[c.alias(n) for n, c in between.items()])
+
+
+def auc(df: DataFrame, by: Sequence[str], score: str, label: Column) -> DataFrame:
+    """(by, auc, positives, negatives): the share of pairs of a positive and a negative in which the positive has the higher score, equal ones half; null without both. Exact, from counts by score."""
+    rows = df.where(F.col(score).isNotNull() & label.isNotNull()).withColumn("_y", label.cast("long"))
+    per = rows.groupBy(*by, score).agg(F.sum("_y").alias("_p"))
+    out = joined(value_ranks(rows, by, score), per, [*by, score])
+    p = F.sum("_p")
+    n = F.sum("ties") - p
+    won = F.sum(F.col("_p") * (F.col("below") + (F.col("ties") + 1) / 2)) - p * (p + 1) / 2
+    return out.groupBy(*by).agg(F.try_divide(won, p * n).alias("auc"), p.alias("positives"), n.alias("negatives"))
+
+
 def wavg(value: str | Column, weight: str | Column) -> Column:
     v, w = (F.col(x) if isinstance(x, str) else x for x in (value, weight))
     use = v.isNotNull() & w.isNotNull()
@@ -73,17 +99,18 @@ def equal_bin(value: Column, low: float, high: float, n: int) -> Column:
 
 def quantile_bins(df: DataFrame, value: str, n: int, name: str = "bin") -> DataFrame:
     """Right-closed bins between the exact quantiles, equal edges merged; the first holds its lower edge. ntile() differs on ties."""
-    edges = df.agg(F.array_distinct(F.percentile(value, F.lit([i / n for i in range(n + 1)]))).alias("_edges"))
+    ends = [f"_{i}" for i in range(n + 1)]
+    edges = quantiles(df, [], value, {c: i / n for i, c in enumerate(ends)}).select(F.array_distinct(F.array(*ends)).alias("_edges"))
     return df.crossJoin(F.broadcast(edges)).withColumn(name, F.greatest(F.size(F.filter("_edges", lambda e: e < F.col(value))) - 1, F.lit(0))).drop("_edges")
 
 
 def ks_distance(df: DataFrame, value: str, second: Column, by: Sequence[str] = ()) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance per group: values are counted first, so the window sorts distinct values only."""
+    """Two-sample Kolmogorov-Smirnov distance per group: values are counted first, and their running counts go by ranges."""
     per = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(~second).alias("a"), F.count_if(second).alias("b"))
-    up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*by)
-    gap = F.abs(F.try_divide(F.sum("a").over(up), F.sum("a").over(all_)) - F.try_divide(F.sum("b").over(up), F.sum("b").over(all_)))
-    return per.withColumn("_gap", gap).groupBy(*by).agg(F.max("_gap").alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    per = running(per, by, [value], {"_a": F.col("a"), "_b": F.col("b")})
+    whole = per.groupBy(*by).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    gap = F.abs(F.try_divide("_a", "n_a") - F.try_divide("_b", "n_b"))
+    return joined(per, whole, by).groupBy(*by).agg(F.max(gap).alias("ks"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
 
 
 def spearman(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
@@ -110,12 +137,11 @@ def shrunk(score: Column, weight: Column, prior: Column, reference: float) -> Co
 
 def median_imputed(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
     """value, or its exact median within the group where it is missing; medians are joined back as a small table."""
-    m = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in by]).agg(F.percentile(value, 0.5).alias("_median"))
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by]
-    return df.join(m, on, "left").select(*df.columns, F.coalesce(value, "_median").alias(name))
+    return joined(df, quantiles(df, by, value, {"_median": 0.5}), by, "left").select(*df.columns, F.coalesce(value, "_median").alias(name))
 
 
-def depth(value: str) -> list[Column]:
-    """Count, least, median, most, mean, population spread and quartiles."""
+def depth(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Per group: count, least, median, most, mean, population spread and quartiles."""
     v = F.col(value)
-    return [F.count(v).alias("n"), F.min(v).alias("low"), F.percentile(v, 0.5).alias("median"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.percentile(v, 0.25).alias("p25"), F.percentile(v, 0.75).alias("p75")]
+    out = df.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    return joined(out, quantiles(df, by, value, {"median": 0.5, "p25": 0.25, "p75": 0.75}), by, "left")

@@ -478,7 +478,7 @@ def expanding_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RATINGS} SELECT league, position, count(score) AS n, min(score) AS low, quantile_cont(score, 0.5) AS median, max(score) AS high, avg(score) AS mean, stddev_pop(score) AS std, quantile_cont(score, 0.25) AS p25, quantile_cont(score, 0.75) AS p75 FROM ratings WHERE minutes >= 450 GROUP BY league, position")
 def position_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratings(spark, sf_dir).where("minutes >= 450").groupBy("league", "position").agg(*stats.depth("score"))
+    return stats.depth(ratings(spark, sf_dir).where("minutes >= 450"), ["league", "position"], "score")
 
 
 GAPS = RATINGS + """, q AS (SELECT * FROM ratings WHERE minutes >= 450), lp AS (SELECT league, position, quantile_cont(score, 0.4) AS p40, quantile_cont(score, 0.6) AS p60, quantile_cont(score, 0.75) AS p75 FROM q GROUP BY ALL),
@@ -489,7 +489,7 @@ gaps AS (SELECT tm.team, tm.league, lp.position, coalesce(n, 0) AS n, mean, CASE
 def gap_table(r: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(qualified players, league percentiles per position, gaps per team and position)."""
     q = r.where("minutes >= 450")
-    lp = q.groupBy("league", "position").agg(F.percentile("score", 0.4).alias("p40"), F.percentile("score", 0.6).alias("p60"), F.percentile("score", 0.75).alias("p75"))
+    lp = stats.quantiles(q, ["league", "position"], "score", {"p40": 0.4, "p60": 0.6, "p75": 0.75})
     td = q.groupBy("team", "position").agg(F.count("*").alias("n"), F.avg("score").alias("mean"))
     g = r.select("team", "league").distinct().join(lp, "league").join(td, ["team", "position"], "left")
     status = F.when(F.col("n").isNull(), "missing").when(F.col("n") < 3, "shallow").when(F.col("mean") < F.col("p40"), "low_quality").when(F.col("mean") >= F.col("p60"), "strength").otherwise("adequate")

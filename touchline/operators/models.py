@@ -5,12 +5,12 @@ Spark sums over the matches; what the driver holds is bounded by the teams, the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 from .backtest import OUTCOMES, hit
 from .league import outcome_probabilities, score_matrix
 from .ranges import joined, running
-from .stats import zscored
+from .stats import auc, zscored
 
 #: Bounds of a log rate, the goals of a league without any, and where the fit of the low scores may lie.
 LOG_RATE, NO_GOALS, RHO = (-10.0, 3.0), 1.3, (-1.0, 0.0)
 #: What the likelihood needs of each pairing.
 SUMS = ["w", "wh", "wa", "w00", "w01", "w10", "w11", "goals", "n"]
+#: What an action may lead to.
+LABELS = ["scores", "concedes"]
 
 
 @dataclass
@@ -181,19 +183,13 @@ def isotonic(df: DataFrame, least: int = 10) -> dict[str, object]:
     return {o: fit(o) for o in OUTCOMES}
 
 
-def _on_curve(p: Column, curve) -> Column:
-    """The curve's value, straight between its points and level beyond them."""
-    xs, ys = F.array(*[F.lit(float(v)) for v in curve.boundaries]), F.array(*[F.lit(float(v)) for v in curve.predictions])
-    at = F.size(F.filter(xs, lambda x: x <= p))
-    x0, x1, y0, y1 = F.get(xs, at - 1), F.get(xs, at), F.get(ys, at - 1), F.get(ys, at)
-    return F.when(at == 0, F.get(ys, F.lit(0))).when(x1.isNull() | (x0 == p), y0).otherwise(y0 + (y1 - y0) * (p - x0) / (x1 - x0))
-
-
 def recalibrated(df: DataFrame, curves: dict[str, object]) -> DataFrame:
-    """Forecasts by the curves, brought to a sum of one; without curves, or where all are nought, as they were."""
+    """Forecasts by the curves, straight between their points and level beyond them, brought to a sum of one; without curves, or where all are nought, as they were."""
     if any(c is None for c in curves.values()):
         return df
-    out = df.withColumns({f"_c_{o}": _on_curve(F.col(f"p_{o}"), c) for o, c in curves.items()})
+    out = df
+    for o, c in curves.items():
+        out = c.copy().setFeaturesCol(f"p_{o}").setPredictionCol(f"_c_{o}").transform(out)
     total = sum((F.col(f"_c_{o}") for o in OUTCOMES), F.lit(0.0))
     return out.withColumns({f"p_{o}": F.when(total > 0, F.col(f"_c_{o}") / total).otherwise(F.col(f"p_{o}")) for o in OUTCOMES}).drop(*[f"_c_{o}" for o in OUTCOMES])
 
@@ -229,21 +225,53 @@ def style_clusters(df: DataFrame, key: str, values: Sequence[str], k: int, seed:
     return placed.join(F.broadcast(named), F.col("_c") == F.col("_k")).select(key, "cluster", cosine(vector_to_array("_f"), F.col("centre")).alias("fit"))
 
 
-def action_values(df: DataFrame, features: Sequence[str], by: Sequence[str], order: Sequence[str], side: str) -> DataFrame:
-    """df with p_scores, p_concedes and value: how an action changes its side's chances, by logistic models of the labels scores and concedes.
+def logistic():
+    return LogisticRegression(maxIter=50, regParam=1e-3)
+
+
+def boosted(rounds: int = 50, depth: int = 3, step: float = 0.1, least: int = 200, share: float = 0.7, seed: int = 42):
+    """Gradient-boosted trees; `least` rows a leaf, each tree on a share of the rows."""
+    return GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, minInstancesPerNode=least, subsamplingRate=share, seed=seed)
+
+
+def label_chances(df: DataFrame, features: Sequence[str], make: Callable = logistic, learns: Column | None = None) -> DataFrame:
+    """df with p_scores and p_concedes by models of the labels scores and concedes, fitted to all rows or to those that `learns` marks. A label that only has one value there has that as its chance."""
+    rows = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="keep").transform(df)
+    train = rows if learns is None else rows.where(learns)
+    ends = train.agg(*[f(c).cast("double").alias(f"{c}_{n}") for c in LABELS for n, f in (("low", F.min), ("high", F.max))]).first()
+    for label in LABELS:
+        if ends[f"{label}_low"] == ends[f"{label}_high"]:
+            rows = rows.withColumn(f"p_{label}", F.lit(ends[f"{label}_low"]).cast("double"))
+            continue
+        learner = make().setFeaturesCol("_f").setLabelCol("_y").setProbabilityCol("_p").setPredictionCol("_q").setRawPredictionCol("_r")
+        model = learner.fit(train.select("_f", F.col(label).cast("double").alias("_y")))
+        rows = model.transform(rows).withColumn(f"p_{label}", vector_to_array("_p")[1]).drop("_p", "_q", "_r")
+    return rows.drop("_f")
+
+
+def action_values(df: DataFrame, features: Sequence[str], by: Sequence[str], order: Sequence[str], side: str, make: Callable = logistic) -> DataFrame:
+    """df with p_scores, p_concedes and value: how an action changes its side's chances, by models of the labels scores and concedes.
 
     The chances before an action are those after the one before it, exchanged where another side had that; an entity's
     first action starts from nought.
     """
-    rows = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="keep").transform(df)
-    for label in ("scores", "concedes"):
-        m = LogisticRegression(featuresCol="_f", labelCol="_y", probabilityCol="_p", predictionCol="_q", rawPredictionCol="_r", maxIter=50, regParam=1e-3).fit(rows.withColumn("_y", F.col(label).cast("double")))
-        rows = m.transform(rows).withColumn(f"p_{label}", vector_to_array("_p")[1]).drop("_p", "_q", "_r")
+    rows = label_chances(df, features, make)
     w = Window.partitionBy(*by).orderBy(*order)
     same = F.lag(side).over(w) == F.col(side)
     before = {"scores": F.when(same, F.lag("p_scores").over(w)).otherwise(F.lag("p_concedes").over(w)), "concedes": F.when(same, F.lag("p_concedes").over(w)).otherwise(F.lag("p_scores").over(w))}
     zero = lambda x: F.coalesce(x, F.lit(0.0))
-    return rows.withColumn("value", F.col("p_scores") - zero(before["scores"]) - (F.col("p_concedes") - zero(before["concedes"]))).drop("_f")
+    return rows.withColumn("value", F.col("p_scores") - zero(before["scores"]) - (F.col("p_concedes") - zero(before["concedes"])))
+
+
+def label_auc(df: DataFrame, features: Sequence[str], held_out: Column, makes: dict[str, Callable]) -> DataFrame:
+    """(model, label, held_out, auc, positives, negatives) of models fitted to the rows that aren't held out."""
+    out = None
+    for name, make in makes.items():
+        p = label_chances(df.withColumn("held_out", held_out), features, make, ~F.col("held_out"))
+        cases = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"p_{c}").alias("chance"), F.col(c).alias("came")) for c in LABELS]))
+        one = auc(p.select("held_out", cases.alias("_c")).select("held_out", "_c.*"), ["label", "held_out"], "chance", F.col("came")).withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def cluster_recruits(players: DataFrame, clusters: DataFrame, key: str, team: str, values: Sequence[str], n: int) -> DataFrame:

@@ -6,6 +6,7 @@ it (counts, sums, peaks, the last value) comes from a table of one row per group
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,17 @@ from pyspark.sql import functions as F
 RANGES, ROWS = 1024, 256
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, for what several later steps read: a lost executor costs none of it. The folder is that of the session; only a local one without it takes a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def joined(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """df with the other columns of a table, on keys of which null equals null."""
     right = table.select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)], *[c for c in table.columns if c not in keys])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .league import uniform
-from .ranges import joined, running, value_ranks
+from .ranges import cut, joined, running, value_ranks
 
 
 def ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
@@ -71,10 +71,12 @@ def cohort_sensitivity(df: DataFrame, by: Sequence[str], player: str, score: str
     key = [*by, "fraction", "repeat"]
     pool = Window.partitionBy(*key)
     rows = rows.withColumn("_u", uniform(F.lit(seed), (F.col("fraction") * 1000).cast("long"), F.col("repeat"), F.col(player)))
+    rows = cut(rows)
     left_out = joined(running(rows, key, ["_u", player], {}), rows.groupBy(*key).agg(F.count("*").alias("_n")), key)
     stay = left_out.where(F.col("_i") >= F.floor(F.col("_n") * F.col("fraction"))).drop("_i", "_range")
     prior = lambda t, keys, name: t.groupBy(*keys).agg(F.coalesce(wavg(F.when(F.col(minutes) >= floor, F.col(score)), F.col(minutes)), F.avg(score)).alias(name))
     stay = joined(joined(stay, prior(df, by, "_all"), by), prior(stay, key, "_rest"), key)
+    stay = cut(stay)
     for p, name in (("_all", "_before"), ("_rest", "_after")):
         stay = ranks(stay.withColumn("_score", shrunk(F.col(score), F.col(minutes), F.col(p), floor)), key, "_score", name)
     return stability(stay, key, "_before", "_after", top)

@@ -18,7 +18,7 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
-    """(by, names): exact quantiles (name -> share) of a group's values, straight between neighbours; groups without values have no row.
+    """(by, names): exact quantiles (name -> share) of a group's values, straight between neighbours; groups without values have no row, and a table without any has nulls where nothing groups it.
 
     The rows at both sides of each place are picked from counts by value, whose running sums go by ranges: no task
     holds all distinct values of a group.
@@ -35,11 +35,11 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, fl
 def auc(df: DataFrame, by: Sequence[str], score: str, label: Column) -> DataFrame:
     """(by, auc, positives, negatives): the share of pairs of a positive and a negative in which the positive has the higher score, equal ones half; null without both. Exact, from counts by score."""
     rows = df.where(F.col(score).isNotNull() & label.isNotNull()).withColumn("_y", label.cast("long"))
-    per = rows.groupBy(*by, score).agg(F.sum("_y").alias("_p"))
+    per = rows.groupBy(*by, score).agg(F.sum("_y").alias("_positives"))
     out = joined(value_ranks(rows, by, score), per, [*by, score])
-    p = F.sum("_p")
+    p = F.sum("_positives")
     n = F.sum("ties") - p
-    won = F.sum(F.col("_p") * (F.col("below") + (F.col("ties") + 1) / 2)) - p * (p + 1) / 2
+    won = F.sum(F.col("_positives") * (F.col("below") + (F.col("ties") + 1) / 2)) - p * (p + 1) / 2
     return out.groupBy(*by).agg(F.try_divide(won, p * n).alias("auc"), p.alias("positives"), n.alias("negatives"))
 
 

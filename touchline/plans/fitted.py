@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators import backtest as bt
-from touchline.operators import league, models, windows
+from touchline.operators import diagnostics, league, models, stats, windows
 
 from .registry import query
-from .stand_ins import FORECASTS, MATCHES, actions, forecasts, matches, ratings
+from .stand_ins import CAREERS, FORECASTS, MATCHES, SCORED, actions, careers, forecasts, matches, ratings
 
 FOLDS = MATCHES + """, nr AS (SELECT *, row_number() OVER (ORDER BY match_date, match_id) - 1 AS i, count(*) OVER () AS n FROM matches), f AS (SELECT *, n // 4 AS size FROM nr, range(1, 4) t(fold)),
 train AS (SELECT * FROM f WHERE i < size * fold), test AS (SELECT * FROM f WHERE i >= size * fold + 10 AND i < least(size * (fold + 1) + 10, n)),
@@ -48,8 +48,9 @@ def dixon_coles_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def isotonic_recalibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = forecasts(spark, sf_dir)
-    return models.recalibrated(f, models.isotonic(f)).select("match_id", *[f"p_{o}" for o in bt.OUTCOMES])
+    """The later half of the forecasts by curves of the earlier half."""
+    train, test = models.walk_forward(forecasts(spark, sf_dir), ["match_date", "match_id"], 1, 10)
+    return models.recalibrated(test, models.isotonic(train)).select("match_id", *[f"p_{o}" for o in bt.OUTCOMES])
 
 
 @query()
@@ -58,8 +59,63 @@ def style_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.style_clusters(t, "team", ["score", "minutes", "spread"], 4)
 
 
+VAEP = ["start_x", "start_y", "end_x", "end_y", "is_click", "is_view"]
+
+
+def labelled_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = windows.possession_labels(actions(spark, sf_dir), ["user_id"], ["ts", "event_id"], "side", F.col("event_type") == "purchase")
+    return a.withColumns({"is_click": (F.col("event_type") == "click").cast("double"), "is_view": (F.col("event_type") == "view").cast("double")})
+
+
 @query()
 def vaep_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = windows.possession_labels(actions(spark, sf_dir), ["user_id"], ["ts", "event_id"], "side", F.col("event_type") == "purchase")
-    a = a.withColumns({"is_click": (F.col("event_type") == "click").cast("double"), "is_view": (F.col("event_type") == "view").cast("double")})
-    return models.action_values(a, ["start_x", "start_y", "end_x", "end_y", "is_click", "is_view"], ["user_id"], ["ts", "event_id"], "side").select("event_id", "p_scores", "p_concedes", "value")
+    return models.action_values(labelled_actions(spark, sf_dir), VAEP, ["user_id"], ["ts", "event_id"], "side").select("event_id", "p_scores", "p_concedes", "value")
+
+
+@query()
+def boosted_action_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.action_values(labelled_actions(spark, sf_dir), VAEP, ["user_id"], ["ts", "event_id"], "side", models.boosted).select("event_id", "p_scores", "p_concedes", "value")
+
+
+@query()
+def action_value_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both kinds of models on a fifth of the users that is kept from them, and on the others."""
+    held_out = F.crc32(F.col("user_id").cast("string")) % 5 == 0
+    return models.label_auc(labelled_actions(spark, sf_dir), VAEP, held_out, {"logistic": models.logistic, "boosted": models.boosted})
+
+
+@query(f"""WITH {FORECASTS}, l AS (SELECT league, unnest([{{'o': 'home', 'p': p_home, 'y': (outcome = 'home')::INT}}, {{'o': 'draw', 'p': p_draw, 'y': (outcome = 'draw')::INT}}, {{'o': 'away', 'p': p_away, 'y': (outcome = 'away')::INT}}], recursive := true) FROM forecasts),
+r AS (SELECT *, rank() OVER (PARTITION BY league, o ORDER BY p) + (count(*) OVER (PARTITION BY league, o, p) - 1) / 2.0::DOUBLE AS rk FROM l)
+SELECT league, o AS outcome, (sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * (count(*) - sum(y))) AS auc, sum(y)::BIGINT AS positives, (count(*) - sum(y))::BIGINT AS negatives FROM r GROUP BY league, o""")
+def outcome_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.col(f"p_{o}").alias("p"), bt.hit(o).alias("y")) for o in bt.OUTCOMES]))
+    rows = forecasts(spark, sf_dir).select("league", cases.alias("_c")).select("league", F.col("_c.o").alias("outcome"), "_c.p", "_c.y")
+    return stats.auc(rows, ["league", "outcome"], "p", F.col("y"))
+
+
+@query(f"""WITH {SCORED}, w AS (SELECT *, row_number() OVER (ORDER BY brier DESC, match_id) AS rn, greatest(15, floor(count(*) OVER () * 0.1)) AS wanted FROM scored) SELECT match_id, league, brier, confidence, outcome FROM w WHERE rn <= wanted""")
+def hardest_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.hardest(bt.scored(forecasts(spark, sf_dir)), "brier", ["match_id"], 0.1, 15).select("match_id", "league", "brier", "confidence", "outcome")
+
+
+@query()
+def error_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = ["home", "away", "league", "entropy", "margin"]
+    return diagnostics.error_clusters(diagnostics.clustered_errors(bt.scored(forecasts(spark, sf_dir)), ["match_id"], features), features)
+
+
+DRAW = "('0x' || substr(md5('7|' || feature || '|' || repeat || '|{}|' || player || '|' || season), 1, 12))::BIGINT"
+
+
+@query(f"""WITH {CAREERS}, e AS (SELECT player, season, score AS target, minutes::DOUBLE AS minutes, season::DOUBLE AS season_value, (player % 50)::DOUBLE AS early FROM careers),
+c AS (SELECT e.*, f.feature, r.repeat, CASE f.feature WHEN 'minutes' THEN minutes WHEN 'season_value' THEN season_value ELSE early END AS value FROM e, (SELECT unnest(['minutes', 'season_value', 'early']) AS feature) f, range(0, 2) r(repeat)),
+t AS (SELECT *, row_number() OVER (PARTITION BY feature, repeat ORDER BY {DRAW.format('to')}, player, season) AS i, row_number() OVER (PARTITION BY feature, repeat ORDER BY {DRAW.format('from')}, player, season) AS j FROM c),
+s AS (SELECT a.feature, a.repeat, a.target, CASE a.feature WHEN 'minutes' THEN b.value ELSE a.minutes END * 0.01::DOUBLE + (CASE a.feature WHEN 'season_value' THEN b.value ELSE a.season_value END - 1990) * 0.5::DOUBLE + CASE a.feature WHEN 'early' THEN b.value ELSE a.early END * 0.02::DOUBLE AS score FROM t a JOIN t b ON a.feature = b.feature AND a.repeat = b.repeat AND a.i = b.j
+ UNION ALL SELECT 'none', 0, target, minutes * 0.01::DOUBLE + (season_value - 1990) * 0.5::DOUBLE + early * 0.02::DOUBLE FROM e),
+k AS (SELECT feature, repeat, rank() OVER (PARTITION BY feature, repeat ORDER BY score) + (count(*) OVER (PARTITION BY feature, repeat, score) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY feature, repeat ORDER BY target) + (count(*) OVER (PARTITION BY feature, repeat, target) - 1) / 2.0::DOUBLE AS b FROM s),
+p AS (SELECT feature, repeat, corr(a, b) AS r FROM k GROUP BY ALL), b AS (SELECT r AS base FROM p WHERE feature = 'none')
+SELECT feature, base AS spearman, avg(r) AS shuffled, avg(base - r) AS "drop", stddev_pop(base - r) AS spread, 2 AS repeats FROM p, b WHERE feature <> 'none' GROUP BY feature, base""")
+def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = careers(spark, sf_dir).withColumns({"season_value": F.col("season").cast("double"), "early": F.col("player") % 50})
+    rate = lambda v: v["minutes"] * 0.01 + (v["season_value"] - 1990) * 0.5 + v["early"] * 0.02
+    return diagnostics.permutation_importance(c, ["player", "season"], ["minutes", "season_value", "early"], rate, "score", 2, 7)

@@ -7,23 +7,35 @@ it (counts, sums, peaks, the last value) comes from a table of one row per group
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Most ranges of a group, the square of a whole number, and the fewest rows for which a range of its own is made.
 RANGES, ROWS = 1024, 256
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, for what several later steps read: a lost executor costs none of it. The folder is that of the session; only a local one without it takes a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The application's checkpoint folder, which driver and executors share: that of the session; only a local one without it takes a temporary folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set")
         sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def new_dir(spark: SparkSession, name: str) -> str:
+    """A folder of its own below shared_dir()."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, for what several later steps read: a lost executor costs none of it."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators.ranges import new_dir
 from touchline.sources import preflight, seasons
+from touchline.streaming import ingest
 
 from .registry import query
 from .stand_ins import MATCHES, matches, table
@@ -65,3 +66,33 @@ def parquet_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page of the given tables' files decoded; rows of a table's files summed."""
     name = F.regexp_extract("path", rf"/({'|'.join(TABLES)})\.parquet(?:/|$)", 1)
     return preflight.preflight(spark, sf_dir).groupBy(name.alias("name")).agg(F.bool_and("readable").alias("readable"), F.sum("n_rows").alias("n_rows"))
+
+
+EVENT_SOURCE = dict(schema="event_id long, user_id long, value double, revision int", key=["event_id"], order="revision")
+
+
+def event_drops(spark: SparkSession, sf_dir: str) -> tuple[ingest.Source, ingest.Source, str]:
+    """All events as JSON lines, of which every 97th is cut short, then a second drop with revised values of every tenth; and a source that isn't there. (events, absent, root) after both drops were ingested."""
+    root = new_dir(spark, "ingest")
+    e = table(spark, sf_dir, "events").select(*[F.col(c).cast("long").alias(c) for c in ("event_id", "user_id")], "value")
+    events = ingest.Source("events", f"{root}/in", files_per_batch=4, **EVENT_SOURCE)
+    absent = ingest.Source("absent", f"{root}/none", "id long", ["id"])
+    line = F.to_json(F.struct("event_id", "user_id", "value", F.lit(1).alias("revision")))
+    e.select(F.when(F.col("event_id") % 97 == 0, F.substring(line, 1, 12)).otherwise(line).alias("value")).write.mode("append").text(events.path)
+    ingest.ingest(spark, [absent, events], root)
+    revised = e.where("event_id % 10 = 0").withColumns({"value": F.col("value") + 1000, "revision": F.lit(0)})
+    revised.write.mode("append").json(events.path)
+    ingest.ingest(spark, [absent, events], root)
+    return events, absent, root
+
+
+@query("""SELECT event_id, user_id, CASE WHEN event_id % 10 = 0 THEN value + 1000 ELSE value END AS value, CASE WHEN event_id % 10 = 0 THEN 0 ELSE 1 END AS revision FROM events WHERE event_id % 97 <> 0 OR event_id % 10 = 0""")
+def ingested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, _, root = event_drops(spark, sf_dir)
+    return ingest.read_table(spark, events, root)
+
+
+@query("""SELECT 'malformed' AS reason, count(*) AS n FROM events WHERE event_id % 97 = 0""")
+def rejected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, _, root = event_drops(spark, sf_dir)
+    return ingest.read_rejects(spark, events, root).groupBy("reason").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from touchline.plans import brackets, decisions, files, fitted, forecasting, reports, squads, styles  # noqa: F401  they add their queries
+from touchline.plans import brackets, decisions, files, fitted, forecasting, matching, reports, squads, styles  # noqa: F401  they add their queries
 from touchline.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

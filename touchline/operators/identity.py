@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.functions.scalar import name_key
+from touchline.functions.scalar import country_key, name_key, position_group, renamed
+
+from .ranges import cut
 
 #: Similarities from which a match is made, or reviewed.
 AUTO, REVIEW = 0.97, 0.90
@@ -39,9 +41,97 @@ def matched(source: DataFrame, canonical: DataFrame, source_id: str, name: str,
     rest = s.join(found.select(source_id), source_id, "left_anti")
     near = candidates(rest.where("_name <> ''"), c, source_id, canonical_id, same, review).withColumn("score", ratio("_name", "_cname")).where(F.col("score") >= review)
     best = near.groupBy(source_id).agg(F.min(F.struct((-F.col("score")).alias("_s"), canonical_id)).alias("_b")).select(source_id, F.col(f"_b.{canonical_id}").alias(canonical_id), (-F.col("_b._s")).alias("score"))
-    fuzzy = best.select(source_id, canonical_id, F.when(F.col("score") >= auto, "fuzzy").otherwise("review").alias("method"), "score")
-    none = rest.join(best.select(source_id), source_id, "left_anti").select(source_id, F.lit(None).cast(fuzzy.schema[canonical_id].dataType).alias(canonical_id), F.lit("unmatched").alias("method"), F.lit(None).cast("double").alias("score"))
-    return sure.unionByName(fuzzy).unionByName(none)
+    method = F.when(F.col("score") >= auto, "fuzzy").when(F.col("score").isNotNull(), "review").otherwise("unmatched")
+    return sure.unionByName(rest.select(source_id).join(best, source_id, "left").select(source_id, canonical_id, method.alias("method"), "score"))
+
+
+def _known(s: DataFrame, c: DataFrame, keys: Sequence[str], tag: str) -> DataFrame:
+    """s with _n_<tag> and _i_<tag>: how many rows of c agree in all of keys, none of which may be empty, and their least id."""
+    per = c.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count("*").alias(f"_n_{tag}"), F.min("_id").alias(f"_i_{tag}"))
+    on = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col(k) != "" for k in keys]
+    return s.join(per, on, "left").drop(*[f"_k_{k}" for k in keys]).fillna(0, [f"_n_{tag}"])
+
+
+def _most_similar(open_: DataFrame, c: DataFrame, country: str, review: float) -> DataFrame:
+    """(_name, country, _id, score) of the canonical row most like each name of open_, ties to the least id, from `review` on; rows of a country meet that country, rows without one all."""
+    own = open_.where("_name <> ''").select("_name", country).distinct()
+    own = own.withColumn("_key", F.concat_ws("\x1f", "_name", country))
+    other = c.where("_name <> ''").groupBy(F.col("_name").alias("_cname"), F.col(country).alias("_c")).agg(F.min("_id").alias("_id"))
+    near = candidates(own, other, "_key", "_id", [(F.col(country) == "") | (F.col(country) == F.col("_c"))], review)
+    pairs = near.groupBy("_name", "_cname").agg(F.collect_set(F.struct("_key", "_id")).alias("_x")).withColumn("score", ratio("_name", "_cname")).where(F.col("score") >= review)
+    best = pairs.select(F.explode("_x").alias("_x"), "score").groupBy("_x._key").agg(F.min(F.struct((-F.col("score")).alias("_s"), F.col("_x._id").alias("_id"))).alias("_b"))
+    return own.join(best, "_key").select("_name", country, F.col("_b._id").alias("_id"), (-F.col("_b._s")).alias("score"))
+
+
+def _decided(df: DataFrame, source_id: str, canonical_id: str, cases: Sequence[tuple]) -> DataFrame:
+    """(source_id, decision, reason, canonical_id, score, n_candidates) by the first of cases (condition, decision, reason, id, score, candidates) that holds."""
+    first = F.coalesce(*[F.when(on, F.struct(F.lit(d).alias("decision"), F.lit(r).alias("reason"), (F.col(i) if i else F.lit(None).cast(df.schema["_id"].dataType)).alias(canonical_id), F.col(v) if isinstance(v, str) else F.lit(v).cast("double").alias("score"), (F.col(n) if n else F.lit(None)).cast("long").alias("n_candidates"))) for on, d, r, i, v, n in cases])
+    return df.select(source_id, first.alias("_x")).select(source_id, "_x.*")
+
+
+def _fuzzy_cases(auto: float) -> list[tuple]:
+    score = F.col("score")
+    return [(score >= auto, "bridge", "fuzzy_auto", "_id", "score", None), (score.isNotNull(), "review", "fuzzy_review", "_id", "score", None)]
+
+
+def match_teams(source: DataFrame, canonical: DataFrame, source_id: str, canonical_id: str, name: str = "name", country: str = "country", aliases: dict[str, str] | None = None, auto: float = AUTO, review: float = REVIEW) -> DataFrame:
+    """(source_id, decision, reason, canonical_id, score, n_candidates) of every source team, whose ids are unique.
+
+    Name and country: one is a bridge (deterministic_exact), several go to review (ambiguous_exact_match). The name in other
+    countries only is rejected (country_conflict). Else the most similar name of the country, or of all where none is
+    given: fuzzy_auto, fuzzy_review, or rejected, low_similarity or no_candidates where the country has no team. Null
+    counts as empty, and an empty name is like no other. aliases: name keys and what they stand for. Scores below
+    `review` aren't worked out and are null.
+    """
+    def prepared(df: DataFrame, key: str, to: str) -> DataFrame:
+        n = name_key(F.col(name))
+        return df.select(F.col(key).alias(to), (renamed(n, aliases) if aliases else n).alias("_name"), country_key(F.col(country)).alias("_country"))
+
+    s, c = prepared(source, source_id, source_id), cut(prepared(canonical, canonical_id, "_id"))
+    s = _known(_known(_known(s, c, ["_name", "_country"], "exact"), c, ["_name"], "name"), c, ["_country"], "country")
+    given = F.col("_country") != ""
+    settled = (F.col("_n_exact") > 0) | (given & (F.col("_n_name") > 0))
+    s = cut(s.crossJoin(F.broadcast(c.agg(F.count("*").alias("_n_all")))))
+    s = s.join(_most_similar(s.where(~settled), c, "_country", review), ["_name", "_country"], "left")
+    empty = F.when(given, F.col("_n_country")).otherwise(F.col("_n_all")) == 0
+    return _decided(s, source_id, canonical_id, [
+        (F.col("_n_exact") == 1, "bridge", "deterministic_exact", "_i_exact", 1.0, None),
+        (F.col("_n_exact") > 1, "review", "ambiguous_exact_match", None, 1.0, "_n_exact"),
+        (given & (F.col("_n_name") > 0), "rejected", "country_conflict", None, 0.0, "_n_name"),
+        (empty, "rejected", "no_candidates", None, 0.0, None), *_fuzzy_cases(auto), (F.lit(True), "rejected", "low_similarity", None, None, None),
+    ])
+
+
+def match_players(source: DataFrame, canonical: DataFrame, source_id: str, canonical_id: str, name: str = "name", born: str = "born", nation: str = "nation", team: str = "team", season: str = "season", position: str = "position", auto: float = AUTO, review: float = REVIEW) -> DataFrame:
+    """(source_id, decision, reason, canonical_id, score, n_candidates) of every source player, whose ids are unique.
+
+    Name, birth date and nation: one is a bridge (deterministic_exact), several go to review. A name whose rows all have
+    other birth dates than the one given is rejected (dob_conflict). Without a birth date, name, team, season and position
+    decide at 0.98 (deterministic_team_season_position, or several to review). Else the same name, of the same nation where there
+    is one, is fuzzy_auto at 1; and without it the most similar name of the nation, or of all where the nation isn't given or unknown.
+    Null counts as empty; an empty part agrees with nothing, and an empty name is like no other. Scores below `review` are null.
+    """
+    def prepared(df: DataFrame, key: str, to: str) -> DataFrame:
+        text = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
+        return df.select(F.col(key).alias(to), name_key(F.col(name)).alias("_name"), text(born).alias("_born"), country_key(F.col(nation)).alias("_nation"), name_key(F.col(team)).alias("_team"), text(season).alias("_season"), position_group(F.col(position)).alias("_position"))
+
+    s, c = prepared(source, source_id, source_id), cut(prepared(canonical, canonical_id, "_id"))
+    looks = {"exact": ["_name", "_born", "_nation"], "born": ["_name", "_born"], "name": ["_name"], "own": ["_name", "_nation"], "place": ["_name", "_team", "_season", "_position"], "nation": ["_nation"]}
+    for tag, keys in looks.items():
+        s = _known(s, c, keys, tag)
+    dated, named = F.col("_born") != "", F.col("_n_name") > 0
+    s = cut(s.crossJoin(F.broadcast(c.agg(F.count("*").alias("_n_all")))).withColumns({"_pool": F.when(F.col("_n_nation") > 0, F.col("_nation")).otherwise(""), "_i_same": F.coalesce("_i_own", "_i_name")}))
+    like = _most_similar(s.where(~named).select("_name", F.col("_pool").alias("_nation")), c, "_nation", review).withColumnRenamed("_nation", "_pool")
+    s = s.join(like, ["_name", "_pool"], "left")
+    return _decided(s, source_id, canonical_id, [
+        (F.col("_n_exact") == 1, "bridge", "deterministic_exact", "_i_exact", 1.0, None),
+        (F.col("_n_exact") > 1, "review", "ambiguous_exact_match", None, 1.0, "_n_exact"),
+        (dated & named & (F.col("_n_born") == 0), "rejected", "dob_conflict", None, 0.0, "_n_name"),
+        (~dated & (F.col("_n_place") == 1), "bridge", "deterministic_team_season_position", "_i_place", 0.98, None),
+        (~dated & (F.col("_n_place") > 1), "review", "ambiguous_team_season_position_match", None, 0.98, "_n_place"),
+        (named, "bridge", "fuzzy_auto", "_i_same", 1.0, None),
+        (F.col("_n_all") == 0, "rejected", "no_candidates", None, 0.0, None), *_fuzzy_cases(auto), (F.lit(True), "rejected", "low_similarity", None, None, None),
+    ])
 
 
 def candidates(s: DataFrame, c: DataFrame, source_id: str, canonical_id: str, same: Sequence[Column], least: float) -> DataFrame:

@@ -85,3 +85,10 @@ def test_large_values_are_exact():
 def test_too_long_vectors_are_an_error(spark):
     with pytest.raises(Exception, match="fit a long"):
         ng.hard_negatives(frame(spark, [(0, [3.0e8], 1), (1, [1.0], 2)]), F.col("vec_id") % 100 == 0).collect()
+
+
+def test_parts_do_not_grow_with_the_input():
+    """A join holds one part at a time, so parts are more where there are more chunks."""
+    for n in (0, 10, 1000, 20_000):
+        assert n / ng.parts_of(n, 32) <= ng.HELD
+    assert ng.parts_of(10, 32) == 32 and ng.parts_of(0, 1) == 16

@@ -29,6 +29,8 @@ from .common import written
 DIRECTIONS, SAMPLE = 16, 256
 #: Vectors of a chunk, anchors of a block.
 CHUNK, BLOCK = 1024, 64
+#: Most chunks of a part, on average: a join holds those of one part at a time.
+HELD = 64
 #: Angles are off by less than this; scores by less than this times both norms, and one.
 SLACK = 1e-6
 NONE = np.iinfo(np.int64).min
@@ -91,24 +93,23 @@ class Packed:
         return np.repeat(scores, many), self.ids[at], self.rows[at]
 
 
-def bounds(angles: np.ndarray, norm: float, chunk: Packed) -> tuple[np.ndarray, np.ndarray]:
-    """(least, greatest) score that each vector of a chunk can have with an anchor."""
-    near, far = np.zeros(len(chunk.norms)), np.full(len(chunk.norms), np.pi)
-    if len(angles):
-        near = np.abs(chunk.angles - angles).max(axis=1)
-        total = chunk.angles + angles
-        far = np.minimum(total, 2 * np.pi - total).min(axis=1)
-    product = norm * chunk.norms
+def bounds(angles: np.ndarray, norm: float | np.ndarray, chunk: Packed) -> tuple[np.ndarray, np.ndarray]:
+    """(least, greatest) score that each vector of a chunk can have with an anchor, or with each of several (a row each)."""
+    product = np.asarray(norm)[..., None] * chunk.norms
+    near, far = np.zeros_like(product), np.full_like(product, np.pi)
+    for d in range(angles.shape[-1]):
+        x, y = angles[..., d, None], chunk.angles[:, d]
+        np.maximum(near, np.abs(x - y), out=near)
+        total = x + y
+        np.minimum(far, np.minimum(total, 2 * np.pi - total), out=far)
     slack = SLACK * product + 1
     return product * np.cos(np.minimum(far + SLACK, np.pi)) - slack, product * np.cos(np.maximum(near - SLACK, 0)) + slack
 
 
 def _scores(a: np.ndarray, vectors: np.ndarray, bound: float) -> np.ndarray:
-    """Exact integer inner products; doubles hold them where no sum can pass 2^53."""
-    d = min(len(a), vectors.shape[1])
-    if bound < 2**52:
-        return np.rint(vectors[:, :d].astype(np.float64) @ a[:d].astype(np.float64)).astype(np.int64)
-    return vectors[:, :d].astype(np.int64) @ a[:d].astype(np.int64)
+    """Exact integer inner products, of one anchor or of several (a row each); doubles hold them where no sum can pass 2^53."""
+    d, kind = min(a.shape[-1], vectors.shape[1]), np.float64 if bound < 2**52 else np.int64
+    return (a[..., :d].astype(kind) @ vectors[:, :d].astype(kind).T).astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,33 +128,27 @@ class Best:
 
     def take(self, chunk: Packed) -> None:
         b = self.block
-        for i in range(len(b.norms)):
-            least, most = bounds(b.angles[i], b.norms[i], chunk)
-            # what could be better than the last of the best so far, equal scores included; and not above the window
-            last = self.scores[i, :, -1].astype(np.float64)
-            if self.negative:
-                w = b.windows[i]
-                used = w[:, 0] >= 0
-                if not used.any():
-                    continue
-                inside = (most >= np.maximum(last, w[:, 1])[used].min()) & (least <= w[:, 2][used].max())
-            else:
-                inside = most >= last[0]
-            which = np.flatnonzero(inside)
-            if not len(which):
-                continue
-            scores = _scores(b.vectors[i], chunk.vectors[which], b.norms[i] * float(chunk.norms[which].max()) + 1)
-            if self.negative:
-                for place in np.flatnonzero(used).tolist():
-                    low = max(int(w[place, 1]), int(self.scores[i, place, -1]))
-                    good = (scores >= low) & (scores <= w[place, 2])
-                    if good.any():
-                        self._merge(i, place, *chunk.expanded(which[good], scores[good])[:2])
-            else:
-                good = scores >= int(self.scores[i, 0, -1])
-                s, ids, rows = chunk.expanded(which[good], scores[good])
-                other = rows != b.rows[i]
-                self._merge(i, 0, s[other], ids[other])
+        least, most = bounds(b.angles, b.norms, chunk)
+        # what could be better than the last of the best so far, equal scores included; and not above the window
+        last = self.scores[:, :, -1]
+        low, high = last, np.full_like(last, np.iinfo(np.int64).max)
+        if self.negative:
+            used = b.windows[:, :, 0] >= 0
+            # an unused place takes nothing
+            low, high = np.where(used, np.maximum(last, b.windows[:, :, 1]), high), np.where(used, b.windows[:, :, 2], NONE)
+        inside = (most >= low.min(axis=1).astype(np.float64)[:, None]) & (least <= high.max(axis=1).astype(np.float64)[:, None])
+        which, of = np.flatnonzero(inside.any(axis=0)), np.flatnonzero(inside.any(axis=1))
+        if not len(which):
+            return
+        scores = _scores(b.vectors[of], chunk.vectors[which], float(b.norms[of].max()) * float(chunk.norms[which].max()) + 1)
+        for place in range(low.shape[1]):
+            good = inside[np.ix_(of, which)] & (scores >= low[of, place, None]) & (scores <= high[of, place, None])
+            for k in np.flatnonzero(good.any(axis=1)).tolist():
+                s, ids, rows = chunk.expanded(which[good[k]], scores[k, good[k]])
+                if not self.negative:
+                    other = rows != b.rows[of[k]]
+                    s, ids = s[other], ids[other]
+                self._merge(int(of[k]), place, s, ids)
 
     def _merge(self, i: int, place: int, scores: np.ndarray, ids: np.ndarray) -> None:
         own = self.scores[i, place] > NONE
@@ -230,6 +225,11 @@ def _packing(size: int, members: int, merge: bool, windows: int):
     return run
 
 
+def parts_of(chunks: int, least: int) -> int:
+    """Parts into which so many chunks are dealt: `least`, or more, so that a part doesn't grow with the input."""
+    return max(16, least, -(-chunks // HELD))
+
+
 def hard_negatives(
     rows: DataFrame, anchor: Column, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, scale: float = 256.0, parts: int | None = None, chunk: int = CHUNK, block: int = BLOCK
 ) -> DataFrame:
@@ -243,10 +243,9 @@ def hard_negatives(
     shorter than others count as if zeros followed. Repeated rows and rows that share an id are rows of their own: a
     copy of an anchor's row can be its positive, and is an anchor too. Without anchors or partners there are no rows.
     Vectors so long that a hundred times a score might pass a long are an error. Other columns are ignored, whatever their names.
-    parts: parts into which chunks are dealt, at least 16 and the number of shuffle partitions unless given.
+    parts: parts into which chunks are dealt, parts_of() them and the shuffle partitions unless given.
     """
     spark = rows.sparkSession
-    parts = parts or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     vector = F.col(vector_col)
     own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), vector.alias("vector"), F.coalesce(anchor, F.lit(False)).alias("anchor"))
     whole = F.forall("vector", lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
@@ -287,6 +286,7 @@ def hard_negatives(
 
     no_windows = F.lit(None).cast("array<struct<place: long, low: long, high: long>>")
     chunks = pack(points.withColumn("windows", no_windows), chunk, True, 0, "chunks")
+    parts = parts or parts_of(chunks.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     chunks = chunks.select(*[F.col(c).alias(f"c_{c}") for c in chunks.columns]).withColumn("c_part", F.pmod(F.xxhash64("c_block"), F.lit(parts)))
     anchors = points.where("anchor")
 

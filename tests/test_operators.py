@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
@@ -374,3 +375,31 @@ def test_no_match_left_is_dropped(spark):
     left = spark.createDataFrame([(k, "g", *p) for k, p in enumerate(("ab", "ac", "ad", "bc", "bd", "cd"))], "match_id int, group string, home string, away string")
     got = tournament.qualification(tournament.scenarios(played, left)).collect()
     assert {r.scenarios for r in got} == {729} and {r.status for r in got} == {"open"} and sum(r.through for r in got) == 2 * 729
+
+
+def test_cases_are_not_rows_that_move(spark):
+    """Simulated seasons, simulated groups and scenarios: no case of a season or group is shuffled as a row of its own; a group without matches left is as it stands."""
+    from touchline.operators import tournament
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    t = spark.createDataFrame([(1, 1, x, 0) for x in range(4)], "league long, season long, team long, pts long")
+    f = spark.createDataFrame([(f"{a}-{b}", 1, 1, a, b, 0.5, 0.2) for a in range(4) for b in range(4) if a != b], "match_id string, league long, season long, home long, away long, p_home double, p_draw double")
+    seasons = league.simulated_seasons(t, f, 37, 1)
+    assert "hashpartitioning(sim" not in plan(seasons)
+    assert abs(seasons.agg(F.sum("mean_place")).first()[0] - 10) < 1e-9 and abs(seasons.agg(F.sum("p_first")).first()[0] - 1) < 1e-9
+    played = spark.createDataFrame([("a", x, 3 - x, 0, 0) for x in range(3)] + [("b", 7, 1, 0, 0), ("b", 8, 1, 0, 0)], "group string, team long, pts long, gd long, gf long")
+    left = spark.createDataFrame([(1, "a", 0, 1, 0.9), (2, "a", 1, 2, 0.5)], "match_id long, group string, home long, away long, p_home double")
+    groups = tournament.simulated_groups(played, left, 20, 3, 1)
+    assert "hashpartitioning(sim" not in plan(groups) and "hashpartitioning(scenario" not in plan(tournament.scenarios(played, left))
+    got = {(r.group, r.team): (r.p_first, r.p_through) for r in groups.collect()}
+    assert got["b", 7] == (1.0, 1.0) and got["b", 8] == (0.0, 0.0) and abs(sum(v[0] for k, v in got.items() if k[0] == "a") - 1) < 1e-9
+    cases = {(r.group, r.team): (r.scenarios, r.through, r.best, r.worst) for r in tournament.scenarios(played, left, 1).collect()}
+    want = {x: [] for x in range(3)}
+    for s, u in product((1, 0, -1), repeat=2):
+        end = {0: [3, 0, 0], 1: [2, 0, 0], 2: [1, 0, 0]}
+        for home, away, z in ((0, 1, s), (1, 2, u)):
+            for team, y in ((home, z), (away, -z)):
+                end[team] = [end[team][0] + (3 if y > 0 else 1 if y == 0 else 0), end[team][1] + y, end[team][2] + max(y, 0)]
+        for place, team in enumerate(sorted(end, key=lambda x: ([-v for v in end[x]], x)), 1):
+            want[team].append(place)
+    assert cases == {("a", x): (9, sum(p == 1 for p in v), min(v), max(v)) for x, v in want.items()}

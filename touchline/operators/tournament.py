@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .league import knockout_probability, uniform
+from .league import DRAW, knockout_probability, uniform
 
 #: How strengths are spread before group places are forecast, and the third places that advance.
 GROUP_POWER, THIRDS, GROUPS = 2.5, 8, 12
+#: Cases, and places in all, that a task works out at a time.
+CASES, CELLS = 4096, 1 << 18
 
 
 def group_tables(teams: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -98,39 +102,94 @@ def simulated_bracket(bracket: DataFrame, rounds: int, sims: int, seed: int) ->
     return by_round.groupBy("team", "round").agg((F.count("*") / sims).alias("share"))
 
 
+def places(base: np.ndarray, home: np.ndarray, away: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """(groups, cases, teams): each team's place once a case of the matches left is over.
+
+    base: (groups, teams, 3), points, goal difference and goals so far, teams by name. home, away: (groups, matches), the
+    place of a team in its group from 1, or 0. signs: (groups or 1, cases, matches), 1, 0 or -1 for 1-0, 0-0 or 0-1.
+    """
+    g, teams = base.shape[:2]
+    total = np.repeat(base[:, None], signs.shape[1], axis=1)
+    signs = np.broadcast_to(signs, (g, *signs.shape[1:]))
+    for m in range(home.shape[1]):
+        for side, s in ((home[:, m], signs[..., m]), (away[:, m], -signs[..., m])):
+            known = np.flatnonzero(side > 0)
+            s = s[known]
+            total[known, :, side[known] - 1] += np.stack((np.where(s > 0, 3, np.where(s == 0, 1, 0)), s, np.maximum(s, 0)), axis=-1)
+    out = np.ones(total.shape[:3], dtype=np.int64)
+    for t in range(teams):
+        for u in range(teams):
+            if u != t:
+                better = np.full(total.shape[:2], u < t)
+                for k in (2, 1, 0):
+                    x, y = total[:, :, u, k], total[:, :, t, k]
+                    better = (x > y) | ((x == y) & better)
+                out[:, :, t] += better
+    return out
+
+
+def _counted(played: DataFrame, left: DataFrame, how: str, through: int, drawn: Sequence[str] = ()) -> DataFrame:
+    """(group, team, _x): in how many cases a team is first, among the first `through`, its best and worst place, and the cases: those drawn, or all 3 ** n. A group is one row, so no case is a row of its own."""
+
+    @F.pandas_udf("array<array<long>>")
+    def counts(pts: pd.Series, gd: pd.Series, gf: pd.Series, home: pd.Series, away: pd.Series, cases: pd.Series) -> pd.Series:
+        out = [None] * len(pts)
+        shapes = {}
+        for i, (p, h, c) in enumerate(zip(pts, home, cases, strict=True)):
+            shapes.setdefault((len(p), len(h), len(c)), []).append(i)
+        for (teams, matches, given), rows in shapes.items():
+            n = (given // matches if given else 1) if drawn else 3**matches
+            some, most = max(1, CELLS // (min(n, CASES) * teams)), min(n, CASES)
+            for at in range(0, len(rows), some):
+                own = rows[at : at + some]
+                of = lambda c, k=float: np.array([np.asarray(c[i], dtype=k) for i in own], dtype=k)  # noqa: B023, E731
+                base, h, a = np.stack((of(pts), of(gd), of(gf)), axis=-1), of(home, int).reshape(len(own), matches), of(away, int).reshape(len(own), matches)
+                ends = np.zeros((len(own), teams, 5), dtype=np.int64)
+                ends[..., 2] = teams
+                for first in range(0, n, most):
+                    last = min(first + most, n)
+                    if drawn:
+                        signs = of(cases, int).reshape(len(own), matches, -1)[:, :, first:last].transpose(0, 2, 1) if given else np.zeros((1, 1, 0), dtype=int)
+                    else:
+                        signs = 1 - (np.arange(first, last)[None, :, None] // 3 ** np.arange(matches)) % 3
+                    place = places(base, h, a, signs)
+                    ends[..., 0] += (place == 1).sum(axis=1)
+                    ends[..., 1] += (place <= through).sum(axis=1)
+                    ends[..., 2] = np.minimum(ends[..., 2], place.min(axis=1))
+                    ends[..., 3] = np.maximum(ends[..., 3], place.max(axis=1))
+                ends[..., 4] = n
+                for i, x in zip(own, ends.tolist(), strict=True):
+                    out[i] = x
+        return pd.Series(out)
+
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))).alias(c)
+    tables = played.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("team", *[number(c) for c in ("pts", "gd", "gf")]))).alias("_t"))
+    rest = left.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("match_id", "home", "away", *drawn))).alias("_m"))
+    both = tables.join(rest, "group", how)
+    of = lambda c: F.transform("_t", lambda t: t[c])
+    at = lambda side: F.coalesce(F.transform("_m", lambda m: F.coalesce(F.array_position(of("team"), m[side]), F.lit(0)).cast("long")), F.array().cast("array<long>"))
+    cases = F.coalesce(F.flatten(F.transform("_m", lambda m: m[drawn[0]])), F.array().cast("array<byte>")) if drawn else F.array().cast("array<byte>")
+    both = both.withColumn("_r", counts(of("pts"), of("gd"), of("gf"), at("home"), at("away"), cases))
+    return both.select("group", F.explode(F.zip_with("_t", "_r", lambda t, r: F.struct(t["team"].alias("team"), r.alias("_x")))).alias("x")).select("group", "x.*")
+
+
 def simulated_groups(played: DataFrame, left: DataFrame, sims: int, seed: int, through: int = 2) -> DataFrame:
     """(group, team, p_first, p_through): shares of simulations in which a team wins its group, and ends among the first `through`.
 
     played: group, team, pts, gd, gf so far of every team. left: match_id, group, home, away, p_home, the home side's
     chance without draws. A match left is drawn in DRAW of all cases, and ends 1-0, 0-0 or 0-1; level teams go by name.
     """
-    from .league import DRAW
-
-    runs = played.sparkSession.range(sims).select(F.col("id").alias("sim"))
-    u = uniform(F.lit(seed), F.col("sim"), F.col("match_id"))
-    drawn = left.crossJoin(F.broadcast(runs)).withColumn("_u", u)
+    u = lambda sim: uniform(F.lit(seed), sim, F.col("match_id"))
     win = F.col("p_home") * (1 - DRAW)
-    sign = F.when(F.col("_u") < win, 1).when(F.col("_u") < win + DRAW, 0).otherwise(-1)
-    side = lambda team, s: F.struct(F.col(team).alias("team"), F.when(s > 0, 3).when(s == 0, 1).otherwise(0).alias("p"), s.alias("d"), F.greatest(s, F.lit(0)).alias("f"))
-    won = drawn.withColumn("_s", sign).select("sim", "group", F.explode(F.array(side("home", F.col("_s")), side("away", -F.col("_s")))).alias("x")).groupBy("sim", "group", "x.team").agg(F.sum("x.p").alias("_p"), F.sum("x.d").alias("_d"), F.sum("x.f").alias("_f"))
-    final = played.crossJoin(F.broadcast(runs)).join(won, ["sim", "group", "team"], "left")
-    plus = lambda a, b: F.desc(F.col(a) + F.coalesce(F.col(b), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("sim", "group").orderBy(plus("pts", "_p"), plus("gd", "_d"), plus("gf", "_f"), "team"))
-    return final.withColumn("_place", place).groupBy("group", "team").agg(F.avg((F.col("_place") == 1).cast("double")).alias("p_first"), F.avg((F.col("_place") <= through).cast("double")).alias("p_through"))
+    signs = F.transform(F.sequence(F.lit(0), F.lit(sims - 1)), lambda sim: F.when(u(sim) < win, 1).when(u(sim) < win + DRAW, 0).otherwise(-1).cast("byte"))
+    out = _counted(played, left.withColumn("_s", signs), "left", through, ["_s"])
+    return out.select("group", "team", (F.col("_x")[0] / F.col("_x")[4]).alias("p_first"), (F.col("_x")[1] / F.col("_x")[4]).alias("p_through"))
 
 
 def scenarios(played: DataFrame, left: DataFrame, through: int = 2) -> DataFrame:
     """(group, team, scenarios, through, best, worst): over all 3 ** n outcomes of a group's n matches left, how often a team ends among the first `through`, and its best and worst place. Groups without a match left have no rows; a round of four teams has six matches, 729 outcomes."""
-    own = left.withColumn("_k", F.row_number().over(Window.partitionBy("group").orderBy("match_id")) - 1)
-    few = own.groupBy("group").agg(F.count("*").alias("_n"))
-    runs = few.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.pow(F.lit(3.0), F.col("_n")).cast("int") - 1)))
-    out = own.join(runs, "group").withColumn("_s", 1 - F.floor(F.col("scenario") / F.pow(F.lit(3.0), F.col("_k"))).cast("int") % 3)
-    side = lambda team, s: F.struct(F.col(team).alias("team"), F.when(s > 0, 3).when(s == 0, 1).otherwise(0).alias("p"), s.alias("d"), F.greatest(s, F.lit(0)).alias("f"))
-    won = out.select("scenario", "group", F.explode(F.array(side("home", F.col("_s")), side("away", -F.col("_s")))).alias("x")).groupBy("scenario", "group", "x.team").agg(F.sum("x.p").alias("_p"), F.sum("x.d").alias("_d"), F.sum("x.f").alias("_f"))
-    final = played.join(runs.select("group", "scenario"), "group").join(won, ["scenario", "group", "team"], "left")
-    plus = lambda a, b: F.desc(F.col(a) + F.coalesce(F.col(b), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("scenario", "group").orderBy(plus("pts", "_p"), plus("gd", "_d"), plus("gf", "_f"), "team"))
-    return final.withColumn("_place", place).groupBy("group", "team").agg(F.count("*").alias("scenarios"), F.count_if(F.col("_place") <= through).alias("through"), F.min("_place").cast("long").alias("best"), F.max("_place").cast("long").alias("worst"))
+    out = _counted(played, left, "inner", through)
+    return out.select("group", "team", F.col("_x")[4].alias("scenarios"), F.col("_x")[1].alias("through"), F.col("_x")[2].alias("best"), F.col("_x")[3].alias("worst"))
 
 
 def qualification(cases: DataFrame) -> DataFrame:

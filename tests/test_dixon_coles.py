@@ -160,3 +160,27 @@ def test_attribution_equals_changed_models(spark, rows):
         assert [r.factor for r in found] == [f for f, _ in sorted(want, key=lambda w: -round(abs(w[1]), 12))]
         assert {r.factor: pytest.approx(r.delta, abs=1e-9) for r in found} == dict(want)
         assert (found[0].home_win, found[0].draw, found[0].away_win) == pytest.approx(base)
+
+
+def test_models_side_by_side_are_each_the_maximum():
+    """Models of one and of several sizes fitted together are those fitted one by one; one without weight is none."""
+    import numpy as np
+
+    from touchline.operators.models import SUMS, maximum
+
+    rng, cases = np.random.default_rng(4), []
+    for teams in (4, 4, 6, 4, 6, 3):
+        home, away = (x.ravel() for x in np.meshgrid(np.arange(teams) * 10, np.arange(teams) * 10, indexing="ij"))
+        keep = (home != away) & (rng.random(len(home)) < 0.9)
+        home, away = home[keep], away[keep]
+        low = rng.random((4, len(home))) * 0.4
+        w = low.sum(axis=0) + rng.random(len(home))
+        sums = np.stack((w, w * rng.uniform(0.5, 3, len(w)), w * rng.uniform(0.5, 3, len(w)), *low, rng.integers(0, 9, len(w)), rng.integers(1, 4, len(w)))).astype(float)
+        cases.append((home, away, sums))
+    cases.append((cases[0][0], cases[0][1], cases[0][2] * 0))
+    got = dc.fitted(cases)
+    assert got[-1] is None
+    for (home, away, sums), g in zip(cases[:-1], got, strict=False):
+        m = maximum(home.tolist(), away.tolist(), dict(zip(SUMS, sums, strict=True)))
+        assert np.allclose(g["attack"], m.attack, atol=1e-6) and np.allclose(g["defence"], m.defence, atol=1e-6)
+        assert np.allclose([g["mean"], g["advantage"], g["rho"]], [m.mean, m.advantage, m.rho], atol=1e-6)

@@ -17,38 +17,71 @@ from pyspark.sql import functions as F
 
 from .backtest import OUTCOMES, hit
 from .league import uniform
-from .models import LOG_RATE, SUMS, _sums, decayed, maximum, pairing_sums, walk_forward
+from .models import LOG_RATE, SUMS, _sums, decayed, maxima, pairing_sums, walk_forward
 
 #: The decays a day that are tried unless others are given.
 DECAYS = (0.0, 0.001, 0.002, 0.003, 0.005, 0.008, 0.01, 0.015, 0.02)
 METRICS = ("log_loss_exact", "brier", "rps")
+#: Numbers that models fitted side by side may take together.
+CELLS = 1 << 20
 #: The factors of a forecast, in the order in which equal ones are listed, and what each is without effect.
 FACTORS = {"home_attack": 0.0, "home_defence": 0.0, "away_attack": 0.0, "away_defence": 0.0, "advantage": 0.0, "mean": 1.0, "rho": 0.0}
 
 
-def fits(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+def fitted(pairings: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[dict | None]:
+    """Models of (home, away, rows of SUMS) each, those of as many teams side by side; None where there is no weight or no solution."""
+    out, same = [None] * len(pairings), {}
+    for i, (home, away, sums) in enumerate(pairings):
+        if len(home) and sums[0].max() > 0:
+            teams, place = np.unique(np.concatenate((home, away)), return_inverse=True)
+            same.setdefault(len(teams), []).append((i, place[: len(home)], place[len(home) :], sums))
+    for teams, models in same.items():
+        most = max(1, CELLS // ((2 * teams + 1) ** 2 + 13 * max(len(m[1]) for m in models)))
+        for first in range(0, len(models), most):
+            some = models[first : first + most]
+            wide = max(len(m[1]) for m in some)
+            padded = lambda rows: np.stack([np.pad(r, (0, wide - len(r))) for r in rows])  # noqa: B023, E731
+            home, away = padded([m[1] for m in some]), padded([m[2] for m in some])
+            sums = {k: padded([m[3][j] for m in some]) for j, k in enumerate(SUMS)}
+            try:
+                got = [maxima(home, away, sums, teams)]
+            except np.linalg.LinAlgError:  # of one of them: each by itself
+                got = []
+                for j in range(len(some)):
+                    try:
+                        got.append(maxima(home[j : j + 1], away[j : j + 1], {k: v[j : j + 1] for k, v in sums.items()}, teams))
+                    except np.linalg.LinAlgError:
+                        got.append((np.full((1, 2 * teams + 1), np.nan), np.full(1, np.nan), np.full(1, np.nan)))
+            x, mean, rho = (np.concatenate(c) for c in zip(*got, strict=True))
+            for j, (i, *_) in enumerate(some):
+                if np.isfinite(mean[j]):
+                    out[i] = {"mean": mean[j], "advantage": x[j, 2 * teams], "rho": rho[j], "attack": x[j, :teams].tolist(), "defence": x[j, teams : 2 * teams].tolist()}
+    return out
+
+
+def fits(sums: DataFrame, keys: Sequence[str], spread: bool = True) -> DataFrame:
     """(keys, mean, advantage, rho, attack, defence): a model of each group of pairing_sums(); the last two are maps by team.
 
-    A group without weight, or whose equations have no solution, gives no row.
+    A group without weight, or whose equations have no solution, gives no row. spread: deals the groups out; without it
+    they are fitted where their sums lie.
     """
     kinds = {f.name: f.dataType.simpleString() for f in sums.schema.fields}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "mean double, advantage double, rho double", *(f"{m} map<{kinds['home']}, double>" for m in ("attack", "defence"))])
-
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["home", "away"])
-        out = pd.DataFrame(columns=[*keys, "mean", "advantage", "rho", "attack", "defence"])
-        if not rows["w"].max() > 0:
-            return out
-        try:
-            m = maximum(rows["home"].tolist(), rows["away"].tolist(), {k: rows[k].to_numpy(dtype=float) for k in SUMS})
-        except (np.linalg.LinAlgError, FloatingPointError, OverflowError):
-            return out
-        out.loc[0] = [*key, m.mean, m.advantage, m.rho, dict(zip(m.teams, m.attack.tolist(), strict=True)), dict(zip(m.teams, m.defence.tolist(), strict=True))]
-        return out
+    model = "mean double, advantage double, rho double, attack array<double>, defence array<double>"
+
+    @F.pandas_udf(model)
+    def fit(home: pd.Series, away: pd.Series, values: pd.Series) -> pd.DataFrame:
+        got = fitted([(h, a, np.asarray(v, dtype=float).reshape(-1, len(SUMS)).T) for h, a, v in zip(home, away, values, strict=True)])
+        empty = {"mean": None, "advantage": None, "rho": None, "attack": None, "defence": None}
+        return pd.DataFrame([x or empty for x in got], columns=list(empty))
 
     # few bytes and much work: as many tasks as the session has partitions, which would else be put together by size
     tasks = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sums.repartition(tasks, *keys).groupBy(*keys).applyInPandas(fit, schema)
+    own = sums.repartition(tasks, *keys) if spread else sums
+    own = own.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("home", "away", F.array(*[F.coalesce(F.col(k).cast("double"), F.lit(0.0)) for k in SUMS]).alias("_v")))).alias("_p"))
+    own = own.withColumn("_m", fit(F.col("_p.home"), F.col("_p.away"), F.flatten(F.col("_p._v")))).where("_m.mean IS NOT NULL")
+    teams = F.array_sort(F.array_union(F.col("_p.home"), F.col("_p.away")))
+    maps = [F.map_from_arrays(teams, F.col(f"_m.{m}")).cast(f"map<{kinds['home']}, double>").alias(m) for m in ("attack", "defence")]
+    return own.select(*keys, "_m.mean", "_m.advantage", "_m.rho", *maps)
 
 
 def strengths(rows: DataFrame) -> DataFrame:
@@ -160,9 +193,11 @@ def bootstrapped(matches: DataFrame, fixtures: DataFrame, by: Sequence[str] = ()
     if replicates < 10 or not 0 < level < 1:
         raise ValueError("at least 10 replicates, and a level between 0 and 1")
     newest = F.broadcast(matches.agg(F.max(F.to_date(at)).alias("_newest")))
+    if by:  # dealt out before they are drawn: the resamples of a competition are summed and fitted where its matches lie
+        matches = matches.repartition(int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
     drawn = matches.crossJoin(newest).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     drawn = drawn.withColumn("_times", poisson_count(uniform(F.lit(seed), F.col("replicate"), F.col("match_id")))).where("_times > 0")
-    models = fits(pairing_sums(drawn, decayed(at, decay), [*by, "replicate"], F.col("_times")), [*by, "replicate"])
+    models = fits(pairing_sums(drawn, decayed(at, decay), [*by, "replicate"], F.col("_times")), [*by, "replicate"], spread=not by)
     both = fixtures.select(*by, "home", "away").distinct()
     rows = summed(rated(strengths(both.join(models, list(by)) if by else both.crossJoin(models))), max_goals)
     low = (1 - level) / 2

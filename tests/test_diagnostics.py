@@ -108,3 +108,17 @@ def test_boosted_values_beat_a_straight_line(spark):
     assert got["trees", "concedes", True] is None  # no positives
     v = models.action_values(df, ["x", "y"], ["match"], ["i"], "side", makes["trees"]).orderBy("i").limit(2).collect()
     assert v[0].p_concedes == 0.0 and v[1].value == pytest.approx(v[1].p_scores - v[0].p_concedes + v[0].p_scores)
+
+
+def test_rows_with_a_range_are_never_broadcast(spark):
+    """Rows of several orders of few groups: the table of edges goes to the rows, whatever Spark's estimates say."""
+    from touchline.operators.ranges import ranged
+
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x")).unionByName(spark.createDataFrame([(None, 1.0), (7, None), (7, 2.0)], "g long, x double"))
+    out = ranged(df, ["g"], "x", 100)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    got = out.groupBy("g").agg(F.count("*").alias("n"), F.max("_range").alias("top"), F.min("_range").alias("low")).collect()
+    assert {(r.g, r.n, r.top > 5, r.low) for r in got} == {(0, 1000, True, 0), (1, 1000, True, 0), (2, 1000, True, 0), (None, 1, False, 0), (7, 2, False, 0)}
+    again = out.groupBy("g", "_range").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("g = 1").orderBy("_range").collect()
+    assert all(p.b < q.a for p, q in zip(again, again[1:]))

@@ -24,7 +24,7 @@ def permuted(df: DataFrame, by: Sequence[str], key: Sequence[str], value: str, s
     rows = cut(df.withColumns({side: uniform(*seed, F.lit(side[1:]), *[F.col(k) for k in key]) for side in ("_from", "_to")}))
     given = running(rows.select(*by, *key, "_from", F.col(value).alias("_given")), by, ["_from", *key], {}).select(*by, "_i", "_given")
     takes = running(rows.drop("_from"), by, ["_to", *key], {})
-    return joined(takes, given, [*by, "_i"]).withColumn(value, F.col("_given")).drop("_i", "_given", "_to", "_range")
+    return joined(takes, given, [*by, "_i"], by="merge").withColumn(value, F.col("_given")).drop("_i", "_given", "_to", "_range")
 
 
 def permutation_importance(df: DataFrame, key: Sequence[str], features: Sequence[str], score: Callable[[dict[str, Column]], Column], target: str, repeats: int, seed: int) -> DataFrame:

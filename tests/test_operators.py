@@ -5,6 +5,7 @@ import math
 from itertools import product
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scalar
@@ -403,3 +404,19 @@ def test_cases_are_not_rows_that_move(spark):
         for place, team in enumerate(sorted(end, key=lambda x: ([-v for v in end[x]], x)), 1):
             want[team].append(place)
     assert cases == {("a", x): (9, sum(p == 1 for p in v), min(v), max(v)) for x, v in want.items()}
+
+
+def test_nearest_by_blocks_is_the_plain_form_to_the_last_bit(spark, monkeypatch):
+    """Missing, empty, zero, infinite, huge and tiny vectors, repeated and missing keys, ties."""
+    monkeypatch.setattr(stats, "VECTOR_BLOCK", 64, raising=False)
+    monkeypatch.setattr(stats, "QUERY_BLOCK", 16)
+    odd = [None, [1.0, None, 2.0], [], [1.0, 2.0], [0.0, 0.0, 0.0], [float("nan"), 1.0, 1.0], [float("inf"), 1.0, 1.0], [1e200, 1e200, -1e200], [1e-170, 1e-170, 0.0]]
+    made = [(f"k{i % 180:03d}" if i % 41 else None, odd[i // 3 % 9] if i % 3 == 0 else [float(i * d % 7 - 3) for d in (1, 3, 5)]) for i in range(200)]
+    v = spark.createDataFrame(made, "id string, v array<double>")
+    q = v.where("id like '%0' or id like '%7'")
+    got = stats.nearest(v, q, "id", "v", 5)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()  # no cosine of column expressions for each pair
+    pairs = v.join(q.select(F.col("id").alias("query"), F.col("v").alias("_q")), F.col("id") != F.col("query")).select("query", F.col("id").alias("neighbour"), (stats.cosine(F.col("_q"), F.col("v")) + 0.0).alias("similarity"))
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))).where("rank <= 5")
+    listed = lambda df: sorted(map(repr, df.select("query", "rank", "neighbour", F.col("similarity") + 0.0).collect()))
+    assert listed(got) == listed(want)

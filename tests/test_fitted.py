@@ -130,3 +130,18 @@ def test_action_values_follow_the_labels(spark):
     assert np.corrcoef(p, [r[3] for r in rows])[0, 1] > 0.9
     assert got[0].value == pytest.approx(got[0].p_scores - got[0].p_concedes)
     assert got[1].value == pytest.approx(got[1].p_scores - got[0].p_concedes - (got[1].p_concedes - got[0].p_scores))
+
+
+def test_isotonic_reads_its_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    own = F.udf(counted, "double").asNondeterministic()
+    df = spark.range(200).select(own((F.col("id") % 20 / 40).cast("double")).alias("p_home"), (F.col("id") % 5).alias("k")).select("p_home", F.lit(0.25).alias("p_draw"), (0.75 - F.col("p_home")).alias("p_away"), F.when(F.col("k") == 0, "home").when(F.col("k") == 1, "draw").otherwise("away").alias("outcome"))
+    assert all(models.isotonic(df).values())
+    assert seen.value == 200

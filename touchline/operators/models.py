@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .backtest import OUTCOMES, hit
 from .league import outcome_probabilities, score_matrix
-from .ranges import joined, running
+from .ranges import cut, joined, running
 from .stats import auc, zscored
 
 #: Bounds of a log rate, the goals of a league without any, and where the fit of the low scores may lie.
@@ -235,10 +235,16 @@ def poisson_walk_forward(matches: DataFrame, order: Sequence[str], folds: int, g
 
 
 def isotonic(df: DataFrame, least: int = 10) -> dict[str, object]:
-    """Per outcome a monotone curve from its probability to how often it came, or None with fewer rows than `least`. Spark pools neighbours by partition first."""
-    if df.limit(least).count() < least:
+    """Per outcome a monotone curve from its probability to how often it came, or None with fewer rows than `least`. Spark pools neighbours by partition first.
+
+    The rows are read once: how often each probability of an outcome was given and came is written first, and the
+    curves are fitted to that.
+    """
+    cases = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.col(f"p_{o}").alias("x"), hit(o).alias("y")) for o in OUTCOMES]))
+    counts = cut(df.select(cases.alias("_c")).select("_c.*").groupBy("o", "x").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("w")))
+    if (counts.where(F.col("o") == OUTCOMES[0]).agg(F.sum("w")).first()[0] or 0) < least:
         return dict.fromkeys(OUTCOMES)
-    fit = lambda o: IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w").fit(df.groupBy(F.col(f"p_{o}").alias("x")).agg(F.avg(hit(o)).alias("y"), F.count("*").cast("double").alias("w")))
+    fit = lambda o: IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w").fit(counts.where(F.col("o") == o).drop("o"))
     return {o: fit(o) for o in OUTCOMES}
 
 

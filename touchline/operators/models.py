@@ -300,7 +300,10 @@ def boosted(rounds: int = 50, depth: int = 3, step: float = 0.1, least: int = 20
 
 
 def label_chances(df: DataFrame, features: Sequence[str], make: Callable = logistic, learns: Column | None = None) -> DataFrame:
-    """df with p_scores and p_concedes by models of the labels scores and concedes, fitted to all rows or to those that `learns` marks. A label that only has one value there has that as its chance."""
+    """df with p_scores and p_concedes by models of the labels scores and concedes, fitted to all rows or to those that `learns` marks. A label that only has one value there has that as its chance.
+
+    A fit reads df several times: it should be cut() where it is more than a table.
+    """
     rows = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="keep").transform(df)
     train = rows if learns is None else rows.where(learns)
     ends = train.agg(*[f(c).cast("double").alias(f"{c}_{n}") for c in LABELS for n, f in (("low", F.min), ("high", F.max))]).first()
@@ -320,7 +323,7 @@ def action_values(df: DataFrame, features: Sequence[str], by: Sequence[str], ord
     The chances before an action are those after the one before it, exchanged where another side had that; an entity's
     first action starts from nought.
     """
-    rows = label_chances(df, features, make)
+    rows = label_chances(cut(df), features, make)
     w = Window.partitionBy(*by).orderBy(*order)
     same = F.lag(side).over(w) == F.col(side)
     before = {"scores": F.when(same, F.lag("p_scores").over(w)).otherwise(F.lag("p_concedes").over(w)), "concedes": F.when(same, F.lag("p_concedes").over(w)).otherwise(F.lag("p_scores").over(w))}
@@ -329,12 +332,13 @@ def action_values(df: DataFrame, features: Sequence[str], by: Sequence[str], ord
 
 
 def label_auc(df: DataFrame, features: Sequence[str], held_out: Column, makes: dict[str, Callable]) -> DataFrame:
-    """(model, label, held_out, auc, positives, negatives) of models fitted to the rows that aren't held out."""
+    """(model, label, held_out, auc, positives, negatives) of models fitted to the rows that aren't held out. The rows are written first, and so are the chances of each model."""
     out = None
+    rows = cut(df.select(*features, *LABELS, held_out.alias("held_out")))
     for name, make in makes.items():
-        p = label_chances(df.withColumn("held_out", held_out), features, make, ~F.col("held_out"))
+        p = label_chances(rows, features, make, ~F.col("held_out"))
         cases = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"p_{c}").alias("chance"), F.col(c).alias("came")) for c in LABELS]))
-        one = auc(p.select("held_out", cases.alias("_c")).select("held_out", "_c.*"), ["label", "held_out"], "chance", F.col("came")).withColumn("model", F.lit(name))
+        one = auc(cut(p.select("held_out", cases.alias("_c")).select("held_out", "_c.*")), ["label", "held_out"], "chance", F.col("came")).withColumn("model", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 

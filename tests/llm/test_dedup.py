@@ -13,7 +13,7 @@ from touchline.llm.components import components
 from touchline.llm.decontamination import candidates, contained, decontaminate, shingles_of, sketched
 from touchline.llm.exact_dedup import exact_dedup
 from touchline.llm.line_dedup import line_dedup
-from touchline.llm.repeats import LENGTH, remove_repeats
+from touchline.llm.repeats import GROUP, LENGTH, STARTS, blocks, remove_repeats
 from touchline.llm.simhash import close_pairs, fingerprint, fingerprint_links, gray_rank, near_duplicates
 
 
@@ -172,6 +172,30 @@ def test_repeats_at_random(spark):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in out)
 
 
+def test_repeats_of_texts_side_by_side(spark):
+    """Short texts share a block, are cut as each alone would be, and no match crosses their borders, nor does the end of a block in a long text hide one."""
+    import numpy as np
+
+    rng = random.Random(14)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    own = [text(rng.choice([199, 200, 201, 260, 700])) for _ in range(300)]
+    own += [own[k][-120:] + own[k + 1][:120] for k in range(40)] + own[50:60] + ["z" * 300, "z" * 250]
+    data = [t.encode() for t in own]
+    held = list(blocks(data))
+    assert len(held) <= 2 * sum(map(len, data)) // GROUP + 1
+    bits, key = np.full(1 << 17, 255, dtype=np.uint8), b"k" * 16
+    cells = lambda of, b: {(int(of[part, 0]), int(first + of[part, 1]), *map(int, rest)) for part, first, *rest in zip(*b.cells(bits, key), strict=True)}
+    alone = [(k, of, b) for k, t in enumerate(data) for of, b in blocks([t])]
+    assert set().union(*(cells(of, b) for of, b in held)) == set().union(*(cells(of + [k, 0], b) for k, of, b in alone))
+    assert Counter(int(h) for _, b in held for h in b.phrases()) == Counter(int(h) for _, _, b in alone for h in b.phrases())
+    rows = list(enumerate(own))
+    assert Counter(tuple(r)[:5] for r in remove_repeats(table(spark, rows).coalesce(1)).collect()) == plain_repeats(rows)
+    passage = text(400)
+    long = text(STARTS - 150) + passage + text(5000)
+    got = {r.doc_id: tuple(r)[1:4] for r in remove_repeats(table(spark, [(1, long), (2, "#" + passage[:390] + "#"), (3, passage[190:] + "##")])).collect()}
+    assert got == {1: (len(long), 400, 1), 2: (392, 390, 1), 3: (212, 210, 1)}
+
+
 # Lines
 
 

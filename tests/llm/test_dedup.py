@@ -196,6 +196,23 @@ def test_repeats_of_texts_side_by_side(spark):
     assert got == {1: (len(long), 400, 1), 2: (392, 390, 1), 3: (212, 210, 1)}
 
 
+def test_repeats_keep_no_table_of_cells_or_pieces(spark):
+    """What is left in the shared folder when the result can be read: texts with their cells, and the repeated or single places."""
+    import os
+
+    from touchline.llm.common import work_dir
+
+    held = lambda: {x for x in os.listdir(at) if x[0] != "."} if os.path.isdir(at := work_dir(spark).removeprefix("file://")) else set()
+    before = held()
+    rng = random.Random(15)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = text(500)
+    rows = [(k, text(150) + passage[k : 300 + 7 * k] + text(150)) for k in range(20)]
+    out = remove_repeats(table(spark, rows))
+    assert sorted(x.rsplit("-", 1)[0] for x in held() - before) == ["cells", "repeated", "repeated", "single"]
+    assert Counter(map(tuple, out.collect())) == plain_repeats(rows)
+
+
 # Lines
 
 

@@ -44,10 +44,15 @@ def deleted(spark: SparkSession, path: str) -> bool:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a compressed Parquet table in the shared folder, read again: cuts the lineage and survives lost executors. Stays until clean_up()."""
+    return written_at(df, tag)[0]
+
+
+def written_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """written() and its path, for deleted() once all that reads it has been written in turn."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def apart(key: Column) -> Column:

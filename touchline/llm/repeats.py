@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, INVERSE, _powers, apart, collect_bitmap, filled, hits, mixed, texts, written
+from .common import BASE, INVERSE, _powers, apart, collect_bitmap, deleted, filled, hits, mixed, texts, written, written_at
 
 #: Bytes of a string that counts; of a minimiser; and places that compete for one. Two windows of places fit into a string.
 LENGTH, GRAM = 200, 16
@@ -173,10 +173,10 @@ def blocks(found: Iterable[bytes]) -> Iterator[tuple[np.ndarray, Block]]:
         yield np.array(of), Block(held)
 
 
-def _contents(cells: DataFrame) -> DataFrame:
-    """Each content of cells: how many have it, and the row and first start of one of them. Starts, lead and core follow from the content. Written to the shared folder."""
+def _contents(cells: DataFrame) -> tuple[DataFrame, str]:
+    """Each content of cells: how many have it, and the row and first start of one of them. Starts, lead and core follow from the content. Written to the shared folder; and its path there."""
     one = [F.min("row").alias("row"), F.min_by("first", "row").alias("first"), *(F.min(c).alias(c) for c in ("n", "lead", "core"))]
-    return written(cells.groupBy("hull", "check").agg(F.count("*").alias("same"), *one), "contents")
+    return written_at(cells.groupBy("hull", "check").agg(F.count("*").alias("same"), *one), "contents")
 
 
 def _repeated(cells: DataFrame, contents: DataFrame) -> DataFrame:
@@ -265,19 +265,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return run
 
-    contents = _contents(cells)
+    contents, path = _contents(cells)
     # cells are repeated but for these few, which need no join to be told from the others; of pieces those that are repeated are few
-    found = contents.where("same = 1").select("row", "first", F.lit(0).alias("n"))
+    found = written(contents.where("same = 1").select("row", "first", F.lit(0).alias("n")), "single")
     for size in PIECES:
         probed = _undecided(contents).groupBy("row").agg(F.collect_list(F.struct("first", "n", "lead")).alias("probe")).select(F.col("row").alias("_row"), "probe")
         cut = work.join(probed, F.col("row") == F.col("_row")).select("row", "text", "probe").mapInArrow(pieces(size), "row long, first int, n int, lead int, core long, hull long, check long")
+        cut, here = written_at(cut if size > 1 else cut.drop("lead", "core"), "pieces")
+        deleted(spark, path)
         if size > 1:
-            cut = written(cut, "pieces")
-            contents = _contents(cut)
+            contents, path = _contents(cut)
         else:
-            cut = written(cut.drop("lead", "core"), "pieces")
             contents = cut.groupBy("hull", "check").agg(F.count("*").alias("same"))
         found = found.unionByName(_repeated(cut, contents))
+        deleted(spark, here)
     found = found.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("gone")).select(F.col("row").alias("_row"), F.col("gone.first").alias("_first"), F.col("gone.n").alias("_n"))
 
     def keyed(first: pa.ListArray, n: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:

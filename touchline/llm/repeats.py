@@ -22,7 +22,7 @@ Every round counts with map-side aggregation and sends on only what is unresolve
 leaves its shard but as a hash. Equal strings always fall into cells with equal cores, so nothing is missed. A count of
 contents holds one cell of each; those met once are thereby known by row and place, and all other cells are repeated.
 
-Texts are short: hundreds are hashed side by side, so that their bytes and not their number make the work.
+Texts are short: those of GROUP bytes in all are hashed side by side, so that their bytes and not their number make the work.
 """
 
 from __future__ import annotations

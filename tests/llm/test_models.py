@@ -481,3 +481,24 @@ def test_warc_refuses_false_records(data):
     assert [r["payload_bytes"] for r in warc.records(io.BytesIO(changed(b"abc") * 3))] == [3, 3, 3]
     with pytest.raises((ValueError, zlib.error)):
         list(warc.records(io.BytesIO(data)))
+
+
+def test_hmm_codes_words_as_a_plain_loop_and_joins_rare_ones_without_a_sort(spark):
+    df = table(spark, [*EDGE, (10, " \x0bone ONE\x1ctwo \f"), (20, "one Über über ſ one\r\nrare rare")])
+    rows = df.select("doc_id", hmm.held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = [((r.text or "").encode().lower().split(), r.held_out) for r in rows.collect()]
+    counts = Counter(w for words, _ in texts for w in [*words, hmm.END])
+    assert {(bytes(r["word"]), r["class"], r["c"]) for r in hmm.word_counts(rows.select("text")).collect()} == {(w, hmm.ending(w), n) for w, n in counts.items()}
+    symbols = {b"one": 0, b"hello": 1, hmm.END: 2}
+    found = []
+    for r in hmm.coded(rows, symbols).collect():
+        rare = sorted((bytes(x["word"]), x["class"], x["n"], tuple(x["at"])) for x in r["rare"])
+        found.append((r["held_out"], r["n_tokens"], bytes(r["symbols"]), rare))
+    plain = []
+    for words, out in texts:
+        own = sorted({w for w in words if w not in symbols})
+        coded = np.array([*(symbols.get(w, 3 + hmm.ending(w)) for w in words), 2], dtype="<u2")
+        plain.append((out, len(words) + 1, coded.tobytes(), [(w, hmm.ending(w), words.count(w), tuple(i for i, x in enumerate(words) if x == w) if out else ()) for w in own]))
+    assert sorted(found) == sorted(plain)
+    plan = hmm.score(df, head=4)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,6 +127,43 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def portions(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose strings or bytes in a column make some size bytes, or one row."""
+    of = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def distinct_parts(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct strings, the place of each string among them, strings of each row) of a column of lists without nulls."""
+    found = lists.flatten().dictionary_encode()
+    return found.dictionary, found.indices.to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+
+
+def distinct_words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """distinct_parts() of the words between ASCII white space, A-Z lower-cased, of a string column without nulls."""
+    words, codes, n = distinct_parts(pc.ascii_split_whitespace(pc.ascii_lower(column)))
+    empty = pc.index(words, "").as_py()
+    if empty >= 0:  # white space at an end of a text
+        kept = codes != empty
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[kept], minlength=len(n))
+        codes = codes[kept]
+    return words, codes, n
+
+
+def listed(column: pa.Array) -> list:
+    """to_pylist() of strings or bytes, by way of numpy, which is several times faster."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def byte_rows(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary column of rows of so many items each."""
+    ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))) * data.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
 def filled(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 

@@ -13,15 +13,15 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, texts, written
+from .common import byte_rows, distinct_words, filled, listed, portions, written
 
 #: Size of the model: words with symbols of their own, classes of the rest, hidden states.
 HEAD, CLASSES, STATES = 32_768, 1024, 8
@@ -33,12 +33,14 @@ STEPS = 64
 SEEDS, ROUNDS = 256, 3
 #: Training tokens that a task gathers before it works on them; cells (texts times the longest) that it works on at once; steps whose messages it keeps.
 GATHERED, CELLS, SEGMENT = 1 << 22, 1 << 20, 2048
+#: Bytes of texts or symbols that a task splits or counts at once.
+PORTION = 1 << 23
 #: Tokens that scoring's forward recursion takes as one stretch; rows it works on at once.
 STRETCH, ROWS = 512, 4096
 #: Weight of the corpus distribution in each state's emissions, and of each transition, in tokens.
 PRIOR, STEP_PRIOR = 1000.0, 1.0
-#: Distinct words that a task counts before it passes them on.
-COUNTED = 300_000
+#: Bytes of texts whose words a task counts before it passes them on; classes of endings that it remembers.
+COUNTED, ENDINGS = 1 << 25, 300_000
 END = b"\n"
 
 
@@ -55,22 +57,18 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """(word, class, c) over the texts of rows (text), the end of each text included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(c: Counter) -> pa.RecordBatch:
-            words = list(c)
-            return pa.RecordBatch.from_arrays([pa.array(words, type=pa.binary()), pa.array([ending(w) for w in words], type=pa.int32()), pa.array(c.values(), type=pa.int64())], names=["word", "class", "c"])
-
-        counts: Counter = Counter()
+        ends = 0
         for batch in batches:
-            counts[END] += batch.num_rows
-            for text in texts(batch.column(0)):
-                counts.update(text.lower().split())
-                if len(counts) > COUNTED:
-                    yield out(counts)
-                    counts = Counter()
-        if counts:
-            yield out(counts)
+            ends += batch.num_rows
+            for part in portions(batch, 0, COUNTED):
+                words, codes, _ = distinct_words(part.column(0))
+                n = np.bincount(codes, minlength=len(words))
+                yield pa.RecordBatch.from_arrays([words.cast(pa.binary()).filter(pa.array(n > 0)), pa.array(n[n > 0], pa.int64())], names=["word", "c"])
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["word", "c"])
 
-    return rows.mapInArrow(run, "word binary, class int, c long").groupBy("word", "class").agg(F.sum("c").alias("c"))
+    found = rows.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return found.select("word", F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(CLASSES)).cast("int").alias("class"), "c")
 
 
 def coded(docs: DataFrame, symbols: dict[bytes, int]) -> DataFrame:
@@ -80,44 +78,52 @@ def coded(docs: DataFrame, symbols: dict[bytes, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, end, base = shared.value.get, shared.value[END], len(shared.value)
         classes: dict[bytes, int] = {}
+
+        def class_of(word: bytes) -> int:
+            tail = word[-3:]
+            if (c := classes.get(tail)) is None:
+                c = classes[tail] = ending(tail)
+            return c
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, n, many, rare, of, times, places, cuts = [], [], [0], [], [], [], [], [0]
-                for text, out in zip(texts(part.column(2)), part.column(1).to_pylist(), strict=True):
-                    words = text.lower().split()
-                    known = [get(w, -1) for w in words]
-                    own: dict[bytes, list[int]] = {}
-                    for i, k in enumerate(known):
-                        if k < 0:
-                            own.setdefault(words[i], []).append(i)
-                    for w, where in own.items():
-                        tail = w[-3:]
-                        if (c := classes.get(tail)) is None:
-                            c = classes[tail] = ending(tail)
-                        of.append(c)
-                        times.append(len(where))
-                        for i in where:
-                            known[i] = base + c
-                        if out:
-                            places += where
-                        cuts.append(len(places))
-                    rare += own
-                    many.append(len(rare))
-                    known.append(end)
-                    ids.append(np.array(known, dtype="<u2").tobytes())
-                    n.append(len(words) + 1)
-                if len(classes) > COUNTED:
-                    classes = {}
-                at_type = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(places, pa.int32()))
-                cells = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(of, pa.int32()), pa.array(times, pa.int32()), at_type], names=["word", "class", "n", "at"])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(many, pa.int32()), cells)], names=["doc_id", "held_out", "n_tokens", "symbols", "rare"])
+            for part in portions(batch, 2, PORTION):
+                found, codes, n = distinct_words(part.column(2))
+                found = found.cast(pa.binary())
+                words = listed(found)
+                symbol = np.array([get(w, -1) for w in words], dtype=np.int64)
+                unlisted = symbol < 0
+                for i in np.flatnonzero(unlisted).tolist():
+                    symbol[i] = base + class_of(words[i])
+                if len(classes) > ENDINGS:
+                    classes.clear()
+                row = np.repeat(np.arange(len(n)), n)
+                ids = np.full(len(codes) + len(n), end, dtype="<u2")
+                ids[np.arange(len(codes)) + row] = symbol[codes]
+                # a row for each text and word outside the head, with the places in the order of the text
+                at = np.flatnonzero(unlisted[codes])
+                key = row[at] * len(words) + codes[at]
+                order = np.argsort(key, kind="stable")
+                at, key = at[order], key[order]
+                first = np.flatnonzero(np.diff(key, prepend=-1))
+                times, of, word = np.diff(first, append=len(key)), row[at[first]], codes[at[first]]
+                out = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                places = at - (np.cumsum(n) - n)[row[at]]
+                cuts = np.concatenate(([0], np.cumsum(np.where(out[of], times, 0))))
+                at_type = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(places[out[row[at]]], pa.int32()))
+                cells = pa.StructArray.from_arrays([found.take(pa.array(word)), pa.array(symbol[word] - base, pa.int32()), pa.array(times, pa.int32()), at_type], names=["word", "class", "n", "at"])
+                many = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(n)))))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n + 1, pa.int64()), byte_rows(ids, n + 1), pa.ListArray.from_arrays(pa.array(many, pa.int32()), cells)], names=["doc_id", "held_out", "n_tokens", "symbols", "rare"])
 
     return docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, symbols binary, rare array<struct<word: binary, class: int, n: int, at: array<int>>>")
 
 
 def _sequences(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype="<u2") for x in column.to_pylist()]
+    return [np.frombuffer(x, dtype="<u2") for x in listed(column)]
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, row of each) of all sequences."""
+    return np.frombuffer(b"".join(listed(column)), dtype="<u2"), np.repeat(np.arange(len(column)), pc.binary_length(column).to_numpy() // 2)
 
 
 def co_occurrence(train: DataFrame, seeds: np.ndarray) -> np.ndarray:
@@ -129,11 +135,12 @@ def co_occurrence(train: DataFrame, seeds: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((n, n))
         for batch in batches:
-            seen = np.zeros((batch.num_rows, n), dtype=np.float32)
-            for i, s in enumerate(_sequences(batch.column(0))):
+            for part in portions(batch, 0, PORTION):
+                s, row = _flat(part.column(0))
                 at = place[s]
-                seen[i, at[at >= 0]] = 1
-            total += seen.T @ seen
+                seen = np.zeros((part.num_rows, n), dtype=np.float32)
+                seen[row[at >= 0], at[at >= 0]] = 1
+                total += seen.T @ seen
         a, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(a * n + b), pa.array(total[a, b])], names=["cell", "n"])
 
@@ -192,42 +199,42 @@ def expected(seqs: list[np.ndarray], start: np.ndarray, step: np.ndarray, emit:
         obs[: lengths[j], j] = seqs[i]
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")
     emission, steps, starts = totals
-    one = np.ones(k, dtype=emit.dtype)
+    onward = np.ascontiguousarray(step.T)
 
     def forward(low: int, high: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(emissions, messages, scales) of the steps low to high, after the messages before them."""
+        """(emissions, messages, scales) of the steps low to high, after the messages before them; a state's sequences lie side by side."""
         width = active[low]
-        b = emit[obs[low:high, :width]]
-        alpha, scale = np.zeros((high - low, width, k), dtype=emit.dtype), np.ones((high - low, width), dtype=emit.dtype)
+        alpha, scale = np.zeros((high - low, k, width), dtype=emit.dtype), np.ones((high - low, width), dtype=emit.dtype)
+        b = np.empty_like(alpha)
         for t in range(low, high):
-            a = active[t]
-            now = (start if before is None else before[:a] @ step) * b[t - low, :a]
-            z = scale[t - low, :a] = now @ one
-            before = alpha[t - low, :a] = now / z[:, None]
+            a, i = active[t], t - low
+            now = alpha[i, :, :a]
+            b[i, :, :a] = emit.take(obs[t, :a], axis=0).T
+            np.multiply(start[:, None] if before is None else onward @ before[:, :a], b[i, :, :a], out=now)
+            now /= now.sum(axis=0, out=scale[i, :a])
+            before = now
         return b, alpha, scale
 
     edges = [*range(0, longest, segment), longest]
     marks: list[np.ndarray | None] = [None]
     for low, high in zip(edges[:-2], edges[1:-1], strict=True):
-        marks.append(forward(low, high, marks[-1])[1][-1])
-    beta = np.ones((n, k), dtype=emit.dtype)
+        marks.append(forward(low, high, marks[-1])[1][-1].copy())
+    beta = np.ones((k, n), dtype=emit.dtype)
     for low, high, before in zip(edges[-2::-1], edges[:0:-1], marks[::-1], strict=True):
         b, alpha, scale = forward(low, high, before)
-        gamma = alpha.copy()
         for t in range(high - 1, low - 1, -1):
             a, i = active[t], t - low
-            gamma[i, :a] *= beta[:a]
+            alpha[i, :, :a] *= beta[:, :a]  # from here on the share of each state
             if t:
-                back = b[i, :a] * beta[:a] / scale[i, :a, None]
-                steps += step * ((alpha[i - 1, :a] if i else before[:a]).T @ back)
-                beta[:a] = back @ step.T
+                back = b[i, :, :a] * beta[:, :a]
+                back /= scale[i, :a]
+                steps += step * ((alpha[i - 1, :, :a] if i else before[:, :a]) @ back.T)
+                beta[:, :a] = step @ back
         if not low:
-            starts += gamma[0].sum(axis=0, dtype=np.float64)
-        live = np.arange(gamma.shape[1])[None, :] < active[low:high, None]
-        where, weight = obs[low:high, : gamma.shape[1]][live], gamma[live]
-        by = np.argsort(where, kind="stable")
-        used, first = np.unique(where[by], return_index=True)
-        emission[used] += np.add.reduceat(weight[by], first, dtype=np.float64)
+            starts += alpha[0].sum(axis=1, dtype=np.float64)
+        where = obs[low:high, : alpha.shape[2]].ravel().astype(np.int64)
+        for j in range(k):  # cells beyond a sequence's end weigh nothing
+            emission[:, j] += np.bincount(where, weights=alpha[:, j].ravel(), minlength=len(emission))
 
 
 def batched(seqs: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
@@ -274,12 +281,15 @@ def first_counts(train: DataFrame, seeds: np.ndarray, clusters: np.ndarray, symb
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((symbols, states))
         for batch in batches:
-            for s in _sequences(batch.column(0)):
+            for part in portions(batch, 0, PORTION):
+                s, row = _flat(part.column(0))
                 at = place[s]
-                fit = log[:, at[at >= 0]].sum(axis=1)
-                fit = np.exp(fit - fit.max())
-                used, n = np.unique(s, return_counts=True)
-                total[used] += n[:, None] * (fit / fit.sum())
+                n = np.bincount(row[at >= 0] * len(seeds) + at[at >= 0], minlength=part.num_rows * len(seeds)).reshape(part.num_rows, -1)
+                fit = n @ log.T if len(seeds) else np.zeros((part.num_rows, states))
+                fit = np.exp(fit - fit.max(axis=1, keepdims=True))
+                fit /= fit.sum(axis=1, keepdims=True)
+                for k in range(states):
+                    total[:, k] += np.bincount(s, weights=fit[row, k], minlength=symbols)
         yield _counted(total, np.zeros((states, states)), np.zeros(states))
 
     return _summed(train.select("symbols").mapInArrow(run, "kind int, at int, " + ", ".join(f"s{k} double" for k in range(states))), states, symbols)[0]
@@ -292,7 +302,7 @@ def log_likelihoods(seqs: list[np.ndarray], start: np.ndarray, step: np.ndarray,
     the results are chained, which is the same sum.
     """
     k = len(start)
-    one = np.ones(k)
+    onward = np.ascontiguousarray(step.T)
     rows: list[tuple[np.ndarray, int]] = []  # symbols, and the state before them, or -1 at a text's start
     place = []
     for s in seqs:
@@ -309,15 +319,15 @@ def log_likelihoods(seqs: list[np.ndarray], start: np.ndarray, step: np.ndarray,
             obs[: lengths[j], j] = rows[i][0]
         active = np.searchsorted(-lengths, -np.arange(len(obs)), side="left")
         before = np.array([rows[i][1] for i in own])
-        now = np.where(before[:, None] < 0, start, step[np.maximum(before, 0)])
+        now = np.ascontiguousarray(np.where(before[:, None] < 0, start, step[np.maximum(before, 0)]).T)
         logs = np.zeros(len(own))
         for t in range(len(obs)):
             a = active[t]
-            v = (now[:a] @ step if t else now[:a]) * emit[obs[t, :a]]
-            z = v @ one
-            now[:a] = v / z[:, None]
+            v = (onward @ now[:, :a] if t else now[:, :a]) * emit.take(obs[t, :a], axis=0).T
+            z = v.sum(axis=0)
+            np.divide(v, z, out=now[:, :a])
             logs[:a] += np.log(z)
-        final[own], scale[own] = now, logs
+        final[own], scale[own] = now.T, logs
     out = np.zeros(len(seqs))
     for i, s in enumerate(seqs):
         r = place[i]
@@ -443,7 +453,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     # words outside the head: their counts are joined, and their logs summed by text; unknown ones are whole in the score already
     masses = spark.createDataFrame([(j, float(mass[j])) for j in range(CLASSES)], "_class int, mass double")
     known = tail.join(F.broadcast(masses), F.col("class") == F.col("_class")).select(F.col("word").alias("_word"), "c", F.log10((F.col("c") + 0.1) / F.col("mass")).alias("share"))
-    rare = code.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(known, F.col("word") == F.col("_word"), "left")
+    # hash tables of a partition's distinct words, each once, in place of a sort of all occurrences
+    rare = code.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(known.hint("shuffle_hash"), F.col("word") == F.col("_word"), "left")
     n = F.col("n")
     rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), n).otherwise(0)).alias("k"), F.sum(n * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(scale))).alias("b"), F.sum(n * F.coalesce("share", F.lit(0.0))).alias("s")).select(F.col("row").alias("_row"), "k", "b", "s")
     out = scored.join(rare, F.col("row") == F.col("_row"), "left")

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import EDGE, clashing, empty, table
 
@@ -112,3 +113,16 @@ def test_a_strange_key_is_an_error():
     assert sorted(part.slots(keys).tolist()) == list(range(50))
     with pytest.raises(ValueError):
         part.slots(np.array([5], dtype=np.int64))
+
+
+def test_words_apart_equal_whole_texts():
+    p, rng = al.pair(A, B), random.Random(5)
+    letters = ["a", "B", "é", "ß", "数", "🙂", "'s", "1", "23", "--", "<|endoftext|>", "\x00", "\x1c", "ﬁ", "the", "　", "▁", "<0x0A>", "<s>", "한국", "क्षि"]
+    some = ["", "a", "\n", "a\n", "a\nb", "a \nb", "a\n b", " a", "a ", "a\n\n", "\na", "A" * 3000, "\tb", *("".join(rng.choice([*letters, " ", "\n"]) for _ in range(rng.randint(1, 30))) for _ in range(2000))]
+    at, (a, b) = p.encode_all(pa.array(some))
+    assert len(at) > 300 and p.apart
+    for i, x, y in zip(at.tolist(), a.to_pylist(), b.to_pylist(), strict=True):
+        assert [v.tobytes() for v in p.encode(some[i].encode())] == [x, y], some[i]
+    aligned = al.Aligned(p, *([np.frombuffer(x, dtype="<u4") for x in t.to_pylist()] for t in (a, b)))
+    plain = sorted({(int(d), int(k)) for d, k in zip(aligned.doc, aligned.keys, strict=True)})
+    assert sorted(k for _, k in plain) == sorted(aligned.per_document().tolist())

@@ -5,7 +5,8 @@ whose bytes overlap its own, and places where both end cut a document into group
 ids linked says how well the two tokens stand for each other. The pairs of a corpus are too many for a table of hash
 rows in every task, so they are counted by a minimal perfect hash:
 
-1. every text is encoded by both tokenizers once; the ids are written to the shared folder;
+1. every text is encoded by both tokenizers once; the ids are written to the shared folder. Where no token of either
+   reaches over a blank between words, the distinct words of some megabytes of text are encoded and put together;
 2. the distinct pairs are gathered, dealt into buckets of some PER_BUCKET keys, and each bucket gets a minimal perfect
    hash by displacement: keys of a slot group share one number that sends them to free slots, lone keys are placed directly;
 3. a first pass over the documents adds up, in each task, dense vectors of counts by slot; vectors of a bucket are
@@ -26,6 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 from pyspark import TaskContext
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LONG_WORD, codec
-from .common import filled, texts, work_dir, written
+from .common import byte_rows, distinct_parts, filled, listed, portions, texts, work_dir, written
 
 #: Keys of a bucket of the hash, on average; of a slot group; buckets of a part, which a task holds whole.
 PER_BUCKET, PER_GROUP, PARTS = 4096, 2, 512
@@ -41,10 +43,16 @@ PER_BUCKET, PER_GROUP, PARTS = 4096, 2, 512
 FAN = 64
 #: Links of documents that a task gathers before it takes them through the parts of the table.
 LINKS = 1 << 20
+#: Bytes of texts whose words are encoded together, and words of a call.
+PORTION, WORDS = 1 << 24, 4096
 #: Bits of an id of the second tokenizer within a pair's key.
 SHIFT = 32
 
 
+#: Texts that are not cut into words: with white space other than blanks and line ends, several of these in a row, some before the text, a blank after it, or the mark of a blank.
+UNCUT = r"[\x{9}\x{b}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{2581}]|[ \n][ \n]|\A[ \n]| \z"
+
+
 class Pair:
     """Both tokenizers, with the bytes of their tokens."""
 
@@ -57,6 +65,19 @@ class Pair:
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.a_lengths, self.b_lengths = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
 
+        self.apart = self.a.fast is not None and self._apart()
+
+    def _apart(self) -> bool:
+        """Whether the second tokenizer takes texts as they are, and none of its pieces holds a line end, or a blank after something else."""
+        from sentencepiece import sentencepiece_model_pb2
+
+        m = sentencepiece_model_pb2.ModelProto.FromString(self.b.serialized_model_proto())
+        n, mark = m.normalizer_spec, "▁"
+        plain = not n.precompiled_charsmap and n.add_dummy_prefix and n.escape_whitespaces and not n.remove_extra_whitespaces and not m.trainer_spec.treat_whitespace_as_suffix
+        normal = [p.piece for p in m.pieces if p.type == p.NORMAL]
+        kinds = {p.type for p in m.pieces} <= {m.SentencePiece.NORMAL, m.SentencePiece.BYTE, m.SentencePiece.CONTROL, m.SentencePiece.UNKNOWN}
+        return bool(plain and m.trainer_spec.model_type == m.trainer_spec.BPE and m.trainer_spec.byte_fallback and kinds) and not any("\n" in p or mark in p.lstrip(mark) or mark in p[1:] and p.strip(mark) for p in normal)
+
     def _piece(self, i: int) -> bytes:
         if self.b.is_byte(i):
             return bytes([int(self.b.id_to_piece(i)[3:-1], 16)])
@@ -83,6 +104,49 @@ class Pair:
         return np.zeros(0, dtype="<u4"), np.zeros(0, dtype="<u4")
 
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """(ids of the first, how many of each word, ids of the second, how many); None where bytes differ. A word is what follows a blank, or a line end with what follows it."""
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for at in range(0, len(words), WORDS):
+            # a word of its own leads, so that the blank which the second tokenizer puts first is not a line end's
+            some = [" a", *(w if w[:1] == "\n" else " " + w for w in words[at : at + WORDS])]
+            text = "".join(some)
+            data = text.encode()
+            ends = np.cumsum([len(w.encode()) for w in some])
+            for k, ids, of, lengths in ((0, self.encode_a(data), self.a_bytes, self.a_lengths), (2, self.b.encode(text[1:], num_threads=1), self.b_bytes, self.b_lengths)):
+                if b"".join(map(of.__getitem__, ids)) != data:
+                    return None
+                ids = np.array(ids, dtype="<u4")
+                until = np.cumsum(lengths[ids])
+                last = np.searchsorted(until, ends)
+                if not np.array_equal(until[last], ends):
+                    return None
+                out[k].append(ids[last[0] + 1 :])
+                out[k + 1].append(np.diff(last))
+        a, n_a, b, n_b = (np.concatenate([np.zeros(0, dtype=t), *v]) for t, v in zip(("<u4", np.int64) * 2, out, strict=True))
+        return a, n_a, b, n_b
+
+    def encode_all(self, column: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        """(places of the texts that could be cut into words, the ids of both for these as bytes); other texts need encode()."""
+        if not self.apart:
+            return np.zeros(0, dtype=np.int64), []
+        whole = pc.or_(pc.match_substring_regex(column, UNCUT), pc.equal(pc.binary_length(column), 0)).to_numpy(zero_copy_only=False).astype(bool)
+        at = np.flatnonzero(~whole)
+        words, codes, n = distinct_parts(pc.split_pattern(pc.replace_substring(column.take(pa.array(at)), "\n", " \n"), " "))
+        known = listed(words)
+        if not len(at) or (found := self._words([w for w in known if w != "\n"])) is None:
+            return np.zeros(0, dtype=np.int64), []
+        out = []
+        row = np.repeat(np.arange(len(n)), n)
+        alone = known.index("\n") if "\n" in known else -1  # a line end at the end of a text
+        for ids, many, plain in ((found[0], found[1], self.encode_a(b"\n")), (found[2], found[3], self.b.encode("\n", num_threads=1)[1:])):
+            if alone >= 0:
+                ids, many = np.insert(ids, int(many[:alone].sum()), np.array(plain, dtype="<u4")), np.insert(many, alone, len(plain))
+            begin, own = np.cumsum(many) - many, many[codes]
+            out.append(byte_rows(ids[np.arange(own.sum()) + np.repeat(begin[codes] - np.cumsum(own) + own, own)], np.bincount(row, weights=own, minlength=len(n)).astype(np.int64)))
+        return at, out
+
+
 @cache
 def pair(a: str, b: str) -> Pair:
     return Pair(a, b)
@@ -111,6 +175,10 @@ class Aligned:
 
     def per_document(self) -> np.ndarray:
         """Keys, each once for every document that has it."""
+        n_a, n_b = (int(x.max(initial=0)) + 1 for x in (self.link_a, self.link_b))
+        if len(self.n_a) * n_a * n_b < 1 << 62:  # document and pair in one number
+            both = np.unique((self.doc * n_a + self.link_a) * n_b + self.link_b)
+            return both // n_b % n_a << SHIFT | both % n_b
         order = np.lexsort((self.keys, self.doc))
         keys, doc = self.keys[order], self.doc[order]
         first = np.ones(len(keys), dtype=bool)
@@ -236,13 +304,13 @@ def load(path: str, buckets: int, part: int, per_part: int, with_counts: bool) -
 
 
 def _ids(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype="<u4") for x in column.to_pylist()]
+    return [np.frombuffer(x, dtype="<u4") for x in listed(column)]
 
 
 def _batches(batches: Iterator[pa.RecordBatch], a: int, b: int, links: int) -> Iterator[pa.RecordBatch]:
     """Slices of batches with some links / 2 tokens, or one document."""
     for batch in batches:
-        size = np.cumsum([len(x) + len(y) for x, y in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist(), strict=True)]) // (2 * links)
+        size = np.cumsum(sum(pc.binary_length(batch.column(k)).to_numpy().astype(np.int64) for k in (a, b))) // (2 * links)
         cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
         for x, y in zip(cuts, cuts[1:], strict=False):
             if y > x:
@@ -263,10 +331,15 @@ def alignment(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, id_col: str =
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pair(tokenizer_a, tokenizer_b)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                found = [p.encode(t) for t in texts(some.column(1))]
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1))], names=["doc_id", "a", "b"])
+            for some in portions(batch, 1, PORTION):
+                at, ids = p.encode_all(some.column(1))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(at)), *ids], names=["doc_id", "a", "b"])
+                some = some.take(pa.array(np.setdiff1d(np.arange(some.num_rows), at)))
+                for at in range(0, some.num_rows, 256):
+                    own = some.slice(at, 256)
+                    found = [p.encode(t) for t in texts(own.column(1))]
+                    yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1))], names=["doc_id", "a", "b"])
 
     encoded = written(rows.mapInArrow(tokens, "doc_id long, a binary, b binary"), "tokens")
 

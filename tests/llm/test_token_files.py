@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import EDGE, clashing, empty, table
 from hypothesis import given, settings
@@ -142,3 +143,12 @@ def test_documents_over_several_checkpoints(segment):
 def test_empty(spark):
     assert tf.token_round_trip(empty(spark), TOKENIZER).count() == 0
     assert [tuple(r) for r in tf.token_round_trip(table(spark, [(5, None)]), TOKENIZER).collect()] == [(5, 0, 1, zlib.crc32(b"\1\0\0\0"))]
+
+
+def test_columns_put_words_together():
+    plain, w = tokenizers.Tokenizer.from_file(TOKENIZER), tf.words(TOKENIZER)
+    some = ["", " ", "one", "One two\nTWO\t", "数据 one", "<|endoftext|> a", "Über ﬁ  x ", "é é"] * 3
+    column = pa.array(["before", *some]).slice(1)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in some]
+    for ends in ((), (1,), (1, 2)):
+        assert [np.frombuffer(x, w.kind).tolist() for x in w.columns(column, *ends).to_pylist()] == [[*x, *ends] for x in want]

@@ -25,13 +25,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import filled, texts, work_dir, written
+from .common import byte_rows, distinct_parts, filled, listed, portions, work_dir, written
 from .warc import _store
 
 #: Bits of the scale of frequencies; a state stays from 2^31 to below 2^63.
@@ -42,8 +43,8 @@ LANES, STEPS, BLOCK, SEGMENT, FILE = 2048, 64, 1 << 20, 1 << 18, 1 << 28
 PER_TASK = 256
 MAGIC = b"TOKRANS1"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
-#: Words whose ids a task remembers.
-WORDS = 1 << 18
+#: Bytes of texts whose words are encoded together.
+PORTION = 1 << 24
 
 
 # Coding
@@ -349,9 +350,9 @@ class TokenFiles(DataSource):
 
 
 class Words:
-    """The library's encoding of texts, put together from that of their words between blanks, which are remembered.
+    """The library's encoding of texts, put together from that of their distinct words between blanks.
 
-    Only for tokenizers whose words never reach over a blank: blanks() says whether a file's parts are such. New words
+    Only for tokenizers whose words never reach over a blank: blanks() says whether a file's parts are such. Words
     of ASCII and simple Latin letters, most of them, go through tiktoken, many in one call; the rest through the
     library. For tiktoken the end of a word is a byte that no such word has, and joins the last letter first, as the
     library's merges begin with letters of which the last is marked; tests hold both to be equal.
@@ -369,7 +370,6 @@ class Words:
         #: Bytes of an id.
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.known: dict[str, bytes] = {}
         if self.apart:
             self._simple(file["model"])
 
@@ -397,41 +397,56 @@ class Words:
         self.ids[10] = -1  # a line end parts words
         self.fast = tiktoken.Encoding("words", pat_str=r"\n|[^\x01\n]*\x01", mergeable_ranks=ranks, special_tokens={})
 
-    def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 8192):
-            some = new[at : at + 8192]
-            text = "\n".join([*some, ""])
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words, how many of each)."""
+        ids, many = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(words), 8192):
+            own, simple = words[at : at + 8192], None
+            text = "\n".join([*own, ""])
             if not SIMPLE_LINES.fullmatch(text) or "<|" in text:
-                own, some = some, [w for w in some if SIMPLE.fullmatch(w) and "<|" not in w]
-                self._ask(list(set(own).difference(some)))
-                text = "\n".join([*some, ""])
+                simple = np.array([SIMPLE.fullmatch(w) is not None and "<|" not in w for w in own])
+                text = "\n".join([*(w for w, k in zip(own, simple.tolist(), strict=True) if k), ""])
             found = self.ids[self.fast.encode_to_numpy(_PIECE.sub("\\g<0>\x01", text.lower()), disallowed_special=())]
-            data, ends = found.astype(self.kind).tobytes(), np.flatnonzero(found < 0) * self.width
-            edges = ends.tolist()
-            self.known.update(zip(some, [data[x:y] for x, y in zip([0, *(ends[:-1] + self.width).tolist()], edges, strict=False)], strict=True))
-
-    def _ask(self, some: list[str]) -> None:
-        """Learns words from the library."""
-        for at in range(0, len(some), 4096):
-            found = self.tokenizer.encode_batch_fast(some[at : at + 4096], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype=self.kind).tobytes()) for w, e in zip(some[at : at + 4096], found, strict=True))
+            n = np.diff(np.flatnonzero(found < 0), prepend=-1) - 1
+            found = found[found >= 0]
+            if simple is not None:
+                others = self._ask([w for w, k in zip(own, simple.tolist(), strict=True) if not k])
+                each = np.zeros(len(own), dtype=np.int64)
+                each[simple], each[~simple] = n[: int(simple.sum())], [len(x) for x in others]
+                mixed, of = np.zeros(int(each.sum()), dtype=np.int64), np.repeat(simple, each)
+                mixed[of], mixed[~of] = found, [i for x in others for i in x]
+                found, n = mixed, each
+            ids.append(found)
+            many.append(n)
+        return np.concatenate(ids), np.concatenate(many)
+
+    def _ask(self, some: list[str]) -> list[list[int]]:
+        """The library's ids of each text."""
+        return [e.ids for at in range(0, len(some), 4096) for e in self.tokenizer.encode_batch_fast(some[at : at + 4096], add_special_tokens=False)]
+
+    def columns(self, texts: pa.Array, *ends: int) -> pa.Array:
+        """The ids of each text, and after them ends, as numbers of width bytes."""
+        if not self.apart:
+            return pa.array([np.array([*x, *ends], dtype=self.kind).tobytes() for x in self._ask(listed(texts))], pa.binary())
+        for c in "\n\t\r":
+            texts = pc.replace_substring(texts, c, " ")
+        words, codes, n = distinct_parts(pc.split_pattern(texts, " "))
+        ids, many = self._words(listed(words))
+        begin, own = np.cumsum(many) - many, many[codes]
+        total = np.cumsum(np.concatenate(([0], own)))
+        edges = total[np.concatenate(([0], np.cumsum(n)))]
+        each = np.diff(edges)
+        out = np.empty(int(edges[-1]) + len(ends) * len(each), dtype=self.kind)
+        after = edges[1:] + len(ends) * np.arange(len(each))
+        for k, end in enumerate(ends):
+            out[after + k] = end
+        place = np.arange(int(edges[-1]))
+        out[place + np.repeat(len(ends) * np.arange(len(each)), each)] = ids.astype(self.kind)[place + np.repeat(begin[codes] - total[:-1], own)]
+        return byte_rows(out, each + len(ends))
 
     def encode(self, some: list[str]) -> list[bytes]:
         """The ids of each text as numbers of width bytes."""
-        if not self.apart:
-            return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in some]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > WORDS:
-            self.known = {}
-            new = list(set().union(*split))
-        self._learn(new)
-        out = [b"".join(map(self.known.__getitem__, own)) for own in split]
-        if max(map(len, new), default=0) > 100:
-            for w in new:
-                if len(w) > 100:
-                    del self.known[w]
-        return out
+        return self.columns(pa.array(some, pa.string())).to_pylist()
 
 
 #: Marks the end of a word for tiktoken; no simple word has it.
@@ -475,12 +490,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words(tokenizer)
-        end = np.array([end_id], dtype=w.kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                found = w.encode([t.decode() for t in texts(some.column(1))])
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x + end for x in found], pa.binary())], names=["doc_id", "ids"])
+            for some in portions(batch, 1, PORTION):
+                yield pa.RecordBatch.from_arrays([some.column(0), w.columns(some.column(1), end_id)], names=["doc_id", "ids"])
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)

@@ -92,3 +92,21 @@ def test_parts_do_not_grow_with_the_input():
     for n in (0, 10, 1000, 20_000):
         assert n / ng.parts_of(n, 32) <= ng.HELD
     assert ng.parts_of(10, 32) == 32 and ng.parts_of(0, 1) == 16
+
+
+def test_blocks_are_not_multiplied_on_the_driver(spark):
+    """Blocks meet each part by a shuffle: no table that explode multiplies is broadcast."""
+    plan = ng.hard_negatives(frame(spark, vectors(200, 3)), F.col("vec_id") % 100 == 0)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-*")) for line in plan]
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+            assert not any("Generate" in x for x in plan[i:below])
+    assert any("FlatMapCoGroupsInArrow" in line for line in plan)
+
+
+def test_groups_of_blocks_give_the_same(spark, monkeypatch):
+    rows = vectors(700, 6)
+    monkeypatch.setattr(ng, "GROUP", 2)
+    got = Counter(map(tuple, ng.hard_negatives(frame(spark, rows), F.col("vec_id") % 100 == 0, chunk=16, block=3, parts=3).collect()))
+    assert got == brute(rows)

@@ -7,10 +7,11 @@ rounding, so what lies outside a wanted window of scores needs no scoring; the r
 
 Rows are sorted by label, nearest direction and angle and packed into chunks of one label, in which equal vectors are one
 entry with their least ids; a chunk has bounds of its angles and norms, by which it is skipped whole. Anchors are packed
-into blocks alike. Blocks meet chunks part by part: chunks are dealt into parts and every block goes to each part, so a
-label that holds a third of all rows is spread, and a task holds one block and one chunk at a time. A first join finds
-each anchor's positives, a second one, with the windows of scores that follow from them, its negatives; the chunks that
-the windows of a block exclude fall out in the join. A task sends on the best few of each anchor and window alone.
+into blocks alike. Chunks are dealt into parts and blocks into groups, both of bounded size whatever the input's, and
+each group meets each part, so a label that holds a third of all rows is spread, and a task holds one group and one part
+at a time. Both sides are shuffled, never broadcast. A first pass finds each anchor's positives, a second one, with the
+windows of scores that follow from them, its negatives; the chunks that the windows of a block exclude are left out. A
+task sends on the best few of each anchor and window alone.
 """
 
 from __future__ import annotations
@@ -29,12 +30,15 @@ from .common import written
 DIRECTIONS, SAMPLE = 16, 256
 #: Vectors of a chunk, anchors of a block.
 CHUNK, BLOCK = 1024, 64
-#: Most chunks of a part, on average: a join holds those of one part at a time.
-HELD = 64
+#: Most chunks of a part and blocks of a group, on average: a task holds those of one part and one group at a time.
+HELD, GROUP = 64, 256
 #: Angles are off by less than this; scores by less than this times both norms, and one.
 SLACK = 1e-6
 NONE = np.iinfo(np.int64).min
+MET = ["row", "place", "score", "id"]
+EMPTY = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * len(MET), names=MET)
 PACKED = "block long, label long, lo array<double>, hi array<double>, norm_lo double, norm_hi double, window_lo long, window_hi long, rows binary, ids binary, members binary, vectors binary, angles binary, norms binary, windows binary"
+LIMITS = ["label", "lo", "hi", "norm_lo", "norm_hi", "window_lo"]
 PAYLOAD = ["rows", "ids", "members", "vectors", "angles", "norms", "windows"]
 
 
@@ -126,6 +130,14 @@ class Best:
         places = block.windows.shape[1] if negative else 1
         self.scores, self.ids = np.full((len(block.norms), places, k), NONE, dtype=np.int64), np.zeros((len(block.norms), places, k), dtype=np.int64)
 
+    def least(self) -> float:
+        """The score below which nothing is better than what there is."""
+        last = self.scores[:, :, -1]
+        if self.negative:
+            used = self.block.windows[:, :, 0] >= 0
+            last = np.maximum(last, self.block.windows[:, :, 1])[used]
+        return float(last.min()) if last.size else np.inf
+
     def take(self, chunk: Packed) -> None:
         b = self.block
         least, most = bounds(b.angles, b.norms, chunk)
@@ -158,24 +170,43 @@ class Best:
     def rows(self) -> pa.RecordBatch:
         i, place, k = np.nonzero(self.scores > NONE)
         positive = self.block.windows[i, place, 0] if self.negative else np.zeros(len(i), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (self.block.rows[i], positive, self.scores[i, place, k], self.ids[i, place, k])], names=["row", "place", "score", "id"])
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (self.block.rows[i], positive, self.scores[i, place, k], self.ids[i, place, k])], names=MET)
 
 
-def _meet(k: int, negative: bool):
-    """The best of each anchor from joined rows of a block and a chunk; rows of one block mostly follow one another."""
+def reaches(block: dict, chunks: dict) -> np.ndarray:
+    """The greatest score that anchors of a block can have with rows of each of several chunks, by their bounds alone."""
+    near = np.maximum((block["lo"] - chunks["hi"]).max(axis=1, initial=0), (chunks["lo"] - block["hi"]).max(axis=1, initial=0))
+    cosine = np.cos(np.clip(near - 2 * SLACK, 0, np.pi))
+    most = block["norm_hi"] * chunks["norm_hi"]
+    return np.where(cosine >= 0, most, block["norm_lo"] * chunks["norm_lo"]) * cosine + SLACK * most + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, best = None, None
-        for batch in batches:
-            for r in range(batch.num_rows):
-                block = batch.column(0)[r].as_py()
-                if block != at:
-                    if best is not None:
-                        yield best.rows()
-                    at, best = block, Best(Packed(*(batch.column(1 + c)[r].as_py() for c in range(7))), k, negative)
-                best.take(Packed(*(batch.column(8 + c)[r].as_py() for c in range(7))))
-        if best is not None:
-            yield best.rows()
+
+def _meet(k: int, negative: bool):
+    """The best of each anchor of a group of blocks among a part of the chunks, those that can reach the highest scores first."""
+
+    def limits(table: pa.Table) -> dict:
+        wide = lambda c: np.array(table[c].to_pylist(), dtype=np.float64).reshape(table.num_rows, -1 if table.num_rows else 0)
+        return {c: wide(c) for c in ("lo", "hi")} | {c: table[c].to_numpy() for c in ("norm_lo", "norm_hi", "label", "window_lo")}
+
+    def one(table: pa.Table, at: int) -> Packed:
+        return Packed(*(table[c][at].as_buffer() for c in PAYLOAD))
+
+    def run(blocks: pa.Table, chunks: pa.Table) -> pa.Table:
+        out, own, other = [EMPTY], limits(blocks), limits(chunks)
+        packed: dict[int, Packed] = {}
+        for i in range(blocks.num_rows if chunks.num_rows else 0):
+            reach = reaches({c: v[i] for c, v in own.items()}, other)
+            wanted = ((other["label"] != own["label"][i]) & (reach >= own["window_lo"][i])) if negative else other["label"] == own["label"][i]
+            which = np.flatnonzero(wanted)
+            best = Best(one(blocks, i), k, negative)
+            for c in which[np.argsort(-reach[which], kind="stable")].tolist():
+                if reach[c] < best.least():
+                    break
+                if c not in packed:
+                    packed[c] = one(chunks, c)
+                best.take(packed[c])
+            out.append(best.rows())
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -287,27 +318,25 @@ def hard_negatives(
     no_windows = F.lit(None).cast("array<struct<place: long, low: long, high: long>>")
     chunks = pack(points.withColumn("windows", no_windows), chunk, True, 0, "chunks")
     parts = parts or parts_of(chunks.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chunks = chunks.select(*[F.col(c).alias(f"c_{c}") for c in chunks.columns]).withColumn("c_part", F.pmod(F.xxhash64("c_block"), F.lit(parts)))
+    dealt = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("long")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
     anchors = points.where("anchor")
 
-    def joined(blocks: DataFrame, condition: Column, k: int, negative: bool) -> DataFrame:
-        spread = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
-        both = spread.join(chunks, (F.col("part") == F.col("c_part")) & condition)
-        return both.select("block", *PAYLOAD, *[f"c_{c}" for c in PAYLOAD]).mapInArrow(_meet(k, negative), "row long, place long, score long, id long")
+    def joined(blocks: DataFrame, k: int, negative: bool) -> DataFrame:
+        groups = max(1, -(-blocks.count() // GROUP))
+        held = [*LIMITS, *PAYLOAD]
+        left = blocks.select(dealt(groups).alias("group"), each(parts).alias("part"), *held).groupBy("group", "part")
+        right = chunks.select(each(groups).alias("group"), dealt(parts).alias("part"), *held).groupBy("group", "part")
+        return left.cogroup(right).applyInArrow(_meet(k, negative), "row long, place long, score long, id long")
 
-    first = joined(pack(anchors.withColumn("windows", no_windows), block, False, 0, "anchors"), F.col("label") == F.col("c_label"), positives, False)
+    first = joined(pack(anchors.withColumn("windows", no_windows), block, False, 0, "anchors"), positives, False)
     found = written(_ranked(first, ["row"], positives).select("row", "rank", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     # exact in whole numbers, whatever the size of the scores
     least = F.when(F.pmod(F.col("positive_score") * low, F.lit(100)) == 0, F.expr(f"positive_score * {low} div 100")).otherwise(F.expr(f"positive_score * {low} div 100") + 1)
     window = F.struct(F.col("rank").cast("long").alias("place"), least.alias("low"), F.expr(f"positive_score * {high} div 100").alias("high"))
     windows = found.where("positive_score >= 0").groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_list(window)).alias("windows"))
     wanting = anchors.join(windows, F.col("row") == F.col("_row")).drop("_row")
-    # how near a block and a chunk can come: no chunk goes on that lies below all windows of the block
-    apart = F.greatest(F.lit(0.0), F.array_max(F.zip_with(F.col("lo"), F.col("c_hi"), lambda x, y: x - y)), F.array_max(F.zip_with(F.col("c_lo"), F.col("hi"), lambda x, y: x - y)))
-    cosine = F.cos(F.least(F.greatest(apart - 2 * SLACK, F.lit(0.0)), F.lit(np.pi)))
-    product = F.when(cosine >= 0, F.col("norm_hi") * F.col("c_norm_hi")).otherwise(F.col("norm_lo") * F.col("c_norm_lo"))
-    reach = product * cosine + SLACK * F.col("norm_hi") * F.col("c_norm_hi") + 1
-    second = joined(pack(wanting, block, False, positives, "windows"), (F.col("label") != F.col("c_label")) & (reach >= F.col("window_lo")), negatives, True)
+    second = joined(pack(wanting, block, False, positives, "windows"), negatives, True)
     best = _ranked(second, ["row", "place"], negatives).select(F.col("row").alias("_row"), F.col("place").alias("_place"), "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     ids = anchors.select(F.col("row").alias("_anchor"), F.col("id").alias("anchor_id"))
     named = found.join(ids, F.col("row") == F.col("_anchor")).select("row", F.col("rank").alias("place"), "anchor_id", "positive_id", "positive_score")

@@ -184,3 +184,20 @@ def test_models_side_by_side_are_each_the_maximum():
         m = maximum(home.tolist(), away.tolist(), dict(zip(SUMS, sums, strict=True)))
         assert np.allclose(g["attack"], m.attack, atol=1e-6) and np.allclose(g["defence"], m.defence, atol=1e-6)
         assert np.allclose([g["mean"], g["advantage"], g["rho"]], [m.mean, m.advantage, m.rho], atol=1e-6)
+
+
+def test_rho_needs_the_low_scores_that_occur_alone(monkeypatch):
+    """Halving the range of rho looks at the low scores that occur, not at four for every pairing, and finds the same."""
+    rng = np.random.default_rng(4)
+    home, away = np.repeat(np.arange(6), 5), (np.repeat(np.arange(6), 5) + np.tile(np.arange(1, 6), 6)) % 6
+    goals = rng.poisson(1.3, (3, 2, 30))
+    w = rng.random((3, 30)) + 0.1
+    low = [np.where((goals[:, 0] == i) & (goals[:, 1] == j), w, 0.0) for i, j in ((0, 0), (0, 1), (1, 0), (1, 1))]
+    sums = dict(zip(models.SUMS, [w, w * goals[:, 0], w * goals[:, 1], *low, goals.sum(axis=1).astype(float), np.ones((3, 30))], strict=True))
+    seen, real = [], models.low_scores
+    monkeypatch.setattr(models, "low_scores", lambda inner, weight: seen.append(weight.shape[1]) or real(inner, weight))
+    x, mean, rho = models.maxima(np.stack([home] * 3), np.stack([away] * 3), sums, 6)
+    assert set(seen) == {max(sum(int((k[m] > 0).sum()) for k in low) for m in range(3))}
+    for m in range(3):
+        one = models.maximum(home, away, {k: v[m] for k, v in sums.items()})
+        assert abs(one.rho - rho[m]) < 1e-6 and abs(one.advantage - x[m, 12]) < 1e-6

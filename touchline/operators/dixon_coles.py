@@ -40,9 +40,10 @@ def fitted(pairings: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[di
         for first in range(0, len(models), most):
             some = models[first : first + most]
             wide = max(len(m[1]) for m in some)
-            padded = lambda rows: np.stack([np.pad(r, (0, wide - len(r))) for r in rows])  # noqa: B023, E731
-            home, away = padded([m[1] for m in some]), padded([m[2] for m in some])
-            sums = {k: padded([m[3][j] for m in some]) for j, k in enumerate(SUMS)}
+            home, away, own = np.zeros((len(some), wide), dtype=np.int64), np.zeros((len(some), wide), dtype=np.int64), np.zeros((len(SUMS), len(some), wide))
+            for j, (_, h, a, rows) in enumerate(some):
+                home[j, : len(h)], away[j, : len(h)], own[:, j, : len(h)] = h, a, rows
+            sums = dict(zip(SUMS, own, strict=True))
             try:
                 got = [maxima(home, away, sums, teams)]
             except np.linalg.LinAlgError:  # of one of them: each by itself

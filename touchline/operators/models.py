@@ -141,57 +141,81 @@ def maximum(home: Sequence, away: Sequence, sums: dict[str, np.ndarray], rounds:
     return DixonColes(teams, x[:n], x[n : 2 * n], mean, float(x[2 * n]), float(rho))
 
 
+def low_scores(inner: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The rho of greatest likelihood of each of several models, by halves of its range; inner: what rho is multiplied by in the correction of each low score that counts."""
+    low, high = np.full(len(inner), RHO[0]), np.full(len(inner), RHO[1])
+    weighted = weight * inner
+    for _step in range(40):
+        mid = (low + high) / 2
+        up = (weighted / np.maximum(1 + inner * mid[:, None], 1e-12)).sum(axis=1) > 0
+        low, high = np.where(up, mid, low), np.where(up, high, mid)
+    return (low + high) / 2
+
+
 def maxima(home: np.ndarray, away: np.ndarray, sums: dict[str, np.ndarray], teams: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """maximum() of several models of as many teams at once, a row each: (strengths and advantage, mean, rho). home, away: the teams' places; pairings without weight count for nothing."""
     models, n, size = len(home), teams, 2 * teams + 1
     mean = sums["goals"].sum(axis=1) / (2 * sums["n"].sum(axis=1))
     mean[mean == 0] = NO_GOALS
     weights = np.stack([sums[k] for k in SUMS[:7]]) / sums["w"].max(axis=1)[None, :, None]  # only the ratios of weights count
+    # the low scores that occur, side by side: the first so many of each model count
+    scores = np.concatenate(weights[3:], axis=1)
+    cells = np.argsort(scores == 0, axis=1, kind="stable")[:, : max(1, int((scores != 0).sum(axis=1).max(initial=0)))]
+    cell_weights = np.take_along_axis(scores, cells, axis=1)
     x, rho, best, running_ = np.zeros((models, size)), np.zeros(models), np.full(models, -np.inf), np.arange(models)
 
-    def rates(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def logs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         of = lambda at: np.take_along_axis(x, at, axis=1)
-        return np.exp(np.clip(base + of(h) + of(n + a) + x[:, 2 * n :], *LOG_RATE)), np.exp(np.clip(base + of(a) + of(n + h), *LOG_RATE))
+        return np.clip(base + of(h) + of(n + a) + x[:, 2 * n :], *LOG_RATE), np.clip(base + of(a) + of(n + h), *LOG_RATE)
 
     def taus(lh: np.ndarray, la: np.ndarray, rho: np.ndarray) -> list[np.ndarray]:
         r = rho[:, None]
         return [np.maximum(t, 1e-12) for t in (1 - lh * la * r, 1 + lh * r, 1 + la * r, np.broadcast_to(1 - r, lh.shape))]
 
-    def value(lh: np.ndarray, la: np.ndarray, rho: np.ndarray) -> np.ndarray:
-        return (wh * np.log(lh) - w * lh + wa * np.log(la) - w * la + sum(k * np.log(t) for k, t in zip((w00, w01, w10, w11), taus(lh, la, rho), strict=True))).sum(axis=1)
+    def value(eh: np.ndarray, ea: np.ndarray, lh: np.ndarray, la: np.ndarray, rho: np.ndarray) -> np.ndarray:
+        return (wh * eh - w * lh + wa * ea - w * la + sum(k * np.log(t) for k, t in zip((w00, w01, w10, w11), taus(lh, la, rho), strict=True))).sum(axis=1)
 
     for round_ in range(rounds):
         h, a, base, (w, wh, wa, w00, w01, w10, w11) = home[running_], away[running_], np.log(mean[running_])[:, None], weights[:, running_]
         own, r, m = x[running_], rho[running_], len(running_)
-        lh, la = rates(own)
-        before = best[running_] if round_ else value(lh, la, r)
+        eh, ea = logs(own)
+        lh, la = np.exp(eh), np.exp(ea)
+        before = best[running_] if round_ else value(eh, ea, lh, la, r)
         t00, t01, t10, _t = taus(lh, la, r)
         both = -w00 * lh * la * r[:, None] / t00
         gh, ga = wh - w * lh + both + w01 * lh * r[:, None] / t01, wa - w * la + both + w10 * la * r[:, None] / t10
         at = np.arange(m)[:, None]
         grad = np.bincount(np.concatenate([(at * size + s).ravel() for s in (h, n + a, a, n + h)]), weights=np.concatenate([g.ravel() for g in (gh, gh, ga, ga)]), minlength=m * size).reshape(m, size)
         grad[:, 2 * n] = gh.sum(axis=1)
-        spots = [(p, q, v) for side, v in (((h, n + a, np.full_like(h, 2 * n)), w * lh), ((a, n + h), w * la)) for p in side for q in side]
-        fisher = np.bincount(np.concatenate([((at * size + p) * size + q).ravel() for p, q, _v in spots]), weights=np.concatenate([v.ravel() for _p, _q, v in spots]), minlength=m * size * size).reshape(m, size, size)
+        # sums by pairing of teams give all blocks of the information
+        cell = (at * n + h) * n + a
+        by_home, by_away = (np.bincount(cell.ravel(), weights=v.ravel(), minlength=m * n * n).reshape(m, n, n) for v in (w * lh, w * la))
+        fisher, each = np.zeros((m, size, size)), np.arange(n)
+        fisher[:, :n, n : 2 * n] = by_home + by_away.transpose(0, 2, 1)
+        fisher[:, n : 2 * n, :n] = fisher[:, :n, n : 2 * n].transpose(0, 2, 1)
+        fisher[:, each, each] = by_home.sum(axis=2) + by_away.sum(axis=1)
+        fisher[:, n + each, n + each] = by_home.sum(axis=1) + by_away.sum(axis=2)
+        fisher[:, 2 * n, :n] = fisher[:, :n, 2 * n] = by_home.sum(axis=2)
+        fisher[:, 2 * n, n : 2 * n] = fisher[:, n : 2 * n, 2 * n] = by_home.sum(axis=1)
+        fisher[:, 2 * n, 2 * n] = by_home.sum(axis=(1, 2))
         move = np.zeros((m, size))
         move[:, 1:] = np.linalg.solve(fisher[:, 1:, 1:] + 1e-9 * np.eye(size - 1), grad[:, 1:, None])[..., 0]
         step = np.ones(m)
         while True:
-            lh, la = rates(own + step[:, None] * move)
-            less = (step > 1e-8) & (value(lh, la, r) < before)
+            eh, ea = logs(own + step[:, None] * move)
+            lh, la = np.exp(eh), np.exp(ea)
+            here = value(eh, ea, lh, la, r)
+            less = (step > 1e-8) & (here < before)
             if not less.any():
                 break
             step[less] /= 2
         own = own + np.where(step > 1e-8, step, 0.0)[:, None] * move
-        lh, la = rates(own)
-        low, high = np.full(m, RHO[0]), np.full(m, RHO[1])
-        for _step in range(40):
-            mid = (low + high) / 2
-            k = mid[:, None]
-            up = (-w00 * lh * la / np.maximum(1 - lh * la * k, 1e-12) + w01 * lh / np.maximum(1 + lh * k, 1e-12) + w10 * la / np.maximum(1 + la * k, 1e-12) - w11 / np.maximum(1 - k, 1e-12)).sum(axis=1) > 0
-            low, high = np.where(up, mid, low), np.where(up, high, mid)
-        found = (low + high) / 2
-        there, here = value(lh, la, found), value(lh, la, r)
+        if (step <= 1e-8).any():
+            eh, ea = logs(own)
+            lh, la = np.exp(eh), np.exp(ea)
+            here = value(eh, ea, lh, la, r)
+        found = low_scores(np.take_along_axis(np.concatenate((-lh * la, lh, la, np.full_like(lh, -1.0)), axis=1), cells[running_], axis=1), cell_weights[running_])
+        there = value(eh, ea, lh, la, found)
         now = np.maximum(there, here)
         x[running_], rho[running_], best[running_] = own, np.where(there >= here, found, r), now
         running_ = running_[~(now - before < 1e-10 * (1 + np.abs(before)))]

@@ -201,3 +201,9 @@ def test_rho_needs_the_low_scores_that_occur_alone(monkeypatch):
     for m in range(3):
         one = models.maximum(home, away, {k: v[m] for k, v in sums.items()})
         assert abs(one.rho - rho[m]) < 1e-6 and abs(one.advantage - x[m, 12]) < 1e-6
+
+
+def test_every_model_is_fitted_once(spark):
+    """A filter on what a Python function gives would have it run a second time below."""
+    sums = spark.range(4).select(F.lit(1).alias("league"), F.col("id").alias("home"), (F.col("id") + 1).alias("away"), *[F.lit(1.0).alias(k) for k in models.SUMS])
+    assert dc.fits(sums, ["league"])._jdf.queryExecution().executedPlan().toString().count("fit(") == 1

@@ -79,7 +79,8 @@ def fits(sums: DataFrame, keys: Sequence[str], spread: bool = True) -> DataFrame
     tasks = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = sums.repartition(tasks, *keys) if spread else sums
     own = own.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("home", "away", F.array(*[F.coalesce(F.col(k).cast("double"), F.lit(0.0)) for k in SUMS]).alias("_v")))).alias("_p"))
-    own = own.withColumn("_m", fit(F.col("_p.home"), F.col("_p.away"), F.flatten(F.col("_p._v")))).where("_m.mean IS NOT NULL")
+    # called non-deterministic so that it runs once: the filter on its result would else fit every model a second time
+    own = own.withColumn("_m", fit.asNondeterministic()(F.col("_p.home"), F.col("_p.away"), F.flatten(F.col("_p._v")))).where("_m.mean IS NOT NULL")
     teams = F.array_sort(F.array_union(F.col("_p.home"), F.col("_p.away")))
     maps = [F.map_from_arrays(teams, F.col(f"_m.{m}")).cast(f"map<{kinds['home']}, double>").alias(m) for m in ("attack", "defence")]
     return own.select(*keys, "_m.mean", "_m.advantage", "_m.rho", *maps)
